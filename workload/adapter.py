@@ -136,13 +136,14 @@ def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def doctors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("doctor_id"), F.col("s_name").alias("username"),
-        F.concat(F.lit("D"), F.lpad(F.col("s_suppkey").cast("string"), 3, "0")).alias("code"))
+        F.concat(F.lit("D"), F.col("s_suppkey")).alias("code"))
 
 
 def hospitals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "nation").select(
         F.col("n_name").alias("name"),
-        F.concat(F.lit("H"), F.lpad(F.col("n_nationkey").cast("string"), 3, "0")).alias("code"))
+        F.concat(F.when(F.col("n_nationkey") % 5 == 0, "D").otherwise("H"), F.col("n_nationkey"))
+        .alias("code"))
 
 
 def checkins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,3 +188,32 @@ def slot_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (read_table(spark, sf_dir, "events")
             .select(F.col("user_id").alias("doctor_id"), F.to_date("ts").alias("date")).distinct()
             .select("doctor_id", "date", F.inline(hours)))
+
+
+def pending_signups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sign-ups with doctor, hospital and invalid codes and some taken names."""
+    key = F.col("c_custkey")
+    name = F.when(key % 5 == 0, F.concat(F.lit("Supplier#"), F.lpad(key.cast("string"), 9, "0"))) \
+        .when(key % 5 == 1, F.col("c_name")).otherwise(F.concat(F.lit("new"), key))
+    code = F.when(key % 3 == 0, F.concat(F.lit("D"), key % 200)) \
+        .when(key % 3 == 1, F.concat(F.lit("H"), F.col("c_nationkey"))).otherwise(F.lit("X000"))
+    return read_table(spark, sf_dir, "customer").select(
+        key.alias("pending_id"), name.alias("username"), code.alias("access_code"))
+
+
+def junk_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounts where a third of all rows share one blank name."""
+    name = F.when(F.col("o_orderkey") % 3 == 0, F.lit("  ")) \
+        .when(F.col("o_custkey") % 7 == 0, F.lit("ab")).otherwise(F.concat(F.lit("user"), F.col("o_custkey")))
+    return read_table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("account_id"), name.alias("username"))
+
+
+def stamped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times as text: ISO with Z, with offset, plain, and unreadable."""
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    kind = F.col("event_id") % 4
+    return read_table(spark, sf_dir, "events").select("event_id", F.when(kind == 0, F.concat(iso, F.lit("Z")))
+        .when(kind == 1, F.concat(iso, F.lit("+00:00")))
+        .when(kind == 2, F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+        .otherwise(F.lit("soon")).alias("started"))

@@ -89,11 +89,12 @@ cte("ev", """SELECT event_id, user_id, ts AS created_at, event_type, value,
               WHEN value < 120 THEN 'ORANGE' ELSE 'RED' END END AS triage_level,
     event_type IN ('error', 'purchase', 'click') AS has_triage
     FROM events""")
-cte("reports", """SELECT event_id AS assessment_id, user_id, created_at, treatment_status, has_triage, i, symptom,
+cte("raw_reports", """SELECT event_id AS assessment_id, user_id, created_at, treatment_status, has_triage, i, symptom,
     (event_id + i) % 11 = 0 AS worded,
     CASE WHEN (event_id + i) % 11 <> 0 THEN CAST((k // (i + 1) + event_id + i) % 6 AS INTEGER) END AS severity,
     CASE WHEN (event_id + i) % 11 <> 0 THEN CAST((k + 2 * event_id + i) % 5 + 1 AS INTEGER) END AS frequency
-    FROM {ev}, {sym} WHERE (k + i) % 4 <> 0 AND event_id % 13 <> 0""")
+    FROM {ev}, {sym} WHERE (k + i) % 4 <> 0""")
+cte("reports", "SELECT * FROM {raw_reports} WHERE assessment_id % 13 <> 0")
 cte("hits", """SELECT assessment_id, symptom, coalesce(frequency, 1) AS f, coalesce(severity, 1) AS s, treatment_status,
     row_number() OVER (PARTITION BY assessment_id ORDER BY i) AS rn
     FROM {reports} WHERE (treatment_status = 'undergoing_treatment' AND (coalesce(frequency, 1) >= 5 OR coalesce(severity, 1) >= 3))
@@ -227,3 +228,167 @@ SQL |= {
         FROM users_v u LEFT JOIN (SELECT user_id, count(*) AS n, count(*) FILTER (flag) AS alerts FROM mon GROUP BY 1) m
         USING (user_id)"""),
 }
+
+# ---------------------------------------------------------------------------
+# rules, triage, care team
+# ---------------------------------------------------------------------------
+TITLE = "array_to_string(list_transform(string_split({}, '_'), lambda x: upper(x[1]) || substr(x, 2)), ' ')".format
+
+
+def _case(column: str, mapping: dict, default: str = "NULL") -> str:
+    def q(v):
+        return str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+    return "CASE " + " ".join(f"WHEN {column} = {q(k)} THEN {q(v)}" for k, v in mapping.items()) + f" ELSE {default} END"
+
+
+cte("tri", """SELECT a.*, CASE WHEN triage_level = 'RED' THEN 'immediate' ELSE 'within 24 hours' END AS timeline,
+    'rationale ' || assessment_id AS rationale, coalesce(ks.keys, '') AS key_symptoms
+    FROM {a} a LEFT JOIN (SELECT assessment_id, string_agg(symptom, '|' ORDER BY i) AS keys FROM {reports}
+      WHERE severity >= 3 GROUP BY 1) ks USING (assessment_id) WHERE has_triage""")
+cte("tri_rank", """SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, assessment_id DESC) AS newest_rank
+    FROM {tri}""")
+cte("assign", """SELECT DISTINCT o_custkey % 10 AS doctor_id,
+    CASE WHEN o_custkey % 50 = 49 THEN -o_custkey ELSE o_custkey END AS user_id FROM orders""")
+_TRI = f"""user_id, session_id, {TS('created_at')} AS created_at, triage_level AS alert_level, rationale AS alert_rationale,
+    timeline AS recommended_timeline, confidence AS confidence_level, treatment_status, key_symptoms,
+    CAST(1 AS BIGINT) AS n_diagnoses"""
+SQL |= {
+    "flatten_symptoms": with_("raw_reports", """SELECT assessment_id, user_id,
+        row_number() OVER (PARTITION BY assessment_id ORDER BY i) - 1 AS pos, symptom,
+        CASE WHEN assessment_id % 17 = 0 THEN 'listed' WHEN worded THEN 'text' ELSE 'rated' END AS shape,
+        CASE WHEN assessment_id % 17 <> 0 THEN CAST(severity AS BIGINT) END AS severity_rating,
+        CASE WHEN assessment_id % 17 <> 0 THEN CAST(frequency AS BIGINT) END AS frequency_rating,
+        CASE WHEN assessment_id % 17 = 0 THEN CASE WHEN (k // (i + 1) + assessment_id + i) % 6 >= 4
+             THEN 'severe' ELSE 'mild' END END AS severity_text
+        FROM (SELECT r.*, e.k FROM raw_reports r JOIN (SELECT event_id, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER) AS k
+              FROM events) e ON e.event_id = r.assessment_id)"""),
+    "escalate": with_("structured", "SELECT assessment_id, flag, level, reason FROM structured"),
+    "merge_notification": with_("a", """SELECT assessment_id, alert_level, level AS oncologist_notification_level,
+        flag AS flag_for_oncologist FROM a"""),
+    "assemble_assessments": with_("a", f"""SELECT session_id, user_id, alert_level, level AS oncologist_notification_level,
+        flag AS flag_for_oncologist, 'en' AS language, 'keyboard' AS input_mode, 'completed' AS state,
+        FALSE AS ai_powered, 'conversation_with_triage' AS assessment_type FROM a"""),
+    "flagged": with_("a", "SELECT assessment_id, user_id, level FROM a WHERE flag OR level IN ('amber', 'red')"),
+    "with_triage": with_("a", "SELECT assessment_id, triage_level FROM a WHERE has_triage"),
+    "describe_alerts": with_("a", "SELECT assessment_id, CASE WHEN language = 'zh-HK' THEN "
+        + _case("alert_level", dims.ALERT_DESCRIPTIONS["zh-HK"], "'Unknown alert level: ' || alert_level") + " ELSE "
+        + _case("alert_level", dims.ALERT_DESCRIPTIONS["en"], "'Unknown alert level: ' || alert_level")
+        + " END AS alert_description FROM a"),
+    "severity_level": with_("reports", "SELECT assessment_id, symptom, "
+        + _case("severity", {k: v[0] for k, v in dims.SEVERITY_LEVELS.items()}, "''") + " AS level_name, "
+        + _case("severity", {k: v[1] for k, v in dims.SEVERITY_LEVELS.items()}, "'#999'")
+        + " AS level_color FROM reports"),
+    "latest_triage": with_("tri_rank", f"SELECT {_TRI} FROM tri_rank WHERE newest_rank = 1"),
+    "triage_history": with_("tri_rank", f"SELECT {_TRI}, newest_rank FROM tri_rank WHERE newest_rank <= 10"),
+    "triage_levels": with_("tri", "SELECT user_id, triage_level AS alert_level, count(*) AS n FROM tri GROUP BY 1, 2"),
+    "triage_stats": with_("tri users_v", f"""SELECT u.user_id, coalesce(n, 0) AS total_assessments,
+        coalesce(g, 0) AS n_green, coalesce(y, 0) AS n_yellow, coalesce(o, 0) AS n_orange, coalesce(r, 0) AS n_red,
+        CAST(0 AS BIGINT) AS n_unknown, coalesce({mean_rounded('c', 'n', 2)}, 0.0) AS average_confidence
+        FROM users_v u LEFT JOIN (SELECT user_id, count(*) AS n, count(*) FILTER (triage_level = 'GREEN') AS g,
+          count(*) FILTER (triage_level = 'YELLOW') AS y, count(*) FILTER (triage_level = 'ORANGE') AS o,
+          count(*) FILTER (triage_level = 'RED') AS r,
+          CAST(sum(CASE confidence WHEN 'low' THEN 1 WHEN 'high' THEN 3 ELSE 2 END) AS BIGINT) AS c
+          FROM tri GROUP BY 1) s USING (user_id)"""),
+    "top_key_symptoms": with_("reports", """SELECT user_id, rank, symptom, n FROM (SELECT *,
+        row_number() OVER (PARTITION BY user_id ORDER BY n DESC, seen) AS rank FROM (
+          SELECT user_id, symptom, count(*) AS n, min(struct_pack(c := created_at, a := assessment_id, i := i)) AS seen
+          FROM reports WHERE has_triage AND severity >= 3 GROUP BY 1, 2)) WHERE rank <= 5"""),
+    "care_panel": with_("assign users_v tri_rank", f"""SELECT doctor_id, u.user_id, username, email,
+        t.triage_level AS latest_alert_level, {TS('t.created_at')} AS last_assessment_date
+        FROM assign JOIN (SELECT user_id, username, email FROM users_v) u USING (user_id)
+        LEFT JOIN (SELECT * FROM tri_rank WHERE newest_rank = 1) t USING (user_id)"""),
+    "doctor_alerts": with_("assign a tri", f"""SELECT doctor_id, rank, session_id, user_id, alert_level, alert_rationale,
+        key_symptoms, recommended_timeline, confidence_level, oncologist_notification_level, assessment_type, created_at
+        FROM (SELECT doctor_id, row_number() OVER (PARTITION BY doctor_id ORDER BY a.created_at DESC, a.assessment_id DESC) AS rank,
+          a.session_id, a.user_id, a.alert_level, t.rationale AS alert_rationale, coalesce(t.key_symptoms, '') AS key_symptoms,
+          t.timeline AS recommended_timeline, t.confidence AS confidence_level, a.level AS oncologist_notification_level,
+          'conversation_with_triage' AS assessment_type, {TS('a.created_at')} AS created_at
+          FROM assign s JOIN a ON a.user_id = s.user_id LEFT JOIN tri t ON t.assessment_id = a.assessment_id
+          WHERE a.flag OR a.level IN ('amber', 'red')) WHERE rank <= 50"""),
+    "accessible_rows": with_("assign a users_v", """SELECT DISTINCT v.viewer_id, a.user_id, a.assessment_id FROM (
+          SELECT 'p' || user_id AS viewer_id, user_id FROM users_v
+          UNION SELECT 'd' || s_suppkey, g.user_id FROM supplier JOIN assign g ON g.doctor_id = s_suppkey) v
+        JOIN a ON a.user_id = v.user_id"""),
+}
+
+# smart insights: cards of the newest triaged assessment (records of every shape)
+cte("shaped", """SELECT r.assessment_id, r.symptom, r.assessment_id % 17 = 0 AS listed,
+    (e.k // (r.i + 1) + r.assessment_id + r.i) % 6 >= 4 AS severe
+    FROM {raw_reports} r JOIN {ev} e ON e.event_id = r.assessment_id""")
+cte("facts", """SELECT t.user_id, t.triage_level, t.k, coalesce(s.n, 0) AS n, coalesce(s.severe, 0) AS severe, coalesce(s.mild, 0) AS mild
+    FROM {tri_rank} t LEFT JOIN (SELECT assessment_id, count(*) AS n, count(*) FILTER (listed AND severe) AS severe,
+      count(*) FILTER (listed AND NOT severe) AS mild FROM {shaped} GROUP BY 1) s USING (assessment_id)
+    WHERE t.newest_rank = 1""")
+SQL["smart_insights"] = with_("facts", """SELECT user_id, array_to_string(list_slice(CASE WHEN len(c) < 2
+      THEN list_concat(c, ['general_health_tip:info', 'wellness_reminder:success']) ELSE c END, 1, 4), '|') AS insights
+    FROM (SELECT user_id, list_filter([
+      CASE triage_level WHEN 'GREEN' THEN 'all_good:success' WHEN 'YELLOW' THEN 'monitor_closely:warning' ELSE 'attention_needed:error' END,
+      CASE WHEN severe > 0 THEN 'high_severity_symptoms:warning' END,
+      CASE WHEN n > 0 AND mild * 10 >= n * 7 THEN 'symptoms_improving:success' END,
+      CASE WHEN 1 + k % 5 >= 4 THEN 'high_priority_conditions:error' END], lambda x: x IS NOT NULL) AS c FROM facts)""")
+
+# ---------------------------------------------------------------------------
+# timeline, listings, accounts
+# ---------------------------------------------------------------------------
+cte("tl", """SELECT CAST(o_orderkey AS VARCHAR) AS id, o_custkey AS user_id, 'daily_checkin' AS type, o_orderdate AS date,
+      'Daily Check-in' AS title, 'Completed questionnaire with ' || (o_orderkey % 4 + 1) || ' responses' AS summary,
+      o_orderkey % 4 + 1 AS questions_answered, NULL AS total_messages, NULL AS user_messages, NULL AS symptoms_assessed,
+      NULL AS oncologist_notification_level, NULL AS flag_for_oncologist FROM orders
+    UNION ALL SELECT CAST(a.assessment_id AS VARCHAR), a.user_id, 'conversation', a.created_at, 'AI Chat', 'AI conversation completed',
+      NULL, 0, 0, coalesce(n, 0), level, flag
+      FROM {a} a LEFT JOIN (SELECT assessment_id, count(*) AS n FROM {reports} GROUP BY 1) r USING (assessment_id)""")
+SQL |= {
+    "timeline": with_("tl", f"SELECT * REPLACE ({TS('date')} AS date) FROM tl"),
+    "timeline_counts": with_("tl", """SELECT user_id, count(*) AS total_assessments,
+        count(*) FILTER (type = 'daily_checkin') AS daily_checkins, count(*) FILTER (type = 'conversation') AS conversations
+        FROM tl GROUP BY 1"""),
+    "lookup_records": with_("tl", f"""SELECT id, user_id, type, {TS('date')} AS date, title, summary FROM (SELECT *,
+        row_number() OVER (PARTITION BY id, user_id ORDER BY type) AS rn FROM tl) WHERE rn = 1"""),
+    "assessment_detail": with_("a reports", f"""SELECT a.assessment_id, a.user_id, a.session_id, {TS('a.created_at')} AS created_at,
+        coalesce(n, 0) AS symptoms_tracked, coalesce(n, 0) AS symptoms_known,
+        coalesce(total, 0) / greatest(coalesce(n, 0), 1) AS avg_severity,
+        CASE WHEN flag THEN CAST(1 AS BIGINT) ELSE 0 END AS alerts_today, treatment_status, level AS oncologist_notification_level
+        FROM a LEFT JOIN (SELECT assessment_id, count(*) AS n, CAST(sum(coalesce(severity, 1)) AS BIGINT) AS total
+          FROM reports GROUP BY 1) r USING (assessment_id)"""),
+    "symptom_detail": with_("reports", "SELECT assessment_id, user_id, symptom, " + _case("symptom", dims.SYMPTOM_DISPLAY)
+        + " AS name, CAST(coalesce(frequency, 1) AS BIGINT) AS frequency, CAST(coalesce(severity, 1) AS BIGINT) AS intensity FROM reports"),
+    "patient_reports": with_("a reports", f"""SELECT a.user_id, {TS('a.created_at')} AS created_at, a.assessment_id, a.session_id, a.language,
+        CASE WHEN a.assessment_id % 5 <> 0 THEN 'Yes' ELSE 'No' END AS ai_powered,
+        CASE WHEN a.flag THEN 'Yes' ELSE 'No' END AS flagged, upper(a.level) AS notification_level, r.pos,
+        {TITLE('r.symptom')} AS symptom, coalesce(CAST(r.frequency AS VARCHAR), CASE WHEN r.symptom IS NOT NULL THEN 'N/A' END) || '/5' AS frequency,
+        coalesce(CAST(r.severity AS VARCHAR), CASE WHEN r.symptom IS NOT NULL THEN 'N/A' END) || '/5' AS severity
+        FROM a LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY assessment_id ORDER BY i) - 1 AS pos FROM reports) r
+        USING (assessment_id)"""),
+    "newest_overall": with_("a", f"""SELECT assessment_id, user_id, {TS('created_at')} AS created_at FROM a
+        ORDER BY a.created_at DESC, assessment_id DESC LIMIT 50"""),
+    "newest_first": f"""SELECT event_id, nullif({TS('ts')}, CASE WHEN event_id % 9 = 0 THEN {TS('ts')} ELSE '' END) AS ts FROM events""",
+    "summary_text": """SELECT doc_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS summary FROM documents""",
+    "title_symptom": with_("reports", f"SELECT assessment_id, {TITLE('symptom')} AS title FROM reports"),
+    "show_timestamps": f"""SELECT event_id, CASE WHEN event_id % 4 = 3 THEN 'soon' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS shown FROM events""",
+    "expire_sessions": """SELECT event_id, event_id % 4 = 3 OR date_trunc('second', ts) < TIMESTAMP '2024-01-15 11:30:00' AS expired FROM events""",
+    "drop_sensitive": with_("users_v", "SELECT * FROM users_v"),
+    "search_users": with_("users_v", """SELECT user_id, username, email, full_name FROM users_v
+        WHERE contains(lower(username), 'mach') OR contains(lower(email), 'mach') OR contains(lower(full_name), 'mach')"""),
+}
+cte("pend", """SELECT c_custkey AS pending_id, CASE c_custkey % 5 WHEN 0 THEN 'Supplier#' || lpad(CAST(c_custkey AS VARCHAR), 9, '0')
+      WHEN 1 THEN c_name ELSE 'new' || c_custkey END AS username,
+    CASE c_custkey % 3 WHEN 0 THEN 'D' || (c_custkey % 200) WHEN 1 THEN 'H' || c_nationkey ELSE 'X000' END AS code FROM customer""")
+cte("known_names", "SELECT c_name AS username FROM customer UNION SELECT s_name FROM supplier")
+cte("junk", """SELECT o_orderkey AS account_id, CASE WHEN o_orderkey % 3 = 0 THEN '  ' WHEN o_custkey % 7 = 0 THEN 'ab'
+    ELSE 'user' || o_custkey END AS username FROM orders""")
+SQL |= {
+    "taken_usernames": with_("pend known_names", "SELECT pending_id, username FROM pend SEMI JOIN known_names USING (username)"),
+    "resolve_access_codes": with_("pend known_names", """SELECT pending_id, username, code, status,
+        CASE WHEN status = 'patient' THEN s_name END AS doctor, CASE WHEN status = 'doctor' THEN n_name END AS hospital FROM (
+          SELECT *, CASE WHEN k.u IS NOT NULL THEN 'duplicate' WHEN s_name IS NOT NULL THEN 'patient'
+            WHEN n_name IS NOT NULL THEN 'doctor' ELSE 'invalid' END AS status
+          FROM pend LEFT JOIN supplier ON code = 'D' || s_suppkey
+          LEFT JOIN nation ON code = CASE WHEN n_nationkey % 5 = 0 THEN 'D' ELSE 'H' END || n_nationkey
+          LEFT JOIN (SELECT username AS u FROM known_names) k ON k.u = pend.username)"""),
+    "account_audit": with_("junk", """SELECT account_id, username, concat_ws(', ',
+        CASE WHEN trim(username) = '' THEN 'EMPTY' WHEN length(username) <= 3 THEN 'SHORT' END,
+        CASE WHEN rn > 1 THEN 'DUPE' END) AS flags
+        FROM (SELECT *, row_number() OVER (PARTITION BY username ORDER BY account_id) AS rn FROM junk)"""),
+    "duplicate_usernames": with_("junk", """SELECT username, count(*) AS n, min(account_id) AS first_id FROM junk
+        GROUP BY 1 HAVING count(*) > 1"""),
+}

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from symptomlake.functions import symptoms as S, text, timing
-from symptomlake.operators import monthly, weekly
+from symptomlake.operators import accounts, careteam, escalation, monthly, ranking, triage, weekly
+from symptomlake.operators import timeline as timeline_ops
+from symptomlake.sources.tables import read_table
 
 from . import adapter as A
 from .portable import portable
@@ -110,3 +112,236 @@ def available_symptoms(spark, sf):
 @query
 def monthly_report(spark, sf):
     return monthly.monthly_report(A.users(spark, sf), A.assessments(spark, sf), A.AS_OF)
+
+
+# -- rules ------------------------------------------------------------------
+
+@query
+def flatten_symptoms(spark, sf):
+    docs = A.events(spark, sf).select(F.col("event_id").alias("assessment_id"), "user_id",
+                                      A.symptom_json().alias("symptoms_json"))
+    return escalation.flatten_symptoms(docs).select(
+        "assessment_id", "user_id", "pos", "symptom", "shape", "severity_rating",
+        "frequency_rating", "severity_text")
+
+
+@query
+def escalate(spark, sf):
+    return escalation.escalate(A.sessions(spark, sf)).select(
+        F.col("event_id").alias("assessment_id"), "flag", "level", "reason")
+
+
+@query
+def merge_notification(spark, sf):
+    return A.assessments(spark, sf).select(
+        "assessment_id", "alert_level", "oncologist_notification_level", "flag_for_oncologist")
+
+
+@query
+def assemble_assessments(spark, sf):
+    rows = A.sessions(spark, sf)
+    structured = escalation.escalate(rows).select("session_id", F.struct("flag", "level").alias("structured"))
+    triaged = A.assessments(spark, sf).select("session_id", "triage")
+    return escalation.assemble_assessments(rows.select("session_id", "user_id"), structured, triaged) \
+        .drop("structured", "triage")
+
+
+@query
+def flagged(spark, sf):
+    return escalation.flagged(A.assessments(spark, sf)).select(
+        "assessment_id", "user_id", F.col("oncologist_notification_level").alias("level"))
+
+
+@query
+def with_triage(spark, sf):
+    return triage.with_triage(A.assessments(spark, sf)).select(
+        "assessment_id", F.col("triage.alert_level").alias("triage_level"))
+
+
+@query
+def describe_alerts(spark, sf):
+    return escalation.describe_alerts(A.assessments(spark, sf)).select("assessment_id", "alert_description")
+
+
+@query
+def severity_level(spark, sf):
+    rows = A.assessments(spark, sf).select("assessment_id", F.explode("symptoms").alias("s")) \
+        .select("assessment_id", "s.symptom", F.col("s.severity_rating").alias("severity"))
+    return escalation.severity_names(rows).drop("severity")
+
+
+# -- triage -----------------------------------------------------------------
+
+def _joined_keys(df):
+    return df.withColumn("key_symptoms", F.array_join("key_symptoms", "|"))
+
+
+@query
+def latest_triage(spark, sf):
+    return _joined_keys(triage.latest_triage(A.assessments(spark, sf)))
+
+
+@query
+def triage_history(spark, sf):
+    return _joined_keys(triage.triage_history(A.assessments(spark, sf)))
+
+
+@query
+def triage_levels(spark, sf):
+    return triage.triage_levels(A.assessments(spark, sf))
+
+
+@query
+def triage_stats(spark, sf):
+    return triage.triage_stats(A.users(spark, sf), A.assessments(spark, sf))
+
+
+@query
+def top_key_symptoms(spark, sf):
+    return triage.top_key_symptoms(A.assessments(spark, sf))
+
+
+@query
+def smart_insights(spark, sf):
+    rows = A.assessments(spark, sf).drop("symptoms")
+    docs = A.events(spark, sf).select(F.col("event_id").alias("assessment_id"),
+                                      S.symptom_entries(A.symptom_json()).alias("symptoms"))
+    out = triage.smart_insights(rows.join(docs, "assessment_id"))
+    return out.select("user_id", F.array_join(F.transform(
+        "insights", lambda c: F.concat(c["title"], F.lit(":"), c["kind"])), "|").alias("insights"))
+
+
+# -- care team --------------------------------------------------------------
+
+@query
+def care_panel(spark, sf):
+    return careteam.care_panel(A.assignments(spark, sf),
+                               A.users(spark, sf).select("user_id", "username", "email", "password"),
+                               A.assessments(spark, sf))
+
+
+@query
+def doctor_alerts(spark, sf):
+    return _joined_keys(careteam.doctor_alerts(A.assignments(spark, sf), A.assessments(spark, sf)))
+
+
+@query
+def accessible_rows(spark, sf):
+    none = F.lit(None).cast("long")
+    viewers = A.users(spark, sf).select(F.concat(F.lit("p"), "user_id").alias("viewer_id"),
+                                        none.alias("doctor_id"), "user_id") \
+        .unionByName(A.doctors(spark, sf).select(F.concat(F.lit("d"), "doctor_id").alias("viewer_id"),
+                                                 "doctor_id", none.alias("user_id")))
+    return careteam.accessible_rows(viewers, A.assignments(spark, sf),
+                                    A.assessments(spark, sf).select("user_id", "assessment_id"))
+
+
+# -- timeline and listings --------------------------------------------------
+
+def _timeline(spark, sf):
+    return timeline_ops.timeline(A.checkins(spark, sf), A.assessments(spark, sf))
+
+
+@query
+def timeline(spark, sf):
+    return timeline_ops.timeline_sorted(A.checkins(spark, sf), A.assessments(spark, sf))
+
+
+@query
+def timeline_counts(spark, sf):
+    return timeline_ops.timeline_counts(_timeline(spark, sf))
+
+
+@query
+def lookup_records(spark, sf):
+    ids = A.checkins(spark, sf).select(F.col("checkin_id").cast("string").alias("id"), "user_id") \
+        .unionByName(A.assessments(spark, sf).select(F.col("assessment_id").cast("string").alias("id"), "user_id"))
+    return timeline_ops.lookup_records(ids, A.assessments(spark, sf), A.checkins(spark, sf))
+
+
+@query
+def assessment_detail(spark, sf):
+    return timeline_ops.assessment_detail(A.assessments(spark, sf))
+
+
+@query
+def symptom_detail(spark, sf):
+    return timeline_ops.symptom_detail(A.assessments(spark, sf))
+
+
+@query
+def patient_reports(spark, sf):
+    return timeline_ops.patient_reports(A.assessments(spark, sf))
+
+
+@query
+def newest_overall(spark, sf):
+    rows = A.assessments(spark, sf).select("assessment_id", "user_id", "created_at")
+    return ranking.newest_overall(rows, ["created_at", "assessment_id"], 50)
+
+
+@query
+def newest_first(spark, sf):
+    rows = A.events(spark, sf).select(
+        "event_id", F.when(F.col("event_id") % 9 != 0, F.col("created_at")).alias("ts"))
+    return ranking.newest_first(rows, "ts", "event_id")
+
+
+@query
+def summary_text(spark, sf):
+    return read_table(spark, sf, "documents").select("doc_id", text.summary_text(F.col("text")).alias("summary"))
+
+
+@query
+def title_symptom(spark, sf):
+    return A.assessments(spark, sf).select("assessment_id", F.explode("symptoms").alias("s")) \
+        .select("assessment_id", text.title_symptom(F.col("s.symptom")).alias("title"))
+
+
+@query
+def show_timestamps(spark, sf):
+    return A.stamped_texts(spark, sf).select("event_id", timing.show_ts(F.col("started")).alias("shown"))
+
+
+@query
+def expire_sessions(spark, sf):
+    return A.stamped_texts(spark, sf).select(
+        "event_id", timing.is_expired(F.col("started"), 1800, "2024-01-15 12:00:00").alias("expired"))
+
+
+# -- accounts ---------------------------------------------------------------
+
+@query
+def drop_sensitive(spark, sf):
+    return accounts.drop_sensitive(A.users(spark, sf))
+
+
+@query
+def search_users(spark, sf):
+    return accounts.search_users(A.users(spark, sf), "Mach").select("user_id", "username", "email", "full_name")
+
+
+def _pending(spark, sf):
+    return A.pending_signups(spark, sf)
+
+
+@query
+def taken_usernames(spark, sf):
+    return accounts.taken_usernames(_pending(spark, sf), A.users(spark, sf), A.doctors(spark, sf)) \
+        .select("pending_id", "username")
+
+
+@query
+def resolve_access_codes(spark, sf):
+    return accounts.resolve_access_codes(_pending(spark, sf), A.doctors(spark, sf), A.hospitals(spark, sf),
+                                         A.users(spark, sf))
+
+
+@query
+def account_audit(spark, sf):
+    return accounts.account_audit(A.junk_accounts(spark, sf)).withColumn("flags", F.array_join("flags", ", "))
+
+
+@query
+def duplicate_usernames(spark, sf):
+    return accounts.duplicate_usernames(A.junk_accounts(spark, sf))
