@@ -21,7 +21,7 @@ def _flat(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, *[F.col(f"triage.{f}").alias(f) for f in TRIAGE_FIELDS],
                      F.coalesce("triage.key_symptoms", F.array().cast("array<string>"))
                      .alias("key_symptoms"),
-                     F.coalesce(F.size("triage.diagnosis_predictions"), F.lit(0))
+                     F.coalesce(F.array_size("triage.diagnosis_predictions"), F.lit(0))
                      .alias("n_diagnoses"))
 
 

@@ -217,3 +217,89 @@ def stamped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 1, F.concat(iso, F.lit("+00:00")))
         .when(kind == 2, F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
         .otherwise(F.lit("soon")).alias("started"))
+
+
+def _answer(q: int, spec: dict) -> Column:
+    """Raw JSON fragment of question number ``q`` of order ``o_orderkey``."""
+    key = F.col("o_orderkey")
+    opts = F.array(*[F.lit(o) for o in spec["options"]]) if spec["options"] else None
+    n = len(spec["options"])
+    kind = spec["type"]
+    if kind == "rating":
+        lo, hi = int(spec["min"]), int(spec["max"])
+        value = (lo + (key * 7 + q * 3) % (hi - lo + 1)).cast("string")
+    elif kind == "slider":
+        steps = round((spec["max"] - spec["min"]) / spec["step"])
+        j = (key + q) % (steps + 1)
+        if spec["step"] == 0.5:
+            halves = j + round(spec["min"] * 2)
+            value = F.concat((F.floor(halves / 2)).cast("string"), F.when(halves % 2 == 1, ".5").otherwise(""))
+        else:
+            value = (j + int(spec["min"])).cast("string")
+    elif kind == "text":
+        value = F.concat(F.lit("note "), key)
+    elif kind == "single-select":
+        value = F.get(opts, ((key + q) % n).cast("int"))
+    elif kind == "color-chart":
+        one = F.get(opts, ((key + q) % n).cast("int"))
+        value = F.when(key % 2 == 0, one).otherwise(F.concat(F.lit('["'), one, F.lit('"]')))
+    else:
+        some = ((key + q) % (min(n, 12) + 1)).cast("int")
+        value = F.when(some == 0, "[]").otherwise(F.concat(
+            F.lit('["'), F.array_join(F.slice(opts, F.lit(1), some), '","'), F.lit('"]')))
+    return F.when((key + q) % 7 != 0, value)
+
+
+def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One questionnaire submission per order."""
+    pairs = []
+    for q, spec in enumerate(dims.flat_questions()):
+        pairs += [F.lit(spec["question_id"]), _answer(q, spec)]
+    answers = F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull())
+    return read_table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("submission_id"), F.col("o_custkey").alias("user_id"),
+        F.col("o_orderdate").alias("submitted_at"), answers.alias("answers"))
+
+
+def sparse_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Submissions of which a fifth were handed in empty."""
+    rows = submissions(spark, sf_dir)
+    return rows.withColumn("answers", F.when(
+        F.col("submission_id") % 5 == 0, F.create_map().cast("map<string,string>"))
+        .otherwise(F.col("answers")))
+
+
+def derived_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assessments derived from questionnaires: those of finished orders."""
+    return (read_table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "F")
+            .select(F.concat(F.lit("questionnaire_"), "o_orderkey").alias("session_id"),
+                    F.lit("YELLOW").alias("alert_level")))
+
+
+def question_list() -> list[dict]:
+    """The catalogue as numbered questions with prerequisites."""
+    flat = dims.flat_questions()
+    number = {q["question_id"]: i + 1 for i, q in enumerate(flat)}
+    options = {q["question_id"]: list(q["options"]) for q in flat}
+
+    def allowed(q):
+        dep, target = options[q["depends_on"]], q["targets"]
+        if q["op"] == "gte":
+            return [o for o in dep if int(o) >= int(target[0])]
+        if q["op"] == "not_eq":
+            return [o for o in dep if o != target[0]]
+        return target
+
+    return [{"question_number": i + 1, "text": q["text"], "prerequisites": [
+        {"question_number": number[q["depends_on"]], "allowed_answers": allowed(q)}] if q["op"] else None}
+        for i, q in enumerate(flat)]
+
+
+def respondents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers by question number, each as a list of chosen options."""
+    numbers = {q["question_id"]: str(i + 1) for i, q in enumerate(dims.flat_questions())}
+    number = F.create_map(*[F.lit(x) for kv in numbers.items() for x in kv])
+    listed = F.map_from_entries(F.transform(F.map_entries(F.col("answers")), lambda e: F.struct(
+        number[e["key"]], F.when(e["value"].startswith("["), F.from_json(e["value"], "array<string>"))
+        .otherwise(F.array(e["value"])))))
+    return submissions(spark, sf_dir).select("submission_id", listed.alias("answers"))

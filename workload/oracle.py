@@ -392,3 +392,221 @@ SQL |= {
     "duplicate_usernames": with_("junk", """SELECT username, count(*) AS n, min(account_id) AS first_id FROM junk
         GROUP BY 1 HAVING count(*) > 1"""),
 }
+
+# ---------------------------------------------------------------------------
+# streaks and achievements
+# ---------------------------------------------------------------------------
+cte("cdays", "SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events")
+cte("qdays", "SELECT DISTINCT o_custkey AS user_id, CAST(o_orderdate AS DATE) AS day FROM orders")
+for _name, _src in (("isl", "cdays"), ("qisl", "qdays")):
+    cte(_name, f"""SELECT user_id, min(day) AS first_day, max(day) AS last_day, count(*) AS length FROM (
+        SELECT user_id, day, day - CAST(row_number() OVER (PARTITION BY user_id ORDER BY day) AS INTEGER) AS run
+        FROM {{{_src}}}) GROUP BY user_id, run""")
+cte("streaks", """SELECT u.user_id, CASE WHEN i.last_day BETWEEN DATE '2024-01-29' AND DATE '2024-01-30' THEN i.length ELSE 0 END AS streak,
+    coalesce(m.longest, 0) AS longest_streak, i.last_day FROM {users_v} u
+    LEFT JOIN (SELECT user_id, max(length) AS longest, max(last_day) AS ld FROM {isl} GROUP BY 1) m USING (user_id)
+    LEFT JOIN {isl} i ON i.user_id = u.user_id AND i.last_day = m.ld""")
+cte("ach", "SELECT * FROM (VALUES " + _values([(a[0], a[1], a[2], a[4], a[6]) for a in dims.ACHIEVEMENTS])
+    + ") t(achievement_id, type, title, description, threshold)")
+cte("unl", """SELECT user_id, achievement_id, min(first_day + CAST(threshold - 1 AS INTEGER)) AS unlocked_on
+    FROM {isl} JOIN {ach} ON threshold <= length GROUP BY 1, 2""")
+cte("stored", "SELECT user_id, achievement_id, unlocked_on FROM {unl} WHERE unlocked_on <= DATE '2024-01-12'")
+SQL |= {
+    "streak_islands": with_("isl", f"SELECT user_id, {D('first_day')} AS first_day, {D('last_day')} AS last_day, length FROM isl"),
+    "questionnaire_streaks": with_("qisl", f"SELECT user_id, {D('first_day')} AS first_day, {D('last_day')} AS last_day, length FROM qisl"),
+    "latest_island": with_("qisl", f"""SELECT user_id, {D('first_day')} AS first_day, {D('last_day')} AS last_day, length FROM
+        (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last_day DESC) AS rn FROM qisl) WHERE rn = 1"""),
+    "active_streak": with_("streaks", f"SELECT user_id, streak, longest_streak, {D('last_day')} AS last_completion FROM streaks"),
+    "overall_longest": with_("isl qisl", """SELECT user_id, max(length) AS longest_streak FROM
+        (SELECT user_id, length FROM isl UNION ALL SELECT user_id, length FROM qisl) GROUP BY 1"""),
+    "achievements_reached": with_("streaks ach", """SELECT user_id, achievement_id, CAST(threshold AS BIGINT) AS threshold
+        FROM streaks JOIN ach ON threshold <= longest_streak"""),
+    "unlock_dates": with_("unl", f"SELECT user_id, achievement_id, {D('unlocked_on')} AS unlocked_on FROM unl"),
+    "newly_unlocked": with_("streaks ach stored", """SELECT user_id, achievement_id, CAST(threshold AS BIGINT) AS threshold
+        FROM streaks JOIN ach ON threshold <= longest_streak ANTI JOIN stored USING (user_id, achievement_id)"""),
+    "achievement_status": with_("streaks ach stored", f"""SELECT s.user_id, a.achievement_id, type, title, description,
+        d.unlocked_on IS NOT NULL AS unlocked, {D('d.unlocked_on')} AS unlocked_at, least(streak, threshold) AS progress,
+        CAST(threshold AS BIGINT) AS total FROM streaks s CROSS JOIN ach a
+        LEFT JOIN stored d ON d.user_id = s.user_id AND d.achievement_id = a.achievement_id"""),
+}
+
+# ---------------------------------------------------------------------------
+# scheduling, calendar views, rates
+# ---------------------------------------------------------------------------
+cte("cal", """SELECT event_id, user_id AS doctor_id, CASE WHEN event_type <> 'signup' THEN ts END AS s,
+    CASE WHEN event_type <> 'signup' THEN ts + to_seconds(CAST(floor(value * 60) AS BIGINT)) END AS e, CAST(ts AS DATE) AS day,
+    CASE event_type WHEN 'error' THEN 'cancelled' WHEN 'view' THEN NULL ELSE 'confirmed' END AS status,
+    CASE WHEN event_id % 3 <> 0 THEN 'Visit ' || event_id END AS summary FROM events""")
+cte("slot", """SELECT doctor_id, day, h, day + to_hours(CAST(h AS BIGINT)) AS s, day + to_hours(CAST(h + 1 AS BIGINT)) AS e FROM
+    (SELECT DISTINCT user_id AS doctor_id, CAST(ts AS DATE) AS day FROM events), range(9, 17) t(h)""")
+cte("calmon", f"""SELECT a.user_id, CAST(a.created_at AS DATE) AS day, coalesce(max(r.severity), 0) AS sev, count(DISTINCT a.assessment_id) AS n
+    FROM {{a}} a LEFT JOIN {{reports}} r USING (assessment_id) WHERE a.{MONTH.replace('created_at <', 'a.created_at <')} GROUP BY 1, 2""")
+SQL |= {
+    "parse_slots": with_("slot", f"""SELECT doctor_id, {D('day')} AS date, CAST(h * 60 AS BIGINT) AS start_minute,
+        CAST(h * 60 + 60 AS BIGINT) AS end_minute, CAST(60 AS BIGINT) AS duration_minutes FROM slot"""),
+    "free_slots": with_("slot cal", f"""SELECT doctor_id, {TS('s')} AS start, {TS('e')} AS "end", CAST(60 AS BIGINT) AS duration_minutes
+        FROM slot WHERE NOT EXISTS (SELECT 1 FROM cal c WHERE c.doctor_id = slot.doctor_id AND c.s < slot.e AND c.e > slot.s
+          AND coalesce(c.status, '') <> 'cancelled')"""),
+    "normalize_events": with_("cal", f"""SELECT event_id, doctor_id, coalesce(summary, 'No Title') AS summary,
+        {TS('coalesce(s, CAST(day AS TIMESTAMP))')} AS start,
+        {TS("coalesce(e, CAST(day AS TIMESTAMP) + INTERVAL '86399 seconds')")} AS "end", coalesce(status, 'confirmed') AS status
+        FROM cal WHERE coalesce(s, CAST(day AS TIMESTAMP)) < TIMESTAMP '2024-02-09'
+          AND coalesce(e, CAST(day AS TIMESTAMP) + INTERVAL '86399 seconds') > TIMESTAMP '2024-01-10'"""),
+    "severity_calendar": with_("calmon", f"""SELECT u.user_id, {D('c.cell')} AS cell,
+        c.cell BETWEEN DATE '2024-01-01' AND DATE '2024-01-31' AS in_month, CAST(m.sev AS BIGINT) AS max_severity, coalesce(m.n, 0) AS assessments
+        FROM (SELECT DISTINCT user_id FROM calmon) u
+        CROSS JOIN (SELECT DATE '2024-01-01' + CAST(i AS INTEGER) AS cell FROM range(42) t(i)) c
+        LEFT JOIN calmon m ON m.user_id = u.user_id AND m.day = c.cell"""),
+    "day_severity": with_("a reports", f"""SELECT a.user_id, {D('a.created_at::DATE')} AS day, CAST(coalesce(max(severity), 0) AS BIGINT) AS max_severity
+        FROM a LEFT JOIN reports r USING (assessment_id)
+        WHERE CAST(a.created_at AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-20' GROUP BY 1, 2"""),
+    "monthly_symptom_averages": with_("mrep", f"""SELECT user_id, symptom, n, total / n AS mean_severity, {mean_rounded('total', 'n', 1, 'up')} AS shown
+        FROM (SELECT user_id, symptom, CAST(sum(severity) AS BIGINT) AS total, count(*) AS n FROM mrep WHERE NOT worded GROUP BY 1, 2)"""),
+    "yearly_summary": with_("a reports", """SELECT u.user_id, m.month, coalesce(c.n, 0) AS assessments, r.fatigue, r.pain, r.cough, r.nausea, r.lack_of_appetite
+        FROM (SELECT DISTINCT user_id FROM a) u CROSS JOIN (SELECT i AS month FROM range(1, 13) t(i)) m
+        LEFT JOIN (SELECT user_id, month(created_at) AS month, count(*) AS n FROM a WHERE year(created_at) = 2024 GROUP BY 1, 2) c
+          ON c.user_id = u.user_id AND c.month = m.month
+        LEFT JOIN (SELECT user_id, month(created_at) AS month, """ + ", ".join(
+            f"avg(severity) FILTER (symptom = '{s}') AS {s}" for s in dims.CHART_SYMPTOMS) + """
+          FROM reports WHERE year(created_at) = 2024 GROUP BY 1, 2) r ON r.user_id = u.user_id AND r.month = m.month"""),
+    "alert_days_by_month": with_("a", """SELECT user_id, strftime(created_at, '%Y-%m') AS month, count(*) AS assessments,
+        count(*) FILTER (flag) AS alerts, count(DISTINCT CASE WHEN flag THEN CAST(created_at AS DATE) END) AS alert_days FROM a GROUP BY 1, 2"""),
+    "weekly_rollup": with_("a reports", """SELECT user_id, weeks_back, CASE weeks_back WHEN 0 THEN 'Current Week' WHEN 1 THEN 'Last Week'
+          ELSE weeks_back || ' Weeks Ago' END AS week, count(*) AS assessments, count(*) FILTER (flag) AS alerts,
+          coalesce(CAST(sum(m) AS DOUBLE) / count(m), 0.0) AS mean_severity FROM (
+        SELECT a.user_id, a.flag, datediff('day', CAST(date_trunc('week', a.created_at) AS DATE), DATE '2024-01-22') // 7 AS weeks_back,
+          CAST(r.total / r.n AS DECIMAL(18, 12)) AS m FROM a LEFT JOIN (SELECT assessment_id, CAST(sum(severity) AS BIGINT) AS total, count(*) AS n
+            FROM reports WHERE NOT worded GROUP BY 1) r USING (assessment_id)) GROUP BY 1, 2"""),
+    "severity_series": with_("a reports", f"""SELECT a.user_id, {TS('a.created_at')} AS created_at, a.assessment_id, """ + ", ".join(
+        f"CAST(max(severity) FILTER (symptom = '{s}') AS BIGINT) AS {s}" for s in dims.CHART_SYMPTOMS)
+        + """ FROM a LEFT JOIN reports r USING (assessment_id) WHERE CAST(a.created_at AS DATE) BETWEEN DATE '2024-01-22' AND DATE '2024-01-28'
+        GROUP BY a.user_id, a.created_at, a.assessment_id"""),
+    "charted_symptoms": with_("a reports", "SELECT a.user_id, " + ", ".join(
+        f"coalesce(bool_or(symptom = '{s}' AND severity IS NOT NULL), FALSE) AS {s}" for s in dims.CHART_SYMPTOMS)
+        + """ FROM a LEFT JOIN reports r USING (assessment_id) WHERE CAST(a.created_at AS DATE) BETWEEN DATE '2024-01-22' AND DATE '2024-01-28'
+        GROUP BY 1"""),
+}
+
+
+def _rates(window_s: int, limit: int) -> str:
+    return f"""SELECT key, second, requests, prior, requests - least(requests, greatest({limit} - prior, 0)) AS over_limit FROM (
+        SELECT *, CAST(coalesce(sum(requests) OVER (PARTITION BY key ORDER BY second RANGE BETWEEN {window_s} PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS prior
+        FROM (SELECT event_type AS key, epoch_us(ts) // 1000000 AS second, count(*) AS requests FROM events GROUP BY 1, 2))"""
+
+
+SQL |= {"rate_issues": _rates(3600, 3), "rate_attempts": _rates(60, 5), "rate_reissues": _rates(30, 1)}
+
+# ---------------------------------------------------------------------------
+# questionnaire, stated relationally: submission x question rows
+# ---------------------------------------------------------------------------
+_FLAT = dims.flat_questions()
+_NUM = {q["question_id"]: i for i, q in enumerate(_FLAT)}
+cte("cat", "SELECT * FROM (VALUES " + _values([(
+    i, q["section_pos"], q["question_pos"], q["section_id"], q["title"], q["clinical_area"], q["question_id"], q["type"],
+    q["text"], list(q["options"]), list(q["options"].values()), q["required"], q["min"], q["max"], q["step"], q["unit"],
+    q["low_limit"], q["alert_values"], _NUM.get(q["depends_on"]), q["op"], q["targets"]) for i, q in enumerate(_FLAT)])
+    + """) t(idx, section_pos, question_pos, section_id, title, clinical_area, question_id, type, text, keys, labels, required,
+    mn, mx, step, unit, low_limit, alert_values, dep, op, targets)""")
+cte("ans", """SELECT o_orderkey AS id, idx, CASE
+      WHEN type = 'rating' THEN CAST(CAST(mn AS BIGINT) + (o_orderkey * 7 + idx * 3) % (CAST(mx - mn AS BIGINT) + 1) AS VARCHAR)
+      WHEN type = 'slider' THEN CASE WHEN sv = floor(sv) THEN CAST(CAST(sv AS BIGINT) AS VARCHAR) ELSE CAST(sv AS VARCHAR) END
+      WHEN type = 'text' THEN 'note ' || o_orderkey
+      WHEN type = 'single-select' OR (type = 'color-chart' AND o_orderkey % 2 = 0) THEN keys[(o_orderkey + idx) % len(keys) + 1] END AS scalar,
+    CASE WHEN type = 'color-chart' AND o_orderkey % 2 = 1 THEN [keys[(o_orderkey + idx) % len(keys) + 1]]
+      WHEN type = 'multi-select' OR type LIKE '%diagram' THEN list_slice(keys, 1, (o_orderkey + idx) % (least(len(keys), 12) + 1)) END AS items
+    FROM (SELECT o_orderkey, c.*, mn + step * ((o_orderkey + idx) % (CAST(round((mx - mn) / step) AS BIGINT) + 1)) AS sv FROM orders, {cat} c)
+    WHERE (o_orderkey + idx) % 7 <> 0""")
+cte("resp", """SELECT o.o_orderkey AS id, c.*, a.scalar, a.items, a.id IS NOT NULL AS given,
+    CASE WHEN a.items IS NOT NULL THEN CASE WHEN len(a.items) = 0 THEN '[]' ELSE '["' || array_to_string(a.items, '","') || '"]' END
+      ELSE a.scalar END AS raw,
+    CASE WHEN c.op IS NULL THEN TRUE WHEN d.id IS NULL THEN FALSE
+      WHEN c.op = 'gte' THEN CAST(d.scalar AS DOUBLE) >= CAST(c.targets[1] AS DOUBLE)
+      WHEN c.op = 'not_eq' THEN d.scalar <> c.targets[1] WHEN c.op = 'eq' THEN d.scalar = c.targets[1]
+      WHEN c.op = 'in_list' THEN list_contains(c.targets, d.scalar)
+      WHEN c.op = 'contains' THEN d.items IS NOT NULL AND list_contains(d.items, c.targets[1]) END AS shown
+    FROM orders o CROSS JOIN {cat} c LEFT JOIN {ans} a ON a.id = o.o_orderkey AND a.idx = c.idx
+    LEFT JOIN {ans} d ON d.id = o.o_orderkey AND d.idx = c.dep""")
+cte("resp2", """SELECT *, CASE WHEN items IS NOT NULL THEN array_to_string(list_transform(items, lambda v: labels[list_position(keys, v)]), ', ')
+      WHEN type = 'slider' THEN scalar || unit WHEN type = 'text' THEN scalar
+      ELSE labels[list_position(keys, scalar)] END AS shown_text,
+    list_filter(coalesce(items, CASE WHEN scalar IS NOT NULL THEN [scalar] ELSE [] END), lambda v: list_contains(alert_values, v)) AS alarming
+    FROM {resp}""")
+cte("resp3", """SELECT *, CASE
+      WHEN type = 'rating' AND CAST(scalar AS DOUBLE) >= 4 THEN title || ': ' || string_split(text, '?')[1] || ' rated ' || shown_text || ' (' || scalar || '/5)'
+      WHEN type = 'single-select' AND scalar = '6+' THEN title || ': frequency 6+ times'
+      WHEN type = 'color-chart' AND len(alarming) > 0 THEN title || ': alarming color reported ('
+        || array_to_string(list_transform(alarming, lambda v: labels[list_position(keys, v)]), ', ') || ')'
+      WHEN type LIKE '%diagram' AND len(items) >= 3 THEN title || ': ' || len(items) || ' body regions affected'
+      WHEN type = 'slider' AND CAST(scalar AS DOUBLE) <= low_limit THEN title || ': ' || scalar || unit || ' (critically low)' END AS alert
+    FROM {resp2}""")
+_SEC = [(pos, s["section_id"], s["title"], s["clinical_area"], _NUM[s["severity_source"]], s["severity_method"],
+         _NUM.get(s["fallback_source"]), s["fallback_method"]) for pos, s in enumerate(dims.SECTIONS)]
+cte("secdef", "SELECT * FROM (VALUES " + _values(_SEC) + ") t(section_pos, section_id, title, clinical_area, src, method, fb, fb_method)")
+cte("sev", """SELECT o.o_orderkey AS id, s.section_pos, s.section_id, s.title, s.clinical_area,
+    CASE WHEN p.id IS NOT NULL THEN p.scalar ELSE f.scalar END AS scalar, CASE WHEN p.id IS NOT NULL THEN p.items ELSE f.items END AS items,
+    CASE WHEN p.id IS NOT NULL THEN s.method WHEN f.id IS NOT NULL THEN s.fb_method END AS method, c.keys, c.labels
+    FROM orders o CROSS JOIN {secdef} s JOIN {cat} c ON c.idx = s.src
+    LEFT JOIN {ans} p ON p.id = o.o_orderkey AND p.idx = s.src LEFT JOIN {ans} f ON f.id = o.o_orderkey AND f.idx = s.fb""")
+cte("sec0", "SELECT *, CASE method WHEN 'frequency_map' THEN " + _case("scalar", dims.FREQUENCY_SEVERITY, "0")
+    + """ WHEN 'region_count' THEN CASE WHEN len(items) >= 10 THEN 4 WHEN len(items) >= 6 THEN 3 WHEN len(items) >= 3 THEN 2
+      WHEN len(items) >= 1 THEN 1 ELSE 0 END WHEN 'rating' THEN CAST(scalar AS INTEGER) END AS score FROM {sev}""")
+cte("sec", "SELECT s.id, s.section_pos, s.section_id, s.title, s.clinical_area, CAST(s.score AS BIGINT) AS severity_score, CASE method WHEN 'frequency_map' THEN "
+    + _case("score", dims.FREQUENCY_LABELS) + " WHEN 'region_count' THEN " + _case("score", dims.REGION_LABELS)
+    + """ WHEN 'rating' THEN labels[list_position(keys, scalar)] END AS severity_label, coalesce(r.flags, '') AS alert_flags,
+    coalesce(score > 0, FALSE) OR r.flags IS NOT NULL AS is_concern,
+    CASE WHEN (coalesce(score > 0, FALSE) OR r.flags IS NOT NULL) AND r.details <> '' THEN r.details END AS details
+    FROM {sec0} s JOIN (SELECT id, section_pos, string_agg(alert, ' | ' ORDER BY question_pos) AS flags,
+      string_agg(shown_text, ', ' ORDER BY question_pos) FILTER (shown AND items IS NOT NULL AND shown_text <> ''
+        AND type IN ('multi-select', 'body-diagram', 'muscle-diagram')) AS details
+      FROM {resp3} GROUP BY 1, 2) r ON r.id = s.id AND r.section_pos = s.section_pos""")
+cte("msgs", """SELECT id, 0 AS block, 0 AS part, 'assistant' AS role,
+      'Hello! I''m going to review your symptom questionnaire responses to assess how you''re feeling today.' AS content
+      FROM (SELECT DISTINCT id FROM {sec})
+    UNION ALL SELECT s.id, s.section_pos + 1, p.part, CASE p.part WHEN 0 THEN 'assistant' ELSE 'user' END,
+      CASE p.part WHEN 0 THEN 'Let me ask about ' || s.title || '.' ELSE 'Regarding ' || s.title || chr(58) || chr(10) || r.lines
+        || CASE WHEN s.severity_score IS NOT NULL THEN chr(10) || 'Overall severity: ' || s.severity_label || ' (' || s.severity_score || ')' ELSE '' END END
+      FROM {sec} s JOIN (SELECT id, section_pos, string_agg('- ' || text || ': ' || shown_text, chr(10) ORDER BY question_pos) AS lines
+        FROM {resp2} WHERE shown AND given GROUP BY 1, 2) r ON r.id = s.id AND r.section_pos = s.section_pos
+      CROSS JOIN (SELECT i AS part FROM range(2) t(i)) p
+    UNION ALL SELECT id, 99, 0, 'user', 'Additional concerns I want to flag:' || chr(10) || string_agg('- ' || alert, chr(10) ORDER BY idx)
+      FROM {resp3} WHERE alert IS NOT NULL GROUP BY 1""")
+SQL |= {
+    "question_responses": with_("resp2", """SELECT id AS submission_id, question_id, shown AS was_shown, required AS was_required,
+        CASE WHEN shown THEN raw END AS raw_value, CASE WHEN shown AND given THEN shown_text END AS display_value,
+        CASE WHEN shown AND given AND type IN ('rating', 'slider') THEN round((CAST(scalar AS DOUBLE) - mn) / (mx - mn), 2) END AS severity_normalized,
+        CASE WHEN shown AND type LIKE '%diagram' THEN len(items) END AS region_count,
+        CASE WHEN NOT shown THEN 'conditional_not_met' END AS skip_reason FROM resp2"""),
+    "section_results": with_("sec", """SELECT id AS submission_id, section_id, title, clinical_area, severity_score, severity_label,
+        alert_flags, is_concern, details FROM sec"""),
+    "alert_flags": with_("resp3", "SELECT id AS submission_id, question_id, alert AS alert_flag FROM resp3 WHERE alert IS NOT NULL"),
+    "completion_counts": with_("resp", """SELECT id AS submission_id, count(*) AS total_questions, count(*) FILTER (shown) AS questions_shown,
+        count(*) FILTER (shown AND given AND coalesce(len(items) > 0, TRUE)) AS questions_answered FROM resp GROUP BY 1"""),
+    "clinical_summary": with_("sec", """SELECT s.id AS submission_id, count(*) FILTER (is_concern) AS symptom_count,
+        max(severity_score) FILTER (is_concern) AS max_severity, arg_min(title, section_pos) FILTER (is_concern AND severity_score = m.top) AS max_severity_area,
+        coalesce(array_to_string(list_sort(list_distinct(list(clinical_area) FILTER (is_concern))), ', '), '') AS clinical_areas_affected,
+        coalesce(string_agg(alert_flags, ' | ' ORDER BY section_pos) FILTER (alert_flags <> ''), '') AS alert_flags
+        FROM sec s JOIN (SELECT id, max(severity_score) FILTER (is_concern) AS top FROM sec GROUP BY 1) m ON m.id = s.id GROUP BY s.id"""),
+    "submission_messages": with_("msgs", """SELECT id AS submission_id, row_number() OVER (PARTITION BY id ORDER BY block, part) AS pos,
+        role, content FROM msgs"""),
+    "triage_status": with_("msgs", """SELECT o_orderkey AS submission_id, CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE n END AS n_messages,
+        CASE WHEN o_orderkey % 5 = 0 OR n < 3 THEN 'skipped' WHEN o_orderstatus = 'F' THEN 'completed' ELSE 'generating' END AS triage_status,
+        CASE WHEN o_orderkey % 5 <> 0 AND n >= 3 AND o_orderstatus = 'F' THEN 'YELLOW' END AS alert_level
+        FROM orders JOIN (SELECT id, count(*) AS n FROM msgs GROUP BY 1) m ON m.id = o_orderkey"""),
+    "pending_questionnaires": "SELECT o_orderkey AS submission_id, o_custkey AS user_id FROM orders WHERE o_orderstatus <> 'F'",
+    "shape_messages": """SELECT conv_id, turn, role, text AS content FROM conversations WHERE role <> 'system'
+        UNION ALL SELECT DISTINCT conv_id, -1, 'system', 'Be brief.' FROM conversations""",
+    "turn_counts": """SELECT conv_id, count(*) AS total_messages, count(*) FILTER (role = 'user') AS user_messages
+        FROM conversations GROUP BY 1""",
+}
+cte("prereq", "SELECT * FROM (VALUES " + _values([(
+    i, _NUM.get(q["depends_on"]),
+    [] if not q["op"] else [o for o in _FLAT[_NUM[q["depends_on"]]]["options"] if int(o) >= int(q["targets"][0])] if q["op"] == "gte" else
+    [o for o in _FLAT[_NUM[q["depends_on"]]]["options"] if o != q["targets"][0]] if q["op"] == "not_eq" else q["targets"])
+    for i, q in enumerate(_FLAT)]) + ") t(idx, dep, allowed)")
+SQL["next_question"] = with_("prereq ans cat", """SELECT o.o_orderkey AS submission_id, coalesce(n.idx + 1, a.n) AS question_number,
+    c.text AS next_question, CAST(42 AS BIGINT) AS total_questions, n.idx IS NULL AS completed
+    FROM orders o LEFT JOIN (SELECT id, count(*) AS n FROM ans GROUP BY 1) a ON a.id = o.o_orderkey
+    LEFT JOIN (SELECT o_orderkey AS id, min(p.idx) AS idx FROM orders CROSS JOIN prereq p
+      LEFT JOIN ans a ON a.id = o_orderkey AND a.idx = p.idx LEFT JOIN ans d ON d.id = o_orderkey AND d.idx = p.dep
+      WHERE a.id IS NULL AND (p.dep IS NULL OR (d.id IS NOT NULL AND list_has_any(coalesce(d.items, [d.scalar]), p.allowed)))
+      GROUP BY 1) n ON n.id = o.o_orderkey LEFT JOIN cat c ON c.idx = n.idx""")

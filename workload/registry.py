@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from symptomlake.functions import symptoms as S, text, timing
-from symptomlake.operators import accounts, careteam, escalation, monthly, ranking, triage, weekly
+from symptomlake.operators import (accounts, calendar_views, careteam, escalation, messages, monthly,
+                                   questionnaire, ranking, rates, scheduling, streaks, triage, weekly)
+from symptomlake.operators import next_question as next_question_ops
 from symptomlake.operators import timeline as timeline_ops
 from symptomlake.sources.tables import read_table
 
@@ -345,3 +347,222 @@ def account_audit(spark, sf):
 @query
 def duplicate_usernames(spark, sf):
     return accounts.duplicate_usernames(A.junk_accounts(spark, sf))
+
+
+# -- streaks and achievements -----------------------------------------------
+
+def _islands(spark, sf):
+    return streaks.streak_islands(streaks.active_days(A.activity_days(spark, sf)))
+
+
+def _questionnaire_islands(spark, sf):
+    rows = A.checkins(spark, sf).select("user_id", F.col("timestamp").alias("ts"))
+    return streaks.streak_islands(streaks.active_days(rows))
+
+
+def _streaks(spark, sf):
+    return streaks.active_streak(A.users(spark, sf), _islands(spark, sf), A.AS_OF_DAY)
+
+
+def _stored_unlocks(spark, sf):
+    return streaks.unlock_dates(_islands(spark, sf)).where(F.col("unlocked_on") <= "2024-01-12") \
+        .withColumnRenamed("unlocked_on", "unlocked_at")
+
+
+@query
+def streak_islands(spark, sf):
+    return _islands(spark, sf)
+
+
+@query
+def questionnaire_streaks(spark, sf):
+    return _questionnaire_islands(spark, sf)
+
+
+@query
+def latest_island(spark, sf):
+    return streaks.latest_island(_questionnaire_islands(spark, sf))
+
+
+@query
+def active_streak(spark, sf):
+    return _streaks(spark, sf)
+
+
+@query
+def overall_longest(spark, sf):
+    return streaks.overall_longest(_islands(spark, sf), _questionnaire_islands(spark, sf))
+
+
+@query
+def achievements_reached(spark, sf):
+    return streaks.reached(_streaks(spark, sf))
+
+
+@query
+def unlock_dates(spark, sf):
+    return streaks.unlock_dates(_islands(spark, sf))
+
+
+@query
+def newly_unlocked(spark, sf):
+    return streaks.newly_unlocked(streaks.reached(_streaks(spark, sf)), _stored_unlocks(spark, sf))
+
+
+@query
+def achievement_status(spark, sf):
+    return streaks.achievement_status(_streaks(spark, sf), _stored_unlocks(spark, sf))
+
+
+# -- scheduling -------------------------------------------------------------
+
+@query
+def parse_slots(spark, sf):
+    return scheduling.parse_slots(A.slot_requests(spark, sf)).drop("start_time", "end_time")
+
+
+@query
+def free_slots(spark, sf):
+    return scheduling.free_slots(A.slot_requests(spark, sf), A.calendar_events(spark, sf))
+
+
+@query
+def normalize_events(spark, sf):
+    return scheduling.normalize_events(A.calendar_events(spark, sf), "2024-01-10").drop("attendees")
+
+
+# -- calendar views ---------------------------------------------------------
+
+@query
+def severity_calendar(spark, sf):
+    return calendar_views.severity_calendar(A.assessments(spark, sf), A.AS_OF)
+
+
+@query
+def day_severity(spark, sf):
+    return calendar_views.day_severity(A.assessments(spark, sf), "2024-01-10", "2024-01-20")
+
+
+@query
+def monthly_symptom_averages(spark, sf):
+    return calendar_views.monthly_symptom_averages(A.assessments(spark, sf), A.AS_OF)
+
+
+@query
+def yearly_summary(spark, sf):
+    return calendar_views.yearly_summary(A.assessments(spark, sf), 2024)
+
+
+@query
+def alert_days_by_month(spark, sf):
+    return calendar_views.alert_days_by_month(A.assessments(spark, sf))
+
+
+@query
+def weekly_rollup(spark, sf):
+    return calendar_views.weekly_rollup(A.assessments(spark, sf), A.AS_OF)
+
+
+def _series(spark, sf):
+    return calendar_views.severity_series(A.assessments(spark, sf), "2024-01-22", "2024-01-28")
+
+
+@query
+def severity_series(spark, sf):
+    return _series(spark, sf)
+
+
+@query
+def charted_symptoms(spark, sf):
+    return calendar_views.charted_symptoms(_series(spark, sf))
+
+
+# -- rates ------------------------------------------------------------------
+
+def _log(spark, sf):
+    return A.events(spark, sf).select(F.col("event_type").alias("key"), "created_at")
+
+
+@query
+def rate_issues(spark, sf):
+    return rates.too_many_issues(_log(spark, sf), "key", "created_at")
+
+
+@query
+def rate_attempts(spark, sf):
+    return rates.too_many_attempts(_log(spark, sf), "key", "created_at")
+
+
+@query
+def rate_reissues(spark, sf):
+    return rates.early_reissues(_log(spark, sf), "key", "created_at")
+
+
+# -- questionnaire ----------------------------------------------------------
+
+def _enriched(spark, sf):
+    return questionnaire.enrich(A.submissions(spark, sf))
+
+
+@query
+def question_responses(spark, sf):
+    return questionnaire.question_responses(A.submissions(spark, sf)).select(
+        "submission_id", "question_id", "was_shown", "was_required", "raw_value", "display_value",
+        "severity_normalized", "region_count", "skip_reason")
+
+
+@query
+def section_results(spark, sf):
+    return questionnaire.section_results(_enriched(spark, sf), "submission_id").drop("section_pos") \
+        .withColumns({"alert_flags": F.array_join("alert_flags", " | "), "details": F.array_join("details", ", ")})
+
+
+@query
+def alert_flags(spark, sf):
+    return questionnaire.with_responses(A.submissions(spark, sf)).select("submission_id", F.explode(F.filter(
+        "responses", lambda r: r["alert_flag"].isNotNull())).alias("r")) \
+        .select("submission_id", "r.question_id", "r.alert_flag")
+
+
+@query
+def completion_counts(spark, sf):
+    return questionnaire.completion_counts(A.submissions(spark, sf)).drop("user_id", "submitted_at")
+
+
+@query
+def clinical_summary(spark, sf):
+    return questionnaire.clinical_summary(_enriched(spark, sf), "submission_id").drop("areas_of_concern") \
+        .withColumns({"clinical_areas_affected": F.array_join("clinical_areas_affected", ", "),
+                      "alert_flags": F.array_join("alert_flags", " | ")})
+
+
+@query
+def submission_messages(spark, sf):
+    return messages.with_messages(_enriched(spark, sf)).select("submission_id", F.posexplode("messages").alias("p", "m")) \
+        .select("submission_id", (F.col("p") + 1).alias("pos"), "m.role", "m.content")
+
+
+@query
+def triage_status(spark, sf):
+    return messages.triage_status(questionnaire.enrich(A.sparse_submissions(spark, sf)), A.derived_records(spark, sf))
+
+
+@query
+def pending_questionnaires(spark, sf):
+    return messages.pending_questionnaires(A.submissions(spark, sf), A.derived_records(spark, sf)) \
+        .select("submission_id", "user_id")
+
+
+@query
+def shape_messages(spark, sf):
+    return messages.shape_messages(A.turns(spark, sf), "Be brief.")
+
+
+@query
+def turn_counts(spark, sf):
+    return messages.turn_counts(A.turns(spark, sf))
+
+
+@query
+def next_question(spark, sf):
+    return next_question_ops.next_question(A.respondents(spark, sf), A.question_list())
