@@ -1,203 +1,211 @@
-"""Questionnaire rules as row-local expressions.
+"""Questionnaire rules as row-local SQL expressions.
 
 A submission carries ``answers`` as ``map<string,string>`` of JSON fragments
-(``4``, ``2.5``, ``dry``, ``["a","b"]``). The catalogue is a folded literal and
-every rule is a higher-order function over it, so enriching a submission needs
-neither a join nor a shuffle and runs the same way on a stream.
+(``4``, ``2.5``, ``dry``, ``["a","b"]``). The catalogue is known when the plan is
+built, so every rule is specialised per question: a rating gets rating
+arithmetic, a diagram gets region counting, and nothing is looked up by type at
+run time. Enriching needs neither a join nor a shuffle and runs unchanged on a
+stream.
+
+The rules return expression text (use ``F.expr``): ``raw`` is the expression of
+the raw answer, ``items`` that of its decoded list.
 """
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import Column, functions as F
-
 from .. import dims
 
-QUESTION_DDL = ("struct<section_pos:int,question_pos:int,section_id:string,title:string,"
-                "clinical_area:string,question_id:string,type:string,text:string,"
-                "options:map<string,string>,required:boolean,min:double,max:double,"
-                "descending:boolean,unit:string,low_limit:double,alert_values:array<string>,"
-                "depends_on:string,op:string,targets:array<string>>")
-SECTION_DDL = ("struct<section_pos:int,section_id:string,title:string,clinical_area:string,"
-               "severity_source:string,severity_method:string,fallback_source:string,"
-               "fallback_method:string,source_options:map<string,string>,first:int,n:int>")
+LIST_TYPES = ["multi-select", "color-chart", *dims.DIAGRAM_TYPES]
 
 
-def question_literal(sections=None) -> Column:
-    return F.from_json(F.lit(json.dumps(dims.flat_questions(sections), ensure_ascii=False)),
-                       f"array<{QUESTION_DDL}>")
+def text(value: str | None) -> str:
+    """SQL string literal."""
+    if value is None:
+        return "CAST(NULL AS STRING)"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def section_literal(sections=None) -> Column:
-    rows, first = [], 1
-    for pos, s in enumerate(sections or dims.SECTIONS):
-        options = [q["options"] for q in s["questions"] if q["question_id"] == s["severity_source"]]
-        rows.append({**{k: v for k, v in s.items() if k != "questions"}, "section_pos": pos,
-                     "source_options": options[0] if options else None,
-                     "first": first, "n": len(s["questions"])})
-        first += len(s["questions"])
-    return F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), f"array<{SECTION_DDL}>")
+def answer(qid: str) -> str:
+    return f"answers[{text(qid)}]"
 
 
-def as_list(raw: Column) -> Column:
+def as_list(raw: str) -> str:
     """Elements of a list answer, null for a scalar one."""
-    return F.when(raw.startswith("["), F.from_json(raw, "array<string>"))
+    return f"CASE WHEN startswith({raw}, '[') THEN from_json({raw}, 'array<string>') END"
+
+
+def as_number(raw: str) -> str:
+    return f"try_cast({raw} AS DOUBLE)"
+
+
+def _values(items) -> str:
+    return ", ".join(text(v) for v in items)
+
+
+def labels(options: dict) -> str:
+    return "map(" + ", ".join(f"{text(k)}, {text(v)}" for k, v in options.items()) + ")"
+
 
+def label(options: dict, value: str) -> str:
+    """Option label, or the answer itself when the catalogue does not know it."""
+    return f"coalesce({labels(options)}[{value}], {value})" if options else value
 
-def as_number(raw: Column) -> Column:
-    return raw.try_cast("double")
 
+def lookup(value: str, mapping: dict, default) -> str:
+    def lit(v):
+        return text(v) if isinstance(v, str) else str(v)
+    cases = " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in mapping.items())
+    return f"CASE {value} {cases} ELSE {lit(default)} END"
 
-def is_shown(op: Column, targets: Column, dep: Column) -> Column:
+
+def is_shown(q: dict, dep: str | None = None) -> str:
     """whether a question was shown, from its dependency's raw answer.
 
     Without a condition it is shown; without a dependency answer it is hidden;
     an unknown operator shows it.
     """
-    target = F.get(targets, F.lit(0))
-    listed = dep.startswith("[")
-    test = (F.when(op == "gte", ~listed & (as_number(dep) >= as_number(target)))
-            .when(op == "not_eq", listed | (dep != target))
-            .when(op == "eq", ~listed & (dep == target))
-            .when(op == "in_list", ~listed & F.array_contains(targets, dep))
-            .when(op == "contains", listed & F.array_contains(as_list(dep), target))
-            .otherwise(F.lit(True)))
-    return F.when(op.isNull(), F.lit(True)).when(dep.isNull(), F.lit(False)) \
-        .otherwise(F.coalesce(test, F.lit(False)))
-
-
-def display_list(options: Column, items: Column) -> Column:
+    if not q["op"]:
+        return "true"
+    dep = dep or answer(q["depends_on"])
+    target, listed = q["targets"][0], f"startswith({dep}, '[')"
+    scalar = f"NOT {listed}"
+    if q["op"] == "gte":
+        test = f"{scalar} AND {as_number(dep)} >= {float(target)}D"
+    elif q["op"] == "not_eq":
+        test = f"{listed} OR {dep} <> {text(target)}"
+    elif q["op"] == "eq":
+        test = f"{scalar} AND {dep} = {text(target)}"
+    elif q["op"] == "in_list":
+        test = f"{scalar} AND {dep} IN ({_values(q['targets'])})"
+    elif q["op"] == "contains":
+        test = f"{listed} AND array_contains({as_list(dep)}, {text(target)})"
+    else:
+        test = f"{dep} IS NOT NULL"
+    return f"coalesce({test}, false)"
+
+
+def display_list(q: dict, items: str) -> str:
     """F5 for list answers: labels element by element."""
-    return F.transform(items, lambda v: F.coalesce(options[v], v))
+    return f"transform({items}, v -> {label(q['options'], 'v')})"
 
 
-def display_value(kind: Column, options: Column, unit: Column, raw: Column, items: Column) -> Column:
+def display_value(q: dict, raw: str, items: str | None = None) -> str:
     """label, joined labels, slider value with unit, or the answer itself."""
-    return (F.when(items.isNotNull(), F.array_join(display_list(options, items), ", "))
-            .when(kind == "slider", F.concat(raw, F.coalesce(unit, F.lit(""))))
-            .when(kind == "text", raw)
-            .otherwise(F.coalesce(options[raw], raw)))
+    if q["type"] == "slider":
+        return f"concat({raw}, {text(q['unit'] or '')})"
+    if q["type"] == "text":
+        return raw
+    one = label(q["options"], raw)
+    if items is None:
+        return one
+    return f"CASE WHEN {items} IS NULL THEN {one} ELSE array_join({display_list(q, items)}, ', ') END"
 
 
-def severity_normalized(kind: Column, lo: Column, hi: Column, descending: Column,
-                        raw: Column) -> Column:
+def severity_normalized(q: dict, raw: str) -> str:
     """0..1 severity of ratings and sliders, two digits; equal bounds give 0."""
+    if q["type"] not in ("rating", "slider"):
+        return "CAST(NULL AS DOUBLE)"
+    lo, span = float(q["min"]), float(q["max"] - q["min"])
+    if span == 0:
+        return f"CASE WHEN {raw} IS NOT NULL THEN 0.0D END"
     value = as_number(raw)
-    span = hi - lo
-    up, down = (value - lo) / span, (hi - value) / span
-    scaled = F.when((kind == "rating") & descending, down).otherwise(up)
-    return F.when(kind.isin("rating", "slider") & value.isNotNull(),
-                  F.when(span == 0, F.lit(0.0)).otherwise(F.bround(scaled, 2)))
-
-
-def region_severity(count: Column) -> Column:
-    out = F.lit(0)
-    for at_least, score in dims.REGION_SEVERITY:
-        out = F.when(count >= at_least, F.lit(score)).otherwise(out)
-    return out
-
-
-def _lookup(value: Column, mapping: dict, default: Column) -> Column:
-    out = default
-    for key, label in mapping.items():
-        out = F.when(value == key, F.lit(label)).otherwise(out)
-    return out
-
-
-def section_severity(method: Column, raw: Column, options: Column) -> Column:
-    """struct(score, label) of a section from its source answer."""
-    items = as_list(raw)
-    frequency = _lookup(raw, dims.FREQUENCY_SEVERITY, F.lit(0))
-    regions = region_severity(F.coalesce(F.array_size(items), F.lit(0)))
-    score = (F.when(method == "frequency_map", frequency)
-             .when(method == "region_count", regions)
-             .otherwise(F.coalesce(as_number(raw).cast("int"), F.lit(0))))
-    label = (F.when(method == "frequency_map", _lookup(frequency, dims.FREQUENCY_LABELS, F.lit("Unknown")))
-             .when(method == "region_count", _lookup(regions, dims.REGION_LABELS, F.lit("Unknown")))
-             .otherwise(F.coalesce(options[raw], raw)))
-    return F.when(raw.isNotNull(), F.struct(score.alias("score"), label.alias("label")))
-
-
-def alert_flag(q: Column, raw: Column, items: Column) -> Column:
-    """F8: the alert text a question's answer raises, or null.
-
-    Each rule belongs to one question type. Visibility is deliberately not
-    considered.
+    part = f"{float(q['max'])}D - {value}" if q["type"] == "rating" and q["descending"] \
+        else f"{value} - {lo}D"
+    return f"bround(({part}) / {span}D, 2)"
+
+
+def region_severity(count: str) -> str:
+    cases = " ".join(f"WHEN {count} >= {n} THEN {score}" for n, score in reversed(dims.REGION_SEVERITY))
+    return f"CASE {cases} ELSE 0 END"
+
+
+def _severity(method: str | None, raw: str, items: str, options: dict) -> str:
+    if method == "frequency_map":
+        names = {k: dims.FREQUENCY_LABELS[v] for k, v in dims.FREQUENCY_SEVERITY.items()}
+        score, name = lookup(raw, dims.FREQUENCY_SEVERITY, 0), lookup(raw, names, dims.FREQUENCY_LABELS[0])
+    elif method == "region_count":
+        score = region_severity(f"coalesce(array_size({items}), 0)")
+        name = lookup(score, dims.REGION_LABELS, "Unknown")
+    else:
+        score, name = f"coalesce(CAST({as_number(raw)} AS INT), 0)", label(options, raw)
+    return f"named_struct('score', {score}, 'label', {name})"
+
+
+def section_severity(section: dict, source: tuple[str, str],
+                     fallback: tuple[str, str] | None = None) -> str:
+    """struct(score, label) from the source answer, else from the fallback's.
+
+    Both come as (raw, items) expressions.
     """
-    kind, title = q["type"], q["title"]
-    labels = q["options"]
-    picked = F.coalesce(items, F.array(raw))
-    alarming = F.filter(picked, lambda v: F.array_contains(q["alert_values"], v))
-    regions = F.array_size(items)
-    head = F.concat(title, F.lit(": "))
-    return (
-        F.when((kind == "rating") & (as_number(raw) >= 4), F.concat(
-            head, F.substring_index(q["text"], "?", 1), F.lit(" rated "),
-            F.coalesce(labels[raw], raw), F.lit(" ("), raw, F.lit("/5)")))
-        .when((kind == "single-select") & (raw == "6+"), F.concat(head, F.lit("frequency 6+ times")))
-        .when((kind == "color-chart") & (F.size(alarming) > 0), F.concat(
-            head, F.lit("alarming color reported ("),
-            F.array_join(display_list(labels, alarming), ", "), F.lit(")")))
-        .when(kind.isin(*dims.DIAGRAM_TYPES) & (regions >= 3), F.concat(
-            head, regions.cast("string"), F.lit(" body regions affected")))
-        .when((kind == "slider") & (as_number(raw) <= q["low_limit"]), F.concat(
-            head, raw, F.coalesce(q["unit"], F.lit("")), F.lit(" (critically low)"))))
-
-
-def responses(answers: Column, questions: Column) -> Column:
-    """F4-F6, F8, F9 for every question of the catalogue, in order."""
-    bound = F.transform(questions, lambda q: F.struct(
-        q.alias("q"), answers[q["question_id"]].alias("raw"),
-        F.when(q["type"] != "text", as_list(answers[q["question_id"]])).alias("items"),
-        is_shown(q["op"], q["targets"], answers[q["depends_on"]]).alias("shown")))
-
-    def response(b):
-        q, raw, items, shown = b["q"], b["raw"], b["items"], b["shown"]
-        there = shown & raw.isNotNull()
-        return F.struct(
-            q["section_pos"].alias("section_pos"), q["question_pos"].alias("question_pos"),
-            q["section_id"].alias("section_id"), q["question_id"].alias("question_id"),
-            q["text"].alias("question_text"), q["type"].alias("type"),
-            q["required"].alias("was_required"), shown.alias("was_shown"),
-            F.when(shown, raw).alias("raw_value"),
-            F.when(there, display_value(q["type"], q["options"], q["unit"], raw, items))
-            .alias("display_value"),
-            F.when(there & items.isNotNull(), display_list(q["options"], items)).alias("display_list"),
-            F.when(there, severity_normalized(q["type"], q["min"], q["max"], q["descending"], raw))
-            .alias("severity_normalized"),
-            F.when(there & items.isNotNull() & q["type"].isin(*dims.DIAGRAM_TYPES), F.size(items))
-            .alias("region_count"),
-            F.when(~shown, F.lit("conditional_not_met")).alias("skip_reason"),
-            (there & F.coalesce(F.array_size(items) > 0, F.lit(True))).alias("answered"),
-            F.when(raw.isNotNull(), alert_flag(q, raw, items)).alias("alert_flag"))
-
-    return F.transform(bound, response)
-
-
-def sections(answers: Column, response_array: Column, section_array: Column) -> Column:
-    """Section results: severity (F7), flags (F8), concern and details."""
-    bound = F.transform(section_array, lambda s: F.struct(
-        s.alias("s"), F.slice(response_array, s["first"], s["n"]).alias("r"),
-        section_severity(
-            F.when(answers[s["severity_source"]].isNotNull(), s["severity_method"])
-            .otherwise(s["fallback_method"]),
-            F.coalesce(answers[s["severity_source"]], answers[s["fallback_source"]]),
-            s["source_options"]).alias("sev")))
-
-    def result(b):
-        s, r, sev = b["s"], b["r"], b["sev"]
-        flags = F.filter(F.transform(r, lambda x: x["alert_flag"]), lambda f: f.isNotNull())
-        concern = F.coalesce(sev["score"] > 0, F.lit(False)) | (F.size(flags) > 0)
-        listed = F.filter(r, lambda x: x["display_list"].isNotNull()
-                          & x["type"].isin("multi-select", "body-diagram", "muscle-diagram"))
-        details = F.flatten(F.transform(listed, lambda x: x["display_list"]))
-        return F.struct(
-            s["section_pos"].alias("section_pos"), s["section_id"].alias("section_id"),
-            s["title"].alias("title"), s["clinical_area"].alias("clinical_area"),
-            sev["score"].alias("severity_score"), sev["label"].alias("severity_label"),
-            flags.alias("alert_flags"), concern.alias("is_concern"),
-            F.when(concern & (F.size(details) > 0), details).alias("details"),
-            r.alias("responses"))
-
-    return F.transform(bound, result)
+    options = {}
+    for q in section["questions"]:
+        if q["question_id"] == section["severity_source"]:
+            options = q["options"]
+    own = f"WHEN {source[0]} IS NOT NULL THEN {_severity(section['severity_method'], *source, options)}"
+    other = "" if fallback is None else \
+        f" WHEN {fallback[0]} IS NOT NULL THEN {_severity(section['fallback_method'], *fallback, {})}"
+    return f"CASE {own}{other} END"
+
+
+def alert_flag(title: str, q: dict, raw: str, items: str | None = None) -> str:
+    """F8: the alert text an answer raises, or null; visibility is not considered."""
+    kind = q["type"]
+    if kind == "rating":
+        lead = f"{title}: {q['text'].split('?')[0]} rated "
+        return (f"CASE WHEN {as_number(raw)} >= 4 THEN concat({text(lead)}, {label(q['options'], raw)}, "
+                f"' (', {raw}, '/5)') END")
+    if kind == "single-select":
+        return f"CASE WHEN {raw} = '6+' THEN {text(title + ': frequency 6+ times')} END"
+    if kind == "color-chart":
+        picked = f"coalesce({items}, array({raw}))" if items else f"array({raw})"
+        alarming = f"filter({picked}, v -> v IN ({_values(q['alert_values'])}))"
+        return (f"CASE WHEN {raw} IS NOT NULL AND size({alarming}) > 0 THEN concat("
+                f"{text(title + ': alarming color reported (')}, "
+                f"array_join({display_list(q, alarming)}, ', '), ')') END")
+    if kind in dims.DIAGRAM_TYPES and items:
+        n = f"array_size({items})"
+        return f"CASE WHEN {n} >= 3 THEN concat({text(title + ': ')}, {n}, ' body regions affected') END"
+    if kind == "slider" and q["low_limit"] is not None:
+        return (f"CASE WHEN {as_number(raw)} <= {float(q['low_limit'])}D THEN concat("
+                f"{text(title + ': ')}, {raw}, {text((q['unit'] or '') + ' (critically low)')}) END")
+    return "CAST(NULL AS STRING)"
+
+
+def _struct(**fields: str) -> str:
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+
+
+def response(q: dict, raw: str, items: str | None, shown: str) -> str:
+    """F4-F6, F8 and F9 of one question as a struct."""
+    def seen(value):
+        return f"CASE WHEN {shown} THEN {value} END"
+
+    regions = f"array_size({items})" if items and q["type"] in dims.DIAGRAM_TYPES else "CAST(NULL AS INT)"
+    filled = f" AND coalesce(array_size({items}) > 0, true)" if items else ""
+    return _struct(
+        section_pos=str(q["section_pos"]), question_pos=str(q["question_pos"]),
+        section_id=text(q["section_id"]), question_id=text(q["question_id"]),
+        question_text=text(q["text"]), type=text(q["type"]),
+        was_required=str(q["required"]).lower(), was_shown=shown, raw_value=seen(raw),
+        display_value=seen(display_value(q, raw, items)),
+        display_list=seen(display_list(q, items) if items else "CAST(NULL AS ARRAY<STRING>)"),
+        severity_normalized=seen(severity_normalized(q, raw)), region_count=seen(regions),
+        skip_reason=f"CASE WHEN NOT {shown} THEN 'conditional_not_met' END",
+        answered=f"({shown} AND {raw} IS NOT NULL{filled})",
+        alert_flag=alert_flag(q["title"], q, raw, items))
+
+
+def section_result(section_pos: int, section: dict, severity: str, parts: list[str]) -> str:
+    """F7, F8 and F10 of one section from its response structs."""
+    flags = f"array_compact(array({', '.join(p + '.alert_flag' for p in parts)}))"
+    concern = f"(coalesce({severity}.score > 0, false) OR size({flags}) > 0)"
+    lists = [p + ".display_list" for p, q in zip(parts, section["questions"])
+             if q["type"] in ("multi-select", "body-diagram", "muscle-diagram")]
+    details = f"flatten(array_compact(array({', '.join(lists)})))" if lists else "CAST(NULL AS ARRAY<STRING>)"
+    return _struct(
+        section_pos=str(section_pos), section_id=text(section["section_id"]),
+        title=text(section["title"]), clinical_area=text(section["clinical_area"]),
+        severity_score=f"{severity}.score", severity_label=f"{severity}.label",
+        alert_flags=flags, is_concern=concern,
+        details=f"CASE WHEN {concern} AND array_size({details}) > 0 THEN {details} END",
+        responses=f"array({', '.join(parts)})")

@@ -4,20 +4,64 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .. import dims
 from ..functions import questionnaire as Q
 
 
+def _array(parts: list[str]):
+    return F.expr("array(" + ", ".join(parts) + ")")
+
+
+def _held(parts: list[str]):
+    """An array that is computed once: reads of a plain ``array(...)`` by index
+    would be replaced by its elements and recomputed at every use."""
+    return F.expr("concat(array(" + ", ".join(parts) + "))")
+
+
+def _respond(submissions: DataFrame, catalogue) -> DataFrame:
+    """``responses`` next to what they are built from.
+
+    Raw answers, decoded lists and visibility are computed once per row, as
+    arrays in catalogue order that the responses refer to by index.
+    """
+    flat = dims.flat_questions(catalogue)
+    number = _number(catalogue)
+
+    def raw(qid):
+        return f"_raw[{number[qid]}]" if qid in number else Q.answer(qid)
+
+    items = [Q.as_list(f"_raw[{i}]") if q["type"] in Q.LIST_TYPES else "CAST(NULL AS ARRAY<STRING>)"
+             for i, q in enumerate(flat)]
+    shown = [Q.is_shown(q, raw(q["depends_on"]) if q["depends_on"] else None) for q in flat]
+    parts = [Q.response(q, f"_raw[{i}]", f"_items[{i}]" if q["type"] in Q.LIST_TYPES else None,
+                        f"_shown[{i}]") for i, q in enumerate(flat)]
+    return (submissions
+            .withColumn("_raw", _held([Q.answer(q["question_id"]) for q in flat]))
+            .withColumns({"_items": _held(items), "_shown": _held(shown)})
+            .withColumn("responses", _held(parts)))
+
+
+def _number(catalogue) -> dict[str, int]:
+    return {q["question_id"]: i for i, q in enumerate(dims.flat_questions(catalogue))}
+
+
+STAGED = ["_raw", "_items", "_shown"]
+
+
 def with_responses(submissions: DataFrame, catalogue=None) -> DataFrame:
     """Adds ``responses``, one struct per catalogue question, row by row."""
-    return submissions.withColumn(
-        "responses", Q.responses(F.col("answers"), Q.question_literal(catalogue)))
+    return _respond(submissions, catalogue).drop(*STAGED)
 
 
 def question_responses(submissions: DataFrame, catalogue=None) -> DataFrame:
-    """J3, long form: submission x question without a join."""
+    """J3, long form: submission x question without a join.
+
+    The array is never empty; the outer form only keeps the optimizer from
+    evaluating it twice for a non-empty check.
+    """
     keep = [c for c in submissions.columns if c != "answers"]
     return (with_responses(submissions, catalogue)
-            .select(*keep, F.inline("responses")).drop("alert_flag"))
+            .select(*keep, F.inline_outer("responses")).drop("alert_flag"))
 
 
 def enrich(submissions: DataFrame, catalogue=None) -> DataFrame:
@@ -25,11 +69,23 @@ def enrich(submissions: DataFrame, catalogue=None) -> DataFrame:
 
     Works unchanged on a streaming DataFrame (stateless, no shuffle).
     """
-    rows = with_responses(submissions, catalogue)
-    rows = rows.withColumn("sections", Q.sections(
-        F.col("answers"), F.col("responses"), Q.section_literal(catalogue))).drop("responses")
-    return rows.withColumn("completion", _completion(F.col("sections"))) \
-        .withColumn("summary", _summary(F.col("sections")))
+    rows, number = _respond(submissions, catalogue), _number(catalogue)
+
+    def source(qid):
+        at = number[qid]
+        return f"_raw[{at}]", f"_items[{at}]"
+
+    severities, results, at = [], [], 0
+    for pos, s in enumerate(catalogue or dims.SECTIONS):
+        fallback = source(s["fallback_source"]) if s["fallback_source"] else None
+        severities.append(Q.section_severity(s, source(s["severity_source"]), fallback))
+        parts = [f"responses[{at + i}]" for i in range(len(s["questions"]))]
+        at += len(parts)
+        results.append(Q.section_result(pos, s, f"_severity[{pos}]", parts))
+    rows = (rows.withColumn("_severity", _held(severities))
+            .withColumn("sections", _held(results)).drop("responses", "_severity", *STAGED))
+    return rows.withColumns({"completion": _completion(F.col("sections")),
+                             "summary": _summary(F.col("sections"))})
 
 
 def _completion(sections):
@@ -60,7 +116,7 @@ def _summary(sections):
 
 def section_results(enriched: DataFrame, *keys: str) -> DataFrame:
     """Long section rows of enriched submissions."""
-    return enriched.select(*keys, F.inline("sections")).drop("responses")
+    return enriched.select(*keys, F.inline_outer("sections")).drop("responses")
 
 
 def completion_counts(submissions: DataFrame, catalogue=None) -> DataFrame:

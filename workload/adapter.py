@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from symptomlake import dims
 from symptomlake.functions import symptoms as S
+from symptomlake.functions.questionnaire import text
 from symptomlake.sources.tables import read_table
 
 AS_OF = "2024-01-28"       # a Sunday: the week of 22-28 January is complete
@@ -219,43 +220,40 @@ def stamped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit("soon")).alias("started"))
 
 
-def _answer(q: int, spec: dict) -> Column:
+def _answer(q: int, spec: dict) -> str:
     """Raw JSON fragment of question number ``q`` of order ``o_orderkey``."""
-    key = F.col("o_orderkey")
-    opts = F.array(*[F.lit(o) for o in spec["options"]]) if spec["options"] else None
-    n = len(spec["options"])
-    kind = spec["type"]
+    key, kind, n = "o_orderkey", spec["type"], len(spec["options"])
+    opts = "array(" + ", ".join(text(o) for o in spec["options"]) + ")"
+    one = f"{opts}[CAST(({key} + {q}) % {max(n, 1)} AS INT)]"
     if kind == "rating":
         lo, hi = int(spec["min"]), int(spec["max"])
-        value = (lo + (key * 7 + q * 3) % (hi - lo + 1)).cast("string")
+        value = f"CAST({lo} + ({key} * 7 + {q * 3}) % {hi - lo + 1} AS STRING)"
     elif kind == "slider":
         steps = round((spec["max"] - spec["min"]) / spec["step"])
-        j = (key + q) % (steps + 1)
+        j = f"(({key} + {q}) % {steps + 1})"
         if spec["step"] == 0.5:
-            halves = j + round(spec["min"] * 2)
-            value = F.concat((F.floor(halves / 2)).cast("string"), F.when(halves % 2 == 1, ".5").otherwise(""))
+            halves = f"({j} + {round(spec['min'] * 2)})"
+            value = f"concat(CAST({halves} DIV 2 AS STRING), CASE WHEN {halves} % 2 = 1 THEN '.5' ELSE '' END)"
         else:
-            value = (j + int(spec["min"])).cast("string")
+            value = f"CAST({j} + {int(spec['min'])} AS STRING)"
     elif kind == "text":
-        value = F.concat(F.lit("note "), key)
+        value = f"concat('note ', {key})"
     elif kind == "single-select":
-        value = F.get(opts, ((key + q) % n).cast("int"))
+        value = one
     elif kind == "color-chart":
-        one = F.get(opts, ((key + q) % n).cast("int"))
-        value = F.when(key % 2 == 0, one).otherwise(F.concat(F.lit('["'), one, F.lit('"]')))
+        value = f"CASE WHEN {key} % 2 = 0 THEN {one} ELSE concat('[\"', {one}, '\"]') END"
     else:
-        some = ((key + q) % (min(n, 12) + 1)).cast("int")
-        value = F.when(some == 0, "[]").otherwise(F.concat(
-            F.lit('["'), F.array_join(F.slice(opts, F.lit(1), some), '","'), F.lit('"]')))
-    return F.when((key + q) % 7 != 0, value)
+        some = f"CAST(({key} + {q}) % {min(n, 12) + 1} AS INT)"
+        value = (f"CASE WHEN {some} = 0 THEN '[]' ELSE concat('[\"', "
+                 f"array_join(slice({opts}, 1, {some}), '\",\"'), '\"]') END")
+    return f"CASE WHEN ({key} + {q}) % 7 <> 0 THEN {value} END"
 
 
 def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One questionnaire submission per order."""
-    pairs = []
-    for q, spec in enumerate(dims.flat_questions()):
-        pairs += [F.lit(spec["question_id"]), _answer(q, spec)]
-    answers = F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull())
+    pairs = ", ".join(f"{text(spec['question_id'])}, {_answer(q, spec)}"
+                      for q, spec in enumerate(dims.flat_questions()))
+    answers = F.expr(f"map_filter(map({pairs}), (k, v) -> v IS NOT NULL)")
     return read_table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("submission_id"), F.col("o_custkey").alias("user_id"),
         F.col("o_orderdate").alias("submitted_at"), answers.alias("answers"))

@@ -519,9 +519,8 @@ def section_results(spark, sf):
 
 @query
 def alert_flags(spark, sf):
-    return questionnaire.with_responses(A.submissions(spark, sf)).select("submission_id", F.explode(F.filter(
-        "responses", lambda r: r["alert_flag"].isNotNull())).alias("r")) \
-        .select("submission_id", "r.question_id", "r.alert_flag")
+    return questionnaire.with_responses(A.submissions(spark, sf)).select("submission_id", F.inline_outer("responses")) \
+        .where(F.col("alert_flag").isNotNull()).select("submission_id", "question_id", "alert_flag")
 
 
 @query
@@ -538,7 +537,7 @@ def clinical_summary(spark, sf):
 
 @query
 def submission_messages(spark, sf):
-    return messages.with_messages(_enriched(spark, sf)).select("submission_id", F.posexplode("messages").alias("p", "m")) \
+    return messages.with_messages(_enriched(spark, sf)).select("submission_id", F.posexplode_outer("messages").alias("p", "m")) \
         .select("submission_id", (F.col("p") + 1).alias("pos"), "m.role", "m.content")
 
 
