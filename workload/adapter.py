@@ -17,8 +17,8 @@ AS_OF = "2024-01-28"       # a Sunday: the week of 22-28 January is complete
 AS_OF_DAY = "2024-01-30"   # last day with events
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "events").select(
+def events(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
+    return (source or read_table(spark, sf_dir, "events")).select(
         "event_id", "user_id", F.col("ts").alias("created_at"),
         "event_type", "value",
         F.regexp_extract("props", '"k": *([0-9]+)', 1).cast("int").alias("k"))
@@ -87,19 +87,19 @@ def triage_struct() -> Column:
         F.col("treatment_status").alias("treatment_status")))
 
 
-def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sessions(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
     """Finished sessions with their symptom document, before the rules ran."""
     status = (F.when(F.col("user_id") % 10 == 9, "unknown")
               .when(F.col("user_id") % 3 == 0, "in_remission").otherwise("undergoing_treatment"))
-    return (events(spark, sf_dir)
+    return (events(spark, sf_dir, source)
             .withColumn("session_id", F.concat(F.lit("s"), F.col("event_id").cast("string")))
             .withColumn("treatment_status", status)
             .withColumn("symptoms", symptom_array()))
 
 
-def assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def assessments(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
     """Stored assessments: symptom rules and triage merged by the library."""
-    rows = (sessions(spark, sf_dir)
+    rows = (sessions(spark, sf_dir, source)
             .withColumn("structured", S.escalation(F.col("symptoms"), F.col("treatment_status")))
             .withColumn("triage", triage_struct()))
     merged = S.merge_notification(F.col("structured.level"), F.col("structured.flag"),
@@ -249,12 +249,12 @@ def _answer(q: int, spec: dict) -> str:
     return f"CASE WHEN ({key} + {q}) % 7 <> 0 THEN {value} END"
 
 
-def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def submissions(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
     """One questionnaire submission per order."""
     pairs = ", ".join(f"{text(spec['question_id'])}, {_answer(q, spec)}"
                       for q, spec in enumerate(dims.flat_questions()))
     answers = F.expr(f"map_filter(map({pairs}), (k, v) -> v IS NOT NULL)")
-    return read_table(spark, sf_dir, "orders").select(
+    return (source or read_table(spark, sf_dir, "orders")).select(
         F.col("o_orderkey").alias("submission_id"), F.col("o_custkey").alias("user_id"),
         F.col("o_orderdate").alias("submitted_at"), answers.alias("answers"))
 
@@ -301,3 +301,23 @@ def respondents(spark: SparkSession, sf_dir: str) -> DataFrame:
         number[e["key"]], F.when(e["value"].startswith("["), F.from_json(e["value"], "array<string>"))
         .otherwise(F.array(e["value"])))))
     return submissions(spark, sf_dir).select("submission_id", listed.alias("answers"))
+
+
+def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).select(
+        "user_id", "event_id", (F.col("k") % 13).alias("current_section"),
+        F.col("created_at").alias("last_updated"))
+
+
+def profile_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("update_id"),
+        F.col("o_orderdate").alias("updated_at"),
+        F.when(F.col("o_orderstatus") != "F", F.col("o_orderpriority")).alias("checkups"),
+        (F.col("o_orderkey") % 50 + 150).alias("height"))
+
+
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table read as a file stream."""
+    schema = read_table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}*.parquet")

@@ -610,3 +610,61 @@ SQL["next_question"] = with_("prereq ans cat", """SELECT o.o_orderkey AS submiss
       LEFT JOIN ans a ON a.id = o_orderkey AND a.idx = p.idx LEFT JOIN ans d ON d.id = o_orderkey AND d.idx = p.dep
       WHERE a.id IS NULL AND (p.dep IS NULL OR (d.id IS NOT NULL AND list_has_any(coalesce(d.items, [d.scalar]), p.allowed)))
       GROUP BY 1) n ON n.id = o.o_orderkey LEFT JOIN cat c ON c.idx = n.idx""")
+
+# ---------------------------------------------------------------------------
+# maintenance, quality, streams
+# ---------------------------------------------------------------------------
+_DOOMED = "SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY'"
+SQL |= {
+    "table_overview": " UNION ALL ".join(f"SELECT '{t}' AS collection, count(*) AS documents FROM {t}" for t in
+                                         ["customer", "orders", "events", "supplier", "nation", "conversations"]),
+    "latest_row": f"SELECT event_id AS assessment_id, user_id, {TS('ts')} AS created_at FROM events ORDER BY ts DESC, event_id DESC LIMIT 1",
+    "cascade_delete_counts": f"""SELECT * FROM (SELECT 'users' AS collection, count(*) AS removed FROM customer WHERE c_mktsegment = 'MACHINERY'
+        UNION ALL SELECT 'answers', count(*) FROM orders WHERE o_custkey IN ({_DOOMED})
+        UNION ALL SELECT 'assessments', count(*) FROM events WHERE user_id IN ({_DOOMED})) WHERE removed > 0 OR collection = 'users'""",
+    "cascade_delete_survivors": f"SELECT o_custkey AS user_id, o_orderkey AS checkin_id FROM orders WHERE o_custkey NOT IN ({_DOOMED})",
+    "insert_if_absent": """SELECT o_custkey AS user_id, o_orderpriority AS achievement_id, min(o_orderkey) AS at FROM orders
+        WHERE NOT (o_orderpriority = '5-LOW' AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey < 10)) GROUP BY 1, 2""",
+    "latest_draft": f"""SELECT user_id, event_id, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) % 13 AS current_section,
+        {TS('ts')} AS last_updated FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
+        WHERE rn = 1 AND user_id NOT IN ({_DOOMED})""",
+    "write_append": with_("a", f"SELECT assessment_id, user_id, flag AS flag_for_oncologist, {D('created_at')} AS date FROM a"),
+    "apply_profile_updates": """SELECT c_custkey AS user_id, c_name AS username,
+        CASE WHEN u.o_orderkey IS NULL THEN c_mktsegment WHEN u.o_orderstatus <> 'F' THEN u.o_orderpriority END AS checkups,
+        coalesce(u.o_orderkey % 50 + 150, 0) AS height FROM customer LEFT JOIN (SELECT *, row_number() OVER
+          (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) u ON u.o_custkey = c_custkey AND u.rn = 1""",
+    "conformance_assessments": with_("a reports", """SELECT assessment_id, concat_ws('|',
+        CASE WHEN coalesce(n, 0) < 5 THEN 'symptom_missing' END, CASE WHEN coalesce(bad_s, FALSE) THEN 'severity_range' END,
+        CASE WHEN coalesce(bad_f, FALSE) THEN 'frequency_range' END, CASE WHEN a.treatment_status = 'unknown' THEN 'treatment_status' END) AS violations
+        FROM a LEFT JOIN (SELECT assessment_id, count(*) AS n, bool_or(severity IS NULL OR severity NOT BETWEEN 1 AND 5) AS bad_s,
+          bool_or(frequency IS NULL OR frequency NOT BETWEEN 1 AND 5) AS bad_f FROM reports GROUP BY 1) r USING (assessment_id)"""),
+    "conformance_triage": with_("a", """SELECT assessment_id, CASE WHEN NOT has_triage THEN 'triage_missing|required_field|alert_level|confidence_level'
+        WHEN confidence IS NULL THEN 'confidence_level' ELSE '' END AS violations FROM a"""),
+    "conformance_submissions": """SELECT o_orderkey AS submission_id, concat_ws('|', CASE WHEN o_orderkey % 16 > 13 THEN 'sections_completed' END,
+        CASE WHEN o_orderkey % 15 NOT BETWEEN 1 AND 13 THEN 'total_sections' END,
+        CASE WHEN o_orderkey % 120 > 100 THEN 'completion_percentage' END) AS violations FROM orders""",
+    "conformance_signups": with_("pend", """SELECT pending_id, concat_ws('|', CASE WHEN length(username) < 4 THEN 'username' END,
+        CASE WHEN length(code) <> 4 THEN 'access_code' END, CASE WHEN pending_id % 4 = 0 THEN 'email' END) AS violations FROM pend"""),
+    "default_records": with_("a reports", """SELECT a.assessment_id, CASE WHEN a.assessment_id % 13 = 0 THEN 5 ELSE coalesce(n, 0) END AS n_symptoms,
+        CASE WHEN a.assessment_id % 13 = 0 THEN 'Conversation with ' || (a.assessment_id % 9) || ' messages completed.' END AS conversation_notes,
+        coalesce(triage_level, 'YELLOW') AS triage_alert_level, CASE WHEN has_triage THEN 'rationale ' || a.assessment_id ELSE
+          'Unable to complete automated triage assessment - recommend clinical review as precaution' END AS triage_rationale,
+        CASE WHEN triage_level = 'RED' THEN 'immediate' ELSE 'within 24 hours' END AS triage_timeline,
+        CASE WHEN has_triage THEN '' ELSE 'Automated triage failed for conversation with ' || (a.assessment_id % 9)
+          || ' messages. Manual clinical assessment recommended.' END AS triage_notes
+        FROM a LEFT JOIN (SELECT assessment_id, count(*) AS n FROM reports GROUP BY 1) r USING (assessment_id)"""),
+    "stream_streaks": with_("isl", f"""SELECT i.user_id, {D('i.last_day')} AS last_day, length AS streak, longest AS longest_streak
+        FROM isl i JOIN (SELECT user_id, max(last_day) AS ld, max(length) AS longest FROM isl GROUP BY 1) m
+        ON m.user_id = i.user_id AND m.ld = i.last_day"""),
+    "stream_sessions": """SELECT conv_id AS session_id, turn AS message_id,
+        turn <= 3 AND conv_id IN (SELECT conv_id FROM conversations WHERE turn = 0) AS accepted FROM conversations""",
+    "stream_alerts": with_("a assign", """SELECT doctor_id, assessment_id, user_id, level AS oncologist_notification_level
+        FROM a JOIN assign USING (user_id) WHERE flag OR level IN ('amber', 'red')"""),
+    "stream_enrich": with_("sec resp", """SELECT s.id AS submission_id, r.shown AS questions_shown, r.answered AS questions_answered,
+        s.n AS symptom_count, s.top AS max_severity, s.area AS max_severity_area FROM (
+          SELECT id, count(*) FILTER (is_concern) AS n, max(severity_score) FILTER (is_concern) AS top,
+            arg_max(title, severity_score * 100 - section_pos) FILTER (is_concern AND severity_score IS NOT NULL) AS area FROM sec GROUP BY 1) s
+        JOIN (SELECT id, count(*) FILTER (shown) AS shown, count(*) FILTER (shown AND given AND coalesce(len(items) > 0, TRUE)) AS answered
+          FROM resp GROUP BY 1) r ON r.id = s.id"""),
+    "stream_insert_if_absent": """SELECT o_custkey AS user_id, o_orderpriority AS achievement_id, min(o_orderkey) AS at FROM orders GROUP BY 1, 2""",
+}

@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from symptomlake.functions import symptoms as S, text, timing
 from symptomlake.operators import (accounts, calendar_views, careteam, escalation, messages, monthly,
-                                   questionnaire, ranking, rates, scheduling, streaks, triage, weekly)
+                                   quality, questionnaire, ranking, rates, scheduling, streaks, triage, weekly)
 from symptomlake.operators import next_question as next_question_ops
 from symptomlake.operators import timeline as timeline_ops
+from symptomlake.session import shared_dir
+from symptomlake.sources import tables
 from symptomlake.sources.tables import read_table
+from symptomlake.streaming import jobs
 
 from . import adapter as A
 from .portable import portable
@@ -565,3 +568,163 @@ def turn_counts(spark, sf):
 @query
 def next_question(spark, sf):
     return next_question_ops.next_question(A.respondents(spark, sf), A.question_list())
+
+
+# -- maintenance ------------------------------------------------------------
+
+@query
+def table_overview(spark, sf):
+    names = ["customer", "orders", "events", "supplier", "nation", "conversations"]
+    return tables.table_overview({n: read_table(spark, sf, n) for n in names})
+
+
+@query
+def latest_row(spark, sf):
+    rows = A.assessments(spark, sf).select("assessment_id", "user_id", "created_at")
+    return tables.latest_row(rows, "created_at", "assessment_id")
+
+
+def _cascade(spark, sf):
+    users = A.users(spark, sf).select(F.col("user_id").alias("username"), "c_mktsegment")
+    related = {"answers": A.checkins(spark, sf).select("user_id", "checkin_id"),
+               "assessments": A.events(spark, sf).select("user_id", "event_id"),
+               "questionnaire_drafts": A.turns(spark, sf).select((-1 - F.col("conv_id")).alias("user_id"))}
+    doomed = users.where(F.col("c_mktsegment") == "MACHINERY").select("username")
+    return tables.cascade_delete(users, related, doomed)
+
+
+@query
+def cascade_delete_counts(spark, sf):
+    return _cascade(spark, sf)[1]
+
+
+@query
+def cascade_delete_survivors(spark, sf):
+    return _cascade(spark, sf)[0]["answers"]
+
+
+@query
+def insert_if_absent(spark, sf):
+    new = read_table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("user_id"), F.col("o_orderpriority").alias("achievement_id"),
+        F.col("o_orderkey").alias("at"))
+    existing = A.users(spark, sf).where(F.col("c_nationkey") < 10) \
+        .select("user_id", F.lit("5-LOW").alias("achievement_id"))
+    return tables.insert_if_absent(new, existing, ["user_id", "achievement_id"], "at")
+
+
+@query
+def latest_draft(spark, sf):
+    removed = A.users(spark, sf).where(F.col("c_mktsegment") == "MACHINERY")
+    return tables.without_users(tables.latest_draft(A.drafts(spark, sf), "event_id"), removed)
+
+
+@query
+def write_append(spark, sf):
+    rows = A.assessments(spark, sf).select("assessment_id", "user_id", "flag_for_oncologist",
+                                           F.date_format("created_at", "yyyy-MM-dd").alias("date"))
+    path = shared_dir(spark, "assessments")
+    tables.write_append(rows, path, ["date"])
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+@query
+def apply_profile_updates(spark, sf):
+    patients = A.users(spark, sf).select("user_id", "username", F.col("c_mktsegment").alias("checkups"),
+                                         F.lit(0).cast("long").alias("height"))
+    return tables.apply_profile_updates(patients, A.profile_updates(spark, sf), ["checkups", "height"],
+                                        ["updated_at", "update_id"])
+
+
+# -- quality ----------------------------------------------------------------
+
+def _codes(df, rules, key):
+    return quality.conformance(df, rules).select(key, F.array_join("violations", "|").alias("violations"))
+
+
+@query
+def conformance_assessments(spark, sf):
+    return _codes(A.assessments(spark, sf), quality.assessment_rules(), "assessment_id")
+
+
+@query
+def conformance_triage(spark, sf):
+    return _codes(A.assessments(spark, sf), quality.triage_rules(), "assessment_id")
+
+
+@query
+def conformance_submissions(spark, sf):
+    key = F.col("o_orderkey")
+    rows = read_table(spark, sf, "orders").select(
+        key.alias("submission_id"), (key % 16).alias("sections_completed"),
+        (key % 15).alias("total_sections"), (key % 120).alias("completion_percentage"))
+    return _codes(rows, quality.submission_rules(), "submission_id")
+
+
+@query
+def conformance_signups(spark, sf):
+    rows = A.pending_signups(spark, sf).withColumns({
+        "password": F.lit("secret"), "email": F.concat(F.lit("p"), "pending_id", F.when(
+            F.col("pending_id") % 4 == 0, F.lit("example.org")).otherwise(F.lit("@example.org")))})
+    return _codes(rows, quality.signup_rules(), "pending_id")
+
+
+@query
+def default_records(spark, sf):
+    t = F.col("triage")
+    rows = A.assessments(spark, sf).select(
+        "assessment_id", "symptoms", t.isNull().alias("triage_failed"),
+        t["alert_level"].alias("triage_alert_level"), t["alert_rationale"].alias("triage_rationale"),
+        t["recommended_timeline"].alias("triage_timeline"), F.lit("").alias("triage_notes"),
+        t["key_symptoms"].alias("triage_key_symptoms"))
+    out = escalation.with_default_records(rows, F.col("assessment_id") % 9)
+    return out.select("assessment_id", F.size("symptoms").alias("n_symptoms"), "conversation_notes",
+                      "triage_alert_level", "triage_rationale", "triage_timeline", "triage_notes")
+
+
+# -- streams, each driven over the whole table ------------------------------
+
+@query
+def stream_streaks(spark, sf):
+    checkins = A.stream_table(spark, sf, "events").select("user_id", "ts")
+    log = jobs.run_available(jobs.stream_streaks(checkins), "streaks")
+    return log.groupBy("user_id").agg(F.max(F.struct("day", "streak", "longest_streak")).alias("s")) \
+        .select("user_id", F.date_from_unix_date("s.day").alias("last_day"), "s.streak", "s.longest_streak")
+
+
+@query
+def stream_sessions(spark, sf):
+    minutes = (F.col("conv_id") * 60 + F.col("turn") * 10).cast("int")
+    messages_in = A.stream_table(spark, sf, "conversations").select(
+        F.col("conv_id").alias("session_id"), F.col("turn").alias("message_id"),
+        F.timestamp_add("MINUTE", minutes, F.lit("2024-01-01").cast("timestamp")).alias("ts"),
+        (F.col("turn") == 0).alias("is_start"))
+    return jobs.run_available(jobs.stream_sessions(messages_in), "sessions") \
+        .select("session_id", "message_id", "accepted")
+
+
+@query
+def stream_alerts(spark, sf):
+    rows = A.assessments(spark, sf, A.stream_table(spark, sf, "events")).select(
+        "assessment_id", "user_id", "flag_for_oncologist", "oncologist_notification_level")
+    return jobs.run_available(jobs.stream_alerts(rows, A.assignments(spark, sf)), "alerts") \
+        .select("doctor_id", "assessment_id", "user_id", "oncologist_notification_level")
+
+
+@query
+def stream_enrich(spark, sf):
+    rows = jobs.stream_enrich(A.submissions(spark, sf, A.stream_table(spark, sf, "orders"))).select(
+        "submission_id", "completion.questions_shown", "completion.questions_answered",
+        "summary.symptom_count", "summary.max_severity", "summary.max_severity_area")
+    return jobs.run_available(rows, "enriched")
+
+
+@query
+def stream_insert_if_absent(spark, sf):
+    new = A.stream_table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("user_id"), F.col("o_orderpriority").alias("achievement_id"),
+        F.col("o_orderkey").alias("at"))
+    root = shared_dir(spark, "unlocks")
+    jobs.stream_insert_if_absent(new, f"{root}/out", f"{root}/progress",
+                                 ["user_id", "achievement_id"], "at").awaitTermination()
+    return spark.read.schema(new.schema).parquet(f"{root}/out")
