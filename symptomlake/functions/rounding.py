@@ -14,16 +14,20 @@ from pyspark.sql import Column, functions as F
 def mean_scaled(total: Column, n: Column, digits: int = 1, ties: str = "even") -> Column:
     """Rounded mean times ``10**digits`` as a long; null when ``n`` is 0 or null.
 
-    Exact for non-negative totals and means below 4 (2 digits) or 8 (1 digit):
-    there every tie is compared with the binary mean in 64-bit arithmetic.
+    Exact for non-negative means below 128 with one or two digits: a tie is
+    compared with the binary mean in 64-bit arithmetic. The mean is scaled by
+    the power of two that makes its 53-bit significand an integer.
     """
     total, n = total.cast("long"), n.cast("long")
     twice = F.lit(2 * 10**digits) * total
     q = F.call_function("div", twice, n)
     is_tie = (twice % n == 0) & (q % 2 == 1)
-    # 2**53 scaling turns the double mean into an exact long
-    binary = (total.cast("double") / n.cast("double") * F.lit(float(2**53))).cast("long")
-    off = binary * F.lit(2 * 10**digits) - q * F.lit(2**53)
+    mean = total.cast("double") / n.cast("double")
+    scale = F.lit(2**60)
+    for exponent in range(-7, 7):
+        scale = F.when(mean >= 2.0**exponent, F.lit(2**(52 - exponent))).otherwise(scale)
+    binary = (mean * scale.cast("double")).cast("long")
+    off = binary * F.lit(2 * 10**digits) - q * scale
     down, up = F.call_function("div", q, F.lit(2)), F.call_function("div", q + 1, F.lit(2))
     at_half = up if ties == "up" else F.when(down % 2 == 0, down).otherwise(up)
     tie = F.when(off > 0, up).when(off < 0, down).otherwise(at_half)

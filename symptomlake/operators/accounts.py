@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from .joins import salted_join
+
 SENSITIVE = ["password", "_id", "conversation_history", "otp_code", "otp_hash"]
 
 
@@ -31,10 +33,15 @@ def _first_by_code(df: DataFrame, value: str, out: str) -> DataFrame:
 def taken_usernames(pending: DataFrame, patients: DataFrame, doctors: DataFrame) -> DataFrame:
     """Sign-ups whose username already exists as patient or doctor.
 
-    The wanted names are few against the accounts, so they are the build side.
+    Only the distinct wanted names meet the account tables.
     """
-    existing = (patients.select("username").unionByName(doctors.select("username")))
-    return pending.join(existing, "username", "left_semi")
+    return salted_join(pending, _existing(pending, patients, doctors), ["username"], "left_semi")
+
+
+def _existing(pending: DataFrame, patients: DataFrame, doctors: DataFrame) -> DataFrame:
+    """Distinct wanted usernames that are taken: each name is looked up once."""
+    accounts = patients.select("username").unionByName(doctors.select("username")).distinct()
+    return pending.select("username").distinct().join(accounts, "username", "left_semi")
 
 
 def resolve_access_codes(pending: DataFrame, doctors: DataFrame, hospitals: DataFrame,
@@ -47,11 +54,10 @@ def resolve_access_codes(pending: DataFrame, doctors: DataFrame, hospitals: Data
     """
     docs = _first_by_code(doctors, "username", "doctor")
     hosp = _first_by_code(hospitals, "name", "hospital")
-    existing = (patients.select("username").unionByName(doctors.select("username"))
-                .distinct().withColumn("exists", F.lit(True)))
-    rows = (pending.withColumnRenamed("access_code", "code")
-            .join(docs, "code", "left").join(hosp, "code", "left")
-            .join(existing, "username", "left"))
+    existing = _existing(pending, patients, doctors).withColumn("exists", F.lit(True))
+    codes = docs.join(hosp, "code", "full")   # one row per code, so popular codes can be salted once
+    rows = salted_join(pending.withColumnRenamed("access_code", "code"), codes, ["code"], "left")
+    rows = salted_join(rows, existing, ["username"], "left")
     status = (F.when(F.col("exists"), "duplicate")
               .when(F.col("doctor").isNotNull(), "patient")
               .when(F.col("hospital").isNotNull(), "doctor").otherwise("invalid"))
@@ -63,12 +69,12 @@ def resolve_access_codes(pending: DataFrame, doctors: DataFrame, hospitals: Data
 def account_audit(accounts: DataFrame) -> DataFrame:
     """EMPTY / SHORT / DUPE flags per account.
 
-    Only usernames that occur more than once are joined back, so the millions
-    of rows of one junk name never meet in a single window.
+    Only usernames that occur more than once are joined back, and the rows of
+    one junk name are dealt over several tasks instead of meeting in a window.
     """
     name = F.coalesce("username", F.lit(""))
     counts = duplicate_usernames(accounts)
-    rows = accounts.withColumn("username", name).join(counts, "username", "left")
+    rows = salted_join(accounts.withColumn("username", name), counts, ["username"], "left")
     flags = F.filter(F.array(
         F.when(F.trim("username") == "", "EMPTY").when(F.length("username") <= 3, "SHORT"),
         F.when(F.col("account_id") > F.col("first_id"), "DUPE")), lambda f: f.isNotNull())

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.accounts import drop_sensitive
+from ..operators.joins import salted_join
 from ..operators.ranking import latest_per_key
 
 
@@ -47,8 +48,8 @@ def cascade_delete(users: DataFrame, related: dict[str, DataFrame],
     """Survivors of every collection and the rows removed per collection.
 
     Names that are no user are ignored. A related collection that lost nothing
-    is left out of the counts. Whether the names are broadcast is decided from
-    their size by the engine.
+    is left out of the counts. The names are few against the documents, and a
+    deleted user may own a large part of them, hence the salted joins.
     """
     doomed = usernames.select("username").distinct().join(users, "username", "left_semi")
     by_user_id = doomed.withColumnRenamed("username", "user_id")
@@ -56,8 +57,8 @@ def cascade_delete(users: DataFrame, related: dict[str, DataFrame],
     counts = [users.join(doomed, "username", "left_semi").agg(F.count("*").alias("removed"))
               .select(F.lit("users").alias("collection"), "removed")]
     for name, df in related.items():
-        survivors[name] = df.join(by_user_id, "user_id", "left_anti")
-        counts.append(df.join(by_user_id, "user_id", "left_semi").agg(F.count("*").alias("removed"))
+        survivors[name] = salted_join(df, by_user_id, ["user_id"], "left_anti")
+        counts.append(salted_join(df, by_user_id, ["user_id"], "left_semi").agg(F.count("*").alias("removed"))
                       .where(F.col("removed") > 0).select(F.lit(name).alias("collection"), "removed"))
     return survivors, reduce(DataFrame.unionByName, counts)
 
@@ -76,7 +77,7 @@ def latest_draft(drafts: DataFrame, *ties: str) -> DataFrame:
 
 def without_users(df: DataFrame, user_ids: DataFrame) -> DataFrame:
     """Rows of users whose draft was not deleted."""
-    return df.join(user_ids.select("user_id"), "user_id", "left_anti")
+    return salted_join(df, user_ids.select("user_id"), ["user_id"], "left_anti")
 
 
 def apply_profile_updates(patients: DataFrame, updates: DataFrame, fields: list[str],

@@ -52,39 +52,55 @@ def stream_streaks(checkins: DataFrame) -> DataFrame:
 
 
 def _session_step(ttl_us: int):
+    def verdicts(session, start, frame):
+        mine = frame[~frame["copy"]]
+        age = mine["ts_us"] - (0 if start is None else start)
+        accepted = (age >= 0) & (age <= ttl_us) if start is not None else age < age
+        return pd.DataFrame({"session_id": session, "message_id": mine["message_id"],
+                             "ts_us": mine["ts_us"], "accepted": accepted})
+
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(frames))
         start = state.get[0] if state.exists else None
-        opened = rows.loc[rows["is_start"], "ts_us"]
-        if start is None and len(opened):
-            start = int(opened.min())
-        if start is None:
-            accepted = pd.Series(False, index=rows.index)   # unknown or long expired session
-        else:
-            accepted = (rows["ts_us"] >= start) & (rows["ts_us"] - start <= ttl_us)
+        waiting = []                      # frames seen before the start of a new session
+        for frame in frames:
+            opened = frame.loc[frame["is_start"], "ts_us"]
+            if start is None and len(opened):
+                start = int(opened.min())
+            if start is None:
+                waiting.append(frame)
+            else:
+                yield verdicts(key[0], start, frame)
+        for frame in waiting:             # without a start: unknown or long expired
+            yield verdicts(key[0], start, frame)
+        if start is not None:
             state.update((start,))
-            # one millisecond past the last accepted instant
             state.setTimeoutTimestamp(max((start + ttl_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"session_id": key[0], "message_id": rows["message_id"],
-                            "ts_us": rows["ts_us"], "accepted": accepted})
     return step
 
 
-def stream_sessions(messages: DataFrame, ttl_seconds: int = 1800, lateness: str = "10 minutes") -> DataFrame:
+def stream_sessions(messages: DataFrame, ttl_seconds: int = 1800, lateness: str = "10 minutes",
+                    salts: int = 8) -> DataFrame:
     """Every message with the verdict whether its session was still open.
 
-    ``messages`` has (session_id, message_id, ts, is_start). A session lives for a fixed time from its start,
-    regardless of activity; messages without a known session are refused. State
-    is one start time per open session (texts never enter it) and an event-time
-    timer removes it.
+    ``messages`` has (session_id, message_id, ts, is_start). A session lives for
+    a fixed time from its start, regardless of activity; messages without a
+    known session are refused. State is one start time per open session (texts
+    never enter it) and an event-time timer removes it.
+
+    Messages of a session are dealt over ``salts`` groups, and its single start
+    row is copied to each of them, so a crowded session has no task of its own.
     """
+    own = F.pmod(F.xxhash64("message_id"), F.lit(salts)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
     rows = (messages.withWatermark("ts", lateness)
-            .select("session_id", "message_id", "ts", F.unix_micros("ts").alias("ts_us"), "is_start"))
+            .select("session_id", "message_id", "ts", F.unix_micros("ts").alias("ts_us"), "is_start",
+                    own.alias("own"), F.explode(F.when(F.col("is_start"), every).otherwise(F.array(own))).alias("salt"))
+            .withColumn("copy", F.col("salt") != F.col("own")).drop("own"))
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.groupBy("session_id").applyInPandasWithState(
+    return rows.groupBy("session_id", "salt").applyInPandasWithState(
         _session_step(ttl_seconds * 1_000_000),
         f"session_id {types['session_id']}, message_id {types['message_id']}, ts_us long, accepted boolean",
         "start long", "append", GroupStateTimeout.EventTimeTimeout)
@@ -95,12 +111,30 @@ def stream_enrich(submissions: DataFrame, catalogue=None) -> DataFrame:
     return questionnaire.enrich(submissions, catalogue)
 
 
-def stream_alerts(assessments: DataFrame, assignments: DataFrame) -> DataFrame:
-    """T4: flagged assessments as they arrive, with the doctors to notify."""
+def alert_feed(assessments: DataFrame, assignments: DataFrame) -> DataFrame:
+    """T4: flagged assessments with the doctors to notify."""
     return escalation.flagged(assessments).join(
         assignments.select("doctor_id", "user_id").distinct(), "user_id")
 
 
+def alert_batch(assignments: DataFrame, target: str):
+    """T4: ``foreachBatch`` function writing a micro-batch's alerts.
+
+    Each micro-batch owns one directory that a repetition replaces. Inside the
+    batch the join is planned adaptively, so a patient with very many alerts is
+    split like in any batch job.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        alert_feed(batch, assignments).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+    return write
+
+
+def stream_alerts(stream: DataFrame, assignments: DataFrame, target: str, checkpoint: str, **trigger):
+    """T4: start the alert feed; returns the running query."""
+    return (stream.writeStream.foreachBatch(alert_batch(assignments, target))
+            .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
+
+
 def insert_batch(target: str, keys: list[str], order: str):
     """T5: ``foreachBatch`` function appending rows whose key is not stored yet.
 

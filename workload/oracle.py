@@ -32,8 +32,10 @@ def mean_scaled(s: str, n: str, digits: int = 1, ties: str = "even") -> str:
     twice = f"({p} * CAST({s} AS BIGINT))"
     n = f"CAST({n} AS BIGINT)"
     q = f"({twice} // {n})"
-    off = (f"(CAST(CAST({s} AS DOUBLE) / CAST({n} AS DOUBLE) * 9007199254740992.0 AS BIGINT) * {p}"
-           f" - {q} * 9007199254740992)")
+    mean = f"(CAST({s} AS DOUBLE) / CAST({n} AS DOUBLE))"
+    scale = "CASE " + " ".join(f"WHEN {mean} >= {2.0**e} THEN {2**(52 - e)}" for e in range(6, -8, -1)) \
+        + f" ELSE {2**60} END"
+    off = f"(CAST({mean} * CAST({scale} AS DOUBLE) AS BIGINT) * {p} - {q} * CAST({scale} AS BIGINT))"
     down, up = f"({q} // 2)", f"(({q} + 1) // 2)"
     half = up if ties == "up" else f"CASE WHEN {down} % 2 = 0 THEN {down} ELSE {up} END"
     return (f"CASE WHEN {n} > 0 THEN CASE WHEN {twice} % {n} = 0 AND {q} % 2 = 1 THEN "

@@ -707,7 +707,9 @@ def stream_sessions(spark, sf):
 def stream_alerts(spark, sf):
     rows = A.assessments(spark, sf, A.stream_table(spark, sf, "events")).select(
         "assessment_id", "user_id", "flag_for_oncologist", "oncologist_notification_level")
-    return jobs.run_available(jobs.stream_alerts(rows, A.assignments(spark, sf)), "alerts") \
+    root = shared_dir(spark, "alerts")
+    jobs.stream_alerts(rows, A.assignments(spark, sf), f"{root}/out", f"{root}/progress").awaitTermination()
+    return spark.read.parquet(f"{root}/out") \
         .select("doctor_id", "assessment_id", "user_id", "oncologist_notification_level")
 
 
