@@ -60,17 +60,17 @@ def _user_week(week: DataFrame, as_of, offset: int) -> DataFrame:
     aggs += [F.count_if(F.col("level") == v).alias(f"alerts_{v}") for v in dims.NOTIFICATION_LEVELS]
     start, _ = timing.week_bounds(as_of, offset)
 
-    def day(d):
-        return F.struct(
-            F.date_add(F.lit(start.date()), d).alias("day"),
-            F.coalesce(rounding.mean_scaled(F.col(f"s{d}"), F.col(f"c{d}")), F.lit(0)).alias("tenths"),
-            F.col(f"n{d}").alias("assessment_count"),
-            (F.col(f"n{d}") > 0).alias("has_data"))
-
+    raw = F.array(*[F.struct(
+        F.date_add(F.lit(start.date()), d).alias("day"), F.col(f"s{d}").alias("total"),
+        F.col(f"c{d}").alias("n"), F.col(f"n{d}").alias("assessment_count")) for d in range(7)])
+    days = F.transform(raw, lambda d: F.struct(
+        d["day"].alias("day"),
+        F.coalesce(rounding.mean_scaled(d["total"], d["n"]), F.lit(0)).alias("tenths"),
+        d["assessment_count"].alias("assessment_count"),
+        (d["assessment_count"] > 0).alias("has_data")))
     return rows.groupBy("user_id").agg(*aggs).select(
         "user_id", "total_assessments", "total_alerts",
-        *[f"alerts_{v}" for v in dims.NOTIFICATION_LEVELS],
-        F.array(*[day(d) for d in range(7)]).alias("days"))
+        *[f"alerts_{v}" for v in dims.NOTIFICATION_LEVELS], days.alias("days"))
 
 
 def _trend(days: Column) -> Column:
@@ -93,7 +93,7 @@ def weekly_daily_series(assessments: DataFrame, as_of, offset: int = 0,
                         exact_bounds: bool = False) -> DataFrame:
     """A1: seven dense days per patient with data in the week."""
     week = _user_week(week_of(assessments, as_of, offset, exact_bounds), as_of, offset)
-    return (week.select("user_id", F.explode("days").alias("d"))
+    return (week.select("user_id", F.explode_outer("days").alias("d"))
             .select("user_id", F.col("d.day").alias("day"),
                     (F.col("d.tenths") / F.lit(10.0)).alias("avg_severity"),
                     F.col("d.assessment_count").alias("assessment_count"),

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # file name pattern of a stored assessment
 FILES = "patient_*_assessment_*.json"
-PATIENT_OF_FILE = r"^patient_([^_]*?)(?:\.json$|_)"
+PATIENT_OF_ASSESSMENT = "^patient_(.*?)_assessment_"
+PATIENT_OF_FILE = r"^patient_([^_]*?)(?:\.json$|_)"   # the part up to the next underscore
 
 DOCUMENT = ("timestamp string, patient_id string, symptoms string, flag_for_oncologist boolean, "
             "flag_reason string, mood_assessment string, conversation_notes string, "
@@ -22,8 +23,8 @@ def read_assessment_json(spark: SparkSession, path: str) -> DataFrame:
     docs = (spark.read.schema(DOCUMENT).option("multiLine", True).option("mode", "PERMISSIVE")
             .option("pathGlobFilter", FILES).json(path))
     return (docs.withColumn("file_patient_id",
-                            F.regexp_extract(F.col("_metadata.file_name"), PATIENT_OF_FILE, 1))
-            .where(F.col("_corrupt_record").isNull() & F.col("timestamp").isNotNull())
+                            F.regexp_extract(F.col("_metadata.file_name"), PATIENT_OF_ASSESSMENT, 1))
+            .where(F.col("_corrupt_record").isNull())
             .drop("_corrupt_record"))
 
 
