@@ -89,16 +89,14 @@ def display_list(q: dict, items: str) -> str:
     return f"transform({items}, v -> {label(q['options'], 'v')})"
 
 
-def display_value(q: dict, raw: str, items: str | None = None) -> str:
+def display_value(q: dict, raw: str, shown_list: str | None = None) -> str:
     """label, joined labels, slider value with unit, or the answer itself."""
     if q["type"] == "slider":
         return f"concat({raw}, {text(q['unit'] or '')})"
     if q["type"] == "text":
         return raw
     one = label(q["options"], raw)
-    if items is None:
-        return one
-    return f"CASE WHEN {items} IS NULL THEN {one} ELSE array_join({display_list(q, items)}, ', ') END"
+    return f"coalesce(array_join({shown_list}, ', '), {one})" if shown_list else one
 
 
 def severity_normalized(q: dict, raw: str) -> str:
@@ -175,37 +173,55 @@ def _struct(**fields: str) -> str:
     return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
 
 
-def response(q: dict, raw: str, items: str | None, shown: str) -> str:
-    """F4-F6, F8 and F9 of one question as a struct."""
+def response(q: dict, raw: str, items: str | None, shown: str, shown_list: str | None,
+             flag: str) -> str:
+    """F4-F6, F8 and F9 of one question as a struct.
+
+    ``items``, ``shown_list`` and ``flag`` refer to the decoded list, its labels
+    and the alert text.
+    """
     def seen(value):
         return f"CASE WHEN {shown} THEN {value} END"
 
     regions = f"array_size({items})" if items and q["type"] in dims.DIAGRAM_TYPES else "CAST(NULL AS INT)"
-    filled = f" AND coalesce(array_size({items}) > 0, true)" if items else ""
     return _struct(
         section_pos=str(q["section_pos"]), question_pos=str(q["question_pos"]),
         section_id=text(q["section_id"]), question_id=text(q["question_id"]),
         question_text=text(q["text"]), type=text(q["type"]),
         was_required=str(q["required"]).lower(), was_shown=shown, raw_value=seen(raw),
-        display_value=seen(display_value(q, raw, items)),
-        display_list=seen(display_list(q, items) if items else "CAST(NULL AS ARRAY<STRING>)"),
+        display_value=seen(display_value(q, raw, shown_list)),
+        display_list=seen(shown_list or "CAST(NULL AS ARRAY<STRING>)"),
         severity_normalized=seen(severity_normalized(q, raw)), region_count=seen(regions),
         skip_reason=f"CASE WHEN NOT {shown} THEN 'conditional_not_met' END",
-        answered=f"({shown} AND {raw} IS NOT NULL{filled})",
-        alert_flag=alert_flag(q["title"], q, raw, items))
+        answered=answered(raw, items, shown), alert_flag=flag)
 
 
-def section_result(section_pos: int, section: dict, severity: str, parts: list[str]) -> str:
-    """F7, F8 and F10 of one section from its response structs."""
-    flags = f"array_compact(array({', '.join(p + '.alert_flag' for p in parts)}))"
-    concern = f"(coalesce({severity}.score > 0, false) OR size({flags}) > 0)"
-    lists = [p + ".display_list" for p, q in zip(parts, section["questions"])
-             if q["type"] in ("multi-select", "body-diagram", "muscle-diagram")]
-    details = f"flatten(array_compact(array({', '.join(lists)})))" if lists else "CAST(NULL AS ARRAY<STRING>)"
-    return _struct(
+def answered(raw: str, items: str | None, shown: str) -> str:
+    """Shown, given, and not an empty list."""
+    filled = f" AND coalesce(array_size({items}) > 0, true)" if items else ""
+    return f"({shown} AND {raw} IS NOT NULL{filled})"
+
+
+def section_result(section_pos: int, section: dict, severity: str, flags: list[str],
+                   lists: list[str], responses: list[str] | None) -> str:
+    """F7, F8 and F10 of one section.
+
+    ``flags`` and ``lists`` are the questions' alert texts and visible label
+    lists; ``responses`` are its response structs if they are wanted.
+    """
+    alerts = f"array_compact(array({', '.join(flags)}))"
+    concern = (f"(coalesce({severity}.score > 0, false) OR "
+               + " OR ".join(f"{f} IS NOT NULL" for f in flags) + ")")
+    listed = [v for v, q in zip(lists, section["questions"])
+              if q["type"] in ("multi-select", "body-diagram", "muscle-diagram")]
+    details = f"flatten(array_compact(array({', '.join(listed)})))" if listed else None
+    fields = dict(
         section_pos=str(section_pos), section_id=text(section["section_id"]),
         title=text(section["title"]), clinical_area=text(section["clinical_area"]),
         severity_score=f"{severity}.score", severity_label=f"{severity}.label",
-        alert_flags=flags, is_concern=concern,
-        details=f"CASE WHEN {concern} AND array_size({details}) > 0 THEN {details} END",
-        responses=f"array({', '.join(parts)})")
+        alert_flags=alerts, is_concern=concern,
+        details=f"CASE WHEN {concern} AND array_size({details}) > 0 THEN {details} END" if details
+        else "CAST(NULL AS ARRAY<STRING>)")
+    if responses:
+        fields["responses"] = f"array({', '.join(responses)})"
+    return _struct(**fields)

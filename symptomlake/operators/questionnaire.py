@@ -18,11 +18,22 @@ def _held(parts: list[str]):
     return F.expr("concat(array(" + ", ".join(parts) + "))")
 
 
-def _respond(submissions: DataFrame, catalogue) -> DataFrame:
-    """``responses`` next to what they are built from.
+STAGED = ["_raw", "_items", "_shown", "_lists", "_flags"]
 
-    Raw answers, decoded lists and visibility are computed once per row, as
-    arrays in catalogue order that the responses refer to by index.
+
+def _number(catalogue) -> dict[str, int]:
+    return {q["question_id"]: i for i, q in enumerate(dims.flat_questions(catalogue))}
+
+
+def _listed(q: dict, name: str, i: int) -> str | None:
+    return f"{name}[{i}]" if q["type"] in Q.LIST_TYPES else None
+
+
+def _stage(submissions: DataFrame, catalogue) -> DataFrame:
+    """Raw answers, decoded lists, visibility, labels and alert texts.
+
+    Each is computed once per row, as an array in catalogue order that later
+    steps refer to by index.
     """
     flat = dims.flat_questions(catalogue)
     number = _number(catalogue)
@@ -30,27 +41,27 @@ def _respond(submissions: DataFrame, catalogue) -> DataFrame:
     def raw(qid):
         return f"_raw[{number[qid]}]" if qid in number else Q.answer(qid)
 
-    items = [Q.as_list(f"_raw[{i}]") if q["type"] in Q.LIST_TYPES else "CAST(NULL AS ARRAY<STRING>)"
-             for i, q in enumerate(flat)]
+    no_list = "CAST(NULL AS ARRAY<STRING>)"
+    items = [Q.as_list(f"_raw[{i}]") if q["type"] in Q.LIST_TYPES else no_list for i, q in enumerate(flat)]
     shown = [Q.is_shown(q, raw(q["depends_on"]) if q["depends_on"] else None) for q in flat]
-    parts = [Q.response(q, f"_raw[{i}]", f"_items[{i}]" if q["type"] in Q.LIST_TYPES else None,
-                        f"_shown[{i}]") for i, q in enumerate(flat)]
+    lists = [Q.display_list(q, f"_items[{i}]") if q["type"] in Q.LIST_TYPES else no_list for i, q in enumerate(flat)]
+    flags = [Q.alert_flag(q["title"], q, f"_raw[{i}]", _listed(q, "_items", i)) for i, q in enumerate(flat)]
     return (submissions
             .withColumn("_raw", _held([Q.answer(q["question_id"]) for q in flat]))
             .withColumns({"_items": _held(items), "_shown": _held(shown)})
-            .withColumn("responses", _held(parts)))
+            .withColumns({"_lists": _held(lists), "_flags": _held(flags)}))
 
 
-def _number(catalogue) -> dict[str, int]:
-    return {q["question_id"]: i for i, q in enumerate(dims.flat_questions(catalogue))}
-
-
-STAGED = ["_raw", "_items", "_shown"]
+def _respond(staged: DataFrame, catalogue) -> DataFrame:
+    parts = [Q.response(q, f"_raw[{i}]", _listed(q, "_items", i), f"_shown[{i}]",
+                        _listed(q, "_lists", i), f"_flags[{i}]")
+             for i, q in enumerate(dims.flat_questions(catalogue))]
+    return staged.withColumn("responses", _held(parts))
 
 
 def with_responses(submissions: DataFrame, catalogue=None) -> DataFrame:
     """Adds ``responses``, one struct per catalogue question, row by row."""
-    return _respond(submissions, catalogue).drop(*STAGED)
+    return _respond(_stage(submissions, catalogue), catalogue).drop(*STAGED)
 
 
 def question_responses(submissions: DataFrame, catalogue=None) -> DataFrame:
@@ -64,12 +75,14 @@ def question_responses(submissions: DataFrame, catalogue=None) -> DataFrame:
             .select(*keep, F.inline_outer("responses")).drop("alert_flag"))
 
 
-def enrich(submissions: DataFrame, catalogue=None) -> DataFrame:
-    """Full enrichment of every submission: ``sections`` and ``summary``.
+def enrich(submissions: DataFrame, catalogue=None, responses: bool = True) -> DataFrame:
+    """Full enrichment of every submission: ``sections``, ``completion``, ``summary``.
 
-    Works unchanged on a streaming DataFrame (stateless, no shuffle).
+    Works unchanged on a streaming DataFrame (stateless, no shuffle). Without
+    ``responses`` the section results carry no response structs, which is all
+    the summaries need.
     """
-    rows, number = _respond(submissions, catalogue), _number(catalogue)
+    rows, number = _stage(submissions, catalogue), _number(catalogue)
 
     def source(qid):
         at = number[qid]
@@ -79,23 +92,30 @@ def enrich(submissions: DataFrame, catalogue=None) -> DataFrame:
     for pos, s in enumerate(catalogue or dims.SECTIONS):
         fallback = source(s["fallback_source"]) if s["fallback_source"] else None
         severities.append(Q.section_severity(s, source(s["severity_source"]), fallback))
-        parts = [f"responses[{at + i}]" for i in range(len(s["questions"]))]
-        at += len(parts)
-        results.append(Q.section_result(pos, s, f"_severity[{pos}]", parts))
-    rows = (rows.withColumn("_severity", _held(severities))
-            .withColumn("sections", _held(results)).drop("responses", "_severity", *STAGED))
-    return rows.withColumns({"completion": _completion(F.col("sections")),
-                             "summary": _summary(F.col("sections"))})
-
-
-def _completion(sections):
-    """Totals over all responses of a submission."""
-    def count(test):
-        return F.aggregate(sections, F.lit(0), lambda acc, s: acc + F.size(F.filter(s["responses"], test)))
-    return F.struct(
-        count(lambda r: F.lit(True)).alias("total_questions"),
-        count(lambda r: r["was_shown"]).alias("questions_shown"),
-        count(lambda r: r["answered"]).alias("questions_answered"))
+        mine = range(at, at + len(s["questions"]))
+        at = mine.stop
+        results.append(Q.section_result(
+            pos, s, f"_severity[{pos}]", [f"_flags[{i}]" for i in mine],
+            [f"CASE WHEN _shown[{i}] THEN _lists[{i}] END" for i in mine],
+            [f"responses[{i}]" for i in mine] if responses else None))
+    if responses:
+        rows = _respond(rows, catalogue)
+    rows = rows.withColumn("_severity", _held(severities))
+    rows = rows.withColumns({"sections": _held(results), "completion": F.struct(*_completion(catalogue))})
+    rows = rows.drop("responses", "_severity", *STAGED)
+    return rows.withColumn("summary", _summary(F.col("sections")))
+
+
+def _completion(catalogue):
+    """Totals over all questions of a submission."""
+    flat = dims.flat_questions(catalogue)
+
+    def count(tests):
+        return F.expr(" + ".join(f"CAST({t} AS INT)" for t in tests))
+    return [F.lit(len(flat)).alias("total_questions"),
+            count(f"_shown[{i}]" for i in range(len(flat))).alias("questions_shown"),
+            count(Q.answered(f"_raw[{i}]", _listed(q, "_items", i), f"_shown[{i}]")
+                  for i, q in enumerate(flat)).alias("questions_answered")]
 
 
 def _summary(sections):
@@ -120,15 +140,19 @@ def section_results(enriched: DataFrame, *keys: str) -> DataFrame:
 
 
 def completion_counts(submissions: DataFrame, catalogue=None) -> DataFrame:
-    """A22 alone: counters straight from the responses, given fields passed on."""
+    """A22 alone: counters straight from the answers, given fields passed on."""
     keep = [c for c in submissions.columns if c != "answers"]
+    return _stage(submissions, catalogue).select(*keep, *_completion(catalogue))
 
-    def count(test):
-        return F.size(F.filter(F.col("responses"), test))
-    return with_responses(submissions, catalogue).select(
-        *keep, F.size("responses").alias("total_questions"),
-        count(lambda r: r["was_shown"]).alias("questions_shown"),
-        count(lambda r: r["answered"]).alias("questions_answered"))
+
+def alert_flags(submissions: DataFrame, catalogue=None) -> DataFrame:
+    """F8, long form: one row per alert text."""
+    keep = [c for c in submissions.columns if c != "answers"]
+    rows = [f"CASE WHEN _flags[{i}] IS NOT NULL THEN named_struct('question_id', "
+            f"{Q.text(q['question_id'])}, 'alert_flag', _flags[{i}]) END"
+            for i, q in enumerate(dims.flat_questions(catalogue))]
+    return (_stage(submissions, catalogue)
+            .select(*keep, F.inline_outer(_held(rows))).where(F.col("alert_flag").isNotNull()))
 
 
 def clinical_summary(enriched: DataFrame, *keys: str) -> DataFrame:

@@ -117,6 +117,17 @@ def test_fallback_details_and_hidden_flags(spark):
     assert row.summary.max_severity_area == "Cough"
 
 
+def test_lean_enrichment_gives_the_same_summary(spark):
+    df = frame(spark, {"cough_frequency": "3-4", "phlegm_color": "red", "sleep_quality": "4", "sleep_hours": "2.5",
+                       "sleep_symptoms": '["anxiety","own words"]', "muscle_pain_areas": "[]"}, {})
+    pick = ["submission_id", "summary", "completion"]
+    full, lean = ops.enrich(df).select(*pick), ops.enrich(df, responses=False).select(*pick)
+    assert full.orderBy("submission_id").collect() == lean.orderBy("submission_id").collect()
+    first = lean.orderBy("submission_id").first()
+    assert first.completion.questions_answered == 4
+    assert first.summary.areas_of_concern[1].details == ["Feeling anxious and/or depressed", "own words"]
+
+
 def test_quotes_in_a_custom_catalogue(spark):
     custom = [dims.section("X1", "It's", "area", "q1", [
         dims.rating("q1", "How's \\ it?", {"1": "can't", "5": 'so "so"'})])]

@@ -11,14 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from symptomlake import dims
 from symptomlake.functions import symptoms as S
 from symptomlake.functions.questionnaire import text
-from symptomlake.sources.tables import read_table
+from symptomlake.sources.tables import read_table, spread
 
 AS_OF = "2024-01-28"       # a Sunday: the week of 22-28 January is complete
 AS_OF_DAY = "2024-01-30"   # last day with events
 
 
 def events(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
-    return (source or read_table(spark, sf_dir, "events")).select(
+    if source is None:
+        source = spread(read_table(spark, sf_dir, "events"), "event_id")
+    return source.select(
         "event_id", "user_id", F.col("ts").alias("created_at"),
         "event_type", "value",
         F.regexp_extract("props", '"k": *([0-9]+)', 1).cast("int").alias("k"))
@@ -254,7 +256,9 @@ def submissions(spark: SparkSession, sf_dir: str, source: DataFrame | None = Non
     pairs = ", ".join(f"{text(spec['question_id'])}, {_answer(q, spec)}"
                       for q, spec in enumerate(dims.flat_questions()))
     answers = F.expr(f"map_filter(map({pairs}), (k, v) -> v IS NOT NULL)")
-    return (source or read_table(spark, sf_dir, "orders")).select(
+    if source is None:
+        source = spread(read_table(spark, sf_dir, "orders"), "o_orderkey")
+    return source.select(
         F.col("o_orderkey").alias("submission_id"), F.col("o_custkey").alias("user_id"),
         F.col("o_orderdate").alias("submitted_at"), answers.alias("answers"))
 

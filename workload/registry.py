@@ -503,8 +503,8 @@ def rate_reissues(spark, sf):
 
 # -- questionnaire ----------------------------------------------------------
 
-def _enriched(spark, sf):
-    return questionnaire.enrich(A.submissions(spark, sf))
+def _enriched(spark, sf, responses=False):
+    return questionnaire.enrich(A.submissions(spark, sf), responses=responses)
 
 
 @query
@@ -522,8 +522,7 @@ def section_results(spark, sf):
 
 @query
 def alert_flags(spark, sf):
-    return questionnaire.with_responses(A.submissions(spark, sf)).select("submission_id", F.inline_outer("responses")) \
-        .where(F.col("alert_flag").isNotNull()).select("submission_id", "question_id", "alert_flag")
+    return questionnaire.alert_flags(A.submissions(spark, sf)).select("submission_id", "question_id", "alert_flag")
 
 
 @query
@@ -540,7 +539,7 @@ def clinical_summary(spark, sf):
 
 @query
 def submission_messages(spark, sf):
-    return messages.with_messages(_enriched(spark, sf)).select("submission_id", F.posexplode_outer("messages").alias("p", "m")) \
+    return messages.with_messages(_enriched(spark, sf, True)).select("submission_id", F.posexplode_outer("messages").alias("p", "m")) \
         .select("submission_id", (F.col("p") + 1).alias("pos"), "m.role", "m.content")
 
 
