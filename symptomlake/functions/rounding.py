@@ -11,32 +11,31 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
-def mean_scaled(total: Column, n: Column, digits: int = 1, ties: str = "even") -> Column:
-    """Rounded mean times ``10**digits`` as a long; null when ``n`` is 0 or null.
+def mean_scaled(total: str, n: str, digits: int = 1, ties: str = "even") -> str:
+    """Expression text of the rounded mean times ``10**digits`` as a long.
 
+    ``total`` and ``n`` are expressions; null when there is nothing to average.
     Exact for non-negative means below 128 with one or two digits: a tie is
     compared with the binary mean in 64-bit arithmetic. The mean is scaled by
     the power of two that makes its 53-bit significand an integer.
     """
-    total, n = total.cast("long"), n.cast("long")
-    twice = F.lit(2 * 10**digits) * total
-    q = F.call_function("div", twice, n)
-    is_tie = (twice % n == 0) & (q % 2 == 1)
-    mean = total.cast("double") / n.cast("double")
-    scale = F.lit(2**60)
-    for exponent in range(-7, 7):
-        scale = F.when(mean >= 2.0**exponent, F.lit(2**(52 - exponent))).otherwise(scale)
-    binary = (mean * scale.cast("double")).cast("long")
-    off = binary * F.lit(2 * 10**digits) - q * scale
-    down, up = F.call_function("div", q, F.lit(2)), F.call_function("div", q + 1, F.lit(2))
-    at_half = up if ties == "up" else F.when(down % 2 == 0, down).otherwise(up)
-    tie = F.when(off > 0, up).when(off < 0, down).otherwise(at_half)
-    return F.when(n > 0, F.when(is_tie, tie).otherwise(up))
-
-
-def mean_rounded(total: Column, n: Column, digits: int = 1, ties: str = "even") -> Column:
+    step = 2 * 10**digits
+    mean = f"(CAST({total} AS DOUBLE) / CAST({n} AS DOUBLE))"
+    scale = "CASE " + " ".join(f"WHEN {mean} >= {2.0**e}D THEN {2**(52 - e)}L" for e in range(6, -8, -1)) \
+        + f" ELSE {2**60}L END"
+    twice = f"({step}L * {total})"
+    q = f"({twice} DIV {n})"
+    off = f"(CAST({mean} * CAST({scale} AS DOUBLE) AS BIGINT) * {step}L - {q} * {scale})"
+    down, up = f"({q} DIV 2)", f"(({q} + 1) DIV 2)"
+    half = up if ties == "up" else f"CASE WHEN {down} % 2 = 0 THEN {down} ELSE {up} END"
+    tie = f"CASE WHEN {off} > 0 THEN {up} WHEN {off} < 0 THEN {down} ELSE {half} END"
+    return (f"CASE WHEN {n} > 0 THEN CASE WHEN {twice} % {n} = 0 AND {q} % 2 = 1 THEN {tie} "
+            f"ELSE {up} END END")
+
+
+def mean_rounded(total: str, n: str, digits: int = 1, ties: str = "even") -> Column:
     """Rounded mean as a double; null when there is nothing to average."""
-    return mean_scaled(total, n, digits, ties) / F.lit(float(10**digits))
+    return F.expr(f"({mean_scaled(total, n, digits, ties)}) / {float(10**digits)}D")
 
 
 def ratio(total: Column, n: Column) -> Column:

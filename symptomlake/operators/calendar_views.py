@@ -51,7 +51,7 @@ def monthly_symptom_averages(assessments: DataFrame, month) -> DataFrame:
     sums = rows.groupBy("user_id", "symptom").agg(F.sum("sev").alias("total"), F.count("*").alias("n"))
     mean = rounding.ratio(F.col("total"), F.col("n"))
     return sums.select("user_id", "symptom", "n", mean.alias("mean_severity"),
-                       rounding.mean_rounded(F.col("total"), F.col("n"), 1, "up").alias("shown")) \
+                       rounding.mean_rounded("total", "n", 1, "up").alias("shown")) \
         .orderBy("user_id", F.col("mean_severity").desc(), "symptom")
 
 

@@ -42,9 +42,9 @@ def monthly_severity_by_day(assessments: DataFrame, as_of, offset: int = 0) -> D
     return (month_of(assessments, as_of, offset)
             .select("user_id", F.dayofmonth("created_at").alias("day_of_month"),
                     rounding.ratio(total, n).alias("mean"))
-            .where(F.col("mean").isNotNull())
-            .groupBy("user_id", "day_of_month")
-            .agg(F.greatest(F.max("mean"), F.lit(0.0)).alias("severity")))
+            .groupBy("user_id", "day_of_month").agg(F.max("mean").alias("top"))
+            .where(F.col("top").isNotNull())
+            .select("user_id", "day_of_month", F.greatest("top", F.lit(0.0)).alias("severity")))
 
 
 def available_symptoms(assessments: DataFrame, as_of, offset: int = 0) -> DataFrame:

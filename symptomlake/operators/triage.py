@@ -67,7 +67,7 @@ def triage_stats(users: DataFrame, assessments: DataFrame) -> DataFrame:
     counts = ["total_assessments"] + [f"n_{v.lower()}" for v in dims.ALERT_LEVELS + ["UNKNOWN"]]
     return users.select("user_id").join(stats, "user_id", "left").select(
         "user_id", *[F.coalesce(c, zero).alias(c) for c in counts],
-        F.coalesce(rounding.mean_rounded(F.col("confidence_sum"), F.col("total_assessments"), 2),
+        F.coalesce(rounding.mean_rounded("confidence_sum", "total_assessments", 2),
                    F.lit(0.0)).alias("average_confidence"))
 
 

@@ -52,22 +52,18 @@ def _user_week(week: DataFrame, as_of, offset: int) -> DataFrame:
         F.coalesce("oncologist_notification_level", F.lit("none")).alias("level"))
     aggs = []
     for d in range(7):
-        on = F.col("day") == d
-        aggs += [F.count_if(on).alias(f"n{d}"),
-                 F.sum(F.when(on, F.col("sev_sum")).otherwise(0)).alias(f"s{d}"),
-                 F.sum(F.when(on, F.col("sev_n")).otherwise(0)).alias(f"c{d}")]
+        aggs += [F.expr(f"count_if(day = {d}) AS n{d}"),
+                 F.expr(f"sum(CASE WHEN day = {d} THEN sev_sum ELSE 0 END) AS s{d}"),
+                 F.expr(f"sum(CASE WHEN day = {d} THEN sev_n ELSE 0 END) AS c{d}")]
     aggs += [F.count("*").alias("total_assessments"), F.count_if("flag").alias("total_alerts")]
     aggs += [F.count_if(F.col("level") == v).alias(f"alerts_{v}") for v in dims.NOTIFICATION_LEVELS]
     start, _ = timing.week_bounds(as_of, offset)
 
-    raw = F.array(*[F.struct(
-        F.date_add(F.lit(start.date()), d).alias("day"), F.col(f"s{d}").alias("total"),
-        F.col(f"c{d}").alias("n"), F.col(f"n{d}").alias("assessment_count")) for d in range(7)])
-    days = F.transform(raw, lambda d: F.struct(
-        d["day"].alias("day"),
-        F.coalesce(rounding.mean_scaled(d["total"], d["n"]), F.lit(0)).alias("tenths"),
-        d["assessment_count"].alias("assessment_count"),
-        (d["assessment_count"] > 0).alias("has_data")))
+    raw = ", ".join(f"named_struct('day', date_add(DATE'{start.date()}', {d}), 'total', s{d}, 'n', c{d}, "
+                    f"'seen', n{d})" for d in range(7))
+    days = F.expr(f"transform(array({raw}), d -> named_struct('day', d.day, "
+                  f"'tenths', coalesce({rounding.mean_scaled('d.total', 'd.n')}, 0L), "
+                  f"'assessment_count', d.seen, 'has_data', d.seen > 0))")
     return rows.groupBy("user_id").agg(*aggs).select(
         "user_id", "total_assessments", "total_alerts",
         *[f"alerts_{v}" for v in dims.NOTIFICATION_LEVELS], days.alias("days"))
@@ -106,7 +102,7 @@ def weekly_severity_by_symptom(assessments: DataFrame, as_of, offset: int = 0) -
             .groupBy("user_id", "symptom")
             .agg(F.sum("severity").alias("total"), F.count("*").alias("n"))
             .select("user_id", "symptom", "n",
-                    rounding.mean_rounded(F.col("total"), F.col("n")).alias("avg_severity")))
+                    rounding.mean_rounded("total", "n").alias("avg_severity")))
 
 
 def most_concerning_symptom(assessments: DataFrame, as_of, offset: int = 0) -> DataFrame:
@@ -121,7 +117,7 @@ def most_concerning_symptom(assessments: DataFrame, as_of, offset: int = 0) -> D
         F.min_by(F.struct("symptom", "total", "n"), rank).alias("top"))
     return top.select(
         "user_id", title_symptom(F.col("top.symptom")).alias("symptom_name"),
-        rounding.mean_rounded(F.col("top.total"), F.col("top.n")).alias("avg_severity"))
+        rounding.mean_rounded("top.total", "top.n").alias("avg_severity"))
 
 
 def weekly_alerts(assessments: DataFrame, as_of, offset: int = 0) -> DataFrame:

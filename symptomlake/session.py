@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -19,6 +20,7 @@ def build_session(app: str = "symptomlake", master: str | None = None, **conf) -
                .config("spark.sql.session.timeZone", "UTC")
                .config("spark.sql.adaptive.enabled", "true")
                .config("spark.sql.adaptive.skewJoin.enabled", "true")
+               .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
                .config("spark.sql.shuffle.partitions", "8")
                .config("spark.driver.memory", "12g")
                .config("spark.ui.enabled", "false"))
@@ -37,6 +39,5 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
-        import uuid
         return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     return tempfile.mkdtemp(prefix=f"run-{name}-")

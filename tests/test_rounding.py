@@ -4,8 +4,6 @@ from decimal import Decimal
 from fractions import Fraction
 
 import pytest
-from pyspark.sql import functions as F
-
 from symptomlake.functions import rounding
 
 
@@ -13,7 +11,7 @@ from symptomlake.functions import rounding
 def test_matches_python_round(spark, digits, top):
     pairs = [(t, n) for n in range(1, 130) for t in range(0, top * n + 1)]
     df = spark.createDataFrame(pairs, "t long, n long")
-    got = df.select("t", "n", rounding.mean_rounded(F.col("t"), F.col("n"), digits).alias("m")).collect()
+    got = df.select("t", "n", rounding.mean_rounded("t", "n", digits).alias("m")).collect()
     assert len(got) == len(pairs)
     assert [(r.t, r.n) for r in got if r.m != round(r.t / r.n, digits)] == []
 
@@ -27,11 +25,11 @@ def test_fixed_point_display_rounds_exact_ties_up(spark):
         return float(Decimal(int(tenths) + (1 if rest >= Fraction(1, 2) else 0)) / 10)
 
     df = spark.createDataFrame(pairs, "t long, n long")
-    got = df.select("t", "n", rounding.mean_rounded(F.col("t"), F.col("n"), 1, "up").alias("m")).collect()
+    got = df.select("t", "n", rounding.mean_rounded("t", "n", 1, "up").alias("m")).collect()
     assert [(r.t, r.n, r.m) for r in got if r.m != shown(r.t, r.n)] == []
 
 
 def test_empty_group_is_null(spark):
     row = spark.createDataFrame([(0, 0)], "t long, n long").select(
-        rounding.mean_rounded(F.col("t"), F.col("n")).alias("m")).first()
+        rounding.mean_rounded("t", "n").alias("m")).first()
     assert row.m is None

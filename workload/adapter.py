@@ -11,11 +11,29 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from symptomlake import dims
 from symptomlake.functions import symptoms as S
 from symptomlake.functions.questionnaire import text
+from symptomlake.session import shared_dir
 from symptomlake.sources.tables import read_table, spread
 
 AS_OF = "2024-01-28"       # a Sunday: the week of 22-28 January is complete
 AS_OF_DAY = "2024-01-30"   # last day with events
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A clinical table derived from the given tables once per application.
+
+    Analytics run on stored documents; writing the derived table to the shared
+    folder first gives the queries a real scan with pushed filters and pruned
+    columns instead of the formulas below.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        path = f"{shared_dir(spark, name)}/data"
+        build().write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
 
 def events(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
     if source is None:
@@ -99,8 +117,13 @@ def sessions(spark: SparkSession, sf_dir: str, source: DataFrame | None = None)
             .withColumn("symptoms", symptom_array()))
 
 
-def assessments(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
-    """Stored assessments: symptom rules and triage merged by the library."""
+def assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored assessments."""
+    return stored(spark, sf_dir, "assessments", lambda: derive_assessments(spark, sf_dir))
+
+
+def derive_assessments(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
+    """Symptom rules and triage merged by the library, from events or a stream of them."""
     rows = (sessions(spark, sf_dir, source)
             .withColumn("structured", S.escalation(F.col("symptoms"), F.col("treatment_status")))
             .withColumn("triage", triage_struct()))
@@ -251,8 +274,13 @@ def _answer(q: int, spec: dict) -> str:
     return f"CASE WHEN ({key} + {q}) % 7 <> 0 THEN {value} END"
 
 
-def submissions(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
-    """One questionnaire submission per order."""
+def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored questionnaire submissions."""
+    return stored(spark, sf_dir, "submissions", lambda: derive_submissions(spark, sf_dir))
+
+
+def derive_submissions(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
+    """One questionnaire submission per order, from orders or a stream of them."""
     pairs = ", ".join(f"{text(spec['question_id'])}, {_answer(q, spec)}"
                       for q, spec in enumerate(dims.flat_questions()))
     answers = F.expr(f"map_filter(map({pairs}), (k, v) -> v IS NOT NULL)")

@@ -138,7 +138,7 @@ def escalate(spark, sf):
 
 @query
 def merge_notification(spark, sf):
-    return A.assessments(spark, sf).select(
+    return A.derive_assessments(spark, sf).select(
         "assessment_id", "alert_level", "oncologist_notification_level", "flag_for_oncologist")
 
 
@@ -704,7 +704,7 @@ def stream_sessions(spark, sf):
 
 @query
 def stream_alerts(spark, sf):
-    rows = A.assessments(spark, sf, A.stream_table(spark, sf, "events")).select(
+    rows = A.derive_assessments(spark, sf, A.stream_table(spark, sf, "events")).select(
         "assessment_id", "user_id", "flag_for_oncologist", "oncologist_notification_level")
     root = shared_dir(spark, "alerts")
     jobs.stream_alerts(rows, A.assignments(spark, sf), f"{root}/out", f"{root}/progress").awaitTermination()
@@ -714,7 +714,7 @@ def stream_alerts(spark, sf):
 
 @query
 def stream_enrich(spark, sf):
-    rows = jobs.stream_enrich(A.submissions(spark, sf, A.stream_table(spark, sf, "orders"))).select(
+    rows = jobs.stream_enrich(A.derive_submissions(spark, sf, A.stream_table(spark, sf, "orders"))).select(
         "submission_id", "completion.questions_shown", "completion.questions_answered",
         "summary.symptom_count", "summary.max_severity", "summary.max_severity_area")
     return jobs.run_available(rows, "enriched")
