@@ -670,3 +670,18 @@ SQL |= {
           FROM resp GROUP BY 1) r ON r.id = s.id"""),
     "stream_insert_if_absent": """SELECT o_custkey AS user_id, o_orderpriority AS achievement_id, min(o_orderkey) AS at FROM orders GROUP BY 1, 2""",
 }
+SQL |= {
+    "questionnaire_history": with_("ans", f"""SELECT user_id, submission_id, submitted_at, answered, newest_rank FROM (
+        SELECT o_custkey AS user_id, o_orderkey AS submission_id, {TS('o_orderdate')} AS submitted_at, coalesce(n, 0) AS answered,
+          row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS newest_rank
+        FROM orders LEFT JOIN (SELECT id, count(*) AS n FROM ans GROUP BY 1) a ON a.id = o_orderkey) WHERE newest_rank <= 10"""),
+    "patient_assessments": with_("tri_rank reports", f"""SELECT t.user_id, t.assessment_id, {TS('t.created_at')} AS created_at, t.alert_level,
+        CASE WHEN t.assessment_id % 13 = 0 THEN NULL ELSE coalesce(n, 0) END AS n_symptoms, t.newest_rank
+        FROM tri_rank t LEFT JOIN (SELECT assessment_id, count(*) AS n FROM reports GROUP BY 1) r USING (assessment_id)
+        WHERE newest_rank <= 20"""),
+    "upcoming_events": "SELECT * FROM (" + SQL["normalize_events"] + ") ORDER BY start, event_id LIMIT 10",
+}
+SQL["scored_submissions"] = with_("msgs sec", """SELECT o_orderkey AS submission_id, 'questionnaire_' || o_orderkey AS session_id,
+    m.n AS n_messages, s.n AS symptom_count FROM orders JOIN (SELECT id, count(*) AS n FROM msgs GROUP BY 1) m ON m.id = o_orderkey
+    JOIN (SELECT id, count(*) FILTER (is_concern) AS n FROM sec GROUP BY 1) s ON s.id = o_orderkey
+    WHERE o_orderstatus <> 'F' AND m.n >= 3""")

@@ -11,6 +11,7 @@ from symptomlake.operators import (accounts, calendar_views, careteam, escalatio
                                    quality, questionnaire, ranking, rates, scheduling, streaks, triage, weekly)
 from symptomlake.operators import next_question as next_question_ops
 from symptomlake.operators import timeline as timeline_ops
+from symptomlake.plans import reports
 from symptomlake.session import shared_dir
 from symptomlake.sources import tables
 from symptomlake.sources.tables import read_table
@@ -729,3 +730,30 @@ def stream_insert_if_absent(spark, sf):
     jobs.stream_insert_if_absent(new, f"{root}/out", f"{root}/progress",
                                  ["user_id", "achievement_id"], "at").awaitTermination()
     return spark.read.schema(new.schema).parquet(f"{root}/out")
+
+
+# -- histories --------------------------------------------------------------
+
+@query
+def questionnaire_history(spark, sf):
+    rows = A.submissions(spark, sf).select("user_id", "submission_id", "submitted_at", F.size("answers").alias("answered"))
+    return ranking.newest_n(rows, "user_id", ["submitted_at", "submission_id"], 10)
+
+
+@query
+def patient_assessments(spark, sf):
+    rows = accounts.drop_sensitive(triage.with_triage(A.assessments(spark, sf))).select(
+        "user_id", "assessment_id", "created_at", "alert_level", F.array_size("symptoms").alias("n_symptoms"))
+    return ranking.newest_n(rows, "user_id", ["created_at", "assessment_id"], 20)
+
+
+@query
+def upcoming_events(spark, sf):
+    return scheduling.upcoming(A.calendar_events(spark, sf), "2024-01-10", 10).drop("attendees")
+
+
+@query
+def scored_submissions(spark, sf):
+    rows = reports.scored_submissions(A.submissions(spark, sf), A.derived_records(spark, sf))
+    return rows.select("submission_id", "session_id", F.size("messages").alias("n_messages"),
+                       F.col("summary.symptom_count").alias("symptom_count"))
