@@ -18,7 +18,15 @@ def _held(parts: list[str]):
     return F.expr("concat(array(" + ", ".join(parts) + "))")
 
 
-STAGED = ["_raw", "_items", "_shown", "_lists", "_flags"]
+def _fenced(df: DataFrame, keep: list[str], **fields: str) -> DataFrame:
+    """Adds computed columns as output of a one-row generator.
+
+    A later filter on them then tests the finished values; through a plain
+    projection the optimizer would copy the whole computation into the filter.
+    Filters on the kept columns still pass down to the scan.
+    """
+    row = ", ".join(f"'{name}', {expr}" for name, expr in fields.items())
+    return df.select(*keep, F.expr(f"inline_outer(array(named_struct({row})))"))
 
 
 def _number(catalogue) -> dict[str, int]:
@@ -52,16 +60,16 @@ def _stage(submissions: DataFrame, catalogue) -> DataFrame:
             .withColumns({"_lists": _held(lists), "_flags": _held(flags)}))
 
 
-def _respond(staged: DataFrame, catalogue) -> DataFrame:
+def _responses(catalogue) -> str:
     parts = [Q.response(q, f"_raw[{i}]", _listed(q, "_items", i), f"_shown[{i}]",
                         _listed(q, "_lists", i), f"_flags[{i}]")
              for i, q in enumerate(dims.flat_questions(catalogue))]
-    return staged.withColumn("responses", _held(parts))
+    return f"concat(array({', '.join(parts)}))"
 
 
 def with_responses(submissions: DataFrame, catalogue=None) -> DataFrame:
     """Adds ``responses``, one struct per catalogue question, row by row."""
-    return _respond(_stage(submissions, catalogue), catalogue).drop(*STAGED)
+    return _fenced(_stage(submissions, catalogue), submissions.columns, responses=_responses(catalogue))
 
 
 def question_responses(submissions: DataFrame, catalogue=None) -> DataFrame:
@@ -99,23 +107,24 @@ def enrich(submissions: DataFrame, catalogue=None, responses: bool = True) -> Da
             [f"CASE WHEN _shown[{i}] THEN _lists[{i}] END" for i in mine],
             [f"responses[{i}]" for i in mine] if responses else None))
     if responses:
-        rows = _respond(rows, catalogue)
+        rows = rows.withColumn("responses", F.expr(_responses(catalogue)))
     rows = rows.withColumn("_severity", _held(severities))
-    rows = rows.withColumns({"sections": _held(results), "completion": F.struct(*_completion(catalogue))})
-    rows = rows.drop("responses", "_severity", *STAGED)
+    counts = ", ".join(f"'{name}', {expr}" for name, expr in _completion(catalogue).items())
+    rows = _fenced(rows, submissions.columns, sections=f"array({', '.join(results)})",
+                   completion=f"named_struct({counts})")
     return rows.withColumn("summary", _summary(F.col("sections")))
 
 
-def _completion(catalogue):
+def _completion(catalogue) -> dict[str, str]:
     """Totals over all questions of a submission."""
     flat = dims.flat_questions(catalogue)
 
     def count(tests):
-        return F.expr(" + ".join(f"CAST({t} AS INT)" for t in tests))
-    return [F.lit(len(flat)).alias("total_questions"),
-            count(f"_shown[{i}]" for i in range(len(flat))).alias("questions_shown"),
-            count(Q.answered(f"_raw[{i}]", _listed(q, "_items", i), f"_shown[{i}]")
-                  for i, q in enumerate(flat)).alias("questions_answered")]
+        return " + ".join(f"CAST({t} AS INT)" for t in tests)
+    return {"total_questions": str(len(flat)),
+            "questions_shown": count(f"_shown[{i}]" for i in range(len(flat))),
+            "questions_answered": count(Q.answered(f"_raw[{i}]", _listed(q, "_items", i), f"_shown[{i}]")
+                                        for i, q in enumerate(flat))}
 
 
 def _summary(sections):
@@ -142,7 +151,7 @@ def section_results(enriched: DataFrame, *keys: str) -> DataFrame:
 def completion_counts(submissions: DataFrame, catalogue=None) -> DataFrame:
     """A22 alone: counters straight from the answers, given fields passed on."""
     keep = [c for c in submissions.columns if c != "answers"]
-    return _stage(submissions, catalogue).select(*keep, *_completion(catalogue))
+    return _fenced(_stage(submissions, catalogue), keep, **_completion(catalogue))
 
 
 def alert_flags(submissions: DataFrame, catalogue=None) -> DataFrame:

@@ -128,6 +128,16 @@ def test_lean_enrichment_gives_the_same_summary(spark):
     assert first.summary.areas_of_concern[1].details == ["Feeling anxious and/or depressed", "own words"]
 
 
+def test_filters_meet_finished_values_or_the_scan(spark, tmp_path):
+    frame(spark, {"appetite_rating": "4"}, {}).write.parquet(str(tmp_path / "s"))
+    stored = spark.read.parquet(str(tmp_path / "s"))
+    hit = ops.enrich(stored).where("summary.symptom_count > 0 and completion.questions_answered > 0 and submission_id = 0")
+    text = hit._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(submission_id,0)" in text and text.count("others_specify") < 120
+    assert [r.submission_id for r in hit.collect()] == [0]
+    assert messages.with_messages(ops.enrich(stored)).where("size(messages) >= 3").count() == 1
+
+
 def test_quotes_in_a_custom_catalogue(spark):
     custom = [dims.section("X1", "It's", "area", "q1", [
         dims.rating("q1", "How's \\ it?", {"1": "can't", "5": 'so "so"'})])]
