@@ -86,8 +86,14 @@ def between_dates(ts: Column, first, last) -> Column:
 
 
 def parse_iso(text: Column) -> Column:
-    """ISO-8601 text, with ``T`` or blank, offset or ``Z``; null when unparsable."""
-    return F.try_to_timestamp(text)
+    """ISO-8601 text, with ``T`` or blank, offset or ``Z``, as zone-less UTC time.
+
+    Text without a zone is UTC, whatever zone the session has; null when
+    unparsable.
+    """
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    zoned = F.timestamp_add("MICROSECOND", F.unix_micros(F.try_to_timestamp(text)), epoch)
+    return F.when(text.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), zoned).otherwise(text.try_cast("timestamp_ntz"))
 
 
 def show_ts(text: Column) -> Column:
