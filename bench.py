@@ -15,7 +15,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from symptomlake.session import build_session  # noqa: E402
+from symptomlake.session import build_local_session  # noqa: E402
 from workload import registry  # noqa: E402
 
 HEADLINES = [
@@ -37,7 +37,7 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     names = sys.argv[1:] or HEADLINES
-    spark = build_session("bench", master=f"local[{cpus}]", spark__sql__shuffle__partitions=str(cpus))
+    spark = build_local_session("bench", cpus)
     seconds = {}
     for name in names:
         run(spark, name, sf_dir)

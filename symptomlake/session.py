@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -10,20 +10,18 @@ from pyspark.sql import SparkSession
 
 
 def build_session(app: str = "symptomlake", master: str | None = None, **conf) -> SparkSession:
-    """Local session for tests and benchmarks; a cluster brings its own.
+    """A session with the settings the library counts on.
 
-    Adaptive execution sizes partitions and splits skewed joins; the zone is
-    fixed because all times in the data model are UTC.
+    Master, memory and number of shuffle partitions are left to ``spark-submit``
+    unless asked for here. Adaptive execution sizes partitions and splits skewed
+    joins; the zone is fixed because all times in the data model are UTC.
     """
     builder = (SparkSession.builder.appName(app)
-               .master(master or f"local[{os.environ.get('BENCH_CPUS', '8')}]")
                .config("spark.sql.session.timeZone", "UTC")
                .config("spark.sql.adaptive.enabled", "true")
-               .config("spark.sql.adaptive.skewJoin.enabled", "true")
-               .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
-               .config("spark.sql.shuffle.partitions", "8")
-               .config("spark.driver.memory", "12g")
-               .config("spark.ui.enabled", "false"))
+               .config("spark.sql.adaptive.skewJoin.enabled", "true"))
+    if master:
+        builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
@@ -31,13 +29,24 @@ def build_session(app: str = "symptomlake", master: str | None = None, **conf) -
     return spark
 
 
+def build_local_session(app: str, cpus: int = 8, **conf) -> SparkSession:
+    """One process on this machine, for tests and benchmarks."""
+    local = {"spark__sql__shuffle__partitions": str(cpus), "spark__driver__memory": "12g", "spark__ui__enabled": "false",
+             "spark__sql__adaptive__coalescePartitions__minPartitionSize": "64k",
+             "spark__checkpoint__dir": tempfile.mkdtemp(prefix="run-shared-")}
+    return build_session(app, f"local[{cpus}]", **local | conf)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """Folder for a written intermediate table.
+    """A new folder for a written table, below the shared folder that ``spark.checkpoint.dir`` names.
 
-    A cluster names a shared folder in ``spark.checkpoint.dir``; only where it
-    is unset, as in tests, a temporary folder is taken.
+    Where it is unset, a session inside one process takes a temporary folder;
+    on a cluster that would leave each executor's rows on its own disk, so
+    the setting is required there.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"run-{name}-")
+    if not root:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="run-shared-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

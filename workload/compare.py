@@ -11,7 +11,7 @@ import time
 
 import duckdb
 
-from symptomlake.session import build_session
+from symptomlake.session import build_local_session
 
 from . import oracle, registry
 
@@ -59,7 +59,7 @@ def compare(spark, con, name: str, sf_dir: str) -> tuple[bool, str]:
 def main(argv):
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     names = argv[1:] or list(registry.QUERIES)
-    spark, con = build_session("compare"), duck(sf_dir)
+    spark, con = build_local_session("compare"), duck(sf_dir)
     bad = 0
     for name in names:
         try:
