@@ -163,7 +163,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, members: DataFrame, rule: Link
     built = (docs.select(F.col("doc_id").cast("long"), "text")
              .mapInArrow(build, "doc_id long, class binary, shingles array<long>"))
     one = built.join(wanted.select("class", F.col("doc_id").alias("_w")), "class").where(
-        F.col("doc_id").eqNullSafe(F.col("_w"))).select("class", "shingles")
+        F.col("doc_id").eqNullSafe(F.col("_w"))).select("class", "shingles").dropDuplicates(["class"])
     full = stored(one, "sets")
     left = pairs.join(full.select(F.col("class").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(full.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, minhash, quality, sharding
+from . import chat, decontam, media, minhash, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,3 +40,16 @@ def op4_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Links(words=3, over=85))
+
+
+@query
+def op7_snapshot_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op9_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SQL |= {"op7_snapshot_chat": chat.SQL, "op9_containment_search": decontam.SQL}
