@@ -31,8 +31,9 @@ SEPARATOR = r"[^\p{L}\p{N}]+"
 
 def _shingled(rows: DataFrame, key: str) -> DataFrame:
     """``key`` and its different shingle hashes, as an array (empty without words)."""
-    split = rows.where(F.col(key).isNotNull()).select(
-        F.col(key), F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), SEPARATOR), "").alias("words"))
+    split = F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), SEPARATOR), "")
+    # As the one element of a generator, the words are computed once; a plain projection would be copied into the lambda.
+    split = rows.where(F.col(key).isNotNull()).select(key, F.explode(F.array(split)).alias("words"))
     word: Column = F.col("words")
     run = F.transform(F.sequence(F.lit(0), F.size(word) - WORDS),
                       lambda i: F.xxhash64(*[F.get(word, i + k) for k in range(WORDS)]))
@@ -87,15 +88,17 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 #: The same result by brute force.
 SQL = r"""
-WITH split AS (
-  SELECT 0 AS side, doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') AS w
+WITH split AS MATERIALIZED (
+  SELECT 0 AS side, doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w
   FROM documents WHERE doc_id IS NOT NULL
   UNION ALL
-  SELECT 1, item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '')
+  SELECT 1, item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')
   FROM benchmark WHERE item_id IS NOT NULL),
-shingle AS (
-  SELECT DISTINCT side, id, array_to_string(w[i:i + 4], ' ') AS s
-  FROM (SELECT side, id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM split WHERE len(w) > 0)),
+word AS (SELECT side, id, unnest(w) AS t, generate_subscripts(w, 1) AS i, len(w) AS n FROM split),
+run AS (
+  SELECT side, id, i, n, string_agg(t, ' ') OVER (PARTITION BY side, id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS s
+  FROM word),
+shingle AS MATERIALIZED (SELECT DISTINCT side, id, s FROM run WHERE i = 1 OR i <= n - 4),
 item AS (SELECT id, s, count(*) OVER (PARTITION BY id) AS q FROM shingle WHERE side = 1),
 pair AS (
   SELECT d.id AS doc_id, i.id AS item_id, i.q AS q, count(*) AS shared
