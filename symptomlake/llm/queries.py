@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, media, minhash, quality, sharding
+from . import chat, decontam, media, minhash, packing, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,3 +53,8 @@ def op9_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL |= {"op7_snapshot_chat": chat.SQL, "op9_containment_search": decontam.SQL}
+
+
+@query
+def op5_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
