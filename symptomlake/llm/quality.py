@@ -123,18 +123,24 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], m: Ftrl) -> np.ndarray:
     return weights(z, n)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", model: Ftrl = Ftrl()) -> np.ndarray:
-    """Weights from ``labels`` (doc_id, ``label`` 0 or 1) and the texts of ``docs``.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
+    """turn, doc_id, label and text of at most ``most`` label rows: those with the smallest hash of their id.
 
-    The chosen label rows are bounded, so they may be broadcast; documents are
-    read once and not shuffled. The features of those rows meet in one task,
-    which runs the sequential updates.
+    They are bounded, so they may be broadcast; documents are read once and not shuffled.
     """
     chosen = (labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
               .select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("label"))
-              .withColumn("turn", F.xxhash64("doc_id")).orderBy("turn", "doc_id", "label").limit(model.max_train))
-    pairs = (docs.select(F.col("doc_id").cast("long"), "text")
-             .join(F.broadcast(chosen), "doc_id").select("turn", "doc_id", "label", "text"))
+              .withColumn("turn", F.xxhash64("doc_id")).orderBy("turn", "doc_id", "label").limit(most))
+    return (docs.select(F.col("doc_id").cast("long"), "text")
+            .join(F.broadcast(chosen), "doc_id").select("turn", "doc_id", "label", "text"))
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", model: Ftrl = Ftrl()) -> np.ndarray:
+    """Weights from ``labels`` (doc_id, ``label`` 0 or 1) and the texts of ``docs``.
+
+    The features of the chosen rows meet in one task, which runs the sequential updates.
+    """
+    pairs = labelled(docs, labels, label, model.max_train)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
