@@ -2,8 +2,8 @@
 
 ``P(grade <= k) = sigmoid(threshold_k - w x)`` with one weight vector ``w`` for all ordered thresholds; the answer is
 the expected severity, the sum over ``k`` of ``P(grade > k)``. Features are the different words of a text and their
-beginnings of 5 to 8 bytes (A-Z lower-cased), hashed to ``2**bits`` places, each 1 where it occurs; so inflected forms
-share weight and length alone says nothing. Weights are learnt by coordinate-wise follow-the-regularised-leader steps
+beginnings of 5 to 8 bytes (A-Z lower-cased), hashed to ``2**bits`` places, so inflected forms share weight. A place
+that occurs counts 1, or less if more than ``COMMON`` of the training rows have it. Weights are learnt by coordinate-wise follow-the-regularised-leader steps
 with an absolute penalty, thresholds by gradient steps that keep their order.
 
 Labels that say only toxic or not are graded by the training task: a place is marked if toxic rows of the sample hold
@@ -28,18 +28,19 @@ from .quality import KIND, fold, labelled
 
 STARTS = (0, 5, 6, 7, 8)  # 0: the whole word
 MARKED = 5.0
+COMMON = 0.02
 GRADES = 4
 
 
 @dataclass(frozen=True)
 class Ordinal:
     bits: int = 20
-    alpha: float = 0.2
+    alpha: float = 0.5
     beta: float = 1.0
-    l1: float = 1.0
+    l1: float = 0.027  # times the root of the number of rows
     l2: float = 0.05
     epochs: int = 5
-    max_train: int = 16_384
+    max_train: int = 32_768
 
 
 def occurrences(at: np.ndarray, data: np.ndarray, bits: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -60,21 +61,29 @@ def _sigmoid(x):
 
 
 def fit(rows: list[tuple[np.ndarray, int]], m: Ordinal) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered thresholds from (places, grade)."""
+    """Weights (the worth of each place included) and ordered thresholds from (places, grade)."""
     z, n = np.zeros(1 << m.bits), np.zeros(1 << m.bits)
+    held = np.bincount(np.concatenate([p for p, _ in rows]), minlength=1 << m.bits)
+    worth = np.minimum(1.0, COMMON * len(rows) / np.maximum(held, 1))
+    penalty = m.l1 * len(rows) ** 0.5
+
+    def weights(zi, ni):
+        return np.where(np.abs(zi) <= penalty, 0.0,
+                        (np.sign(zi) * penalty - zi) / ((m.beta + np.sqrt(ni)) / m.alpha + m.l2))
+
     share = np.cumsum(np.bincount([g for _, g in rows], minlength=GRADES))[:-1] / len(rows)
     cut = np.log((share + 1e-3) / (1 - share + 1e-3)) + np.arange(GRADES - 1) * 1e-3
     slope_sum = np.ones(GRADES - 1)
     for _ in range(m.epochs):
         for place, grade in rows:
-            zi, ni = z[place], n[place]
-            w = np.where(np.abs(zi) <= m.l1, 0.0, (np.sign(zi) * m.l1 - zi) / ((m.beta + np.sqrt(ni)) / m.alpha + m.l2))
-            upto = np.concatenate([[0.0], _sigmoid(cut - w.sum()), [1.0]])
+            x, zi, ni = worth[place], z[place], n[place]
+            w = weights(zi, ni)
+            upto = np.concatenate([[0.0], _sigmoid(cut - (w * x).sum()), [1.0]])
             curve = upto * (1 - upto)
             chance = max(upto[grade + 1] - upto[grade], 1e-9)
-            g = (curve[grade + 1] - curve[grade]) / chance  # slope of the loss along w x
-            grown = ni + g * g
-            z[place] = zi + g - (np.sqrt(grown) - np.sqrt(ni)) / m.alpha * w
+            slope = (curve[grade + 1] - curve[grade]) / chance * x
+            grown = ni + slope * slope
+            z[place] = zi + slope - (np.sqrt(grown) - np.sqrt(ni)) / m.alpha * w
             n[place] = grown
             step = np.zeros(GRADES - 1)
             if grade < GRADES - 1:
@@ -83,7 +92,7 @@ def fit(rows: list[tuple[np.ndarray, int]], m: Ordinal) -> tuple[np.ndarray, np.
                 step[grade - 1] += curve[grade] / chance
             slope_sum += step * step
             cut = np.maximum.accumulate(cut - 0.3 * step / np.sqrt(slope_sum))
-    return np.where(np.abs(z) <= m.l1, 0.0, (np.sign(z) * m.l1 - z) / ((m.beta + np.sqrt(n)) / m.alpha + m.l2)), cut
+    return weights(z, n) * worth, cut
 
 
 def graded(rows: list[tuple[np.ndarray, int]], bits: int) -> list[int]:
@@ -138,7 +147,7 @@ def severities(at: np.ndarray, data: np.ndarray, weights: np.ndarray, cut: np.nd
     return np.round(_sigmoid(margin[:, None] - cut[None, :]), 9)
 
 
-def score(docs: DataFrame, labels: DataFrame, model: Ordinal = Ordinal(), least: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, model: Ordinal = Ordinal(), least: float = 0.25) -> DataFrame:
     """doc_id, held_out, expected_severity (0 to 3), grade (likeliest), p_toxic and toxic of every row."""
     weights, cut = train(docs, labels.where(~fold()), model)
 
