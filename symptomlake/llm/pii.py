@@ -189,7 +189,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 def _masked(text: str, base: str, terms: list[dict] | None) -> str:
     cuts = [(int(a), int(b), f"<{kind.upper()}>") for kind, a, b in (x.split(":") for x in base.split(",") if x)]
-    for t in terms or []:
+    for t in [] if terms is None else terms:
         word = text[t["start"]:t["end"]]
         cuts.append((t["start"], t["end"], "" if t["removed"] else "<NUMBER>" if word.isdigit() else "<WORD>"))
     out, at = [], 0

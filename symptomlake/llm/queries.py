@@ -52,7 +52,7 @@ def op9_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-SQL |= {"op7_snapshot_chat": chat.SQL, "op9_containment_search": decontam.SQL}
+SQL |= {"op6_bbit_minhash": minhash.SQL, "op7_snapshot_chat": chat.SQL, "op9_containment_search": decontam.SQL}
 
 
 @query

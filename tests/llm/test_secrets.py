@@ -1,0 +1,29 @@
+import hashlib
+
+from symptomlake.llm import secrets
+
+
+def corpus():
+    rows = []
+    for k in range(240):
+        key = hashlib.sha1(str(k).encode()).hexdigest()
+        kind = k % 4
+        rows.append((k, f'set token = "{key}" here' if kind == 0 else f"commit {key} of the day" if kind == 1
+                     else f"order 49{k:014d} was sent" if kind == 2 else f"see https://x.org/a/page-number-{k:09d}/index now"))
+    return rows
+
+
+def test_forest_on_held_out_rows(spark):
+    rows = corpus() + [(None, None), (900, ""), (901, 'password: "0123456789abcdef0123456789abcdef01234567"')]
+    out = secrets.scan(spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, start int")).collect()
+    text = dict(rows)
+    assert {(r.doc_id, r.start_at, r.end_at) for r in out} == {
+        (i, m.start(), m.end()) for i, t in rows for m in secrets._CANDIDATE.finditer(t or "") if any(c.isdigit() for c in m.group())}
+    right = [r.secret == int("token =" in text[r.doc_id]) for r in out if r.doc_id < 900]
+    assert sum(right) / len(right) > 0.97
+
+
+def test_one_label_or_none(spark):
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+    assert {r.p_secret for r in secrets.scan(docs.where("doc_id % 4 > 0")).collect()} == {0.0}
+    assert secrets.scan(docs.where("false")).count() == 0
