@@ -7,12 +7,15 @@ of one band. The chance that a pair at similarity 0.8 shares no band is 3e-6 (2e
 
 1. One pass over the texts gives set size, set digest, packed signature and band keys. Documents with equal sets are
    one class from here on, whatever their number.
-2. In each band bucket, every class is paired with the bucket's least class: a star, not all pairs.
+2. In each band bucket, every class is paired with one hub, the class with the most companions over all its buckets
+   (of a family of copies that is its original, or near to it): a star, not all pairs.
 3. Pairs whose estimate is more than six standard deviations below the threshold go; the others are confirmed on the
    full sets, built again for candidate documents only.
-4. Buckets whose classes do not yet hang together are compared in full, in square blocks of bounded size; a block keeps
-   only pairs between different components that pass the estimate. These are confirmed too. No pair that shares a
-   bucket stays unexamined unless its ends are already linked by confirmed pairs.
+4. Buckets whose classes do not yet hang together are compared in full: the classes of all such buckets with one hub
+   form a group, and its largest component is compared with the others in blocks of bounded size. Pairs go first by an
+   exact bound (both sides lose the shingles that no other such class has), then by the estimate; the rest is counted
+   on the full sets in the block, which names only links that join something new. No pair that shares a bucket is left
+   out unless it cannot be similar enough or its ends are already linked.
 5. Components of the confirmed links, as stars over classes.
 
 Nulls and edges: a null or wordless text has an empty set and is linked with nothing; a text with fewer words than a
@@ -37,7 +40,7 @@ from .order import stored
 B = 2
 ROWS, BANDS = 6, 42
 K = ROWS * BANDS
-BLOCK = 256
+BLOCK = 192
 _RNG = np.random.default_rng(20_240_301)
 _A = _RNG.integers(1, 2**32, K, dtype=np.uint32) | np.uint32(1)
 _C = _RNG.integers(0, 2**32, K, dtype=np.uint32)
@@ -97,6 +100,10 @@ def sets(at: np.ndarray, data: np.ndarray, n: int) -> Iterator[np.ndarray]:
         yield np.unique(arrays.shingles(word[a:b], n))
 
 
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 SKETCH = "doc_id long, n_shingles long, class binary, signature binary, bands array<long>"
 
 
@@ -110,7 +117,7 @@ def sketches(docs: DataFrame, rule: Links) -> DataFrame:
                     size.append(len(s))
                     if len(s):
                         least = minima(s)
-                        digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                        digest.append(_digest(s))
                         packed.append(pack(least))
                         keys.append(band_keys(least))
                     else:
@@ -138,16 +145,12 @@ def _likely(pairs: DataFrame, rule: Links) -> DataFrame:
     return fits.select("a", "b", "sa", "sb").mapInArrow(run, PAIR)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, members: DataFrame, rule: Links) -> DataFrame:
-    """The pairs that hold on their full sets.
+def full_sets(wanted: DataFrame, docs: DataFrame, rule: Links) -> DataFrame:
+    """class and shingles of the classes in ``wanted`` (class, doc_id: one of its documents).
 
-    Sets are built for one document of each class in a pair. Texts of other
-    documents are left behind in the scan by a bit table of fixed size over
-    the ids wanted (false positives only cost time; the join is exact).
+    Texts of other documents are left behind in the scan by a bit table of
+    fixed size over the ids wanted (false positives only cost time; the join is exact).
     """
-    wanted = (pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-              .join(members, "class").select("class", "doc_id"))
-    wanted = stored(wanted, "wanted")
     table = _bits(wanted)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,18 +161,23 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, members: DataFrame, rule: Link
             for part, at, data in arrays.runs(batch):
                 found = list(sets(at, data, rule.words))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found], pa.binary()),
+                    [part.column(0), pa.array([_digest(s) for s in found], pa.binary()),
                      pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["doc_id", "class", "shingles"])
     built = (docs.select(F.col("doc_id").cast("long"), "text")
              .mapInArrow(build, "doc_id long, class binary, shingles array<long>"))
     one = built.join(wanted.select("class", F.col("doc_id").alias("_w")), "class").where(
         F.col("doc_id").eqNullSafe(F.col("_w"))).select("class", "shingles").dropDuplicates(["class"])
-    full = stored(one, "sets")
+    return stored(one, "sets")
+
+
+def _confirmed(pairs: DataFrame, full: DataFrame, rule: Links) -> DataFrame:
+    """The pairs that hold on their full sets."""
     left = pairs.join(full.select(F.col("class").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(full.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - shared
-    return both.where(shared.cast("long") * rule.under >= union.cast("long") * rule.over).select("a", "b").distinct()
+    held = both.where(shared.cast("long") * rule.under >= union.cast("long") * rule.over).select("a", "b").distinct()
+    return stored(held, "links")
 
 
 TABLE_BITS = 23
@@ -192,60 +200,121 @@ def _bits(wanted: DataFrame) -> np.ndarray:
     return table
 
 
-def _rest(bands: DataFrame, roots: DataFrame, rule: Links) -> DataFrame:
-    """Likely pairs in buckets that hold several components still."""
-    placed = bands.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn(
-        "root", F.coalesce("root", "class"))
-    mixed = (placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"))
-             .where("lo != hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    mixed = stored(mixed, "mixed")
-    # A bucket of m blocks: each block meets every block, itself included; a row joins the squares of its own block.
-    own = placed.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    squares = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "root",
-        "signature", "n")
-
-    def run(square: pa.Table) -> pa.Table:
-        packed = np.frombuffer(b"".join(square.column("signature").to_pylist()), np.uint8).reshape(square.num_rows, -1)
-        root, name = np.array(square.column("root").to_pylist(), object), square.column("class").to_pylist()
-        own, n = square.column("own").to_numpy(), square.column("n").to_numpy()
-        i, j = square.column("i")[0].as_py(), square.column("j")[0].as_py()
-        a, b = [], []
-        right = np.flatnonzero(own == j)
-        for x in np.flatnonzero(own == i):
-            y = right if i != j else right[right > x]
-            y = y[root[y] != root[x]]
-            small, large = np.minimum(n[y], n[x]), np.maximum(n[y], n[x])
-            y = y[small * rule.under >= large * rule.over]
-            for k in y[estimate(packed[x], packed[y]) >= rule.least] if len(y) else ():
-                lo, hi = sorted((name[x], name[k]))
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of one list with every set of the other."""
+    both = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    out = np.zeros((len(left), len(right)), np.int64)
+    for k in range(0, len(both), 4096):
+        part = both[k:k + 4096]
+        x, y = (np.stack([np.isin(part, s, assume_unique=True) for s in side]).astype(np.float32) for side in (left, right))
+        out += np.rint(x @ y.T).astype(np.int64)
+    return out
+
+
+def _joined(square: pa.Table, rule: Links) -> pa.Table:
+    """The links between two blocks of classes (or inside one) that join different components."""
+    own, n, u = (square.column(c).to_numpy() for c in ("own", "n", "own_only"))
+    packed = np.frombuffer(b"".join(square.column("signature").to_pylist()), np.uint8).reshape(square.num_rows, -1)
+    root = np.unique(np.array(square.column("root").to_pylist(), object), return_inverse=True)[1]
+    i, j = square.column("i")[0].as_py(), square.column("j")[0].as_py()
+    x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    a, b = [], []
+    if len(x) and len(y):
+        most = np.minimum((n - u)[x][:, None], (n - u)[y][None, :])  # shingles that the two can share
+        total = n[x][:, None] + n[y][None, :]
+        maybe = (root[x][:, None] != root[y][None, :]) & (most * rule.under >= (total - most) * rule.over)
+        for k in np.flatnonzero(maybe.any(axis=1)):
+            maybe[k] &= estimate(packed[x[k]], packed[y]) >= rule.least
+        x, y, maybe, total = (v for v in (x[maybe.any(axis=1)], y[maybe.any(axis=0)],
+                                          maybe[maybe.any(axis=1)][:, maybe.any(axis=0)],
+                                          total[maybe.any(axis=1)][:, maybe.any(axis=0)]))
+    if len(x) and len(y):
+        held = square.column("shingles").combine_chunks()
+        sets_ = {k: held[int(k)].values.to_numpy() for k in {*x.tolist(), *y.tolist()}}
+        both = _shared([sets_[k] for k in x.tolist()], [sets_[k] for k in y.tolist()])
+        name = square.column("class").to_pylist()
+        up = list(range(int(root.max()) + 1))
+
+        def top(r: int) -> int:
+            while up[r] != r:
+                up[r] = r = up[up[r]]
+            return r
+        for p, q in zip(*np.nonzero(maybe & (both * rule.under >= (total - both) * rule.over))):
+            s, t = top(int(root[x[p]])), top(int(root[y[q]]))
+            if s != t:
+                up[s] = t
+                lo, hi = sorted((name[x[p]], name[y[q]]))
                 a.append(hi)
                 b.append(lo)
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-    return squares.groupBy("key", "i", "j").applyInArrow(run, PAIR).distinct()
+    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+
+def _rest(members: DataFrame, facts: DataFrame, rule: Links) -> DataFrame:
+    """Links between different components inside the groups of ``members`` (hub, class, root).
+
+    ``facts`` (class, signature, n, own_only, shingles) has the classes that can have a link at all.
+    """
+    alive = stored(members.join(facts.select("class"), "class"), "alive")
+    sizes = alive.groupBy("hub", "root").agg(F.count(F.lit(1)).alias("size"))
+    groups = sizes.groupBy("hub").agg(F.max(F.struct("size", "root")).alias("largest"), F.sum("size").alias("total"))
+    groups = groups.where("total > largest.size").select(
+        "hub", F.col("largest.root").alias("main"), F.ceil((F.col("total") - F.col("largest.size")) / BLOCK).alias("others"),
+        F.ceil(F.col("largest.size") / BLOCK).alias("mains"))
+    placed = alive.join(stored(groups, "groups"), "hub")
+    # Blocks 0 .. others-1 hold the other components, the following ones the main component, which need not meet itself.
+    at, apart = F.xxhash64("class"), F.col("root") != F.col("main")
+    own = F.when(apart, F.pmod(at, F.col("others"))).otherwise(F.col("others") + F.pmod(at, F.col("mains")))
+    meets = F.sequence(F.lit(0).cast("long"), F.col("others") + F.when(apart, F.col("mains")).otherwise(F.lit(0)) - 1)
+    squares = placed.select("hub", "class", "root", own.alias("own"), F.explode(meets).alias("other")).select(
+        "hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "root")
+    return squares.join(facts, "class").groupBy("hub", "i", "j").applyInArrow(lambda t: _joined(t, rule), PAIR).distinct()
 
 
 def near_duplicates(docs: DataFrame, rule: Links = Links()) -> DataFrame:
     """doc_id, n_shingles, component_id (least id of the component), kept; one row for each row of ``docs``."""
     known = stored(sketches(docs, rule), "sketches")
-    named = known.where(F.col("class").isNotNull())
-    classes = stored(named.groupBy("class").agg(F.min("doc_id").alias("doc_id"),
-                                                F.first("signature").alias("signature"), F.first("n_shingles").alias("n"),
-                                                F.first("bands").alias("bands")), "classes")
-    bands = classes.select("class", "signature", "n", F.explode("bands").alias("key"))
-    centres = stored(classes.select(F.explode("bands").alias("key"), "class").groupBy("key")
-                     .agg(F.min("class").alias("b"), F.count(F.lit(1)).alias("size"))
-                     .where("size > 1").select("key", "b"), "centres")
-    buckets = stored(bands.join(centres, "key"), "buckets")  # only rows that share a bucket
-    members = classes.select("class", "doc_id")
-    names = classes.select(F.col("class").alias("b"), F.col("signature").alias("sb"), F.col("n").alias("nb"))
-    star = (buckets.where("class != b").select(F.col("class").alias("a"), "b", F.col("signature").alias("sa"),
-                                               F.col("n").alias("na")).dropDuplicates(["a", "b"]).join(names, "b"))
-    sure = stored(_confirmed(stored(_likely(star, rule), "likely"), docs, members, rule), "links")
-    rest = stored(_rest(buckets.drop("b"), components(sure), rule), "rest")
-    if not rest.isEmpty():
-        sure = sure.unionByName(_confirmed(rest, docs, members, rule))
+    classes = stored(known.where(F.col("class").isNotNull()).groupBy("class").agg(
+        F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n"),
+        F.first("bands").alias("bands")), "classes")
+    # Buckets with company, and in each the class that has most company.
+    bands = classes.select(F.explode("bands").alias("key"), "class")
+    shared = stored(bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared-keys")
+    buckets = stored(bands.join(shared, "key"), "buckets")
+    company = buckets.groupBy("class").agg(F.sum("size").alias("company"))
+    hubs = stored(buckets.join(company, "class").groupBy("key").agg(
+        F.max(F.struct("company", "class")).alias("hub")).select("key", F.col("hub.class").alias("b")), "hubs")
+    star = buckets.join(hubs, "key").where("class != b").select(F.col("class").alias("a"), "b").distinct()
+
+    facts = classes.select("class", "doc_id", "signature", "n")
+    ends = star
+    for end in ("a", "b"):
+        ends = ends.join(facts.select(F.col("class").alias(end), F.col("signature").alias(f"s{end}"),
+                                      F.col("n").alias(f"n{end}")), end)
+    likely = stored(_likely(ends, rule), "likely")
+    wanted = stored(likely.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+                    .join(facts.select("class", "doc_id"), "class"), "wanted")
+    sure = _confirmed(likely, full_sets(wanted, docs, rule), rule)
+
+    # Buckets that hold several components still, all those with one hub together.
     roots = components(sure)
+    placed = stored(buckets.join(roots.withColumnRenamed("node", "class"), "class", "left").select(
+        "key", "class", F.coalesce("root", "class").alias("root")), "placed")
+    several = (placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
+               .join(hubs, "key").select("key", F.col("b").alias("hub")))
+    members = stored(placed.join(stored(several, "several"), "key").select("hub", "class", "root").distinct(), "members")
+    open_ = stored(members.select("class").distinct().join(facts, "class"), "open")
+    sets_ = full_sets(open_.select("class", "doc_id"), docs, rule)
+    each = sets_.select("class", F.explode("shingles").alias("shingle"))
+    alone = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("held"), F.min("class").alias("class")).where("held = 1")
+    u = alone.groupBy("class").agg(F.count(F.lit(1)).alias("own_only"))
+    bounded = stored(open_.join(u, "class", "left").select(
+        "class", "signature", "n", F.coalesce("own_only", F.lit(0)).alias("own_only"))
+        .where((F.col("n") - F.col("own_only")) * rule.under >= F.col("n") * rule.over).join(sets_, "class"), "bounded")
+    rest = stored(_rest(members, bounded, rule), "rest")
+    if not rest.isEmpty():
+        sure = sure.unionByName(rest)
+        roots = components(sure)
+
     ids = stored(classes.select("class", F.col("doc_id").alias("least"))
                  .join(roots.withColumnRenamed("node", "class"), "class", "left")
                  .withColumn("root", F.coalesce("root", "class")), "roots")
@@ -260,3 +329,28 @@ def keep_one(docs: DataFrame, rule: Links = Links()) -> DataFrame:
     """The rows of ``docs`` with one document of each component: the one with the least id; repeated rows once."""
     kept = near_duplicates(docs, rule).where("kept").select("doc_id").distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+
+
+#: The registered query (three words, 85 %) by brute force.
+SQL = r"""
+WITH RECURSIVE split AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+word AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i, len(w) AS n FROM split),
+run AS (
+  SELECT doc_id, i, n, string_agg(t, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS s
+  FROM word),
+shingle AS MATERIALIZED (SELECT DISTINCT doc_id, s FROM run WHERE i = 1 OR i <= n - 2),
+size AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM shingle x JOIN shingle y ON x.s = y.s AND x.doc_id <> y.doc_id
+  GROUP BY ALL),
+link AS MATERIALIZED (
+  SELECT a, b FROM shared JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE 100 * k >= 85 * (p.n + q.n - k)),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, coalesce(l.b, d.doc_id)) AS component_id,
+       d.doc_id = least(d.doc_id, coalesce(l.b, d.doc_id)) AS kept
+FROM split d LEFT JOIN size s ON s.doc_id = d.doc_id LEFT JOIN least l ON l.a = d.doc_id
+"""
