@@ -125,13 +125,13 @@ def _severity(method: str | None, raw: str, items: str, options: dict) -> str:
         score = region_severity(f"coalesce(array_size({items}), 0)")
         name = lookup(score, dims.REGION_LABELS, "Unknown")
     else:
-        score, name = f"coalesce(CAST({as_number(raw)} AS INT), 0)", label(options, raw)
-    return f"named_struct('score', {score}, 'label', {name})"
+        score, name = f"coalesce({as_number(raw)}, 0)", label(options, raw)
+    return f"named_struct('score', CAST({score} AS DOUBLE), 'label', {name})"
 
 
 def section_severity(section: dict, source: tuple[str, str],
                      fallback: tuple[str, str] | None = None) -> str:
-    """struct(score, label) from the source answer, else from the fallback's.
+    """struct(score, label) from the source answer, else from the fallback's; a fractional rating stays one.
 
     Both come as (raw, items) expressions.
     """

@@ -107,6 +107,12 @@ def is_expired(ts_text: Column, ttl_seconds: int, as_of) -> Column:
     return F.coalesce(parse_iso(ts_text) < _ts(limit), F.lit(True))
 
 
+def split_expired(rows, ts_text: Column, ttl_seconds: int, as_of) -> tuple:
+    """Live rows and expired rows."""
+    gone = is_expired(ts_text, ttl_seconds, as_of)
+    return rows.where(~gone), rows.where(gone)
+
+
 def is_past(ts: Column, as_of) -> Column:
     """An explicit expiry moment that has gone by."""
     return F.coalesce(ts < _ts(as_datetime(as_of)), F.lit(True))

@@ -31,17 +31,22 @@ def _first_by_code(df: DataFrame, value: str, out: str) -> DataFrame:
 
 
 def taken_usernames(pending: DataFrame, patients: DataFrame, doctors: DataFrame) -> DataFrame:
-    """Sign-ups whose username already exists as patient or doctor.
+    """Sign-ups whose username exists already, as patient, as doctor or in
+    an earlier sign-up (the one with the lesser ``pending_id``).
 
     Only the distinct wanted names meet the account tables.
     """
-    return salted_join(pending, _existing(pending, patients, doctors), ["username"], "left_semi")
+    names = _existing(pending, patients, doctors).select(
+        "username", "known", F.col("pending_id").alias("_first"))
+    return (salted_join(pending, names, ["username"], "inner")
+            .where(F.col("known") | (F.col("pending_id") > F.col("_first"))).select(*pending.columns))
 
 
 def _existing(pending: DataFrame, patients: DataFrame, doctors: DataFrame) -> DataFrame:
-    """Distinct wanted usernames that are taken: each name is looked up once."""
-    accounts = patients.select("username").unionByName(doctors.select("username")).distinct()
-    return pending.select("username").distinct().join(accounts, "username", "left_semi")
+    """Each wanted username once: its first sign-up, and whether an account has it."""
+    accounts = patients.select("username").unionByName(doctors.select("username")).distinct().withColumn("known", F.lit(True))
+    return (pending.groupBy("username").agg(F.min("pending_id").alias("pending_id"))
+            .join(accounts, "username", "left").withColumn("known", F.coalesce("known", F.lit(False))))
 
 
 def resolve_access_codes(pending: DataFrame, doctors: DataFrame, hospitals: DataFrame,
@@ -49,16 +54,16 @@ def resolve_access_codes(pending: DataFrame, doctors: DataFrame, hospitals: Data
     """Role of every sign-up from its access code.
 
     A doctor's code makes a patient of that doctor, else a hospital's code makes
-    a doctor, else the code is invalid; existing usernames are rejected. The
-    first occurrence of a code counts.
+    a doctor, else the code is invalid; usernames of accounts
+    and of earlier sign-ups are rejected. The first occurrence of a code counts.
     """
     docs = _first_by_code(doctors, "username", "doctor")
     hosp = _first_by_code(hospitals, "name", "hospital")
-    existing = _existing(pending, patients, doctors).withColumn("exists", F.lit(True))
+    existing = _existing(pending, patients, doctors).withColumnRenamed("pending_id", "first_id")
     codes = docs.join(hosp, "code", "full")   # one row per code, so popular codes can be salted once
     rows = salted_join(pending.withColumnRenamed("access_code", "code"), codes, ["code"], "left")
     rows = salted_join(rows, existing, ["username"], "left")
-    status = (F.when(F.col("exists"), "duplicate")
+    status = (F.when(F.col("known") | (F.col("pending_id") > F.col("first_id")), "duplicate")
               .when(F.col("doctor").isNotNull(), "patient")
               .when(F.col("hospital").isNotNull(), "doctor").otherwise("invalid"))
     return rows.select("pending_id", "username", "code", status.alias("status"),

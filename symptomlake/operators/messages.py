@@ -43,6 +43,11 @@ def _message(role: str, content: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
 
+def _number(value: Column) -> Column:
+    """A score without a needless fraction."""
+    return F.when(value == F.floor(value), value.cast("long").cast("string")).otherwise(value.cast("string"))
+
+
 def submission_messages(sections: Column, alert_flags: Column) -> Column:
     """an enriched submission as a message array.
 
@@ -60,7 +65,7 @@ def submission_messages(sections: Column, alert_flags: Column) -> Column:
 
     def pair(b):
         note = F.when(b["score"].isNotNull() & (b["label"] != ""), F.concat(
-            F.lit("\nOverall severity: "), b["label"], F.lit(" ("), b["score"].cast("string"), F.lit(")"))) \
+            F.lit("\nOverall severity: "), b["label"], F.lit(" ("), _number(b["score"]), F.lit(")"))) \
             .otherwise(F.lit(""))
         return F.array(
             _message("assistant", F.concat(F.lit("Let me ask about "), b["title"], F.lit("."))),

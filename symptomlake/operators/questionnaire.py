@@ -37,6 +37,9 @@ def _listed(q: dict, name: str, i: int) -> str | None:
     return f"{name}[{i}]" if q["type"] in Q.LIST_TYPES else None
 
 
+STAGED = ["_raw", "_items", "_shown", "_lists", "_flags"]
+
+
 def _stage(submissions: DataFrame, catalogue) -> DataFrame:
     """Raw answers, decoded lists, visibility, labels and alert texts.
 
@@ -60,16 +63,24 @@ def _stage(submissions: DataFrame, catalogue) -> DataFrame:
             .withColumns({"_lists": _held(lists), "_flags": _held(flags)}))
 
 
-def _responses(catalogue) -> str:
-    parts = [Q.response(q, f"_raw[{i}]", _listed(q, "_items", i), f"_shown[{i}]",
-                        _listed(q, "_lists", i), f"_flags[{i}]")
-             for i, q in enumerate(dims.flat_questions(catalogue))]
-    return f"concat(array({', '.join(parts)}))"
+def _response_columns(rows: DataFrame, keep: list[str], catalogue) -> tuple[DataFrame, list[str]]:
+    """``keep`` and one struct column per question, and the names of those columns.
+
+    As columns of their own the structs are generated as many small methods;
+    together in one expression they would outgrow the size of a Java method.
+    """
+    flat = dims.flat_questions(catalogue)
+    names = [f"_r{i}" for i in range(len(flat))]
+    parts = [F.expr(Q.response(q, f"_raw[{i}]", _listed(q, "_items", i), f"_shown[{i}]",
+                               _listed(q, "_lists", i), f"_flags[{i}]")).alias(name)
+             for (i, q), name in zip(enumerate(flat), names)]
+    return rows.select(*keep, *parts), names
 
 
 def with_responses(submissions: DataFrame, catalogue=None) -> DataFrame:
     """Adds ``responses``, one struct per catalogue question, row by row."""
-    return _fenced(_stage(submissions, catalogue), submissions.columns, responses=_responses(catalogue))
+    rows, names = _response_columns(_stage(submissions, catalogue), submissions.columns, catalogue)
+    return _fenced(rows, submissions.columns, responses=f"array({', '.join(names)})")
 
 
 def question_responses(submissions: DataFrame, catalogue=None) -> DataFrame:
@@ -79,8 +90,8 @@ def question_responses(submissions: DataFrame, catalogue=None) -> DataFrame:
     evaluating it twice for a non-empty check.
     """
     keep = [c for c in submissions.columns if c != "answers"]
-    return (with_responses(submissions, catalogue)
-            .select(*keep, F.inline_outer("responses")).drop("alert_flag"))
+    rows, names = _response_columns(_stage(submissions, catalogue), keep, catalogue)
+    return rows.select(*keep, F.expr(f"inline_outer(array({', '.join(names)}))")).drop("alert_flag")
 
 
 def enrich(submissions: DataFrame, catalogue=None, responses: bool = True) -> DataFrame:
@@ -105,13 +116,15 @@ def enrich(submissions: DataFrame, catalogue=None, responses: bool = True) -> Da
         results.append(Q.section_result(
             pos, s, f"_severity[{pos}]", [f"_flags[{i}]" for i in mine],
             [f"CASE WHEN _shown[{i}] THEN _lists[{i}] END" for i in mine],
-            [f"responses[{i}]" for i in mine] if responses else None))
-    if responses:
-        rows = rows.withColumn("responses", F.expr(_responses(catalogue)))
+            [f"_r{i}" for i in mine] if responses else None))
     rows = rows.withColumn("_severity", _held(severities))
+    if responses:
+        rows, _ = _response_columns(rows, [*submissions.columns, *STAGED, "_severity"], catalogue)
     counts = ", ".join(f"'{name}', {expr}" for name, expr in _completion(catalogue).items())
-    rows = _fenced(rows, submissions.columns, sections=f"array({', '.join(results)})",
-                   completion=f"named_struct({counts})")
+    names = [f"_s{pos}" for pos in range(len(results))]
+    rows = rows.select(*submissions.columns, F.expr(f"named_struct({counts})").alias("_completion"),
+                       *(F.expr(result).alias(name) for result, name in zip(results, names)))
+    rows = _fenced(rows, submissions.columns, sections=f"array({', '.join(names)})", completion="_completion")
     return rows.withColumn("summary", _summary(F.col("sections")))
 
 

@@ -12,7 +12,7 @@ from ..functions.timing import as_datetime
 def _clock(text: Column) -> Column:
     """Minutes after midnight of HHMM text; null unless hour and minute are valid."""
     hour = F.substring(text, 1, 2).try_cast("int")
-    minute = F.substring(text, 3, 10).try_cast("int")
+    minute = F.substr(text, F.lit(3)).try_cast("int")
     ok = hour.between(0, 23) & minute.between(0, 59)
     return F.when(ok, hour * 60 + minute)
 
@@ -29,17 +29,22 @@ def _at(day: Column, minute: Column) -> Column:
     return F.timestamp_add("MINUTE", minute, day.cast("timestamp_ntz"))
 
 
-def busy_reach(events: DataFrame) -> DataFrame:
-    """Per doctor, day and start minute: how far busy time reaches.
+def busy_reach(events: DataFrame, asked: DataFrame) -> DataFrame:
+    """Per asked day of a doctor and start minute: how far busy time reaches.
 
     Cancelled and all-day events do not block. An event over midnight counts on
-    each day it touches. At most 1440 rows per doctor and day remain.
+    each asked day it touches, one that ends before it starts on its start day.
+    Events are cut to the span of days asked of their doctor before they are
+    spread over days. At most 1440 rows per doctor and day remain.
     """
+    days = asked.select("doctor_id", "date").distinct()
+    span = days.groupBy("doctor_id").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
+    first, last = F.to_date("start"), F.greatest(F.to_date("start"), F.to_date("end"))
     blocking = events.where(F.coalesce(F.col("status") != "cancelled", F.lit(True))
-                            & F.col("start").isNotNull() & F.col("end").isNotNull()
-                            & (F.col("end") >= F.col("start")))
-    spread = blocking.select("doctor_id", "start", "end", F.explode(
-        F.sequence(F.to_date("start"), F.to_date("end"))).alias("date"))
+                            & F.col("start").isNotNull() & F.col("end").isNotNull()).join(span, "doctor_id")
+    inside = blocking.where((first <= F.col("hi")) & (last >= F.col("lo")))
+    spread = inside.select("doctor_id", "start", "end", F.explode(
+        F.sequence(F.greatest(first, "lo"), F.least(last, "hi"))).alias("date")).join(days, ["doctor_id", "date"], "left_semi")
     opens = F.greatest(F.col("start"), F.col("date").cast("timestamp_ntz"))
     return (spread.select("doctor_id", "date", "end",
                           (F.hour(opens) * 60 + F.minute(opens)).alias("minute"))
@@ -52,12 +57,13 @@ def free_slots(slots: DataFrame, events: DataFrame) -> DataFrame:
     A slot overlaps iff the furthest end among events starting before the slot
     ends lies after the slot start. That is a running maximum over the minutes
     of one (doctor, day), so no pair of slot and event is ever formed and a
-    crowded calendar day stays at 1440 event rows.
+    crowded calendar day stays at 1440 event rows. Every request is answered,
+    repeated ones too.
     """
     asked = parse_slots(slots).select("doctor_id", "date", "start_time", "end_time", "start_minute",
-                                      "end_minute", "duration_minutes").distinct()
+                                      "end_minute", "duration_minutes")
     none = F.lit(None)
-    busy = busy_reach(events).select(
+    busy = busy_reach(events, asked).select(
         "doctor_id", "date", "minute", "reach", F.lit(1).alias("side"),
         none.cast("string").alias("start_time"), none.cast("string").alias("end_time"),
         none.cast("int").alias("start_minute"), none.cast("int").alias("end_minute"),

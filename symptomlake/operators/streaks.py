@@ -61,7 +61,8 @@ def _catalogue():
     """The achievement catalogue as a literal array: no join is planned for it."""
     return F.array(*[F.struct(
         F.lit(pos).alias("position"), F.lit(a[0]).alias("achievement_id"), F.lit(a[1]).alias("type"),
-        F.lit(a[2]).alias("title"), F.lit(a[4]).alias("description"),
+        F.lit(a[2]).alias("title"), F.lit(a[3]).alias("title_zh"), F.lit(a[4]).alias("description"),
+        F.lit(a[5]).alias("description_zh"),
         F.lit(a[6]).alias("threshold")) for pos, a in enumerate(dims.ACHIEVEMENTS)])
 
 
@@ -83,7 +84,7 @@ def achievement_status(streaks: DataFrame, unlocked: DataFrame) -> DataFrame:
     done = unlocked.select("user_id", "achievement_id", "unlocked_at")
     return (rows.select("user_id", "streak", "a.*")
             .join(done, ["user_id", "achievement_id"], "left")
-            .select("user_id", "achievement_id", "type", "title", "description",
+            .select("user_id", "achievement_id", "type", "title", "title_zh", "description", "description_zh",
                     F.col("unlocked_at").isNotNull().alias("unlocked"), "unlocked_at",
                     F.least(F.col("streak"), F.col("threshold").cast("long")).alias("progress"),
                     F.col("threshold").alias("total")))

@@ -18,19 +18,23 @@ def with_triage(assessments: DataFrame) -> DataFrame:
 
 
 def _flat(df: DataFrame, *keep: str) -> DataFrame:
+    held = df.schema["triage"].dataType.fieldNames()
     return df.select(*keep, *[F.col(f"triage.{f}").alias(f) for f in TRIAGE_FIELDS],
                      F.coalesce("triage.key_symptoms", F.array().cast("array<string>"))
                      .alias("key_symptoms"),
-                     F.coalesce(F.array_size("triage.diagnosis_predictions"), F.lit(0))
-                     .alias("n_diagnoses"))
+                     F.coalesce("triage.diagnosis_predictions", F.array()).alias("diagnosis_predictions"),
+                     *[(F.col(f"triage.{f}") if f in held else F.lit(None).cast("string")).alias(name)
+                       for f, name in (("clinical_reasoning", "clinical_reasoning"), ("timestamp", "triage_timestamp"))])
 
 
 def latest_triage(assessments: DataFrame) -> DataFrame:
-    """Newest triaged assessment of every patient, triage fields flattened."""
+    """Newest triaged assessment of every patient, triage fields flattened;
+    its ``structured_assessment`` too, if assessments carry one."""
+    more = [c for c in ("structured_assessment",) if c in assessments.columns]
     rows = with_triage(assessments).select("user_id", "created_at", "assessment_id",
-                                           "session_id", "triage")
+                                           "session_id", "triage", *more)
     return _flat(latest_per_key(rows, "user_id", ["created_at", "assessment_id"]),
-                 "user_id", "session_id", "created_at")
+                 "user_id", "session_id", "created_at", *more)
 
 
 def triage_history(assessments: DataFrame, n: int = 10) -> DataFrame:

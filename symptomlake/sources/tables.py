@@ -20,19 +20,13 @@ def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(path, f"{name}.parquet"))
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal out a table stored in fewer splits than there are cores.
+def write_append(df: DataFrame, path: str, partition_by: list[str]) -> None:
+    """Append, one directory per partition value.
 
-    Row-local work on wide documents is CPU-bound, so a handful of large splits
-    would leave most cores idle. A table with enough splits is left alone.
+    Rows are gathered by partition value first, so that each value gets few
+    files; a value with very many rows is split again.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
-def write_append(df: DataFrame, path: str, partition_by: list[str]) -> None:
-    """Append, one directory per partition value."""
-    df.write.mode("append").partitionBy(*partition_by).parquet(path)
+    df.hint("rebalance", *partition_by).write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
 def table_overview(tables: dict[str, DataFrame]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Streaks, scheduling, rates, care team, lookups: hand-made rows and brute force."""
 
 import random
+from collections import Counter
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -67,7 +68,7 @@ def test_free_slots_against_brute_force(spark):
     events, slots = [], []
     for i in range(120):
         start = base + timedelta(minutes=rng.randint(0, 3 * 1440), seconds=rng.randint(0, 59))
-        length = rng.choice([0, 1, 5, 30, 90, 1500])
+        length = rng.choice([-40, 0, 1, 5, 30, 90, 1500])  # some end before they start
         events.append((i, rng.randint(0, 1), start, start + timedelta(minutes=length),
                        rng.choice(["confirmed", "cancelled", None])))
     events.append((999, 0, None, None, "confirmed"))
@@ -80,15 +81,21 @@ def test_free_slots_against_brute_force(spark):
     bad = [(0, date(2024, 5, 1), s, e) for s, e in (("2400", "2500"), ("9am", "1000"), ("0900", "1060"), ("", "1000"))]
     edf = spark.createDataFrame(events, "event_id int, doctor_id int, start timestamp_ntz, end timestamp_ntz, status string")
     sdf = spark.createDataFrame(slots + bad, "doctor_id int, date date, start_time string, end_time string")
-    got = {(r.doctor_id, r.start, r.end) for r in scheduling.free_slots(sdf, edf).collect()}
-    want = set()
+    got = Counter((r.doctor_id, r.start, r.end) for r in scheduling.free_slots(sdf, edf).collect())
+    want = Counter()
     for doctor, day, lo, hi in slots:
         s = datetime(day.year, day.month, day.day, int(lo[:2]), int(lo[2:]))
         e = datetime(day.year, day.month, day.day, int(hi[:2]), int(hi[2:]))
         if not any(ev[1] == doctor and ev[4] != "cancelled" and ev[2] and ev[2] < e and ev[3] > s for ev in events):
-            want.add((doctor, s, e))
+            want[doctor, s, e] += 1
     # events outside the asked day cannot reach a slot that ends before it starts
-    assert {w for w in want if w[1] < w[2]} == {g for g in got if g[1] < g[2]}
+    assert {w: n for w, n in want.items() if w[1] < w[2]} == {g: n for g, n in got.items() if g[1] < g[2]}
+
+
+def test_slot_minutes_are_read_to_the_end(spark):
+    slots = spark.createDataFrame([(1, date(2024, 5, 1), "09000000000030", "1000")],
+                                  "doctor_id int, date date, start_time string, end_time string")
+    assert [r.start_minute for r in scheduling.parse_slots(slots).collect()] == [570]
 
 
 def test_event_defaults(spark):
@@ -105,21 +112,33 @@ def test_event_defaults(spark):
     assert [r.event_id for r in scheduling.upcoming(df, "2024-05-01", 1).collect()] == [2]
 
 
-@pytest.mark.parametrize("window,limit", [(3600, 3), (60, 5), (30, 1)])
-def test_rates_against_brute_force(spark, window, limit):
+@pytest.mark.parametrize("window,limit,inclusive", [(3600, 3, True), (60, 5, False), (30, 1, True)])
+def test_rates_against_brute_force(spark, window, limit, inclusive):
     rng = random.Random(window)
-    log = [("hot" if rng.random() < 0.7 else "cold", 1_700_000_000 + int(rng.random() ** 2 * 9000)) for _ in range(600)]
-    df = spark.createDataFrame(log, "key string, s long").withColumn("ts", F.timestamp_seconds("s"))
-    got = {(r.key, r.second): (r.requests, r.prior, r.over_limit)
-           for r in rates.rate_audit(df, "key", "ts", window, limit).collect()}
-    for key, second in set(log):
-        n = sum(1 for k, s in log if (k, s) == (key, second))
-        prior = sum(1 for k, s in log if k == key and second - window <= s < second)
+    log = [("hot" if rng.random() < 0.7 else "cold", 1_700_000_000_000_000 + int(rng.random() ** 2 * 18_000) * 500_000)
+           for _ in range(600)]
+    df = spark.createDataFrame(log, "key string, us long").withColumn("ts", F.timestamp_micros("us"))
+    got = {(r.key, r.at_us): (r.requests, r.prior, r.over_limit)
+           for r in rates.rate_audit(df, ["key"], "ts", window, limit, inclusive).collect()}
+    for key, at in set(log):
+        n = log.count((key, at))
+        ages = [at - t for k, t in log if k == key and t < at]
+        prior = sum(1 for age in ages if age < window * 1e6 or inclusive and age == window * 1e6)
         over = sum(1 for j in range(n) if prior + j >= limit)
-        assert got[(key, second)] == (n, prior, over)
+        assert got[(key, at)] == (n, prior, over)
     assert len(got) == len(set(log))
 
 
+def test_rate_bounds(spark):
+    def at(*seconds):
+        return spark.createDataFrame([(1, int(s * 1e6)) for s in seconds], "user_id int, us long").withColumn(
+            "ts", F.timestamp_micros("us"))
+    attempts = rates.too_many_attempts(at(0, 1, 2, 3, 4, 60), ["user_id"], "ts", F.lit(True)).collect()
+    assert {r.at_us: (r.prior, r.over_limit) for r in attempts}[60_000_000] == (4, 0)  # the first is exactly 60 s old
+    assert [r.over_limit for r in rates.early_reissues(at(0, 30.9), ["user_id"], "ts").orderBy("at_us").collect()] == [0, 0]
+    assert [r.over_limit for r in rates.early_reissues(at(0, 30), ["user_id"], "ts").orderBy("at_us").collect()] == [0, 1]
+
+
 def test_access_code_precedence(spark):
     pending = spark.createDataFrame([(1, "pat", "AAAA"), (2, "doc", "HHHH"), (3, "bad", "XXXX"), (4, "taken", "AAAA"),
                                      (5, "pat2", "BOTH")], "pending_id int, username string, access_code string")

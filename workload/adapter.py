@@ -12,7 +12,7 @@ from symptomlake import dims
 from symptomlake.functions import symptoms as S
 from symptomlake.functions.questionnaire import text
 from symptomlake.session import shared_dir
-from symptomlake.sources.tables import read_table, spread
+from symptomlake.sources.tables import read_table
 
 AS_OF = "2024-01-28"       # a Sunday: the week of 22-28 January is complete
 AS_OF_DAY = "2024-01-30"   # last day with events
@@ -37,7 +37,7 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
     if source is None:
-        source = spread(read_table(spark, sf_dir, "events"), "event_id")
+        source = read_table(spark, sf_dir, "events")
     return source.select(
         "event_id", "user_id", F.col("ts").alias("created_at"),
         "event_type", "value",
@@ -103,6 +103,8 @@ def triage_struct() -> Column:
         F.when(level == "RED", "immediate").otherwise("within 24 hours").alias("recommended_timeline"),
         confidence.alias("confidence_level"),
         keys.alias("key_symptoms"),
+        F.when(F.col("k") % 3 != 0, F.concat(F.lit("because of "), F.col("k"))).alias("clinical_reasoning"),
+        F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
         F.array(diagnosis).alias("diagnosis_predictions"),
         F.col("treatment_status").alias("treatment_status")))
 
@@ -203,7 +205,9 @@ def calendar_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.to_date(start).alias("start_date"), F.to_date(start).alias("end_date"),
         F.when(F.col("event_type") == "error", "cancelled")
         .when(F.col("event_type") == "view", F.lit(None)).otherwise("confirmed").alias("status"),
-        F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("Visit "), F.col("event_id"))).alias("summary"))
+        F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("Visit "), F.col("event_id"))).alias("summary"),
+        F.when(F.col("event_id") % 4 != 0, F.transform(F.sequence(F.lit(1), (F.col("event_id") % 4).cast("int")), lambda i: F.struct(
+            F.when((i + F.col("event_id")) % 5 != 0, F.concat(F.lit("guest"), i, F.lit("@example.org"))).alias("email")))).alias("attendees"))
 
 
 def slot_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -285,7 +289,7 @@ def derive_submissions(spark: SparkSession, sf_dir: str, source: DataFrame | Non
                       for q, spec in enumerate(dims.flat_questions()))
     answers = F.expr(f"map_filter(map({pairs}), (k, v) -> v IS NOT NULL)")
     if source is None:
-        source = spread(read_table(spark, sf_dir, "orders"), "o_orderkey")
+        source = read_table(spark, sf_dir, "orders")
     return source.select(
         F.col("o_orderkey").alias("submission_id"), F.col("o_custkey").alias("user_id"),
         F.col("o_orderdate").alias("submitted_at"), answers.alias("answers"))
@@ -352,4 +356,6 @@ def profile_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table read as a file stream."""
     schema = read_table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}*.parquet")
+    if read_table(spark, sf_dir, name).inputFiles()[0].endswith(f"/{name}.parquet"):  # one file
+        return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet")

@@ -162,16 +162,16 @@ def weekly_cards(offset: int) -> str:
     def tail(t):
         return t if now else ""
     cards = [
-        f"CASE WHEN n = 0 THEN 'no_data: No assessments found for {ctx}. Complete some assessments to see analytics.' END",
-        f"CASE WHEN alerts > 3 THEN 'high_alerts: You had ' || alerts || ' oncologist alerts {ctx}."
+        f"CASE WHEN n = 0 THEN 'no_data (info, No Data Available): No assessments found for {ctx}. Complete some assessments to see analytics.' END",
+        f"CASE WHEN alerts > 3 THEN 'high_alerts (critical, High Alert Activity): You had ' || alerts || ' oncologist alerts {ctx}."
         f"{tail(' Consider reaching out to your care team.')}' END",
-        f"CASE WHEN top_avg > 3.5 THEN 'concerning_symptom: Your ' || lower(top_name) || ' averaged ' || top_avg || '/5 {ctx}.' END",
-        f"CASE WHEN trend = 'Improving' THEN 'improving_trend: Your symptoms showed an improving trend {ctx}."
+        f"CASE WHEN top_avg > 3.5 THEN 'concerning_symptom (warning, Monitor ' || top_name || '): Your ' || lower(top_name) || ' averaged ' || top_avg || '/5 {ctx}.' END",
+        f"CASE WHEN trend = 'Improving' THEN 'improving_trend (positive, Positive Trend): Your symptoms showed an improving trend {ctx}."
         f"{tail(' Keep up the good work!')}' END",
-        f"CASE WHEN n >= 5 THEN 'consistent_tracking: You completed ' || n || ' assessments {ctx}.{tail(' Great job!')}' END",
+        f"CASE WHEN n >= 5 THEN 'consistent_tracking (positive, Consistent Tracking): You completed ' || n || ' assessments {ctx}.{tail(' Great job!')}' END",
     ]
     if now:
-        cards.append("CASE WHEN n > 0 AND n < 3 THEN 'low_engagement: Try to complete daily check-ins for better health insights.' END")
+        cards.append("CASE WHEN n > 0 AND n < 3 THEN 'low_engagement (info, More Check-ins Recommended): Try to complete daily check-ins for better health insights.' END")
     return _joined(cards)
 
 
@@ -199,10 +199,12 @@ SQL: dict[str, str] = {
     "symptom_trend_matrix": with_("wr", f"""SELECT user_id, symptom, {D('created_at::DATE')} AS day,
         CAST(severity AS BIGINT) AS severity FROM (SELECT *, row_number() OVER (PARTITION BY user_id, symptom,
         created_at::DATE ORDER BY created_at DESC, assessment_id DESC) AS rn FROM wr) WHERE rn = 1"""),
-    "weekly_report": with_("week_head", """SELECT user_id, 'This Week' AS week_label, CAST(0 AS BIGINT) AS week_offset,
+    "weekly_report": with_("week_head daily", """SELECT user_id, 'This Week' AS week_label, CAST(0 AS BIGINT) AS week_offset,
         '2024-01-22' AS week_start, '2024-01-28' AS week_end, n AS total_assessments, alerts AS total_alerts,
         alerts_none, alerts_amber, alerts_red, top_name AS top_symptom, top_avg AS top_avg_severity,
-        trend AS overall_trend FROM week_head"""),
+        trend AS overall_trend, days.said AS daily_data FROM week_head
+        LEFT JOIN (SELECT user_id, string_agg(strftime(day, '%Y-%m-%d') || ' ' || printf('%.1f', tenths / 10.0) || ' ' || assessment_count
+            || ' ' || has_data, '; ' ORDER BY day) AS said FROM daily GROUP BY 1) days USING (user_id)"""),
     "weekly_insights": with_("week_head", f"""SELECT user_id, {weekly_cards(0)} AS insights FROM week_head"""),
 }
 
@@ -213,8 +215,9 @@ MONTH = "created_at >= TIMESTAMP '2024-01-01' AND created_at < TIMESTAMP '2024-0
 cte("mon", f"SELECT *, CAST(day(created_at) AS BIGINT) AS dom FROM {{a}} WHERE {MONTH}")
 cte("mrep", f"SELECT *, CAST(day(created_at) AS BIGINT) AS dom FROM {{reports}} WHERE {MONTH}")
 SQL |= {
-    "month_window": with_("a", f"""SELECT CAST(month(created_at) AS BIGINT) AS month, count(*) AS n FROM a
-        WHERE created_at >= TIMESTAMP '2024-01-01' AND created_at < TIMESTAMP '2024-02-01' GROUP BY 1"""),
+    "month_window": with_("a", f"""SELECT assessment_id, user_id, {TS('created_at')} AS created_at,
+        CAST(month(created_at) AS BIGINT) AS month FROM a
+        WHERE created_at >= TIMESTAMP '2024-01-01' AND created_at < TIMESTAMP '2024-02-01'"""),
     "monthly_alerts_by_day": with_("mon", """SELECT user_id, dom AS day_of_month, count(*) AS alerts
         FROM mon WHERE flag GROUP BY 1, 2"""),
     "monthly_symptom_heatmap": with_("mrep", """SELECT user_id, symptom, dom AS day_of_month,
@@ -253,7 +256,8 @@ cte("assign", """SELECT DISTINCT o_custkey % 10 AS doctor_id,
     CASE WHEN o_custkey % 50 = 49 THEN -o_custkey ELSE o_custkey END AS user_id FROM orders""")
 _TRI = f"""user_id, session_id, {TS('created_at')} AS created_at, triage_level AS alert_level, rationale AS alert_rationale,
     timeline AS recommended_timeline, confidence AS confidence_level, treatment_status, key_symptoms,
-    CAST(1 AS BIGINT) AS n_diagnoses"""
+    'review:low:' || (1 + k % 5) || ':' AS diagnosis_predictions, CASE WHEN k % 3 <> 0 THEN 'because of ' || k END AS clinical_reasoning,
+    strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS triage_timestamp"""
 SQL |= {
     "flatten_symptoms": with_("raw_reports", """SELECT assessment_id, user_id,
         row_number() OVER (PARTITION BY assessment_id ORDER BY i) - 1 AS pos, symptom,
@@ -367,6 +371,12 @@ SQL |= {
     "summary_text": """SELECT doc_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS summary FROM documents""",
     "title_symptom": with_("reports", f"SELECT assessment_id, {TITLE('symptom')} AS title FROM reports"),
     "show_timestamps": f"""SELECT event_id, CASE WHEN event_id % 4 = 3 THEN 'soon' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS shown FROM events""",
+    "live_sessions": """SELECT CASE WHEN event_id % 4 = 3 OR date_trunc('second', ts) < TIMESTAMP '2024-01-15 11:30:00' THEN 'expired'
+        ELSE 'live' END AS state, event_id FROM events""",
+    "past_codes": """SELECT event_id, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER) % 7 = 0
+        OR ts + INTERVAL '10 minutes' < TIMESTAMP '2024-01-15 12:00:00' AS past FROM events""",
+    "sample_row": """SELECT left('{"user_id":' || c_custkey || ',"username":"' || c_name || '","email":"' || lower(c_mktsegment) || '.'
+        || c_custkey || '@example.org"}', 500) || '...' AS sample FROM customer ORDER BY c_custkey LIMIT 1""",
     "expire_sessions": """SELECT event_id, event_id % 4 = 3 OR date_trunc('second', ts) < TIMESTAMP '2024-01-15 11:30:00' AS expired FROM events""",
     "drop_sensitive": with_("users_v", "SELECT * FROM users_v"),
     "search_users": with_("users_v", """SELECT user_id, username, email, full_name FROM users_v
@@ -379,12 +389,14 @@ cte("known_names", "SELECT c_name AS username FROM customer UNION SELECT s_name
 cte("junk", """SELECT o_orderkey AS account_id, CASE WHEN o_orderkey % 3 = 0 THEN '  ' WHEN o_custkey % 7 = 0 THEN 'ab'
     ELSE 'user' || o_custkey END AS username FROM orders""")
 SQL |= {
-    "taken_usernames": with_("pend known_names", "SELECT pending_id, username FROM pend SEMI JOIN known_names USING (username)"),
+    "taken_usernames": with_("pend known_names", """SELECT pending_id, username FROM pend
+        WHERE username IN (SELECT username FROM known_names)
+          OR EXISTS (SELECT 1 FROM pend p WHERE p.username = pend.username AND p.pending_id < pend.pending_id)"""),
     "resolve_access_codes": with_("pend known_names", """SELECT pending_id, username, code, status,
         CASE WHEN status = 'patient' THEN s_name END AS doctor, CASE WHEN status = 'doctor' THEN n_name END AS hospital FROM (
-          SELECT *, CASE WHEN k.u IS NOT NULL THEN 'duplicate' WHEN s_name IS NOT NULL THEN 'patient'
+          SELECT *, CASE WHEN k.u IS NOT NULL OR first_id < pending_id THEN 'duplicate' WHEN s_name IS NOT NULL THEN 'patient'
             WHEN n_name IS NOT NULL THEN 'doctor' ELSE 'invalid' END AS status
-          FROM pend LEFT JOIN supplier ON code = 'D' || s_suppkey
+          FROM (SELECT *, min(pending_id) OVER (PARTITION BY username) AS first_id FROM pend) pend LEFT JOIN supplier ON code = 'D' || s_suppkey
           LEFT JOIN nation ON code = CASE WHEN n_nationkey % 5 = 0 THEN 'D' ELSE 'H' END || n_nationkey
           LEFT JOIN (SELECT username AS u FROM known_names) k ON k.u = pend.username)"""),
     "account_audit": with_("junk", """SELECT account_id, username, concat_ws(', ',
@@ -408,8 +420,8 @@ cte("streaks", """SELECT u.user_id, CASE WHEN i.last_day BETWEEN DATE '2024-01-2
     coalesce(m.longest, 0) AS longest_streak, i.last_day FROM {users_v} u
     LEFT JOIN (SELECT user_id, max(length) AS longest, max(last_day) AS ld FROM {isl} GROUP BY 1) m USING (user_id)
     LEFT JOIN {isl} i ON i.user_id = u.user_id AND i.last_day = m.ld""")
-cte("ach", "SELECT * FROM (VALUES " + _values([(a[0], a[1], a[2], a[4], a[6]) for a in dims.ACHIEVEMENTS])
-    + ") t(achievement_id, type, title, description, threshold)")
+cte("ach", "SELECT * FROM (VALUES " + _values([(a[0], a[1], a[2], a[3], a[4], a[5], a[6]) for a in dims.ACHIEVEMENTS])
+    + ") t(achievement_id, type, title, title_zh, description, description_zh, threshold)")
 cte("unl", """SELECT user_id, achievement_id, min(first_day + CAST(threshold - 1 AS INTEGER)) AS unlocked_on
     FROM {isl} JOIN {ach} ON threshold <= length GROUP BY 1, 2""")
 cte("stored", "SELECT user_id, achievement_id, unlocked_on FROM {unl} WHERE unlocked_on <= DATE '2024-01-12'")
@@ -426,7 +438,7 @@ SQL |= {
     "unlock_dates": with_("unl", f"SELECT user_id, achievement_id, {D('unlocked_on')} AS unlocked_on FROM unl"),
     "newly_unlocked": with_("streaks ach stored", """SELECT user_id, achievement_id, CAST(threshold AS BIGINT) AS threshold
         FROM streaks JOIN ach ON threshold <= longest_streak ANTI JOIN stored USING (user_id, achievement_id)"""),
-    "achievement_status": with_("streaks ach stored", f"""SELECT s.user_id, a.achievement_id, type, title, description,
+    "achievement_status": with_("streaks ach stored", f"""SELECT s.user_id, a.achievement_id, type, title, title_zh, description, description_zh,
         d.unlocked_on IS NOT NULL AS unlocked, {D('d.unlocked_on')} AS unlocked_at, least(streak, threshold) AS progress,
         CAST(threshold AS BIGINT) AS total FROM streaks s CROSS JOIN ach a
         LEFT JOIN stored d ON d.user_id = s.user_id AND d.achievement_id = a.achievement_id"""),
@@ -438,7 +450,9 @@ SQL |= {
 cte("cal", """SELECT event_id, user_id AS doctor_id, CASE WHEN event_type <> 'signup' THEN ts END AS s,
     CASE WHEN event_type <> 'signup' THEN ts + to_seconds(CAST(floor(value * 60) AS BIGINT)) END AS e, CAST(ts AS DATE) AS day,
     CASE event_type WHEN 'error' THEN 'cancelled' WHEN 'view' THEN NULL ELSE 'confirmed' END AS status,
-    CASE WHEN event_id % 3 <> 0 THEN 'Visit ' || event_id END AS summary FROM events""")
+    CASE WHEN event_id % 3 <> 0 THEN 'Visit ' || event_id END AS summary,
+    coalesce((SELECT string_agg(CASE WHEN (i + event_id) % 5 <> 0 THEN 'guest' || i || '@example.org' ELSE '' END, '; ' ORDER BY i)
+              FROM range(1, 4) t(i) WHERE i <= event_id % 4), '') AS attendees FROM events""")
 cte("slot", """SELECT doctor_id, day, h, day + to_hours(CAST(h AS BIGINT)) AS s, day + to_hours(CAST(h + 1 AS BIGINT)) AS e FROM
     (SELECT DISTINCT user_id AS doctor_id, CAST(ts AS DATE) AS day FROM events), range(9, 17) t(h)""")
 cte("calmon", f"""SELECT a.user_id, CAST(a.created_at AS DATE) AS day, coalesce(max(r.severity), 0) AS sev, count(DISTINCT a.assessment_id) AS n
@@ -451,7 +465,7 @@ SQL |= {
           AND coalesce(c.status, '') <> 'cancelled')"""),
     "normalize_events": with_("cal", f"""SELECT event_id, doctor_id, coalesce(summary, 'No Title') AS summary,
         {TS('coalesce(s, CAST(day AS TIMESTAMP))')} AS start,
-        {TS("coalesce(e, CAST(day AS TIMESTAMP) + INTERVAL '86399 seconds')")} AS "end", coalesce(status, 'confirmed') AS status
+        {TS("coalesce(e, CAST(day AS TIMESTAMP) + INTERVAL '86399 seconds')")} AS "end", coalesce(status, 'confirmed') AS status, attendees
         FROM cal WHERE coalesce(s, CAST(day AS TIMESTAMP)) < TIMESTAMP '2024-02-09'
           AND coalesce(e, CAST(day AS TIMESTAMP) + INTERVAL '86399 seconds') > TIMESTAMP '2024-01-10'"""),
     "severity_calendar": with_("calmon", f"""SELECT u.user_id, {D('c.cell')} AS cell,
@@ -490,13 +504,19 @@ SQL |= {
 }
 
 
-def _rates(window_s: int, limit: int) -> str:
-    return f"""SELECT key, second, requests, prior, requests - least(requests, greatest({limit} - prior, 0)) AS over_limit FROM (
-        SELECT *, CAST(coalesce(sum(requests) OVER (PARTITION BY key ORDER BY second RANGE BETWEEN {window_s} PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS prior
-        FROM (SELECT event_type AS key, epoch_us(ts) // 1000000 AS second, count(*) AS requests FROM events GROUP BY 1, 2))"""
+def _rates(keys: str, test: str, limit: int, where: str = "TRUE") -> str:
+    """Every single request against every earlier one of its key, then added up per microsecond."""
+    same = " AND ".join(f"p.{k} = r.{k}" for k in keys.split(", "))
+    return f"""WITH log AS (SELECT user_id, event_type AS purpose, epoch_us(ts) AS at_us FROM events WHERE {where}),
+        r AS (SELECT {keys}, at_us, count(*) AS requests FROM log GROUP BY ALL),
+        n AS (SELECT {", ".join("r." + k for k in keys.split(", "))}, r.at_us, r.requests, count(p.at_us) AS prior
+              FROM r LEFT JOIN log p ON {same} AND p.at_us < r.at_us AND r.at_us - p.at_us {test} GROUP BY ALL)
+        SELECT {keys}, at_us, requests, prior, requests - least(requests, greatest({limit} - prior, 0)) AS over_limit FROM n"""
 
 
-SQL |= {"rate_issues": _rates(3600, 3), "rate_attempts": _rates(60, 5), "rate_reissues": _rates(30, 1)}
+SQL |= {"rate_issues": _rates("user_id", "<= 3600000000", 3),
+        "rate_attempts": _rates("user_id", "< 60000000", 5, "event_type <> 'purchase'"),
+        "rate_reissues": _rates("user_id, purpose", "<= 30000000", 1)}
 
 # ---------------------------------------------------------------------------
 # questionnaire, stated relationally: submission x question rows
@@ -551,8 +571,8 @@ cte("sev", """SELECT o.o_orderkey AS id, s.section_pos, s.section_id, s.title, s
     LEFT JOIN {ans} p ON p.id = o.o_orderkey AND p.idx = s.src LEFT JOIN {ans} f ON f.id = o.o_orderkey AND f.idx = s.fb""")
 cte("sec0", "SELECT *, CASE method WHEN 'frequency_map' THEN " + _case("scalar", dims.FREQUENCY_SEVERITY, "0")
     + """ WHEN 'region_count' THEN CASE WHEN len(items) >= 10 THEN 4 WHEN len(items) >= 6 THEN 3 WHEN len(items) >= 3 THEN 2
-      WHEN len(items) >= 1 THEN 1 ELSE 0 END WHEN 'rating' THEN CAST(scalar AS INTEGER) END AS score FROM {sev}""")
-cte("sec", "SELECT s.id, s.section_pos, s.section_id, s.title, s.clinical_area, CAST(s.score AS BIGINT) AS severity_score, CASE method WHEN 'frequency_map' THEN "
+      WHEN len(items) >= 1 THEN 1 ELSE 0 END WHEN 'rating' THEN CAST(scalar AS DOUBLE) END AS score FROM {sev}""")
+cte("sec", "SELECT s.id, s.section_pos, s.section_id, s.title, s.clinical_area, CAST(s.score AS DOUBLE) AS severity_score, CASE method WHEN 'frequency_map' THEN "
     + _case("score", dims.FREQUENCY_LABELS) + " WHEN 'region_count' THEN " + _case("score", dims.REGION_LABELS)
     + """ WHEN 'rating' THEN labels[list_position(keys, scalar)] END AS severity_label, coalesce(r.flags, '') AS alert_flags,
     coalesce(score > 0, FALSE) OR r.flags IS NOT NULL AS is_concern,
@@ -566,7 +586,7 @@ cte("msgs", """SELECT id, 0 AS block, 0 AS part, 'assistant' AS role,
       FROM (SELECT DISTINCT id FROM {sec})
     UNION ALL SELECT s.id, s.section_pos + 1, p.part, CASE p.part WHEN 0 THEN 'assistant' ELSE 'user' END,
       CASE p.part WHEN 0 THEN 'Let me ask about ' || s.title || '.' ELSE 'Regarding ' || s.title || chr(58) || chr(10) || r.lines
-        || CASE WHEN s.severity_score IS NOT NULL THEN chr(10) || 'Overall severity: ' || s.severity_label || ' (' || s.severity_score || ')' ELSE '' END END
+        || CASE WHEN s.severity_score IS NOT NULL THEN chr(10) || 'Overall severity: ' || s.severity_label || ' (' || CASE WHEN s.severity_score = floor(s.severity_score) THEN CAST(CAST(s.severity_score AS BIGINT) AS VARCHAR) ELSE CAST(s.severity_score AS VARCHAR) END || ')' ELSE '' END END
       FROM {sec} s JOIN (SELECT id, section_pos, string_agg('- ' || text || ': ' || shown_text, chr(10) ORDER BY question_pos) AS lines
         FROM {resp2} WHERE shown AND given GROUP BY 1, 2) r ON r.id = s.id AND r.section_pos = s.section_pos
       CROSS JOIN (SELECT i AS part FROM range(2) t(i)) p
@@ -577,7 +597,9 @@ SQL |= {
         CASE WHEN shown THEN raw END AS raw_value, CASE WHEN shown AND given THEN shown_text END AS display_value,
         CASE WHEN shown AND given AND type IN ('rating', 'slider') THEN round((CAST(scalar AS DOUBLE) - mn) / (mx - mn), 2) END AS severity_normalized,
         CASE WHEN shown AND type LIKE '%diagram' THEN len(items) END AS region_count,
-        CASE WHEN NOT shown THEN 'conditional_not_met' END AS skip_reason FROM resp2"""),
+        CASE WHEN NOT shown THEN 'conditional_not_met' END AS skip_reason, section_id, text AS question_text, type,
+        shown AND given AND coalesce(len(items) > 0, TRUE) AS answered,
+        CASE WHEN shown AND items IS NOT NULL THEN shown_text END AS display_list FROM resp2"""),
     "section_results": with_("sec", """SELECT id AS submission_id, section_id, title, clinical_area, severity_score, severity_label,
         alert_flags, is_concern, details FROM sec"""),
     "alert_flags": with_("resp3", "SELECT id AS submission_id, question_id, alert AS alert_flag FROM resp3 WHERE alert IS NOT NULL"),
@@ -586,7 +608,9 @@ SQL |= {
     "clinical_summary": with_("sec", """SELECT s.id AS submission_id, count(*) FILTER (is_concern) AS symptom_count,
         max(severity_score) FILTER (is_concern) AS max_severity, arg_min(title, section_pos) FILTER (is_concern AND severity_score = m.top) AS max_severity_area,
         coalesce(array_to_string(list_sort(list_distinct(list(clinical_area) FILTER (is_concern))), ', '), '') AS clinical_areas_affected,
-        coalesce(string_agg(alert_flags, ' | ' ORDER BY section_pos) FILTER (alert_flags <> ''), '') AS alert_flags
+        coalesce(string_agg(alert_flags, ' | ' ORDER BY section_pos) FILTER (alert_flags <> ''), '') AS alert_flags,
+        coalesce(string_agg(section_id || ': ' || title || ': ' || clinical_area || ': ' || coalesce(printf('%.1f', severity_score), '-') || ': '
+          || coalesce(severity_label, '-') || ': ' || coalesce(details, '-'), ' | ' ORDER BY section_pos) FILTER (is_concern), '') AS areas_of_concern
         FROM sec s JOIN (SELECT id, max(severity_score) FILTER (is_concern) AS top FROM sec GROUP BY 1) m ON m.id = s.id GROUP BY s.id"""),
     "submission_messages": with_("msgs", """SELECT id AS submission_id, row_number() OVER (PARTITION BY id ORDER BY block, part) AS pos,
         role, content FROM msgs"""),
@@ -624,7 +648,10 @@ SQL |= {
     "cascade_delete_counts": f"""SELECT * FROM (SELECT 'users' AS collection, count(*) AS removed FROM customer WHERE c_mktsegment = 'MACHINERY'
         UNION ALL SELECT 'answers', count(*) FROM orders WHERE o_custkey IN ({_DOOMED})
         UNION ALL SELECT 'assessments', count(*) FROM events WHERE user_id IN ({_DOOMED})) WHERE removed > 0 OR collection = 'users'""",
-    "cascade_delete_survivors": f"SELECT o_custkey AS user_id, o_orderkey AS checkin_id FROM orders WHERE o_custkey NOT IN ({_DOOMED})",
+    "cascade_delete_survivors": f"""SELECT 'users' AS collection, CAST(NULL AS BIGINT) AS user_id, CAST(c_custkey AS VARCHAR) AS key FROM customer WHERE c_custkey NOT IN ({_DOOMED})
+        UNION ALL SELECT 'answers', o_custkey, CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_custkey NOT IN ({_DOOMED})
+        UNION ALL SELECT 'assessments', user_id, CAST(event_id AS VARCHAR) FROM events WHERE user_id NOT IN ({_DOOMED})
+        UNION ALL SELECT 'questionnaire_drafts', -1 - conv_id, CAST(-1 - conv_id AS VARCHAR) FROM conversations""",
     "insert_if_absent": """SELECT o_custkey AS user_id, o_orderpriority AS achievement_id, min(o_orderkey) AS at FROM orders
         WHERE NOT (o_orderpriority = '5-LOW' AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey < 10)) GROUP BY 1, 2""",
     "latest_draft": f"""SELECT user_id, event_id, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) % 13 AS current_section,
@@ -653,8 +680,10 @@ SQL |= {
           'Unable to complete automated triage assessment - recommend clinical review as precaution' END AS triage_rationale,
         CASE WHEN triage_level = 'RED' THEN 'immediate' ELSE 'within 24 hours' END AS triage_timeline,
         CASE WHEN has_triage THEN '' ELSE 'Automated triage failed for conversation with ' || (a.assessment_id % 9)
-          || ' messages. Manual clinical assessment recommended.' END AS triage_notes
-        FROM a LEFT JOIN (SELECT assessment_id, count(*) AS n FROM reports GROUP BY 1) r USING (assessment_id)"""),
+          || ' messages. Manual clinical assessment recommended.' END AS triage_notes,
+        CASE WHEN has_triage THEN coalesce(ks.keys, '') ELSE 'System unable to analyze conversation' END AS triage_key_symptoms
+        FROM a LEFT JOIN (SELECT assessment_id, string_agg(symptom, '|' ORDER BY i) AS keys FROM reports WHERE severity >= 3 GROUP BY 1) ks
+          USING (assessment_id) LEFT JOIN (SELECT assessment_id, count(*) AS n FROM reports GROUP BY 1) r USING (assessment_id)"""),
     "stream_streaks": with_("isl", f"""SELECT i.user_id, {D('i.last_day')} AS last_day, length AS streak, longest AS longest_streak
         FROM isl i JOIN (SELECT user_id, max(last_day) AS ld, max(length) AS longest FROM isl GROUP BY 1) m
         ON m.user_id = i.user_id AND m.ld = i.last_day"""),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -78,21 +79,24 @@ def _report(spark, sf):
 
 @query
 def weekly_report(spark, sf):
-    return _report(spark, sf).drop("daily_data", "insights")
+    days = F.transform("daily_data", lambda d: F.concat_ws(
+        " ", F.date_format(d["day"], "yyyy-MM-dd"), F.format_string("%.1f", d["avg_severity"]), d["assessment_count"], d["has_data"]))
+    return _report(spark, sf).drop("insights").withColumn("daily_data", F.array_join(days, "; "))
 
 
 @query
 def weekly_insights(spark, sf):
     return _report(spark, sf).select("user_id", F.array_join(F.transform(
-        "insights", lambda c: F.concat(c["id"], F.lit(": "), c["description"])), " | ").alias("insights"))
+        "insights", lambda c: F.concat(c["id"], F.lit(" ("), c["type"], F.lit(", "), c["title"], F.lit("): "), c["description"])),
+        " | ").alias("insights"))
 
 
 # -- monthly ----------------------------------------------------------------
 
 @query
 def month_window(spark, sf):
-    return (monthly.month_of(A.assessments(spark, sf), A.AS_OF)
-            .groupBy(F.month("created_at").alias("month")).agg(F.count("*").alias("n")))
+    return monthly.month_of(A.assessments(spark, sf), A.AS_OF).select(
+        "assessment_id", "user_id", "created_at", F.month("created_at").alias("month"))
 
 
 @query
@@ -179,7 +183,11 @@ def severity_level(spark, sf):
 # -- triage -----------------------------------------------------------------
 
 def _joined_keys(df):
-    return df.withColumn("key_symptoms", F.array_join("key_symptoms", "|"))
+    df = df.withColumn("key_symptoms", F.array_join("key_symptoms", "|"))
+    if "diagnosis_predictions" in df.columns:
+        df = df.withColumn("diagnosis_predictions", F.array_join(F.transform("diagnosis_predictions", lambda d: F.concat_ws(
+            ":", d["suspected_diagnosis"], d["probability"], d["urgency"].cast("string"), d["reasoning"])), "|"))
+    return df
 
 
 @query
@@ -315,6 +323,26 @@ def expire_sessions(spark, sf):
         "event_id", timing.is_expired(F.col("started"), 1800, "2024-01-15 12:00:00").alias("expired"))
 
 
+@query
+def live_sessions(spark, sf):
+    """The sessions that are kept, and how many are swept."""
+    rows = A.stamped_texts(spark, sf)
+    live, expired = timing.split_expired(rows, F.col("started"), 1800, "2024-01-15 12:00:00")
+    return live.select(F.lit("live").alias("state"), "event_id").unionByName(
+        expired.select(F.lit("expired").alias("state"), "event_id"))
+
+
+@query
+def past_codes(spark, sf):
+    return A.events(spark, sf).select("event_id", timing.is_past(
+        F.when(F.col("k") % 7 != 0, F.timestamp_add("MINUTE", F.lit(10), F.col("created_at"))), "2024-01-15 12:00:00").alias("past"))
+
+
+@query
+def sample_row(spark, sf):
+    return tables.sample_row(A.users(spark, sf).orderBy("user_id").select("user_id", "username", "email", "password"))
+
+
 # -- accounts ---------------------------------------------------------------
 
 @query
@@ -432,7 +460,8 @@ def free_slots(spark, sf):
 
 @query
 def normalize_events(spark, sf):
-    return scheduling.normalize_events(A.calendar_events(spark, sf), "2024-01-10").drop("attendees")
+    return scheduling.normalize_events(A.calendar_events(spark, sf), "2024-01-10").withColumn(
+        "attendees", F.array_join("attendees", "; "))
 
 
 # -- calendar views ---------------------------------------------------------
@@ -484,22 +513,22 @@ def charted_symptoms(spark, sf):
 # -- rates ------------------------------------------------------------------
 
 def _log(spark, sf):
-    return A.events(spark, sf).select(F.col("event_type").alias("key"), "created_at")
+    return A.events(spark, sf).select("user_id", F.col("event_type").alias("purpose"), "created_at")
 
 
 @query
 def rate_issues(spark, sf):
-    return rates.too_many_issues(_log(spark, sf), "key", "created_at")
+    return rates.too_many_issues(_log(spark, sf), ["user_id"], "created_at")
 
 
 @query
 def rate_attempts(spark, sf):
-    return rates.too_many_attempts(_log(spark, sf), "key", "created_at")
+    return rates.too_many_attempts(_log(spark, sf), ["user_id"], "created_at", F.col("purpose") != "purchase")
 
 
 @query
 def rate_reissues(spark, sf):
-    return rates.early_reissues(_log(spark, sf), "key", "created_at")
+    return rates.early_reissues(_log(spark, sf), ["user_id", "purpose"], "created_at")
 
 
 # -- questionnaire ----------------------------------------------------------
@@ -512,7 +541,8 @@ def _enriched(spark, sf, responses=False):
 def question_responses(spark, sf):
     return questionnaire.question_responses(A.submissions(spark, sf)).select(
         "submission_id", "question_id", "was_shown", "was_required", "raw_value", "display_value",
-        "severity_normalized", "region_count", "skip_reason")
+        "severity_normalized", "region_count", "skip_reason", "section_id", "question_text", "type", "answered",
+        F.array_join("display_list", ", ").alias("display_list"))
 
 
 @query
@@ -533,8 +563,11 @@ def completion_counts(spark, sf):
 
 @query
 def clinical_summary(spark, sf):
-    return questionnaire.clinical_summary(_enriched(spark, sf), "submission_id").drop("areas_of_concern") \
-        .withColumns({"clinical_areas_affected": F.array_join("clinical_areas_affected", ", "),
+    return questionnaire.clinical_summary(_enriched(spark, sf), "submission_id") \
+        .withColumns({"areas_of_concern": F.array_join(F.transform("areas_of_concern", lambda a: F.concat_ws(
+            ": ", a["section_id"], a["area"], a["clinical_area"], F.when(a["severity_score"].isNull(), "-").otherwise(F.format_string("%.1f", a["severity_score"])),
+            F.coalesce(a["severity_label"], F.lit("-")), F.coalesce(F.array_join(a["details"], ", "), F.lit("-")))), " | "),
+                      "clinical_areas_affected": F.array_join("clinical_areas_affected", ", "),
                       "alert_flags": F.array_join("alert_flags", " | ")})
 
 
@@ -600,7 +633,11 @@ def cascade_delete_counts(spark, sf):
 
 @query
 def cascade_delete_survivors(spark, sf):
-    return _cascade(spark, sf)[0]["answers"]
+    keys = {"users": "username", "answers": "checkin_id", "assessments": "event_id", "questionnaire_drafts": "user_id"}
+    parts = [df.select(F.lit(name).alias("collection"),
+                       (F.lit(None) if name == "users" else F.col("user_id")).cast("long").alias("user_id"), F.col(keys[name]).cast("string").alias("key"))
+             for name, df in _cascade(spark, sf)[0].items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query
@@ -679,7 +716,7 @@ def default_records(spark, sf):
         t["key_symptoms"].alias("triage_key_symptoms"))
     out = escalation.with_default_records(rows, F.col("assessment_id") % 9)
     return out.select("assessment_id", F.size("symptoms").alias("n_symptoms"), "conversation_notes",
-                      "triage_alert_level", "triage_rationale", "triage_timeline", "triage_notes")
+                      F.array_join("triage_key_symptoms", "|").alias("triage_key_symptoms"), "triage_alert_level", "triage_rationale", "triage_timeline", "triage_notes")
 
 
 # -- streams, each driven over the whole table ------------------------------
@@ -749,7 +786,8 @@ def patient_assessments(spark, sf):
 
 @query
 def upcoming_events(spark, sf):
-    return scheduling.upcoming(A.calendar_events(spark, sf), "2024-01-10", 10).drop("attendees")
+    return scheduling.upcoming(A.calendar_events(spark, sf), "2024-01-10", 10).withColumn(
+        "attendees", F.array_join("attendees", "; "))
 
 
 @query
