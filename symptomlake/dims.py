@@ -110,35 +110,69 @@ OTHER = {"others_specify": "Other – please specify"}
 OFTEN = ["3-4", "5-6", "6+"]
 
 
-def _both_sides(parts):
-    """left/right pair for every (key, label) of a body part."""
-    return {f"{side}_{key}": f"{side.title()} {label}"
-            for key, label in parts for side in ("left", "right")}
-
-
-def _limb_digits(part, where):
-    return {f"{side}_{part}": f"{part.title()} on {side} {where}" for side in ("left", "right")}
-
-
 JOINT_REGIONS = {
-    **_both_sides([("shoulder", "shoulder girdle"), ("elbow", "elbow"), ("wrist", "wrist")]),
-    **_limb_digits("fingers", "hand"),
+    "left_shoulder": "Left shoulder girdle",
+    "right_shoulder": "Right shoulder girdle",
+    "left_elbow": "Left elbow",
+    "right_elbow": "Right elbow",
+    "left_wrist": "Left wrist",
+    "right_wrist": "Right wrist",
+    "left_fingers": "Fingers on left hand",
+    "right_fingers": "Fingers on right hand",
     "upper_back": "Upper back",
     "lower_back": "Lower back",
-    **_both_sides([("hip", "hip"), ("knee", "knee"), ("ankle", "ankle")]),
-    **_limb_digits("toes", "foot"),
+    "left_hip": "Left hip",
+    "right_hip": "Right hip",
+    "left_knee": "Left knee",
+    "right_knee": "Right knee",
+    "left_ankle": "Left ankle",
+    "right_ankle": "Right ankle",
+    "left_toes": "Toes on left foot",
+    "right_toes": "Toes on right foot",
 }
 
-MUSCLE_REGIONS = _both_sides([
-    # front
-    ("jaw", "jaw"), ("neck", "neck"), ("chest", "chest"), ("abdomen", "abdomen"),
-    ("shoulder", "shoulder"), ("bicep", "bicep"), ("lower_arm", "forearm"), ("hand", "hand"),
-    ("oblique", "oblique"), ("adductor", "adductor"), ("quadriceps", "quadriceps"),
-    ("lower_leg", "lower leg"), ("foot", "foot"),
-    # back
-    ("trapezius", "trapezius"), ("upper_back", "upper back"), ("lower_back", "lower back"),
-    ("buttock", "buttock"), ("tricep", "tricep"), ("hamstrings", "hamstrings"), ("calf", "calf"),
-])
+MUSCLE_REGIONS = {
+    "left_jaw": "Left jaw",
+    "right_jaw": "Right jaw",
+    "left_neck": "Left neck",
+    "right_neck": "Right neck",
+    "left_chest": "Left chest",
+    "right_chest": "Right chest",
+    "left_abdomen": "Left abdomen",
+    "right_abdomen": "Right abdomen",
+    "left_shoulder": "Left shoulder",
+    "right_shoulder": "Right shoulder",
+    "left_bicep": "Left bicep",
+    "right_bicep": "Right bicep",
+    "left_lower_arm": "Left forearm",
+    "right_lower_arm": "Right forearm",
+    "left_hand": "Left hand",
+    "right_hand": "Right hand",
+    "left_oblique": "Left oblique",
+    "right_oblique": "Right oblique",
+    "left_adductor": "Left adductor",
+    "right_adductor": "Right adductor",
+    "left_quadriceps": "Left quadriceps",
+    "right_quadriceps": "Right quadriceps",
+    "left_lower_leg": "Left lower leg",
+    "right_lower_leg": "Right lower leg",
+    "left_foot": "Left foot",
+    "right_foot": "Right foot",
+    "left_trapezius": "Left trapezius",
+    "right_trapezius": "Right trapezius",
+    "left_upper_back": "Left upper back",
+    "right_upper_back": "Right upper back",
+    "left_lower_back": "Left lower back",
+    "right_lower_back": "Right lower back",
+    "left_buttock": "Left buttock",
+    "right_buttock": "Right buttock",
+    "left_tricep": "Left tricep",
+    "right_tricep": "Right tricep",
+    "left_hamstrings": "Left hamstrings",
+    "right_hamstrings": "Right hamstrings",
+    "left_calf": "Left calf",
+    "right_calf": "Right calf",
+}
 
 DIAGRAM_TYPES = ["body-diagram", "muscle-diagram", "joint-diagram"]
 

@@ -42,7 +42,7 @@ def day_severity(assessments: DataFrame, first, last) -> DataFrame:
 
 
 def monthly_symptom_averages(assessments: DataFrame, month) -> DataFrame:
-    """Mean severity per symptom of a month, worst first."""
+    """Mean severity per symptom of a month; order by ``mean_severity`` for one patient."""
     start, end = timing.month_bounds(month)
     rows = (assessments.where(timing.in_bounds(F.col("created_at"), (start, end)))
             .select("user_id", F.explode("symptoms").alias("s"))
@@ -51,8 +51,7 @@ def monthly_symptom_averages(assessments: DataFrame, month) -> DataFrame:
     sums = rows.groupBy("user_id", "symptom").agg(F.sum("sev").alias("total"), F.count("*").alias("n"))
     mean = rounding.ratio(F.col("total"), F.col("n"))
     return sums.select("user_id", "symptom", "n", mean.alias("mean_severity"),
-                       rounding.mean_rounded("total", "n", 1, "up").alias("shown")) \
-        .orderBy("user_id", F.col("mean_severity").desc(), "symptom")
+                       rounding.mean_rounded("total", "n", 1, "up").alias("shown"))
 
 
 def yearly_summary(assessments: DataFrame, year: int) -> DataFrame:
@@ -86,7 +85,7 @@ def alert_days_by_month(assessments: DataFrame) -> DataFrame:
         F.count_if(F.coalesce("flag_for_oncologist", F.lit(False))).alias("alerts"))
     return days.groupBy("user_id", F.date_format("day", "yyyy-MM").alias("month")).agg(
         F.sum("n").alias("assessments"), F.sum("alerts").alias("alerts"),
-        F.count_if(F.col("alerts") > 0).alias("alert_days")).orderBy("user_id", F.col("month").desc())
+        F.count_if(F.col("alerts") > 0).alias("alert_days"))
 
 
 def weekly_rollup(assessments: DataFrame, as_of) -> DataFrame:
@@ -120,8 +119,7 @@ def severity_series(assessments: DataFrame, first, last) -> DataFrame:
         return F.get(hit, F.lit(0))["severity_rating"].alias(name)
 
     return (assessments.where(timing.between_dates(F.col("created_at"), first, last))
-            .select("user_id", "created_at", "assessment_id", *[value(s) for s in dims.CHART_SYMPTOMS])
-            .orderBy("user_id", "created_at", "assessment_id"))
+            .select("user_id", "created_at", "assessment_id", *[value(s) for s in dims.CHART_SYMPTOMS]))
 
 
 def charted_symptoms(series: DataFrame) -> DataFrame:

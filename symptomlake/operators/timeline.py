@@ -114,5 +114,4 @@ def patient_reports(assessments: DataFrame) -> DataFrame:
                     "flagged", "notification_level", "pos",
                     title_symptom(F.col("s.symptom")).alias("symptom"),
                     F.when(F.col("s").isNotNull(), rating("frequency_rating")).alias("frequency"),
-                    F.when(F.col("s").isNotNull(), rating("severity_rating")).alias("severity"))
-            .orderBy("user_id", F.col("created_at").desc(), F.col("assessment_id").desc(), "pos"))
+                    F.when(F.col("s").isNotNull(), rating("severity_rating")).alias("severity")))

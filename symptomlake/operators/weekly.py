@@ -182,8 +182,9 @@ def weekly_insights(report: DataFrame, offset: int = 0) -> Column:
 def weekly_report(users: DataFrame, assessments: DataFrame, as_of, offset: int = 0) -> DataFrame:
     """The whole weekly answer, one row per user, users without data included.
 
-    The per-patient inputs are already hash-partitioned by ``user_id``; only the
-    user list itself is exchanged for the two joins.
+    The week is scanned twice, by day and by symptom: in one scan the day sums
+    would be carried once per symptom. Both scans read the filtered week and
+    the columns they need, and reduce on the map side before they are joined.
     """
     start, end = timing.week_bounds(as_of, offset)
     week = _user_week(week_of(assessments, as_of, offset), as_of, offset)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators.accounts import drop_sensitive
 from ..operators.joins import salted_join
@@ -69,9 +69,13 @@ def cascade_delete(users: DataFrame, related: dict[str, DataFrame],
 
 def insert_if_absent(new: DataFrame, existing: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Rows to append, the first per key by ``order`` and none whose key exists."""
-    rest = [c for c in new.columns if c not in keys]
-    first = new.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("r"))
-    return first.select(*keys, "r.*").join(existing, keys, "left_anti").select(*new.columns)
+    return first_per_key(new, keys, order).join(existing, keys, "left_anti").select(*new.columns)
+
+
+def first_per_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The first row of each key; a rank filter, so each task sends one row of a key at most."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
 def latest_draft(drafts: DataFrame, *ties: str) -> DataFrame:

@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import escalation, questionnaire
 from ..session import shared_dir
-from ..sources.tables import insert_if_absent
+from ..sources.tables import first_per_key
+
+#: Partitions of a keyed sink.
+BUCKETS = 256
 
 
 def _drop_repeats(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -64,17 +68,17 @@ def _session_step(ttl_us: int):
             state.remove()
             return
         start = state.get[0] if state.exists else None
-        waiting = []                      # frames seen before the start of a new session
+        waiting = []                      # id and time of messages seen before the start of a new session
         for frame in frames:
             opened = frame.loc[frame["is_start"], "ts_us"]
             if start is None and len(opened):
                 start = int(opened.min())
             if start is None:
-                waiting.append(frame)
+                waiting.append(frame.loc[~frame["copy"], ["message_id", "ts_us", "copy"]])
             else:
                 yield verdicts(key[0], start, frame)
-        for frame in waiting:             # without a start: unknown or long expired
-            yield verdicts(key[0], start, frame)
+        while waiting:                    # without a start: unknown or long expired
+            yield verdicts(key[0], start, waiting.pop())
         if start is not None:
             state.update((start,))
             state.setTimeoutTimestamp(max((start + ttl_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
@@ -82,7 +86,7 @@ def _session_step(ttl_us: int):
 
 
 def stream_sessions(messages: DataFrame, ttl_seconds: int = 1800, lateness: str = "10 minutes",
-                    salts: int = 8) -> DataFrame:
+                    salts: int | None = None) -> DataFrame:
     """Every message with the verdict whether its session was still open.
 
     ``messages`` has (session_id, message_id, ts, is_start). A session lives for
@@ -90,9 +94,13 @@ def stream_sessions(messages: DataFrame, ttl_seconds: int = 1800, lateness: str
     known session are refused. State is one start time per open session (texts
     never enter it) and an event-time timer removes it.
 
-    Messages of a session are dealt over ``salts`` groups, and its single start
-    row is copied to each of them, so a crowded session has no task of its own.
+    Messages of a session are dealt over ``salts`` groups (by default as many as
+    there are shuffle partitions), and its single start row is copied to each of
+    them, so a crowded session has no task of its own. A group holds at most
+    the ids and times of its messages of one micro-batch, whose size the source
+    bounds (``maxFilesPerTrigger`` or ``maxBytesPerTrigger``).
     """
+    salts = salts or int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = F.pmod(F.xxhash64("message_id"), F.lit(salts)).cast("int")
     every = F.sequence(F.lit(0), F.lit(salts - 1))
     rows = (messages.withWatermark("ts", lateness)
@@ -139,21 +147,26 @@ def insert_batch(target: str, keys: list[str], order: str):
     """T5: ``foreachBatch`` function appending rows whose key is not stored yet.
 
     The stored table itself is the memory, so nothing is forgotten and a
-    repeated micro-batch adds nothing.
+    repeated micro-batch adds nothing. It is partitioned by a hash of the key
+    (column ``_bucket``); a micro-batch reads the key columns of its own
+    partitions only.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        existing = spark.read.schema(batch.schema).parquet(target) if _exists(spark, target) \
-            else batch.limit(0)
-        insert_if_absent(batch, existing.select(*keys), keys, order).write.mode("append").parquet(target)
+        new = batch.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
+        first = first_per_key(new, keys, order)
+        mine = [r[0] for r in new.select("_bucket").distinct().collect()]  # BUCKETS at most
+        try:
+            known = spark.read.schema(new.schema).parquet(target).where(F.col("_bucket").isin(mine))
+        except AnalysisException as missing:  # nothing stored yet
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            known = new.limit(0)
+        fresh = first.join(known.select(*keys, "_bucket"), [*keys, "_bucket"], "left_anti").select(*new.columns)
+        fresh.hint("rebalance", "_bucket").write.mode("append").partitionBy("_bucket").parquet(target)
     return write
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def stream_insert_if_absent(stream: DataFrame, target: str, checkpoint: str, keys: list[str],
                             order: str, **trigger):
     """T5: start the insert-if-absent sink; returns the running query."""

@@ -169,3 +169,18 @@ def test_history_shaping(spark):
 
 def test_catalogue_is_data_only():
     assert json.dumps(dims.SECTIONS)
+
+
+def test_generated_code_stays_within_a_method(spark, capfd):
+    rows = spark.createDataFrame([(1, {"appetite_rating": "2.5"})], "submission_id int, answers map<string,string>")
+    ops.question_responses(rows).collect()
+    enriched = ops.enrich(rows)
+    enriched.select("sections", "summary", "completion").collect()
+    messages.with_messages(enriched).select("messages").collect()
+    assert "Failed to compile" not in capfd.readouterr().err
+
+
+def test_fractional_rating_is_kept(spark):
+    rows = spark.createDataFrame([(1, {"appetite_rating": "2.5"})], "submission_id int, answers map<string,string>")
+    scores = ops.section_results(ops.enrich(rows, responses=False), "submission_id").collect()
+    assert 2.5 in [r.severity_score for r in scores]

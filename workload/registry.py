@@ -217,7 +217,9 @@ def top_key_symptoms(spark, sf):
 
 @query
 def smart_insights(spark, sf):
-    rows = A.assessments(spark, sf).drop("symptoms")
+    # the newest triaged row first: only its document is decoded
+    rows = ranking.latest_per_key(triage.with_triage(A.assessments(spark, sf).drop("symptoms")), "user_id",
+                                  ["created_at", "assessment_id"])
     docs = A.events(spark, sf).select(F.col("event_id").alias("assessment_id"),
                                       S.symptom_entries(A.symptom_json()).alias("symptoms"))
     out = triage.smart_insights(rows.join(docs, "assessment_id"))
@@ -766,7 +768,7 @@ def stream_insert_if_absent(spark, sf):
     root = shared_dir(spark, "unlocks")
     jobs.stream_insert_if_absent(new, f"{root}/out", f"{root}/progress",
                                  ["user_id", "achievement_id"], "at").awaitTermination()
-    return spark.read.schema(new.schema).parquet(f"{root}/out")
+    return spark.read.parquet(f"{root}/out").select(*new.columns)
 
 
 # -- histories --------------------------------------------------------------
