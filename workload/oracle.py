@@ -27,20 +27,17 @@ def _values(rows) -> str:
 
 
 def mean_scaled(s: str, n: str, digits: int = 1, ties: str = "even") -> str:
-    """Decimal-exact rounded mean times 10**digits (see functions.rounding)."""
-    p = 2 * 10**digits
-    twice = f"({p} * CAST({s} AS BIGINT))"
-    n = f"CAST({n} AS BIGINT)"
-    q = f"({twice} // {n})"
+    """The mean times 10**digits as it prints: decimal output rounds the exact binary value, halves to even.
+
+    A mean that is exactly halfway is an odd number of quarters (one digit) or eighths (two); ``ties="up"`` lifts it.
+    """
     mean = f"(CAST({s} AS DOUBLE) / CAST({n} AS DOUBLE))"
-    scale = "CASE " + " ".join(f"WHEN {mean} >= {2.0**e} THEN {2**(52 - e)}" for e in range(6, -8, -1)) \
-        + f" ELSE {2**60} END"
-    off = f"(CAST({mean} * CAST({scale} AS DOUBLE) AS BIGINT) * {p} - {q} * CAST({scale} AS BIGINT))"
-    down, up = f"({q} // 2)", f"(({q} + 1) // 2)"
-    half = up if ties == "up" else f"CASE WHEN {down} % 2 = 0 THEN {down} ELSE {up} END"
-    return (f"CASE WHEN {n} > 0 THEN CASE WHEN {twice} % {n} = 0 AND {q} % 2 = 1 THEN "
-            f"CASE WHEN {off} > 0 THEN {up} WHEN {off} < 0 THEN {down} ELSE {half} END "
-            f"ELSE {up} END END")
+    shown = f"CAST(round(CAST(printf('%.{digits}f', {mean}) AS DOUBLE) * {10**digits}) AS BIGINT)"
+    if ties == "up":
+        parts = f"({mean} * {2 ** (digits + 1)})"
+        shown = f"CASE WHEN {parts} = floor({parts}) AND CAST({parts} AS BIGINT) % 2 = 1 " \
+            f"THEN CAST(ceil({mean} * {10**digits}) AS BIGINT) ELSE {shown} END"
+    return f"CASE WHEN {n} > 0 THEN {shown} END"
 
 
 def mean_rounded(s: str, n: str, digits: int = 1, ties: str = "even") -> str:
@@ -50,6 +47,7 @@ def mean_rounded(s: str, n: str, digits: int = 1, ties: str = "even") -> str:
 # ---------------------------------------------------------------------------
 # shared relations
 # ---------------------------------------------------------------------------
+_CHARTED = ["fatigue", "pain", "cough", "nausea", "lack_of_appetite"]
 CTE: dict[str, str] = {}
 ORDER: list[str] = []
 
@@ -281,8 +279,8 @@ SQL |= {
         + _case("alert_level", dims.ALERT_DESCRIPTIONS["en"], "'Unknown alert level: ' || alert_level")
         + " END AS alert_description FROM a"),
     "severity_level": with_("reports", "SELECT assessment_id, symptom, "
-        + _case("severity", {k: v[0] for k, v in dims.SEVERITY_LEVELS.items()}, "''") + " AS level_name, "
-        + _case("severity", {k: v[1] for k, v in dims.SEVERITY_LEVELS.items()}, "'#999'")
+        + _case("severity", {1: "Minimal", 2: "Mild", 3: "Moderate", 4: "Severe", 5: "Extreme"}, "''") + " AS level_name, "
+        + _case("severity", {1: "#4caf50", 2: "#8bc34a", 3: "#ffc107", 4: "#ff9800", 5: "#f44336"}, "'#999'")
         + " AS level_color FROM reports"),
     "latest_triage": with_("tri_rank", f"SELECT {_TRI} FROM tri_rank WHERE newest_rank = 1"),
     "triage_history": with_("tri_rank", f"SELECT {_TRI}, newest_rank FROM tri_rank WHERE newest_rank <= 10"),
@@ -483,7 +481,7 @@ SQL |= {
         LEFT JOIN (SELECT user_id, month(created_at) AS month, count(*) AS n FROM a WHERE year(created_at) = 2024 GROUP BY 1, 2) c
           ON c.user_id = u.user_id AND c.month = m.month
         LEFT JOIN (SELECT user_id, month(created_at) AS month, """ + ", ".join(
-            f"avg(severity) FILTER (symptom = '{s}') AS {s}" for s in dims.CHART_SYMPTOMS) + """
+            f"avg(severity) FILTER (symptom = '{s}') AS {s}" for s in _CHARTED) + """
           FROM reports WHERE year(created_at) = 2024 GROUP BY 1, 2) r ON r.user_id = u.user_id AND r.month = m.month"""),
     "alert_days_by_month": with_("a", """SELECT user_id, strftime(created_at, '%Y-%m') AS month, count(*) AS assessments,
         count(*) FILTER (flag) AS alerts, count(DISTINCT CASE WHEN flag THEN CAST(created_at AS DATE) END) AS alert_days FROM a GROUP BY 1, 2"""),
@@ -494,11 +492,11 @@ SQL |= {
           CAST(r.total / r.n AS DECIMAL(18, 12)) AS m FROM a LEFT JOIN (SELECT assessment_id, CAST(sum(severity) AS BIGINT) AS total, count(*) AS n
             FROM reports WHERE NOT worded GROUP BY 1) r USING (assessment_id)) GROUP BY 1, 2"""),
     "severity_series": with_("a reports", f"""SELECT a.user_id, {TS('a.created_at')} AS created_at, a.assessment_id, """ + ", ".join(
-        f"CAST(max(severity) FILTER (symptom = '{s}') AS BIGINT) AS {s}" for s in dims.CHART_SYMPTOMS)
+        f"CAST(max(severity) FILTER (symptom = '{s}') AS BIGINT) AS {s}" for s in _CHARTED)
         + """ FROM a LEFT JOIN reports r USING (assessment_id) WHERE CAST(a.created_at AS DATE) BETWEEN DATE '2024-01-22' AND DATE '2024-01-28'
         GROUP BY a.user_id, a.created_at, a.assessment_id"""),
     "charted_symptoms": with_("a reports", "SELECT a.user_id, " + ", ".join(
-        f"coalesce(bool_or(symptom = '{s}' AND severity IS NOT NULL), FALSE) AS {s}" for s in dims.CHART_SYMPTOMS)
+        f"coalesce(bool_or(symptom = '{s}' AND severity IS NOT NULL), FALSE) AS {s}" for s in _CHARTED)
         + """ FROM a LEFT JOIN reports r USING (assessment_id) WHERE CAST(a.created_at AS DATE) BETWEEN DATE '2024-01-22' AND DATE '2024-01-28'
         GROUP BY 1"""),
 }
@@ -569,11 +567,11 @@ cte("sev", """SELECT o.o_orderkey AS id, s.section_pos, s.section_id, s.title, s
     CASE WHEN p.id IS NOT NULL THEN s.method WHEN f.id IS NOT NULL THEN s.fb_method END AS method, c.keys, c.labels
     FROM orders o CROSS JOIN {secdef} s JOIN {cat} c ON c.idx = s.src
     LEFT JOIN {ans} p ON p.id = o.o_orderkey AND p.idx = s.src LEFT JOIN {ans} f ON f.id = o.o_orderkey AND f.idx = s.fb""")
-cte("sec0", "SELECT *, CASE method WHEN 'frequency_map' THEN " + _case("scalar", dims.FREQUENCY_SEVERITY, "0")
+cte("sec0", "SELECT *, CASE method WHEN 'frequency_map' THEN " + _case("scalar", {"none": 0, "1-2": 1, "3-4": 2, "5-6": 3, "6+": 4}, "0")
     + """ WHEN 'region_count' THEN CASE WHEN len(items) >= 10 THEN 4 WHEN len(items) >= 6 THEN 3 WHEN len(items) >= 3 THEN 2
       WHEN len(items) >= 1 THEN 1 ELSE 0 END WHEN 'rating' THEN CAST(scalar AS DOUBLE) END AS score FROM {sev}""")
 cte("sec", "SELECT s.id, s.section_pos, s.section_id, s.title, s.clinical_area, CAST(s.score AS DOUBLE) AS severity_score, CASE method WHEN 'frequency_map' THEN "
-    + _case("score", dims.FREQUENCY_LABELS) + " WHEN 'region_count' THEN " + _case("score", dims.REGION_LABELS)
+    + _case("score", {0: "None", 1: "Mild", 2: "Moderate", 3: "Frequent", 4: "Very frequent"}) + " WHEN 'region_count' THEN " + _case("score", {0: "None", 1: "Mild", 2: "Moderate", 3: "Significant", 4: "Severe"})
     + """ WHEN 'rating' THEN labels[list_position(keys, scalar)] END AS severity_label, coalesce(r.flags, '') AS alert_flags,
     coalesce(score > 0, FALSE) OR r.flags IS NOT NULL AS is_concern,
     CASE WHEN (coalesce(score > 0, FALSE) OR r.flags IS NOT NULL) AND r.details <> '' THEN r.details END AS details
