@@ -19,6 +19,7 @@ passed on by ``sanitise``.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -38,7 +39,7 @@ KINDS = ("email", "ip", "card", "phone", "term")
 
 #: The base patterns.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")  # a later start in a run of digits fares no better
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NO_DIGIT = re.compile(r"[^0-9]+")
@@ -89,9 +90,20 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def _around(text: str, spans: list[tuple[int, int, str]], k: int) -> list[tuple[int, int]]:
-    """The up to WINDOW terms on either side of a span that touch no base span."""
-    a, b, _ = spans[k]
+def _covered(spans: list[tuple[int, int, str]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that spans (sorted by start) cover together."""
+    starts, ends = [], []
+    for a, b, _ in spans:
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def _around(text: str, a: int, b: int, starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
+    """The up to WINDOW terms on either side of a span (a, b) that touch no covered stretch."""
     reach = 40 * WINDOW
     while True:  # widen until the window is full on both sides, or the text ends
         lo, hi = max(0, a - reach), min(len(text), b + reach)
@@ -103,7 +115,11 @@ def _around(text: str, spans: list[tuple[int, int, str]], k: int) -> list[tuple[
             break
         reach *= 4
     near = before[-WINDOW:] + after[:WINDOW]
-    return [(x, y) for x, y in near if y - x >= 3 and all(y <= s or x >= e for s, e, _ in spans)]
+
+    def free(x: int, y: int) -> bool:
+        k = bisect.bisect_left(starts, y) - 1
+        return k < 0 or ends[k] <= x
+    return [(x, y) for x, y in near if y - x >= 3 and free(x, y)]
 
 
 SCAN = ("doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, "
@@ -123,8 +139,9 @@ def scan(docs: DataFrame) -> DataFrame:
                     said = ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
                     kinds = [s[2] for s in spans]
                     rows.append((*(kinds.count(k) for k in KINDS[:4]), hashlib.sha256(said.encode()).hexdigest(), said))
-                    for k, (a, b, kind) in enumerate(spans):
-                        for x, y in _around(text, spans, k):
+                    starts, ends = _covered(spans)
+                    for a, b, kind in spans:
+                        for x, y in _around(text, a, b, starts, ends):
                             places.append((row, x, y))
                             words.append(text[x:y])
                             named.append(f"{kind}:{text[a:b]}")
@@ -140,19 +157,27 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def disclosures(docs: DataFrame, seen: DataFrame) -> DataFrame:
-    """entity, term and disclosure of every pair at or above GENERALISE."""
-    said = (seen.where(F.size("mentions") > 0).select("text_key", F.explode("mentions").alias("m"))
-            .select("text_key", "m.entity", "m.term").distinct())
-    pairs = stored(said.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
-                   .where(F.col("both") >= SUPPORT), "pairs")
+    """entity, term and disclosure of every pair at or above GENERALISE.
+
+    A term occurs in at least as many texts as hold it near some entity, which
+    bounds its disclosure from above. Only pairs whose bound is high enough are
+    counted over the corpus, so common words never are.
+    """
+    total = float(seen.select("text_key").distinct().count())
+    said = stored(seen.where(F.size("mentions") > 0).select("text_key", F.explode("mentions").alias("m"))
+                  .select("text_key", "m.entity", "m.term").distinct(), "said")
+    near = said.select("text_key", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
     entities = (seen.where(F.size("mentions") > 0).select("text_key", F.explode("mentions.entity").alias("entity"))
                 .distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")))
+
+    def disclosure(n_term: str):
+        content = F.log2(F.lit(total) / F.col("n_entity"))
+        mutual = F.log2(F.lit(total) * F.col("both") / (F.col(n_term) * F.col("n_entity")))
+        return F.when(content > 0, mutual / content).otherwise(0.0)
+    pairs = stored(said.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= SUPPORT)
+                   .join(entities, "entity").join(near, "term").where(disclosure("n_near") >= GENERALISE), "pairs")
     terms = count_texts(docs, pairs.select("term").distinct())
-    total = seen.select("text_key").distinct().agg(F.count(F.lit(1)).cast("double").alias("total"))
-    scored = pairs.join(entities, "entity").join(terms, "term").join(F.broadcast(total))  # one row
-    content = F.log2(F.col("total") / F.col("n_entity"))
-    mutual = F.log2(F.col("total") * F.col("both") / (F.col("n_term") * F.col("n_entity")))
-    return scored.withColumn("disclosure", F.when(content > 0, mutual / content).otherwise(0.0)).where(
+    return pairs.join(terms, "term").withColumn("disclosure", disclosure("n_term")).where(
         F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure")
 
 

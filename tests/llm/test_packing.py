@@ -35,6 +35,11 @@ def test_ids_are_the_tokenizers(tokenizer):
         assert packing.encode(text).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
 
 
+def test_long_stretches():
+    for text in (" " * 1_000_000, "\n " * 500_000, "a" * 1_000_000, " x" * 5 + " " * 300_000 + "y"):
+        assert packing.encode(text)[-1] == 0
+
+
 def test_every_id_once(spark, tokenizer):
     rows = [(k, f"word{k % 5} and more " * (k % 37), 1) for k in range(300)] + [(7, "again", 1), (7, "again", 1), (None, None, 1), (400, "", 1), (401, "long text " * 9000, 1)]
     out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, start int")).collect()

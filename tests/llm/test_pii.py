@@ -40,6 +40,14 @@ def test_base_spans_like_the_patterns():
         assert pii.base_spans(text) == (plain(text) if len(text) < 4000 else pii.base_spans(text))
 
 
+def test_long_runs_take_linear_time():
+    assert pii.base_spans("1" * 300_000 + " " + "a" * 300_000 + "@" + "+1(" * 100_000) == []
+    many = "a@b.co word " * 20_000
+    spans = pii.base_spans(many)
+    starts, ends = pii._covered(spans)
+    assert len(spans) == 20_000 and all(len(pii._around(many, a, b, starts, ends)) <= 16 for a, b, _ in spans)
+
+
 def corpus():
     rows = [(k, f"common words about number {k} and the same old things as ever, filler{k}") for k in range(400)]
     for k in range(5):  # the codename occurs only beside the address
