@@ -3,13 +3,13 @@
 Base spans are found by fixed patterns in every whole text. They are the protected entities. The corpus then says how
 strongly other terms give them away: for a term ``t`` within ``WINDOW`` terms of an entity ``e``, the pointwise mutual
 information ``log2(N n(t,e) / (n(t) n(e)))`` is compared with the information content ``log2(N / n(e))`` of the entity.
-Counts are of different texts, so copies of one text say nothing new; ``N`` counts all of them. Their quotient is the
-disclosure: 1 means that who reads the term knows the entity. With ``SUPPORT`` texts at least that hold both, a term at
+Counts are of documents, ``N`` of all. Their quotient is the disclosure: 1 means that who reads the term knows the
+entity. With ``SUPPORT`` different texts at least that hold both (copies of one text prove nothing), a term at
 ``GENERALISE`` or more is replaced by its kind, and one at ``REMOVE`` or more is cut out, wherever it stands near that
 entity. Base spans stay as they are found.
 
 Two passes over the texts. The first keeps mentions and the terms around them, a size bounded by the mentions. The
-second counts the terms in question over all texts; a bit table of fixed size keeps other terms from being counted
+second counts the terms in question over all documents; a bit table of fixed size keeps other terms from being counted
 (false positives only cost time, the join is exact). A frequent entity or term is summed before it is shuffled.
 
 Nulls and edges: a null text is empty and has no spans; null ids are kept as they are; rows with equal id and text get
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import arrays
 from .order import stored
-from .terms import TERM, count_texts, term_hashes
+from .terms import TERM, count_documents, term_hashes
 
 WINDOW = 8
 SUPPORT = 3
@@ -159,24 +159,28 @@ def scan(docs: DataFrame) -> DataFrame:
 def disclosures(docs: DataFrame, seen: DataFrame) -> DataFrame:
     """entity, term and disclosure of every pair at or above GENERALISE.
 
-    A term occurs in at least as many texts as hold it near some entity, which
-    bounds its disclosure from above. Only pairs whose bound is high enough are
-    counted over the corpus, so common words never are.
+    A term occurs in at least as many documents as hold it near some entity,
+    which bounds its disclosure from above. Only pairs whose bound is high
+    enough are counted over the corpus.
     """
-    total = float(seen.select("text_key").distinct().count())
-    said = stored(seen.where(F.size("mentions") > 0).select("text_key", F.explode("mentions").alias("m"))
-                  .select("text_key", "m.entity", "m.term").distinct(), "said")
-    near = said.select("text_key", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
-    entities = (seen.where(F.size("mentions") > 0).select("text_key", F.explode("mentions.entity").alias("entity"))
-                .distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")))
+    total = float(seen.count())
+    named = seen.where(F.size("mentions") > 0)
+    said = named.select("text_key", F.explode(F.array_distinct(F.transform(
+        "mentions", lambda m: F.struct(m["entity"].alias("entity"), m["term"].alias("term"))))).alias("m"))
+    by_text = said.groupBy("text_key", "m.entity", "m.term").agg(F.count(F.lit(1)).alias("n"))
+    both = by_text.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("texts"))
+    near = named.select(F.explode(F.array_distinct("mentions.term")).alias("term")).groupBy("term").agg(
+        F.count(F.lit(1)).alias("n_near"))
+    entities = named.select(F.explode(F.array_distinct("mentions.entity")).alias("entity")).groupBy("entity").agg(
+        F.count(F.lit(1)).alias("n_entity"))
 
     def disclosure(n_term: str):
         content = F.log2(F.lit(total) / F.col("n_entity"))
         mutual = F.log2(F.lit(total) * F.col("both") / (F.col(n_term) * F.col("n_entity")))
         return F.when(content > 0, mutual / content).otherwise(0.0)
-    pairs = stored(said.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= SUPPORT)
+    pairs = stored(both.where(F.col("texts") >= SUPPORT)
                    .join(entities, "entity").join(near, "term").where(disclosure("n_near") >= GENERALISE), "pairs")
-    terms = count_texts(docs, pairs.select("term").distinct())
+    terms = count_documents(docs, pairs.select("term").distinct())
     return pairs.join(terms, "term").withColumn("disclosure", disclosure("n_term")).where(
         F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure")
 

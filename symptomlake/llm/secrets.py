@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import arrays
 from .order import stored
 from .quality import fold
-from .terms import count_texts, term_hashes
+from .terms import count_documents, term_hashes
 
 LEAST, KNOWN, MOST = 16, 5, 4096
 PLACES = 16
@@ -109,7 +109,7 @@ def findings(docs: DataFrame, logs: np.ndarray) -> DataFrame:
                    .withColumn("row", F.monotonically_increasing_id()), "findings")
     pieces = found.select("row", F.explode(F.arrays_zip("runs", "sizes")).alias("r")).select(
         "row", F.col("r.runs").alias("term"), F.col("r.sizes").alias("size"))
-    known = count_texts(docs, pieces.select("term").distinct()).where(F.col("n_term") >= KNOWN)
+    known = count_documents(docs, pieces.select("term").distinct()).where(F.col("n_term") >= KNOWN)
     covered = pieces.join(known, "term").groupBy("row").agg(F.sum("size").alias("covered"))
     share = F.coalesce(F.col("covered"), F.lit(0)) / (F.col("end") - F.col("start"))
     return stored(found.join(covered, "row", "left").select(

@@ -1,4 +1,4 @@
-"""In how many different texts does a term occur: counts over a whole corpus for a given set of terms.
+"""In how many documents does a term occur: counts over a whole corpus for a given set of terms.
 
 A term is a stretch of letters and digits, A-Z lower-cased; all signs outside ASCII count as letters.
 """
@@ -47,22 +47,32 @@ def bit_table(terms: DataFrame) -> np.ndarray:
     return table
 
 
-def count_texts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """term and n_term, the number of different texts that hold it, for the hashes in ``terms``."""
+def count_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """term and n_term, the number of documents that hold it, for the hashes in ``terms``.
+
+    Each task adds up what it has read and sends one row for each term.
+    """
     table = bit_table(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        term, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            for part, at, data in arrays.runs(batch):
+            held = [term]
+            for _, at, data in arrays.runs(batch):
                 low = arrays.LOWER[data]
                 starts, ends, first = arrays.split(at, (KIND[low] == 1).astype(np.uint8))
                 h = arrays.hashes(low, starts, ends)
                 place = _place(h)
                 hit = np.flatnonzero((table[place >> 3] >> (place & 7)) & 1)
                 row = np.searchsorted(first, hit, "right") - 1
-                pair = np.unique(np.stack([row, h[hit].view(np.int64)], axis=1), axis=0) if len(hit) else np.zeros((0, 2), np.int64)
-                keys = part.column(0).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(keys[pair[:, 0]]), pa.array(pair[:, 1])], ["text_key", "term"])
-    held = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text").mapInArrow(
-        run, "text_key long, term long")
-    return held.join(terms, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+                order = np.lexsort((h[hit], row))
+                row, own = row[order], h[hit].view(np.int64)[order]
+                new = np.ones(len(own), bool)
+                new[1:] = (row[1:] != row[:-1]) | (own[1:] != own[:-1])  # a document counts once
+                held.append(own[new])
+            found, back = np.unique(np.concatenate(held), return_inverse=True)
+            count = np.bincount(back, np.concatenate([count, np.ones(len(back) - len(term))]), len(found)).astype(np.int64)
+            term = found
+        yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(count)], ["term", "n"])
+    held = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    return held.join(terms, "term", "left_semi")
