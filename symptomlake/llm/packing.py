@@ -163,7 +163,9 @@ PIECE = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def pack(docs: DataFrame, size: int = SIZE, with_ids: bool = True, path: str | None = None) -> DataFrame:
     """One row for each piece of a document in a sequence, with its ids unless they are not asked for."""
     tokens = tokenised(docs, path)
-    placed = tokens.select("row_id", "doc_id", "ids").join(places(tokens), "row_id").select("doc_id", "before", "ids")
+    # Both sides grow with the documents, so neither is ever sent whole to every executor.
+    placed = tokens.select("row_id", "doc_id", "ids").join(places(tokens).hint("merge"), "row_id").select(
+        "doc_id", "before", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
