@@ -1,16 +1,20 @@
 """Information-theoretic sanitisation of personal data.
 
 Base spans are found by fixed patterns in every whole text. They are the protected entities. The corpus then says how
-strongly other terms give them away: for a term ``t`` within ``WINDOW`` terms of an entity ``e``, the pointwise mutual
-information ``log2(N n(t,e) / (n(t) n(e)))`` is compared with the information content ``log2(N / n(e))`` of the entity.
-Counts are of documents, ``N`` of all. Their quotient is the disclosure: 1 means that who reads the term knows the
+strongly other terms give them away: for a term ``t`` and an entity ``e``, the pointwise mutual information
+``log2(N n(t,e) / (n(t) n(e)))`` is compared with the information content ``log2(N / n(e))`` of the entity. All counts
+are of whole documents, ``N`` of all. Their quotient is the disclosure: 1 means that who reads the term knows the
 entity. With ``SUPPORT`` different texts at least that hold both (copies of one text prove nothing), a term at
-``GENERALISE`` or more is replaced by its kind, and one at ``REMOVE`` or more is cut out, wherever it stands near that
-entity. Base spans stay as they are found.
+``GENERALISE`` or more for some entity is replaced by its kind, and one at ``REMOVE`` or more is cut out, at every
+place in every document, whether the entity stands there too or not. Base spans stay as they are found; a term that
+touches one is part of it, and terms of one or two characters stay.
 
-Two passes over the texts. The first keeps mentions and the terms around them, a size bounded by the mentions. The
-second counts the terms in question over all documents; a bit table of fixed size keeps other terms from being counted
-(false positives only cost time, the join is exact). A frequent entity or term is summed before it is shuffled.
+Four passes over the texts at most, and one if no entity has ``SUPPORT`` different texts. The first finds base spans and
+entities. The second takes the terms of texts that hold such an entity, each text once; terms with too few of these
+texts go before they are paired with the entities. The third counts the terms in question over all documents, the
+fourth finds their places. Bit tables of fixed size keep other texts and terms out (false positives only cost time, the
+joins are exact). A frequent entity or term is summed before it is shuffled. Pairs are those of a text's entities and
+terms, before they are summed; nothing else grows faster than the texts.
 
 Nulls and edges: a null text is empty and has no spans; null ids are kept as they are; rows with equal id and text get
 equal answers; a span never overlaps another of its kind; an empty table gives an empty result; other columns are only
@@ -30,7 +34,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import arrays
 from .order import stored
-from .terms import TERM, count_documents, term_hashes
+from .quality import KIND
+from .terms import TERM, TABLE_BITS, bit_table, count_documents, term_hashes
 
 WINDOW = 8
 SUPPORT = 3
@@ -123,56 +128,109 @@ def _around(text: str, a: int, b: int, starts: list[int], ends: list[int]) -> li
 
 
 SCAN = ("doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, "
-        "mentions array<struct<entity: long, start: int, end: int, term: long>>")
-_MENTION = pa.struct([("entity", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("term", pa.int64())])
+        "entities array<long>")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Base spans of every row, and for each entity the terms around it (hashed, with their places)."""
+    """Base spans of every row, and its different entities (hashed)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, _, _ in arrays.runs(batch):
-                texts = [x or "" for x in part.column(2).to_pylist()]
-                rows, places, words, named = [], [], [], []
-                for row, text in enumerate(texts):
-                    spans = base_spans(text)
+                rows, named = [], []
+                for text in part.column(2).to_pylist():
+                    spans = base_spans(text or "")
                     said = ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
                     kinds = [s[2] for s in spans]
                     rows.append((*(kinds.count(k) for k in KINDS[:4]), hashlib.sha256(said.encode()).hexdigest(), said))
-                    starts, ends = _covered(spans)
-                    for a, b, kind in spans:
-                        for x, y in _around(text, a, b, starts, ends):
-                            places.append((row, x, y))
-                            words.append(text[x:y])
-                            named.append(f"{kind}:{text[a:b]}")
-                found = [[] for _ in texts]
-                for (row, x, y), term, entity in zip(places, term_hashes(words), term_hashes(named)):
-                    found[row].append({"entity": int(entity), "start": x, "end": y, "term": int(term)})
+                    named.append(sorted({f"{kind}:{text[a:b]}" for a, b, kind in spans}))
+                ids = iter(term_hashes([e for own in named for e in own]).tolist())
                 kinds = [pa.int64()] * 4 + [pa.string()] * 2
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:2], *(pa.array(c, t) for c, t in zip(zip(*rows), kinds)),
-                     pa.array(found, pa.list_(_MENTION))], [x.split()[0] for x in SCAN.split(", ")[:9]])
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
-    return rows.mapInArrow(run, SCAN)
+                     pa.array([sorted({next(ids) for _ in own}) for own in named], pa.list_(pa.int64()))],
+                    [x.split()[0] for x in SCAN.split(", ")])
+    return _keyed(docs).mapInArrow(run, SCAN)
+
+
+def _hits(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes have their bit set in a table of ``bit_table``."""
+    place = (arrays.mix(h.view(np.uint64)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    return (table[place >> 3] >> (place & 7)) & 1 == 1
+
+
+def _terms(at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, row, start and end (code points) of every term of three characters or more in a slice of texts."""
+    low = arrays.LOWER[data]
+    starts, ends, first = arrays.split(at, (KIND[low] == 1).astype(np.uint8))
+    signs = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    x, y = signs[starts] - signs[at[row]], signs[ends] - signs[at[row]]
+    long = y - x >= 3
+    return arrays.hashes(low, starts[long], ends[long]).view(np.int64), row[long], x[long], y[long]
+
+
+def _free(text: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the places (x, y) of a text touch no base span."""
+    starts, ends = map(np.array, _covered(base_spans(text)))
+    if not len(starts):
+        return np.ones(len(x), bool)
+    k = np.searchsorted(starts, y) - 1
+    return (k < 0) | (ends[k] <= x)
+
+
+def _held_terms(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """text_key and the different terms outside base spans of each text in ``texts`` (text_key), once."""
+    table = bit_table(texts.select(F.col("text_key").alias("term")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, at_once = np.unique(batch.column(0).to_numpy(), return_index=True)
+            batch = batch.take(pa.array(np.sort(at_once[_hits(table, keys)])))
+            for part, at, data in arrays.runs(batch):
+                h, row, x, y = _terms(at, data)
+                cut = np.searchsorted(row, np.arange(part.num_rows + 1))
+                own = [np.unique(h[a:b][_free(part.column(1)[k].as_py() or "", x[a:b], y[a:b])])
+                       for k, (a, b) in enumerate(zip(cut[:-1], cut[1:]))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.list_(pa.int64()))], ["text_key", "terms"])
+    found = _keyed(docs).select("text_key", "text").mapInArrow(run, "text_key long, terms array<long>")
+    return found.groupBy("text_key").agg(F.first("terms").alias("terms"))
 
 
 def disclosures(docs: DataFrame, seen: DataFrame) -> DataFrame:
     """entity, term and disclosure of every pair at or above GENERALISE.
 
-    A term occurs in at least as many documents as hold it near some entity,
-    which bounds its disclosure from above. Only pairs whose bound is high
-    enough are counted over the corpus.
+    A term occurs in at least as many documents as hold it together with some
+    entity, which bounds its disclosure from above. Only pairs whose bound is
+    high enough are counted over the corpus.
     """
     total = float(seen.count())
-    named = seen.where(F.size("mentions") > 0)
-    said = named.select("text_key", F.explode(F.array_distinct(F.transform(
-        "mentions", lambda m: F.struct(m["entity"].alias("entity"), m["term"].alias("term"))))).alias("m"))
-    by_text = said.groupBy("text_key", "m.entity", "m.term").agg(F.count(F.lit(1)).alias("n"))
-    both = by_text.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("texts"))
-    near = named.select(F.explode(F.array_distinct("mentions.term")).alias("term")).groupBy("term").agg(
-        F.count(F.lit(1)).alias("n_near"))
-    entities = named.select(F.explode(F.array_distinct("mentions.entity")).alias("entity")).groupBy("entity").agg(
-        F.count(F.lit(1)).alias("n_entity"))
+    texts = stored(seen.where(F.size("entities") > 0).groupBy("text_key").agg(
+        F.first("entities").alias("entities"), F.count(F.lit(1)).alias("n")), "entity-texts")
+    said = texts.select("text_key", "n", F.explode("entities").alias("entity"))
+    entities = stored(said.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count(F.lit(1)).alias("texts"))
+                      .where(F.col("texts") >= SUPPORT).select("entity", "n_entity"), "entities")
+    if entities.isEmpty():
+        return docs.sparkSession.createDataFrame([], "entity long, term long, disclosure double")
+    asked = stored(said.join(entities, "entity").groupBy("text_key", "n").agg(
+        F.collect_list("entity").alias("entities")), "asked")  # the entities of one text
+    held = stored(asked.join(_held_terms(docs, asked), "text_key"), "held-terms")
+    near = stored(held.select("n", F.explode("terms").alias("term")).groupBy("term").agg(
+        F.sum("n").alias("n_near"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= SUPPORT)
+        .select("term", "n_near"), "near-terms")
+    table = bit_table(near)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [h[_hits(table, h)] for h in (x.values.to_numpy() for x in batch.column(2))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(own, pa.list_(pa.int64()))], ["n", "entities", "terms"])
+    bounded = held.select("n", "entities", "terms").mapInArrow(run, "n long, entities array<long>, terms array<long>")
+    both = (bounded.select("n", "terms", F.explode("entities").alias("entity"))
+            .select("n", "entity", F.explode("terms").alias("term"))
+            .groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("texts")))
 
     def disclosure(n_term: str):
         content = F.log2(F.lit(total) / F.col("n_entity"))
@@ -185,18 +243,37 @@ def disclosures(docs: DataFrame, seen: DataFrame) -> DataFrame:
         F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure")
 
 
+def struck(docs: DataFrame, telling: DataFrame) -> DataFrame:
+    """_id, _key and ``terms`` (start, end, removed) of every row with terms in ``telling`` (term, removed)."""
+    table = bit_table(telling)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, at, data in arrays.runs(batch):
+                h, row, x, y = _terms(at, data)
+                hit = _hits(table, h)
+                h, row, x, y = h[hit], row[hit], x[hit], y[hit]
+                cut = np.searchsorted(row, np.arange(part.num_rows + 1))
+                free = [_free(part.column(2)[k].as_py(), x[a:b], y[a:b]) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if a < b]
+                free = np.concatenate([np.zeros(0, bool), *free])
+                of = pa.array(row[free])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(of), part.column(1).take(of), pa.array(x[free], pa.int32()), pa.array(y[free], pa.int32()),
+                     pa.array(h[free])], ["_id", "_key", "start", "end", "term"])
+    found = _keyed(docs).mapInArrow(run, "_id long, _key long, start int, end int, term long")
+    return (found.join(telling, "term").groupBy("_id", "_key", "start", "end").agg(F.max("removed").alias("removed"))
+            .groupBy("_id", "_key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "removed"))).alias("terms")))
+
+
 def found_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, counts, base_sha256, base, and ``terms``: (start, end, removed) of disclosing terms, by start."""
-    seen = stored(scan(docs), "mentions")
-    telling = disclosures(docs, seen)
-    near = seen.where(F.size("mentions") > 0).select("doc_id", "text_key", F.explode("mentions").alias("m")).select(
-        "doc_id", "text_key", "m.entity", "m.start", "m.end", "m.term")
-    struck = (near.join(telling, ["entity", "term"]).groupBy("doc_id", "text_key", "start", "end")
-              .agg((F.max("disclosure") >= REMOVE).alias("removed"))
-              .groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "removed"))).alias("terms")))
-    struck = struck.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
-    return seen.join(struck, (seen["text_key"] == struck["_key"]) & seen["doc_id"].eqNullSafe(struck["_id"]), "left").drop(
-        "_id", "_key", "mentions")
+    seen = stored(scan(docs), "spans-of-rows")
+    telling = stored(disclosures(docs, seen).groupBy("term").agg((F.max("disclosure") >= REMOVE).alias("removed")), "telling")
+    if telling.isEmpty():
+        return seen.drop("entities").withColumn("terms", F.lit(None).cast("array<struct<start: int, end: int, removed: boolean>>"))
+    cut = struck(docs, telling)
+    return seen.join(cut, (seen["text_key"] == cut["_key"]) & seen["doc_id"].eqNullSafe(cut["_id"]), "left").drop(
+        "_id", "_key", "entities")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -232,7 +309,7 @@ def _masked(text: str, base: str, terms: list[dict] | None) -> str:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with masked texts; ``n_chars``, if there is one, follows. All other columns stay."""
-    found = found_spans(docs).where((F.col("base") != "")).select(
+    found = found_spans(docs).where((F.col("base") != "") | F.col("terms").isNotNull()).select(
         F.col("doc_id").alias("_id"), "text_key", "base", "terms").dropDuplicates(["_id", "text_key"])
     found = stored(found, "spans")
 

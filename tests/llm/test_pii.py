@@ -77,5 +77,24 @@ def test_disclosing_terms(spark):
     assert pii.sanitise(docs).columns == docs.columns and pii.sanitise(docs).count() == len(rows)
 
 
+def test_disclosing_terms_everywhere(spark):
+    """A term far from the address counts, and goes in documents without the address and far from it, whatever its case."""
+    far = " ".join(f"the same old things as ever {k % 3}" for k in range(6))
+    rows = [(k, f"common words and {far} filler{k}") for k in range(400)]
+    rows += [(1000 + k, f"Bluebird intro{k} é {far} mail jo@corp.example.com {far} then bluebird again {k}") for k in range(5)]
+    rows += [(2000, "what BLUEBIRD said to bluebird.example"), (2001, "x@bluebird.org is not free, Bluebird is"), (None, "naïve Bluebird")]
+    docs = spark.createDataFrame(rows * 2, "doc_id long, text string")
+    spans = {r.doc_id: [s.split(":") for s in r.spans.split(",") if s] for r in pii.report(docs).collect()}
+    text = dict(rows)
+    for i, n in [(1000, 2), (1004, 2), (2000, 2), (2001, 1), (None, 1), (7, 0)]:
+        words = [text[i][int(a):int(b)].lower() for kind, a, b in spans[i] if kind == "term"]
+        assert words.count("bluebird") == n and "things" not in words and f"intro{(i or 0) % 1000}" not in words
+    clean = pii.sanitise(docs).collect()
+    assert len(clean) == 2 * len(rows)
+    assert not any("bluebird" in r.text.lower() for r in clean)
+    assert {r.text for r in clean if r.doc_id == 2001} == {"<EMAIL> is not free,  is"}
+    assert {r.text for r in clean if r.doc_id == 7} == {text[7]}
+
+
 def test_empty(spark):
     assert pii.report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
