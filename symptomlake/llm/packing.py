@@ -9,7 +9,8 @@ Ids travel once, as two bytes each, to the place that the sorted keys and the ru
 small keys are sorted. Places need one number for each range, never a global window.
 
 The ids are those of the tokenizers file ``byte_bpe_50k.json``; they are made by the library that reads the same
-vocabulary as ranks, five times faster, which the tests compare id by id.
+vocabulary as ranks, five times faster, which the tests compare id by id. As in the tokenizers file, an added token that
+stands in a text (``<|endoftext|>``) has its own id.
 
 Nulls and edges: a null text is empty and has the one closing id; null ids sort first on equal keys; documents with
 equal ids are told apart by their place in the input, and each is packed; an empty table gives an empty result; one
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import array
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -59,7 +61,7 @@ _GAP = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3
 
 
 def encode(text: str, path: str | None = None) -> array.array:
-    """The ids of a text and the closing id.
+    """The ids of a text, added tokens spelled out, and the closing id.
 
     Of several white-space characters in a row the last one belongs to what
     follows, if anything does. Cutting there, instead of looking ahead in the
@@ -77,6 +79,30 @@ def encode(text: str, path: str | None = None) -> array.array:
     return ids
 
 
+@lru_cache(maxsize=1)
+def added() -> dict[str, int]:
+    """The added tokens of the tokenizers file and their ids; none of them takes up white space or asks for whole words."""
+    import public_tokenizers
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        return {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+
+
+@lru_cache(maxsize=1)
+def _added_pattern() -> re.Pattern:
+    return re.compile("|".join(map(re.escape, sorted(added(), key=len, reverse=True))) or r"(?!)")
+
+
+def document_ids(text: str, path: str | None = None) -> array.array:
+    """The ids of a text, added tokens by their own id and what lies between as ``encode`` has it, and the closing id."""
+    ids, done = array.array("H"), 0
+    for token in _added_pattern().finditer(text):
+        ids.extend(encode(text[done:token.start()], path)[:-1])
+        ids.append(added()[token.group()])
+        done = token.end()
+    ids.extend(encode(text[done:], path))
+    return ids
+
+
 # -- the curve --------------------------------------------------------------
 
 _SIGNS = np.where(np.random.default_rng(20_240_305).random((PLACES, DIMS)) < 0.5, -1.0, 1.0)
@@ -129,7 +155,7 @@ def tokenised(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, _, _ in arrays.runs(batch):
-                ids = [encode(x or "", path) for x in part.column(1).to_pylist()]
+                ids = [document_ids(x or "", path) for x in part.column(1).to_pylist()]
                 keys = hilbert(points([np.frombuffer(x, np.uint16) for x in ids]))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(keys, pa.int64()),

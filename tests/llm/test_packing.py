@@ -35,6 +35,17 @@ def test_ids_are_the_tokenizers(tokenizer):
         assert packing.encode(text).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
 
 
+def test_added_tokens(spark):
+    """As the tokenizers file has it by default."""
+    default = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x \n <|endoftext|><|endoftext|>  \n y  ", "<|endoftext |> <|endoftext|", "it's<|endoftext|>'s  ", ""]
+    want = [[*default.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert want[0] == [64, 220, 50256, 275, 0]
+    assert [packing.document_ids(t).tolist() for t in texts] == want
+    out = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.ids for r in out} == dict(enumerate(want))
+
+
 def test_long_stretches():
     for text in (" " * 1_000_000, "\n " * 500_000, "a" * 1_000_000, " x" * 5 + " " * 300_000 + "y"):
         assert packing.encode(text)[-1] == 0
