@@ -104,7 +104,7 @@ def _digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-SKETCH = "doc_id long, n_shingles long, class binary, signature binary, bands array<long>"
+SKETCH = "doc_id long, text_key long, n_shingles long, class binary, signature binary, bands array<long>"
 
 
 def sketches(docs: DataFrame, rule: Links) -> DataFrame:
@@ -124,10 +124,10 @@ def sketches(docs: DataFrame, rule: Links) -> DataFrame:
                         for out in (digest, packed, keys):
                             out.append(None)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()),
+                    [*part.columns[:2], pa.array(size, pa.int64()), pa.array(digest, pa.binary()),
                      pa.array(packed, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "class", "signature", "bands"])
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SKETCH)
+                    ["doc_id", "text_key", "n_shingles", "class", "signature", "bands"])
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, SKETCH)
 
 
 PAIR = "a binary, b binary"
@@ -270,8 +270,11 @@ def _rest(members: DataFrame, facts: DataFrame, rule: Links) -> DataFrame:
     return squares.join(facts, "class").groupBy("hub", "i", "j").applyInArrow(lambda t: _joined(t, rule), PAIR).distinct()
 
 
-def near_duplicates(docs: DataFrame, rule: Links = Links()) -> DataFrame:
-    """doc_id, n_shingles, component_id (least id of the component), kept; one row for each row of ``docs``."""
+def _resolved(docs: DataFrame, rule: Links) -> tuple[DataFrame, DataFrame]:
+    """The sketch of every row, and of every class its component's least id and its own, and whether it stays for them all.
+
+    Of a component the class with the least id stays, of several such the one with the least digest.
+    """
     known = stored(sketches(docs, rule), "sketches")
     classes = stored(known.where(F.col("class").isNotNull()).groupBy("class").agg(
         F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n"),
@@ -318,9 +321,17 @@ def near_duplicates(docs: DataFrame, rule: Links = Links()) -> DataFrame:
     ids = stored(classes.select("class", F.col("doc_id").alias("least"))
                  .join(roots.withColumnRenamed("node", "class"), "class", "left")
                  .withColumn("root", F.coalesce("root", "class")), "roots")
-    least = ids.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = stored(ids.join(least, "root").select("class", "component_id"), "by-class")
-    out = known.select("doc_id", "n_shingles", "class").join(by_class, "class", "left")
+    least = ids.groupBy("root").agg(F.min("least").alias("component_id"), F.min(F.struct(
+        F.col("least").isNull().alias("none"), F.col("least"), F.col("class").alias("stays"))).alias("first"))
+    by_class = ids.join(least, "root").select(
+        "class", "component_id", "least", (F.col("class") == F.col("first.stays")).alias("stays"))
+    return known, stored(by_class, "by-class")
+
+
+def near_duplicates(docs: DataFrame, rule: Links = Links()) -> DataFrame:
+    """doc_id, n_shingles, component_id (least id of the component), kept; one row for each row of ``docs``."""
+    known, by_class = _resolved(docs, rule)
+    out = known.select("doc_id", "n_shingles", "class").join(by_class.select("class", "component_id"), "class", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -328,11 +339,17 @@ def near_duplicates(docs: DataFrame, rule: Links = Links()) -> DataFrame:
 def keep_one(docs: DataFrame, rule: Links = Links()) -> DataFrame:
     """The rows of ``docs`` with one document of each component: the one with the least id; repeated rows once.
 
+    It is decided for an id and a text together: different documents that
+    share an id, or have none, go only for a document that they are linked with.
+
     Most documents stay, and their texts are not moved: a bit table of fixed
     size over the ids that may go leaves only their rows to an exact join
     (false positives only cost time).
     """
-    result = stored(near_duplicates(docs, rule).select("doc_id", "kept"), "kept")
+    known, by_class = _resolved(docs, rule)
+    result = stored(known.select("doc_id", "text_key", "class").join(by_class, "class", "left").select(
+        "doc_id", "text_key", "class", (F.col("class").isNull() | (
+            F.col("stays") & F.col("doc_id").eqNullSafe(F.col("least")))).alias("kept")), "kept")
     doubtful = stored(result.groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
                       .where("n > 1 or not kept").select("doc_id"), "doubtful")
     table = _bits(doubtful)
@@ -342,9 +359,13 @@ def keep_one(docs: DataFrame, rule: Links = Links()) -> DataFrame:
         place = (arrays.mix(ids.to_numpy().view(np.uint64)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
         return type(ids)((table[place >> 3] >> (place & 7)) & 1 == 1)
     split = marked(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")))
-    kept = result.where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = result.where("kept").where(split).select(
+        F.col("doc_id").alias("_kept"), F.col("text_key").alias("_key"), F.col("class").alias("_class")).distinct()
     rows = docs.where(split)
-    checked = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id"])
+    # A class stays with one row for its id; texts without words are linked with nothing, so only equal ones are one.
+    checked = (rows.join(kept, rows["doc_id"].cast("long").eqNullSafe(kept["_kept"]) & (F.xxhash64(rows["text"]) == kept["_key"]))
+               .withColumn("_text", F.when(F.col("_class").isNull(), F.col("text")))
+               .dropDuplicates(["doc_id", "_class", "_text"]).select(*docs.columns))
     return docs.where(~split).unionByName(checked)
 
 

@@ -85,3 +85,17 @@ def test_edges(spark):
     assert out == sorted([(1, 1, True), (1, 1, True), (None, 1, False), (None, None, True), (2, 2, True)], key=str)
     assert sorted(r.doc_id or 0 for r in minhash.keep_one(docs).collect()) == [0, 1, 2]
     assert minhash.near_duplicates(docs.where("false")).count() == 0
+
+
+def test_keep_one_tells_documents_apart(spark):
+    """Documents that share an id, or have none, stay unless they are equal to or linked with one that stays."""
+    rows = [(None, "a b c d e f"), (None, "A b c d e f"), (None, "other words that nobody has here"), (None, None), (None, ""), (None, ""),
+            (5, "one two three four five"), (5, "ONE two three four five"), (5, "six seven eight nine ten eleven"), (5, ""), (5, None),
+            (7, "six seven eight nine ten eleven"), (3, "p q r s t u v"), (7, "p q r s t u v"), (8, "q")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, kept string")
+    out = minhash.keep_one(docs)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text if r.text is None else r.text.lower()) for r in out.collect()), key=str)
+    assert got == sorted([(None, "a b c d e f"), (None, "other words that nobody has here"), (None, None), (None, ""),
+                          (5, "one two three four five"), (5, "six seven eight nine ten eleven"), (5, ""), (5, None),
+                          (3, "p q r s t u v"), (8, "q")], key=str)
