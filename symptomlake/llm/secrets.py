@@ -1,13 +1,16 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a stretch of at least ``LEAST`` letters, digits and ``+/_=-`` with a digit in it. The forest sees its
-length, shares of character classes, character transitions (mean log-probability of its byte pairs in the whole
+A candidate is a value assigned to a name such as ``token`` or ``password`` (quoted or not, of any length and signs, in
+one line), what follows ``Bearer``, a value with the prefix of a known kind of key, and elsewhere a stretch of at least
+``LEAST`` letters, digits and ``+/_=-`` with a digit in it. The forest sees its length, shares of character classes, character transitions (mean log-probability of its byte pairs in the whole
 corpus, and how often the class changes), dictionary coverage (the share of its letters in runs that are terms of
 their own in ``KNOWN`` texts or more), signs of a path or address, and the neighbouring words, hashed to a few places.
 
 It is trained from labelled findings: any table of findings with a ``label``. ``rule_labels`` makes one where there is
-none: a quoted value given to a name such as ``token`` or ``password`` is a secret, any other candidate is not. At most
-``MOST`` findings of each label train, those with the smallest hash. All counts cover the whole corpus.
+none: values of named keys, after ``Bearer`` and with a known prefix are secrets; numbers, parts of addresses and paths,
+UUIDs, and what follows a word such as ``commit`` or ``sha256`` are not. Any other candidate has no label, nor has a bare
+word of letters after ``password:``, which may be prose; the forest judges them. At most ``MOST`` findings of each label
+train, those with the smallest hash. All counts cover the whole corpus.
 
 Nulls and edges: a null text has no findings; null ids are kept; equal rows give equal findings; without findings of
 both labels every answer is the one label there is, or 0; an empty table gives an empty result; texts of any length are
@@ -38,7 +41,59 @@ _RUN = re.compile(r"[A-Za-z]{4,}")
 _HEX = re.compile(r"[0-9a-fA-F]+\Z")
 _LAST_WORD = re.compile(r"([^\W\d]+)\W*\Z")
 _NEXT_WORD = re.compile(r"\W*([^\W\d]+)")
-_GIVEN = re.compile(r"(token|secret|passwd|password|api[_-]?key|access[_-]?key|private[_-]?key)\s*[:=]\s*[\"']\Z", re.I)
+_NAMED = re.compile(r"(?:token|secret|passwd|password|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?[ \t]*(?::=|=>|[:=])[ \t]*", re.I)
+_QUOTED = re.compile(r"([\"'])((?:\\.|(?!\1)[^\\\n])+)\1")
+_BARE = re.compile(r"[\"']?([^\s\"']\S*)")
+_BEARER = re.compile(r"\bbearer[ \t]+([\w.~+/=-]{8,})", re.I)
+_PREFIXED = re.compile(r"(?<![A-Za-z0-9])(?:A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_\w{20,}|glpat-[\w-]{16,}"
+                       r"|xox[abprs]-[\w-]{10,}|[sr]k_(?:live|test)_[A-Za-z0-9]{10,}|AIza[\w-]{35}"
+                       r"|(?<![\w-])eyJ[\w-]++\.[\w-]++\.[\w-]+)(?![A-Za-z0-9])", re.ASCII)
+_DIGEST = re.compile(r"(?:commit|revision|sha-?\d*|md5|digest|checksum|etag|uuid|guid)[\"']?\s*[:= ]\s*[\"']?\Z", re.I)
+_UUID = re.compile(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}\Z", re.I)
+_NUMBER = re.compile(r"[0-9+/_=-]+\Z")
+
+
+def _given(text: str) -> Iterator[tuple[int, int, bool | None]]:
+    """Values of named keys, after ``Bearer`` and of known prefix: start, end, and whether the rule calls them secrets."""
+    done = 0
+    for m in _NAMED.finditer(text):
+        if m.end() < done:  # inside another value; so each character is read once
+            continue
+        value = _QUOTED.match(text, m.end())
+        if value:
+            done = value.end()
+            yield (*value.span(2), True)
+            continue
+        value = _BARE.match(text, m.end())
+        if value:
+            a, done = value.span(1)
+            b = a + len(text[a:done].rstrip(",;.)]}\"'"))
+            if a < b:
+                yield a, b, True if "=" in m.group() or not text[a:b].isalpha() else None
+    for m in _BEARER.finditer(text):
+        yield (*m.span(1), None if m.group(1).isalpha() else True)
+    for m in _PREFIXED.finditer(text):
+        yield (*m.span(), True)
+
+
+def candidates(text: str) -> Iterator[tuple[int, int, bool | None]]:
+    """Start, end and verdict of the rule (None: none) of each candidate, by start; none overlaps another."""
+    done = 0
+    for a, b, verdict in [*sorted(_given(text), key=lambda c: (c[0], -c[1])), (len(text), len(text), None)]:
+        if a < done:
+            continue
+        for m in _CANDIDATE.finditer(text, done, a):
+            value, before = m.group(), text[max(0, m.start() - 64):m.start()]
+            if any(map(str.isdigit, value)):
+                harmless = _NUMBER.match(value) or _UUID.match(value) or _in_path(before) or _DIGEST.search(before)
+                yield (*m.span(), False if harmless else None)
+        if a < b:
+            yield a, b, verdict
+        done = b
+
+
+def _in_path(before: str) -> bool:
+    return before[-1:] in ("/", ".", "@", "\\") or "://" in before.rsplit(" ", 1)[-1]
 
 
 def transitions(docs: DataFrame) -> np.ndarray:
@@ -78,8 +133,8 @@ def _features(text: str, a: int, b: int, logs: np.ndarray) -> list[float]:
     before, after = text[max(0, a - 64):a], text[b:b + 64]
     word, later = _LAST_WORD.search(before), _NEXT_WORD.match(after)
     return [float(len(value)), *share, len(each) / len(raw), float(-(each * np.log2(each)).sum()),
-            float(bool(_HEX.match(value))), float(logs[low[:-1], low[1:]].mean()), float((kind[1:] != kind[:-1]).mean()),
-            float(value.count("/")), float(before[-1:] in ("/", ".", "@", "\\") or "://" in before.rsplit(" ", 1)[-1]),
+            float(bool(_HEX.match(value))), float(logs[low[:-1], low[1:]].sum()) / max(1, len(low) - 1),
+            float((kind[1:] != kind[:-1]).sum()) / max(1, len(kind) - 1), float(value.count("/")), float(_in_path(before)),
             float(before[-1:] in ("'", '"') and after[:1] == before[-1:]), float(before.rstrip(" '\"")[-1:] in ("=", ":")),
             _place(word.group(1) if word else ""), _place(later.group(1) if later else "")]
 
@@ -91,13 +146,10 @@ def findings(docs: DataFrame, logs: np.ndarray) -> DataFrame:
             for part, _, _ in arrays.runs(batch):
                 rows, words = [], []
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    for m in _CANDIDATE.finditer(text or ""):
-                        a, b = m.span()
-                        if any(map(str.isdigit, m.group())):
-                            own = _RUN.findall(m.group())
-                            rows.append([doc_id, a, b, bool(_GIVEN.search(text[max(0, a - 40):a])), own, list(map(len, own)),
-                                         _features(text, a, b, logs)])
-                            words += own
+                    for a, b, given in candidates(text or ""):
+                        own = _RUN.findall(text[a:b])
+                        rows.append([doc_id, a, b, given, own, list(map(len, own)), _features(text, a, b, logs)])
+                        words += own
                 ids = iter(term_hashes(words).tolist())
                 for row in rows:
                     row[4] = [next(ids) for _ in row[4]]
@@ -117,8 +169,8 @@ def findings(docs: DataFrame, logs: np.ndarray) -> DataFrame:
 
 
 def rule_labels(found: DataFrame) -> DataFrame:
-    """Findings of the training folds, labelled by the naming rule."""
-    return found.where(~fold()).withColumn("label", F.col("given").cast("int"))
+    """Findings of the training folds that the rule has a verdict on."""
+    return found.where(~fold() & F.col("given").isNotNull()).withColumn("label", F.col("given").cast("int"))
 
 
 def train(labelled: DataFrame):
