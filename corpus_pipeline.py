@@ -24,7 +24,7 @@ def different(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+    return decontam.clean_rows(docs, table(spark, sf_dir, "benchmark"))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ One pass over the documents keeps only shingles that some item has. The table of
 executors only while it has at most ``SENT_ROWS`` rows (16 MB); beyond, the same join shuffles.
 
 Nulls and edges: a null text, and a text without words, holds nothing and is in nothing; null ids never match and
-their rows stay in ``clean``; repeated documents or items give one row per pair of ids; rows that share an id count
+their rows stay in ``clean``, but are searched one by one in ``clean_rows``; repeated documents or items give one row per pair of ids; rows that share an id count
 together; an empty table gives no matches; the length of a text is not limited; other columns are not read.
 """
 
@@ -86,6 +86,14 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     return docs.join(dirty, "doc_id", "left_anti").select(*docs.columns)
 
 
+def clean_rows(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """As ``clean``, but a row without an id is searched too, by a key of its own text, and goes if it holds an item."""
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("id"))
+    dirty = stored(matches(docs.select(key.alias("doc_id"), "text"), items).select(
+        F.col("doc_id.none").alias("_none"), F.col("doc_id.id").alias("_id")).distinct(), "contaminated")
+    return docs.join(dirty, (key["none"] == dirty["_none"]) & (key["id"] == dirty["_id"]), "left_anti").select(*docs.columns)
+
+
 #: The same result by brute force.
 SQL = r"""
 WITH split AS MATERIALIZED (

@@ -53,3 +53,13 @@ def test_empty_and_native(spark):
     assert decontam.matches(docs, items.where("false")).count() == 0
     plan = out._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas|Cartesian|NestedLoop", plan)
+
+
+def test_rows_without_id_are_searched(spark):
+    item = " ".join(f"w{k}" for k in range(12))
+    rows = [(None, f"before {item} after"), (None, "clean words of no item at all"), (None, None), (None, ""), (1, item), (1, "same id"),
+            (2, "clean words of no item at all"), (None, "w0 w1 w2 w3 w4 w5 only half")]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, q int")
+    out = decontam.clean_rows(docs, spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(rows[1:4] + rows[6:], key=str)
