@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +51,16 @@ def runs(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20) -> I
         first = last
 
 
+def pieces(raw: bytes, gap: re.Pattern[bytes], size: int = 1 << 20) -> Iterator[bytes]:
+    """A long text in pieces of about ``size`` bytes, cut where ``gap`` matches, so that no word is cut."""
+    at = 0
+    while at < len(raw):
+        found = gap.search(raw, at + size)
+        end = found.start() if found else len(raw)
+        yield raw[at:end]
+        at = end
+
+
 def split(at: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal stretches of bytes of one kind other than 0, inside each row.
 
