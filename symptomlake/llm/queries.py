@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, media, minhash, packing, pii, quality, secrets, sharding, simhash, toxicity
+from . import chat, decontam, media, minhash, negatives, packing, pii, quality, secrets, sharding, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -78,3 +78,11 @@ def op8_forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_deletion_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_residue_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"), noisy=True)
+
+
+SQL |= {"op13_residue_negatives": negatives.SQL}
