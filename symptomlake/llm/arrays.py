@@ -14,7 +14,7 @@ SPACE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 LONG_WORD = 64
-_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], dtype=np.uint64)
+KEEP = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], dtype=np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -90,7 +90,7 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     step = 0
     while len(live):
         left = np.minimum(size[live] - step, 8)
-        h[live] = mix(h[live] ^ (eight[starts[live] + step] & _KEEP[left]))
+        h[live] = mix(h[live] ^ (eight[starts[live] + step] & KEEP[left]))
         step += 8
         live = live[size[live] > step]
     raw = data.tobytes() if (size > LONG_WORD).any() else b""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, media, minhash, negatives, packing, pii, quality, secrets, sharding, simhash, toxicity
+from . import chat, decontam, divergence, media, minhash, negatives, packing, pii, quality, secrets, sharding, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -85,4 +85,9 @@ def op13_residue_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(table(spark, sf_dir, "embeddings"), noisy=True)
 
 
-SQL |= {"op13_residue_negatives": negatives.SQL}
+@query
+def op12_transducer_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+SQL |= {"op12_transducer_audit": divergence.SQL, "op13_residue_negatives": negatives.SQL}
