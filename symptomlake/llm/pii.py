@@ -3,8 +3,11 @@
 Base spans are found by fixed patterns in every whole text. They are the protected entities. The corpus then says how
 strongly other terms give them away: for a term ``t`` and an entity ``e``, the pointwise mutual information
 ``log2(N n(t,e) / (n(t) n(e)))`` is compared with the information content ``log2(N / n(e))`` of the entity. All counts
-are of whole documents, ``N`` of all. Their quotient is the disclosure: 1 means that who reads the term knows the
-entity. With ``SUPPORT`` different texts at least that hold both (copies of one text prove nothing), a term at
+are of whole documents, ``N`` of all; a term counts where it stands outside base spans, in ``n(t)`` and ``n(t,e)`` alike,
+as inside one it is not there to be read once the span is masked. The quotient is the disclosure: 1 means that who reads
+the term knows the entity. In a large corpus it is high for every rare term, so the share of the term's documents that
+hold the entity, ``P(e|t)``, must be ``SURE`` at least too. With ``SUPPORT`` families of texts at least that hold both (a
+family is a class of near-duplicates: five-word shingles, similarity 0.8; copies prove nothing), a term at
 ``GENERALISE`` or more for some entity is replaced by its kind, and one at ``REMOVE`` or more is cut out, at every
 place in every document, whether the entity stands there too or not. Base spans stay as they are found; a term that
 touches one is part of it, and terms of one or two characters stay.
@@ -12,9 +15,10 @@ touches one is part of it, and terms of one or two characters stay.
 Four passes over the texts at most, and one if no entity has ``SUPPORT`` different texts. The first finds base spans and
 entities. The second takes the terms of texts that hold such an entity, each text once; terms with too few of these
 texts go before they are paired with the entities. The third counts the terms in question over all documents, the
-fourth finds their places. Bit tables of fixed size keep other texts and terms out (false positives only cost time, the
-joins are exact). A frequent entity or term is summed before it is shuffled. Pairs are those of a text's entities and
-terms, before they are summed; nothing else grows faster than the texts.
+fourth finds their places. Near-duplicates are searched only among the texts of pairs that pass all else. Bit tables of
+fixed size keep other texts and terms out (false positives only cost time, the joins are exact). A frequent entity or
+term is summed before it is shuffled. Entities of the same texts are counted as one (a list of addresses is one
+entity), and the pairs of a long text are dealt out in blocks before they are made.
 
 Nulls and edges: a null text is empty and has no spans; null ids are kept as they are; rows with equal id and text get
 equal answers; a span never overlaps another of its kind; an empty table gives an empty result; other columns are only
@@ -23,7 +27,6 @@ passed on by ``sanitise``.
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -32,13 +35,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import arrays
+from . import arrays, minhash
 from .order import stored
 from .quality import KIND
-from .terms import TERM, TABLE_BITS, bit_table, count_documents, term_hashes
+from .terms import TABLE_BITS, bit_table, term_hashes
 
-WINDOW = 8
 SUPPORT = 3
+SURE = 0.5
+SLICE = 1024
 GENERALISE, REMOVE = 0.6, 0.85
 KINDS = ("email", "ip", "card", "phone", "term")
 
@@ -107,26 +111,6 @@ def _covered(spans: list[tuple[int, int, str]]) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
-def _around(text: str, a: int, b: int, starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
-    """The up to WINDOW terms on either side of a span (a, b) that touch no covered stretch."""
-    reach = 40 * WINDOW
-    while True:  # widen until the window is full on both sides, or the text ends
-        lo, hi = max(0, a - reach), min(len(text), b + reach)
-        before = [m.span() for m in TERM.finditer(text, lo, a)]
-        after = [m.span() for m in TERM.finditer(text, b, hi)]
-        before = before[1:] if lo and before and before[0][0] == lo else before  # may be cut by the window
-        after = after[:-1] if hi < len(text) and after and after[-1][1] == hi else after
-        if (len(before) >= WINDOW or lo == 0) and (len(after) >= WINDOW or hi == len(text)):
-            break
-        reach *= 4
-    near = before[-WINDOW:] + after[:WINDOW]
-
-    def free(x: int, y: int) -> bool:
-        k = bisect.bisect_left(starts, y) - 1
-        return k < 0 or ends[k] <= x
-    return [(x, y) for x, y in near if y - x >= 3 and free(x, y)]
-
-
 SCAN = ("doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, "
         "entities array<long>")
 
@@ -182,6 +166,18 @@ def _free(text: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (k < 0) | (ends[k] <= x)
 
 
+def _free_hits(texts: pa.Array, at: np.ndarray, data: np.ndarray, table: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Row, and hashes, starts and ends of the terms outside base spans whose bit is set, for rows that have any."""
+    h, row, x, y = _terms(at, data)
+    hit = _hits(table, h)
+    h, row, x, y = h[hit], row[hit], x[hit], y[hit]
+    cut = np.searchsorted(row, np.arange(len(at)))
+    for k in np.flatnonzero(np.diff(cut)).tolist():
+        own = slice(cut[k], cut[k + 1])
+        free = _free(texts[k].as_py(), x[own], y[own])
+        yield k, h[own][free], x[own][free], y[own][free]
+
+
 def _held_terms(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """text_key and the different terms outside base spans of each text in ``texts`` (text_key), once."""
     table = bit_table(texts.select(F.col("text_key").alias("term")))
@@ -200,8 +196,69 @@ def _held_terms(docs: DataFrame, texts: DataFrame) -> DataFrame:
     return found.groupBy("text_key").agg(F.first("terms").alias("terms"))
 
 
+def _counted(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """term and n_term, the number of documents that hold it outside base spans, for the hashes in ``terms``.
+
+    Each task adds up what it has read and sends one row for each term.
+    """
+    table = bit_table(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        term, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            held = [term]
+            for part, at, data in arrays.runs(batch):
+                held += [np.unique(h) for _, h, _, _ in _free_hits(part.column(0), at, data, table)]
+            found, back = np.unique(np.concatenate(held), return_inverse=True)
+            count = np.bincount(back, np.concatenate([count, np.ones(len(back) - len(term))]), len(found)).astype(np.int64)
+            term = found
+        yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(count)], ["term", "n"])
+    held = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    return held.join(terms, "term", "left_semi")
+
+
+def _blocks(held: DataFrame, terms: DataFrame) -> DataFrame:
+    """text_key, n, entities and terms of each text in ``held``, only those in ``terms``, in blocks of SLICE by SLICE."""
+    table = bit_table(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, who, what = [], [], []
+            for k, (e, t) in enumerate(zip(batch.column(2), batch.column(3))):
+                e, t = (np.asarray(x.values) for x in (e, t))
+                t = t[_hits(table, t)]
+                for i in range(0, len(e), SLICE):
+                    for j in range(0, len(t), SLICE):
+                        of.append(k)
+                        who.append(e[i:i + SLICE])
+                        what.append(t[j:j + SLICE])
+            at = pa.array(of, pa.int32())
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (who, what)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *lists],
+                                             ["text_key", "n", "entities", "terms"])
+    return held.mapInArrow(run, "text_key long, n long, entities array<long>, terms array<long>")
+
+
+def _exploded(blocks: DataFrame) -> DataFrame:
+    return (blocks.select("text_key", "n", "terms", F.explode("entities").alias("entity"))
+            .select("text_key", "n", "entity", F.explode("terms").alias("term")))
+
+
+def _families(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """text_key and family (near-duplicate class) of each text in ``texts`` (text_key)."""
+    table = bit_table(texts.select(F.col("text_key").alias("term")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, at_once = np.unique(batch.column(0).to_numpy(), return_index=True)
+            yield batch.take(pa.array(np.sort(at_once[_hits(table, keys)])))
+    whole = _keyed(docs).select(F.col("text_key").alias("doc_id"), "text").mapInArrow(run, "doc_id long, text string")
+    wanted = stored(whole.join(texts.select(F.col("text_key").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "family-texts")
+    return minhash.near_duplicates(wanted).select(F.col("doc_id").alias("text_key"), F.col("component_id").alias("family"))
+
+
 def disclosures(docs: DataFrame, seen: DataFrame) -> DataFrame:
-    """entity, term and disclosure of every pair at or above GENERALISE.
+    """entity, term and disclosure of every pair at or above GENERALISE; of entities with the same texts, one.
 
     A term occurs in at least as many documents as hold it together with some
     entity, which bounds its disclosure from above. Only pairs whose bound is
@@ -211,36 +268,40 @@ def disclosures(docs: DataFrame, seen: DataFrame) -> DataFrame:
     texts = stored(seen.where(F.size("entities") > 0).groupBy("text_key").agg(
         F.first("entities").alias("entities"), F.count(F.lit(1)).alias("n")), "entity-texts")
     said = texts.select("text_key", "n", F.explode("entities").alias("entity"))
-    entities = stored(said.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count(F.lit(1)).alias("texts"))
-                      .where(F.col("texts") >= SUPPORT).select("entity", "n_entity"), "entities")
+    # Entities with the same texts have the same counts with every term; two sums of hashes name a set of texts.
+    named = said.groupBy("entity").agg(
+        F.sum("n").alias("n_entity"), F.count(F.lit(1)).alias("texts"), F.expr("bit_xor(xxhash64(text_key, 1))").alias("one"),
+        F.expr("bit_xor(xxhash64(text_key, 2))").alias("two")).where(F.col("texts") >= SUPPORT)
+    entities = stored(named.groupBy("n_entity", "texts", "one", "two").agg(F.min("entity").alias("entity")).select("entity", "n_entity"), "entities")
+    none = docs.sparkSession.createDataFrame([], "entity long, term long, disclosure double")
     if entities.isEmpty():
-        return docs.sparkSession.createDataFrame([], "entity long, term long, disclosure double")
+        return none
     asked = stored(said.join(entities, "entity").groupBy("text_key", "n").agg(
         F.collect_list("entity").alias("entities")), "asked")  # the entities of one text
-    held = stored(asked.join(_held_terms(docs, asked), "text_key"), "held-terms")
+    held = stored(asked.join(_held_terms(docs, asked), "text_key").select("text_key", "n", "entities", "terms"), "held-terms")
     near = stored(held.select("n", F.explode("terms").alias("term")).groupBy("term").agg(
         F.sum("n").alias("n_near"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= SUPPORT)
         .select("term", "n_near"), "near-terms")
-    table = bit_table(near)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [h[_hits(table, h)] for h in (x.values.to_numpy() for x in batch.column(2))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(own, pa.list_(pa.int64()))], ["n", "entities", "terms"])
-    bounded = held.select("n", "entities", "terms").mapInArrow(run, "n long, entities array<long>, terms array<long>")
-    both = (bounded.select("n", "terms", F.explode("entities").alias("entity"))
-            .select("n", "entity", F.explode("terms").alias("term"))
-            .groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("texts")))
+    both = _exploded(_blocks(held, near).repartition(F.xxhash64("text_key", "entities", "terms"))).groupBy("entity", "term").agg(
+        F.sum("n").alias("both"), F.count(F.lit(1)).alias("texts"))
 
     def disclosure(n_term: str):
         content = F.log2(F.lit(total) / F.col("n_entity"))
         mutual = F.log2(F.lit(total) * F.col("both") / (F.col(n_term) * F.col("n_entity")))
-        return F.when(content > 0, mutual / content).otherwise(0.0)
+        return F.when((content > 0) & (F.col("both") >= SURE * F.col(n_term)), mutual / content).otherwise(0.0)
     pairs = stored(both.where(F.col("texts") >= SUPPORT)
                    .join(entities, "entity").join(near, "term").where(disclosure("n_near") >= GENERALISE), "pairs")
-    terms = count_documents(docs, pairs.select("term").distinct())
-    return pairs.join(terms, "term").withColumn("disclosure", disclosure("n_term")).where(
-        F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure")
+    terms = _counted(docs, pairs.select("term").distinct())
+    pairs = stored(pairs.join(terms, "term").withColumn("disclosure", disclosure("n_term")).where(
+        F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure"), "disclosing")
+    if pairs.isEmpty():
+        return none
+    together = stored(_exploded(_blocks(held, pairs.select("term").distinct())).join(pairs, ["entity", "term"]).select(
+        "text_key", "entity", "term"), "together")
+    families = _families(docs, together.select("text_key").distinct())
+    supported = together.join(families, "text_key").select("entity", "term", "family").distinct().groupBy("entity", "term").agg(
+        F.count(F.lit(1)).alias("families")).where(F.col("families") >= SUPPORT)
+    return pairs.join(supported.drop("families"), ["entity", "term"])
 
 
 def struck(docs: DataFrame, telling: DataFrame) -> DataFrame:
@@ -250,16 +311,12 @@ def struck(docs: DataFrame, telling: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, at, data in arrays.runs(batch):
-                h, row, x, y = _terms(at, data)
-                hit = _hits(table, h)
-                h, row, x, y = h[hit], row[hit], x[hit], y[hit]
-                cut = np.searchsorted(row, np.arange(part.num_rows + 1))
-                free = [_free(part.column(2)[k].as_py(), x[a:b], y[a:b]) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if a < b]
-                free = np.concatenate([np.zeros(0, bool), *free])
-                of = pa.array(row[free])
+                found = list(_free_hits(part.column(2), at, data, table))
+                of = pa.array(np.concatenate([np.zeros(0, np.int64), *(np.full(len(h), k) for k, h, _, _ in found)]))
+                h, x, y = (np.concatenate([np.zeros(0, np.int64), *(f[c] for f in found)]) for c in (1, 2, 3))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(of), part.column(1).take(of), pa.array(x[free], pa.int32()), pa.array(y[free], pa.int32()),
-                     pa.array(h[free])], ["_id", "_key", "start", "end", "term"])
+                    [part.column(0).take(of), part.column(1).take(of), pa.array(x, pa.int32()), pa.array(y, pa.int32()), pa.array(h)],
+                    ["_id", "_key", "start", "end", "term"])
     found = _keyed(docs).mapInArrow(run, "_id long, _key long, start int, end int, term long")
     return (found.join(telling, "term").groupBy("_id", "_key", "start", "end").agg(F.max("removed").alias("removed"))
             .groupBy("_id", "_key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "removed"))).alias("terms")))
