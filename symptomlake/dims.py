@@ -19,6 +19,14 @@ SYMPTOM_DISPLAY = {
     "pain": "Pain",
 }
 
+SYMPTOM_ICONS = {
+    "fatigue": "⚡",
+    "lack_of_appetite": "🍽️",
+    "nausea": "🤢",
+    "cough": "💨",
+    "pain": "💊",
+}
+
 # order in which the viewer draws its series
 CHART_SYMPTOMS = ["fatigue", "pain", "cough", "nausea", "lack_of_appetite"]
 
@@ -64,7 +72,8 @@ ALERT_DESCRIPTIONS = {
 }
 
 # ---------------------------------------------------------------------------
-# Achievements (id, type, title, title_zh, description, description_zh, days)
+# Achievements (id, type, title, title_zh, description, description_zh, days); the badge image of an
+# achievement is named by its id
 # ---------------------------------------------------------------------------
 ACHIEVEMENTS = [
     ("7daystreak", "streak", "7-Day Streak", "7天連續",
@@ -85,6 +94,43 @@ ACHIEVEMENTS = [
      "Logged symptoms for 50 days", "記錄症狀50天", 50),
 ]
 
+# ---------------------------------------------------------------------------
+# Weekly insights (id, type, icon, title, description, what the current week adds), in display order;
+# names in braces are filled in
+# ---------------------------------------------------------------------------
+WEEKLY_INSIGHTS = [
+    ("no_data", "info", "fa-info-circle", "No Data Available",
+     "No assessments found for {context}. Complete some assessments to see analytics.", ""),
+    ("high_alerts", "critical", "fa-exclamation-triangle", "High Alert Activity",
+     "You had {alerts} oncologist alerts {context}.", " Consider reaching out to your care team."),
+    ("concerning_symptom", "warning", "fa-heartbeat", "Monitor {name}",
+     "Your {lower_name} averaged {avg}/5 {context}.", ""),
+    ("improving_trend", "positive", "fa-chart-line", "Positive Trend",
+     "Your symptoms showed an improving trend {context}.", " Keep up the good work!"),
+    ("consistent_tracking", "positive", "fa-check-circle", "Consistent Tracking",
+     "You completed {n} assessments {context}.", " Great job!"),
+    ("low_engagement", "info", "fa-calendar-check", "More Check-ins Recommended",
+     "Try to complete daily check-ins for better health insights.", ""),
+]
+
+# ---------------------------------------------------------------------------
+# Triage insights, title -> (icon, kind); the description key is the title and this ending
+# ---------------------------------------------------------------------------
+SMART_INSIGHTS = {
+    "all_good": ("check_circle", "success"),
+    "monitor_closely": ("warning", "warning"),
+    "attention_needed": ("error", "error"),
+    "mood_sleep_correlation": ("psychology", "info"),
+    "high_severity_symptoms": ("warning", "warning"),
+    "symptoms_improving": ("trending_up", "success"),
+    "high_priority_conditions": ("medical_services", "error"),
+    "general_health_tip": ("info", "info"),
+    "wellness_reminder": ("favorite", "success"),
+}
+SMART_DESCRIPTION = "_description"
+MOOD_WORDS = ["mood", "depression", "anxiety"]
+SLEEP_WORDS = ["sleep", "insomnia", "restless"]
+
 # ---------------------------------------------------------------------------
 # Answer scales of the questionnaire
 # ---------------------------------------------------------------------------

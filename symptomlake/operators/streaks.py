@@ -63,7 +63,7 @@ def _catalogue():
         F.lit(pos).alias("position"), F.lit(a[0]).alias("achievement_id"), F.lit(a[1]).alias("type"),
         F.lit(a[2]).alias("title"), F.lit(a[3]).alias("title_zh"), F.lit(a[4]).alias("description"),
         F.lit(a[5]).alias("description_zh"),
-        F.lit(a[6]).alias("threshold")) for pos, a in enumerate(dims.ACHIEVEMENTS)])
+        F.lit(a[6]).alias("threshold"), F.lit(a[0]).alias("badge_image")) for pos, a in enumerate(dims.ACHIEVEMENTS)])
 
 
 def reached(streaks: DataFrame) -> DataFrame:
@@ -87,7 +87,7 @@ def achievement_status(streaks: DataFrame, unlocked: DataFrame) -> DataFrame:
             .select("user_id", "achievement_id", "type", "title", "title_zh", "description", "description_zh",
                     F.col("unlocked_at").isNotNull().alias("unlocked"), "unlocked_at",
                     F.least(F.col("streak"), F.col("threshold").cast("long")).alias("progress"),
-                    F.col("threshold").alias("total")))
+                    F.col("threshold").alias("total"), "threshold", "badge_image"))
 
 
 def unlock_dates(islands: DataFrame) -> DataFrame:

@@ -88,13 +88,8 @@ def top_key_symptoms(assessments: DataFrame, n: int = 5) -> DataFrame:
             .select("user_id", "rank", "symptom", "n"))
 
 
-# keyword groups of the co-occurrence rule
-MOOD_WORDS = ["mood", "depression", "anxiety"]
-SLEEP_WORDS = ["sleep", "insomnia", "restless"]
-
-
 def insight_cards(symptoms: Column, alert_level: Column, diagnoses: Column) -> Column:
-    """up to four insight cards (title, kind) of one assessment.
+    """up to four insight cards (title, kind, icon, description) of one assessment.
 
     Worded severities exist only on list or text records, so numeric
     assessments never reach the severe and mild rules.
@@ -116,24 +111,22 @@ def insight_cards(symptoms: Column, alert_level: Column, diagnoses: Column) -> C
     mild = F.size(F.filter(items, lambda s: worded(s, ["mild", "low"])))
     some = F.size(items) > 0
 
-    def card(cond, title, kind):
-        return F.when(cond, F.struct(F.lit(title).alias("title"), F.lit(kind).alias("kind")))
-
-    found = F.filter(F.array(
-        card(alert_level == "GREEN", "all_good", "success"),
-        card(alert_level == "YELLOW", "monitor_closely", "warning"),
-        card(alert_level.isin("ORANGE", "RED"), "attention_needed", "error"),
-        card(some & mentions(MOOD_WORDS) & mentions(SLEEP_WORDS), "mood_sleep_correlation", "info"),
-        card(F.exists(items, lambda s: worded(s, ["severe", "high"])),
-             "high_severity_symptoms", "warning"),
-        card(some & (mild * 10 >= F.size(items) * 7), "symptoms_improving", "success"),
-        card(F.exists(F.coalesce(diagnoses, F.array()),
-                      lambda d: F.coalesce(d["urgency"], F.lit(0)) >= 4),
-             "high_priority_conditions", "error"),
-    ), lambda c: c.isNotNull())
-    padding = F.array(
-        F.struct(F.lit("general_health_tip").alias("title"), F.lit("info").alias("kind")),
-        F.struct(F.lit("wellness_reminder").alias("title"), F.lit("success").alias("kind")))
+    def card(title):
+        icon, kind = dims.SMART_INSIGHTS[title]
+        return F.struct(F.lit(title).alias("title"), F.lit(kind).alias("kind"), F.lit(icon).alias("icon"),
+                        F.lit(title + dims.SMART_DESCRIPTION).alias("description"))
+
+    shown = [
+        (alert_level == "GREEN", "all_good"),
+        (alert_level == "YELLOW", "monitor_closely"),
+        (alert_level.isin("ORANGE", "RED"), "attention_needed"),
+        (some & mentions(dims.MOOD_WORDS) & mentions(dims.SLEEP_WORDS), "mood_sleep_correlation"),
+        (F.exists(items, lambda s: worded(s, ["severe", "high"])), "high_severity_symptoms"),
+        (some & (mild * 10 >= F.size(items) * 7), "symptoms_improving"),
+        (F.exists(F.coalesce(diagnoses, F.array()), lambda d: F.coalesce(d["urgency"], F.lit(0)) >= 4), "high_priority_conditions"),
+    ]
+    found = F.filter(F.array(*[F.when(cond, card(title)) for cond, title in shown]), lambda c: c.isNotNull())
+    padding = F.array(card("general_health_tip"), card("wellness_reminder"))
     return F.slice(F.when(F.size(found) < 2, F.concat(found, padding)).otherwise(found), 1, 4)
 
 

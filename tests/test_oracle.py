@@ -54,3 +54,28 @@ def test_newest_rows_are_cut_before_the_shuffle(spark):
 def test_single_patient_filter_is_pushed_down(spark):
     rows = A.assessments(spark, SF).where("user_id = 7")
     assert "EqualTo(user_id,7)" in plan(weekly.weekly_alerts(rows, A.AS_OF))
+
+
+def test_weekly_report_scans_its_week_once(spark):
+    """Days and symptoms are grouping sets of one aggregation; one exchange by user, reduced before it."""
+    text = plan(weekly.weekly_report(A.users(spark, SF), A.assessments(spark, SF), A.AS_OF))
+    week = text[text.index("HashAggregate") if "HashAggregate" in text else 0:]
+    assert text.count("FileScan parquet") == 2  # the users and the week
+    assert text.count("symptoms#") and text.count("PushedFilters: [IsNotNull(created_at), GreaterThanOrEqual(created_at") == 1
+    by_user = [line for line in text.splitlines() if "Exchange hashpartitioning(user_id" in line]
+    assert len([x for x in by_user if "symptom#" in x]) == 1  # by (user, day, symptom), reduced on the map side
+    assert len([x for x in by_user if "symptom#" not in x and ", day#" not in x]) <= 2  # the patients' rows, and the users'
+    assert week.count("Generate inline") == 1
+
+
+def test_weekly_report_with_exact_bounds(spark):
+    rows = A.assessments(spark, SF)
+    report = weekly.weekly_report(A.users(spark, SF), rows, "2024-01-28 12:00:00", exact_bounds=True)
+    days = weekly.weekly_daily_series(rows, "2024-01-28 12:00:00", exact_bounds=True)
+    top = weekly.most_concerning_symptom(rows, "2024-01-28 12:00:00", exact_bounds=True)
+    trend = weekly.weekly_trend(rows, "2024-01-28 12:00:00", exact_bounds=True)
+    one = report.where("total_assessments > 0").select("user_id", "top_symptom", "overall_trend")
+    assert sorted(one.collect(), key=str) == sorted(trend.join(top, "user_id", "left").select("user_id", "symptom_name", "overall_trend").collect(), key=str)
+    assert report.agg({"total_assessments": "sum"}).first()[0] == days.agg({"assessment_count": "sum"}).first()[0]
+    assert report.agg({"total_assessments": "sum"}).first()[0] != weekly.weekly_report(
+        A.users(spark, SF), rows, "2024-01-28").agg({"total_assessments": "sum"}).first()[0]

@@ -60,12 +60,21 @@ def _worded(i: int) -> Column:
     return (F.col("event_id") + i) % 11 == 0
 
 
+def _indicators(i: int) -> Column:
+    return F.when((F.col("event_id") + i) % 3 != 0, F.transform(
+        F.sequence(F.lit(1), (F.col("event_id") % 2 + 1).cast("int")), lambda j: F.concat(F.lit("sign "), j + i)))
+
+
+def _notes(i: int) -> Column:
+    return F.when((F.col("event_id") + i) % 5 == 0, F.concat(F.lit("note "), F.col("event_id")))
+
+
 def symptom_array() -> Column:
     """Ordered symptom entries; some are worded only, some documents are absent."""
     rows = []
     for i, name in enumerate(dims.TARGET_SYMPTOMS):
         rows.append(F.when(_present(i), F.when(_worded(i), S._entry(F.lit(name), S.TEXT)).otherwise(
-            S._entry(F.lit(name), S.RATED, _severity(i), _frequency(i)))))
+            S._entry(F.lit(name), S.RATED, _severity(i), _frequency(i), keys=_indicators(i), notes=_notes(i)))))
     return F.when(F.col("event_id") % 13 != 0,
                   F.filter(F.array(*rows), lambda s: s.isNotNull()))
 

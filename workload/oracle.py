@@ -95,6 +95,13 @@ cte("raw_reports", """SELECT event_id AS assessment_id, user_id, created_at, tre
     CASE WHEN (event_id + i) % 11 <> 0 THEN CAST((k + 2 * event_id + i) % 5 + 1 AS INTEGER) END AS frequency
     FROM {ev}, {sym} WHERE (k + i) % 4 <> 0""")
 cte("reports", "SELECT * FROM {raw_reports} WHERE assessment_id % 13 <> 0")
+cte("detail", """SELECT *, CASE symptom WHEN 'fatigue' THEN 'Energy Level' WHEN 'lack_of_appetite' THEN 'Appetite' WHEN 'nausea' THEN 'Nausea'
+      WHEN 'cough' THEN 'Cough' WHEN 'pain' THEN 'Pain' END AS name,
+    CASE symptom WHEN 'fatigue' THEN '⚡' WHEN 'lack_of_appetite' THEN '🍽️' WHEN 'nausea' THEN '🤢' WHEN 'cough' THEN '💨' WHEN 'pain' THEN '💊' END AS icon,
+    coalesce(frequency, 1) AS f, coalesce(severity, 1) AS s,
+    CASE WHEN worded OR (assessment_id + i) % 3 = 0 THEN '' WHEN assessment_id % 2 = 0 THEN 'sign ' || (i + 1)
+      ELSE 'sign ' || (i + 1) || ',sign ' || (i + 2) END AS keys,
+    CASE WHEN NOT worded AND (assessment_id + i) % 5 = 0 THEN 'note ' || assessment_id ELSE '' END AS notes FROM {reports}""")
 cte("hits", """SELECT assessment_id, symptom, coalesce(frequency, 1) AS f, coalesce(severity, 1) AS s, treatment_status,
     row_number() OVER (PARTITION BY assessment_id ORDER BY i) AS rn
     FROM {reports} WHERE (treatment_status = 'undergoing_treatment' AND (coalesce(frequency, 1) >= 5 OR coalesce(severity, 1) >= 3))
@@ -113,6 +120,13 @@ cte("a", """SELECT e.event_id AS assessment_id, 's' || e.event_id AS session_id,
     CASE e.k % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' END AS confidence,
     CASE WHEN e.event_id % 2 = 0 THEN 'en' ELSE 'zh-HK' END AS language
     FROM {ev} e JOIN {structured} s ON s.assessment_id = e.event_id""")
+cte("whole", """SELECT a.assessment_id, a.user_id, 'conversation' AS type, 'AI Chat' AS title, a.session_id, a.created_at,
+    a.created_at + INTERVAL '12 minutes' AS completed_at, a.assessment_id % 5 <> 0 AS ai_powered, coalesce(n, 0) AS symptoms_tracked,
+    coalesce(names, '') AS symptoms_assessed, coalesce(n, 0) AS symptoms_known, coalesce(said, '') AS symptoms_data,
+    coalesce(total, 0) / greatest(coalesce(n, 0), 1) AS avg_severity, CASE WHEN flag THEN CAST(1 AS BIGINT) ELSE 0 END AS alerts_today,
+    treatment_status, level AS oncologist_notification_level, flag AS flag_for_oncologist
+    FROM {a} a LEFT JOIN (SELECT assessment_id, count(*) AS n, CAST(sum(s) AS BIGINT) AS total, string_agg(symptom, '|' ORDER BY i) AS names,
+      string_agg(concat_ws(':', symptom, name, icon, f, s, keys, notes, 'true'), '|' ORDER BY i) AS said FROM {detail} GROUP BY 1) r USING (assessment_id)""")
 cte("users_v", """SELECT c_custkey AS user_id, c_name AS username,
     lower(c_mktsegment) || '.' || c_custkey || '@example.org' AS email,
     'Patient ' || c_mktsegment AS full_name, c_custkey % 10 AS doctor_id, c_nationkey, c_mktsegment FROM customer""")
@@ -160,16 +174,16 @@ def weekly_cards(offset: int) -> str:
     def tail(t):
         return t if now else ""
     cards = [
-        f"CASE WHEN n = 0 THEN 'no_data (info, No Data Available): No assessments found for {ctx}. Complete some assessments to see analytics.' END",
-        f"CASE WHEN alerts > 3 THEN 'high_alerts (critical, High Alert Activity): You had ' || alerts || ' oncologist alerts {ctx}."
+        f"CASE WHEN n = 0 THEN 'no_data (info, fa-info-circle, No Data Available): No assessments found for {ctx}. Complete some assessments to see analytics.' END",
+        f"CASE WHEN alerts > 3 THEN 'high_alerts (critical, fa-exclamation-triangle, High Alert Activity): You had ' || alerts || ' oncologist alerts {ctx}."
         f"{tail(' Consider reaching out to your care team.')}' END",
-        f"CASE WHEN top_avg > 3.5 THEN 'concerning_symptom (warning, Monitor ' || top_name || '): Your ' || lower(top_name) || ' averaged ' || top_avg || '/5 {ctx}.' END",
-        f"CASE WHEN trend = 'Improving' THEN 'improving_trend (positive, Positive Trend): Your symptoms showed an improving trend {ctx}."
+        f"CASE WHEN top_avg > 3.5 THEN 'concerning_symptom (warning, fa-heartbeat, Monitor ' || top_name || '): Your ' || lower(top_name) || ' averaged ' || top_avg || '/5 {ctx}.' END",
+        f"CASE WHEN trend = 'Improving' THEN 'improving_trend (positive, fa-chart-line, Positive Trend): Your symptoms showed an improving trend {ctx}."
         f"{tail(' Keep up the good work!')}' END",
-        f"CASE WHEN n >= 5 THEN 'consistent_tracking (positive, Consistent Tracking): You completed ' || n || ' assessments {ctx}.{tail(' Great job!')}' END",
+        f"CASE WHEN n >= 5 THEN 'consistent_tracking (positive, fa-check-circle, Consistent Tracking): You completed ' || n || ' assessments {ctx}.{tail(' Great job!')}' END",
     ]
     if now:
-        cards.append("CASE WHEN n > 0 AND n < 3 THEN 'low_engagement (info, More Check-ins Recommended): Try to complete daily check-ins for better health insights.' END")
+        cards.append("CASE WHEN n > 0 AND n < 3 THEN 'low_engagement (info, fa-calendar-check, More Check-ins Recommended): Try to complete daily check-ins for better health insights.' END")
     return _joined(cards)
 
 
@@ -324,12 +338,12 @@ cte("facts", """SELECT t.user_id, t.triage_level, t.k, coalesce(s.n, 0) AS n, co
       count(*) FILTER (listed AND NOT severe) AS mild FROM {shaped} GROUP BY 1) s USING (assessment_id)
     WHERE t.newest_rank = 1""")
 SQL["smart_insights"] = with_("facts", """SELECT user_id, array_to_string(list_slice(CASE WHEN len(c) < 2
-      THEN list_concat(c, ['general_health_tip:info', 'wellness_reminder:success']) ELSE c END, 1, 4), '|') AS insights
+      THEN list_concat(c, ['general_health_tip:info:info:general_health_tip_description', 'wellness_reminder:success:favorite:wellness_reminder_description']) ELSE c END, 1, 4), '|') AS insights
     FROM (SELECT user_id, list_filter([
-      CASE triage_level WHEN 'GREEN' THEN 'all_good:success' WHEN 'YELLOW' THEN 'monitor_closely:warning' ELSE 'attention_needed:error' END,
-      CASE WHEN severe > 0 THEN 'high_severity_symptoms:warning' END,
-      CASE WHEN n > 0 AND mild * 10 >= n * 7 THEN 'symptoms_improving:success' END,
-      CASE WHEN 1 + k % 5 >= 4 THEN 'high_priority_conditions:error' END], lambda x: x IS NOT NULL) AS c FROM facts)""")
+      CASE triage_level WHEN 'GREEN' THEN 'all_good:success:check_circle:all_good_description' WHEN 'YELLOW' THEN 'monitor_closely:warning:warning:monitor_closely_description' ELSE 'attention_needed:error:error:attention_needed_description' END,
+      CASE WHEN severe > 0 THEN 'high_severity_symptoms:warning:warning:high_severity_symptoms_description' END,
+      CASE WHEN n > 0 AND mild * 10 >= n * 7 THEN 'symptoms_improving:success:trending_up:symptoms_improving_description' END,
+      CASE WHEN 1 + k % 5 >= 4 THEN 'high_priority_conditions:error:medical_services:high_priority_conditions_description' END], lambda x: x IS NOT NULL) AS c FROM facts)""")
 
 # ---------------------------------------------------------------------------
 # timeline, listings, accounts
@@ -346,16 +360,17 @@ SQL |= {
     "timeline_counts": with_("tl", """SELECT user_id, count(*) AS total_assessments,
         count(*) FILTER (type = 'daily_checkin') AS daily_checkins, count(*) FILTER (type = 'conversation') AS conversations
         FROM tl GROUP BY 1"""),
-    "lookup_records": with_("tl", f"""SELECT id, user_id, type, {TS('date')} AS date, title, summary FROM (SELECT *,
-        row_number() OVER (PARTITION BY id, user_id ORDER BY type) AS rn FROM tl) WHERE rn = 1"""),
-    "assessment_detail": with_("a reports", f"""SELECT a.assessment_id, a.user_id, a.session_id, {TS('a.created_at')} AS created_at,
-        coalesce(n, 0) AS symptoms_tracked, coalesce(n, 0) AS symptoms_known,
-        coalesce(total, 0) / greatest(coalesce(n, 0), 1) AS avg_severity,
-        CASE WHEN flag THEN CAST(1 AS BIGINT) ELSE 0 END AS alerts_today, treatment_status, level AS oncologist_notification_level
-        FROM a LEFT JOIN (SELECT assessment_id, count(*) AS n, CAST(sum(coalesce(severity, 1)) AS BIGINT) AS total
-          FROM reports GROUP BY 1) r USING (assessment_id)"""),
-    "symptom_detail": with_("reports", "SELECT assessment_id, user_id, symptom, " + _case("symptom", dims.SYMPTOM_DISPLAY)
-        + " AS name, CAST(coalesce(frequency, 1) AS BIGINT) AS frequency, CAST(coalesce(severity, 1) AS BIGINT) AS intensity FROM reports"),
+    "lookup_records": with_("whole", f"""SELECT CAST(assessment_id AS VARCHAR) AS id, user_id, type, title, session_id,
+        {TS('created_at')} AS date, {TS('completed_at')} AS completed_at, ai_powered, symptoms_tracked, symptoms_assessed, symptoms_known,
+        symptoms_data, avg_severity, alerts_today, treatment_status, oncologist_notification_level, flag_for_oncologist,
+        'AI conversation completed' AS summary, NULL AS answers, NULL AS questions_answered, NULL AS completion_time FROM whole
+        UNION ALL SELECT CAST(o_orderkey AS VARCHAR), o_custkey, 'daily_checkin', 'Daily Check-in', NULL, {TS('o_orderdate')}, NULL, NULL, NULL,
+          NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, array_to_string(list_transform(range(o_orderkey % 4 + 1), lambda x: CAST(x AS VARCHAR)), ','),
+          o_orderkey % 4 + 1, {TS('o_orderdate')} FROM orders
+          WHERE NOT EXISTS (SELECT 1 FROM whole w WHERE w.assessment_id = o_orderkey AND w.user_id = o_custkey)"""),
+    "assessment_detail": with_("whole", f"SELECT * REPLACE ({TS('created_at')} AS created_at, {TS('completed_at')} AS completed_at) FROM whole"),
+    "symptom_detail": with_("detail", """SELECT assessment_id, user_id, symptom, name, icon, CAST(f AS BIGINT) AS frequency,
+        CAST(s AS BIGINT) AS intensity, keys AS key_indicators, notes AS additional_notes, TRUE AS discussed FROM detail"""),
     "patient_reports": with_("a reports", f"""SELECT a.user_id, {TS('a.created_at')} AS created_at, a.assessment_id, a.session_id, a.language,
         CASE WHEN a.assessment_id % 5 <> 0 THEN 'Yes' ELSE 'No' END AS ai_powered,
         CASE WHEN a.flag THEN 'Yes' ELSE 'No' END AS flagged, upper(a.level) AS notification_level, r.pos,
@@ -438,7 +453,7 @@ SQL |= {
         FROM streaks JOIN ach ON threshold <= longest_streak ANTI JOIN stored USING (user_id, achievement_id)"""),
     "achievement_status": with_("streaks ach stored", f"""SELECT s.user_id, a.achievement_id, type, title, title_zh, description, description_zh,
         d.unlocked_on IS NOT NULL AS unlocked, {D('d.unlocked_on')} AS unlocked_at, least(streak, threshold) AS progress,
-        CAST(threshold AS BIGINT) AS total FROM streaks s CROSS JOIN ach a
+        CAST(threshold AS BIGINT) AS total, CAST(threshold AS BIGINT) AS threshold, a.achievement_id AS badge_image FROM streaks s CROSS JOIN ach a
         LEFT JOIN stored d ON d.user_id = s.user_id AND d.achievement_id = a.achievement_id"""),
 }
 

@@ -87,7 +87,7 @@ def weekly_report(spark, sf):
 @query
 def weekly_insights(spark, sf):
     return _report(spark, sf).select("user_id", F.array_join(F.transform(
-        "insights", lambda c: F.concat(c["id"], F.lit(" ("), c["type"], F.lit(", "), c["title"], F.lit("): "), c["description"])),
+        "insights", lambda c: F.concat(c["id"], F.lit(" ("), c["type"], F.lit(", "), c["icon"], F.lit(", "), c["title"], F.lit("): "), c["description"])),
         " | ").alias("insights"))
 
 
@@ -224,7 +224,7 @@ def smart_insights(spark, sf):
                                       S.symptom_entries(A.symptom_json()).alias("symptoms"))
     out = triage.smart_insights(rows.join(docs, "assessment_id"))
     return out.select("user_id", F.array_join(F.transform(
-        "insights", lambda c: F.concat(c["title"], F.lit(":"), c["kind"])), "|").alias("insights"))
+        "insights", lambda c: F.concat_ws(":", c["title"], c["kind"], c["icon"], c["description"])), "|").alias("insights"))
 
 
 # -- care team --------------------------------------------------------------
@@ -272,17 +272,25 @@ def timeline_counts(spark, sf):
 def lookup_records(spark, sf):
     ids = A.checkins(spark, sf).select(F.col("checkin_id").cast("string").alias("id"), "user_id") \
         .unionByName(A.assessments(spark, sf).select(F.col("assessment_id").cast("string").alias("id"), "user_id"))
-    return timeline_ops.lookup_records(ids, A.assessments(spark, sf), A.checkins(spark, sf))
+    return _detail_text(timeline_ops.lookup_records(ids, A.assessments(spark, sf), A.checkins(spark, sf))).withColumn(
+        "answers", F.array_join("answers", ","))
+
+
+def _detail_text(rows):
+    """Arrays as text, for comparison."""
+    said = F.transform("symptoms_data", lambda s: F.concat_ws(":", s["symptom"], s["name"], s["icon"], s["frequency"], s["intensity"],
+                                                              F.array_join(s["key_indicators"], ","), s["additional_notes"], s["discussed"]))
+    return rows.withColumns({"symptoms_data": F.array_join(said, "|"), "symptoms_assessed": F.array_join("symptoms_assessed", "|")})
 
 
 @query
 def assessment_detail(spark, sf):
-    return timeline_ops.assessment_detail(A.assessments(spark, sf))
+    return _detail_text(timeline_ops.assessment_detail(A.assessments(spark, sf)))
 
 
 @query
 def symptom_detail(spark, sf):
-    return timeline_ops.symptom_detail(A.assessments(spark, sf))
+    return timeline_ops.symptom_detail(A.assessments(spark, sf)).withColumn("key_indicators", F.array_join("key_indicators", ","))
 
 
 @query
