@@ -365,7 +365,8 @@ SQL |= {
         symptoms_data, avg_severity, alerts_today, treatment_status, oncologist_notification_level, flag_for_oncologist,
         'AI conversation completed' AS summary, NULL AS answers, NULL AS questions_answered, NULL AS completion_time FROM whole
         UNION ALL SELECT CAST(o_orderkey AS VARCHAR), o_custkey, 'daily_checkin', 'Daily Check-in', NULL, {TS('o_orderdate')}, NULL, NULL, NULL,
-          NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, array_to_string(list_transform(range(o_orderkey % 4 + 1), lambda x: CAST(x AS VARCHAR)), ','),
+          NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+          'Completed questionnaire with ' || (o_orderkey % 4 + 1) || ' responses', array_to_string(list_transform(range(o_orderkey % 4 + 1), lambda x: CAST(x AS VARCHAR)), ','),
           o_orderkey % 4 + 1, {TS('o_orderdate')} FROM orders
           WHERE NOT EXISTS (SELECT 1 FROM whole w WHERE w.assessment_id = o_orderkey AND w.user_id = o_custkey)"""),
     "assessment_detail": with_("whole", f"SELECT * REPLACE ({TS('created_at')} AS created_at, {TS('completed_at')} AS completed_at) FROM whole"),
