@@ -36,6 +36,7 @@ from .order import stored
 
 WORDS, SEED, REACH = 3, 42, 3
 CELL = 1024
+VARIANTS = 500_000  # in one task
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -128,8 +129,9 @@ def links(classes: DataFrame, cell: int = CELL) -> DataFrame:
         "array(struct(0L AS side, fp & 4294967295L AS own, shiftrightunsigned(fp, 32) AS other), "
         "struct(1L AS side, shiftrightunsigned(fp, 32) AS own, fp & 4294967295L AS other))")))
     values = stored(halves.groupBy("side", "own").agg(F.count(F.lit(1)).alias("n")), "half-values")
+    spread = values.repartition(max(1, -(-32 * values.count() // VARIANTS)))  # the table is small, its variants are not
     # The index: a variant is named by side and deleted bit (above) and the rest of the value (32 bits below).
-    variants = values.select("own", "n", F.col("side"), F.explode(F.sequence(F.lit(0), F.lit(31))).alias("bit")).select(
+    variants = spread.select("own", "n", F.col("side"), F.explode(F.sequence(F.lit(0), F.lit(31))).alias("bit")).select(
         F.expr("shiftleft(side * 32 + bit, 32) | (own & ~shiftleft(1L, bit))").alias("cell"),
         F.expr("IF(shiftrightunsigned(own, bit) & 1 = 0, n, 0)").alias("n0"),
         F.expr("IF(shiftrightunsigned(own, bit) & 1 = 1, n, 0)").alias("n1"))
