@@ -10,10 +10,10 @@ at least ``LEAST`` of its documents hold.
 3. All whole texts stream through the transducers, and each task sends one number for each of its sources and ordinals.
    Transducers are loaded ``GROUP`` bytes at a time, measured before; a vocabulary beyond that takes another pass over
    the texts for each such group, so memory is bounded at every size.
-4. Smoothed shares p = 1 + floor(1e9 (count + 1) / (N + V)), and f = floor((p - q)^2 / q). For pairs of sources, each
-   task adds up one matrix of sources for each language it meets; the list of sources, which it needs for that, is the
-   square root of the result in size. For terms, the first ``TOP`` of each source, ties by ordinal; a rank limit is
-   applied before the shuffle.
+4. Smoothed shares p = 1 + floor(1e9 (count + 1) / (N + V)), and f = floor((p - q)^2 / q), in one pass over the terms.
+   For pairs of sources, each task adds up one matrix of sources for each language it meets; the list of sources, which
+   it needs for that, is the square root of the result in size. For terms, each task keeps the first ``TOP`` of each
+   source, ties by ordinal, and the first of all tasks follow by rank.
 
 Edges: a language without kept terms has pairs of value 0 and no terms; a source that is alone in its language has no
 pairs; repeated rows, whatever their id, are documents of their own; an empty table gives an empty result; other columns
@@ -109,10 +109,9 @@ def _prefixes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 
 
 class _Counts:
-    """Counts by group (language, source) and ordinal; summed up again and again, handed out when there are many."""
+    """Counts by group and ordinal; summed up again and again, handed out when there are many."""
 
     def __init__(self) -> None:
-        self.groups: dict[tuple[str, str], int] = {}
         self.keys, self.n, self.waiting = [], [], 0
 
     def add(self, group: np.ndarray, ordinal: np.ndarray) -> None:
@@ -124,34 +123,35 @@ class _Counts:
             self._sum()
 
     def _sum(self) -> None:
-        key, back = np.unique(np.concatenate([np.zeros(0, np.int64), *self.keys]), return_inverse=True)
-        n = np.zeros(len(key), np.int64)
-        np.add.at(n, back, np.concatenate([np.zeros(0, np.int64), *self.n]))
-        self.keys, self.n, self.waiting = [key], [n], 0
+        key = np.concatenate([np.zeros(0, np.int64), *self.keys])
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], np.concatenate([np.zeros(0, np.int64), *self.n])[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        self.keys, self.n, self.waiting = [key[first]], [np.add.reduceat(n, first) if len(key) else n], 0
 
     @property
     def many(self) -> bool:
-        return len(self.keys) == 1 and len(self.keys[0]) > 1_000_000 or len(self.groups) > 1 << 20
+        return len(self.keys) == 1 and len(self.keys[0]) > 1_000_000
 
     def rows(self) -> pa.RecordBatch:
         self._sum()
-        group = self.keys[0] >> 40
-        names = [pa.array([g[k] for g in self.groups], pa.string()).take(pa.array(group)) for k in (0, 1)]
-        out = pa.RecordBatch.from_arrays([*names, pa.array(self.keys[0] & ((1 << 40) - 1)), pa.array(self.n[0])], ["lang", "source", "ordinal", "n"])
+        key, n = self.keys[0], self.n[0]
         self.__init__()
-        return out
+        return pa.RecordBatch.from_arrays([pa.array(key & ((1 << 40) - 1)), pa.array((key >> 40).astype(np.int32)), pa.array(n)],
+                                          ["ordinal", "g", "n"])
 
 
-def recounted(named: DataFrame, built: DataFrame, group: int = GROUP) -> DataFrame:
-    """lang, source, ordinal and n: how often each source has each kept term."""
+def recounted(named: DataFrame, built: DataFrame, groups: list, group: int = GROUP) -> DataFrame:
+    """ordinal and held: (g, n), how often each group (``groups``: lang, source, g) has each kept term."""
     context = named.sparkSession.sparkContext
-    bounds, held = [], 0
+    bounds, size_ = [], 0
     for base, size in sorted(built.select("base", F.octet_length("packed")).collect()):  # one row for each shard
-        if not bounds or held + size > group:
+        if not bounds or size_ + size > group:
             bounds.append([base, base])
-            held = 0
+            size_ = 0
         bounds[-1][1] = base
-        held += size
+        size_ += size
+    numbers = context.broadcast({(r.lang, r.source): r.g for r in groups})
     out = None
     for low, high in bounds:
         loaded = context.broadcast(sorted((r.lang, r.base, bytes(r.first), bytes(r.packed)) for r in
@@ -168,7 +168,7 @@ def recounted(named: DataFrame, built: DataFrame, group: int = GROUP) -> DataFra
                     starts, ends, first = arrays.split(at, LETTER[low])
                     row = np.repeat(np.arange(part.num_rows), np.diff(first))
                     langs, sources = (part.column(c).to_pylist() for c in (0, 1))
-                    own = np.array([counts.groups.setdefault(g, len(counts.groups)) for g in zip(langs, sources)], np.int64)
+                    own = np.array([numbers.value[g] for g in zip(langs, sources)], np.int64)
                     for lang in by_lang.keys() & set(langs):
                         token = np.flatnonzero(np.array([x == lang for x in langs])[row])
                         shards = by_lang[lang]
@@ -181,84 +181,112 @@ def recounted(named: DataFrame, built: DataFrame, group: int = GROUP) -> DataFra
                 if counts.many:
                     yield counts.rows()
             yield counts.rows()
-        found = named.mapInArrow(run, "lang string, source string, ordinal long, n long")
+        found = named.mapInArrow(run, "ordinal long, g int, n long")
         out = found if out is None else out.unionByName(found)
     if out is None:
-        return named.sparkSession.createDataFrame([], "lang string, source string, ordinal long, n long")
-    return stored(out.groupBy("lang", "source", "ordinal").agg(F.sum("n").alias("n")), "recounted")
-
-
-def _share(n: str, total: str) -> str:
-    """p of a count, exact: decimals hold the product."""
-    return f"1 + (CAST(1000000000 AS DECIMAL(20, 0)) * ({n} + 1)) DIV ({total})"
+        return named.sparkSession.createDataFrame([], "ordinal long, held array<struct<g: int, n: long>>")
+    # Dealt by ordinal once: what is summed by (ordinal, g) is there already when it is gathered by ordinal.
+    summed = out.repartition("ordinal").groupBy("ordinal", "g").agg(F.sum("n").alias("n"))
+    return stored(summed.groupBy("ordinal").agg(F.collect_list(F.struct("g", "n")).alias("held")), "recounted")
+
+
+def shares(n: np.ndarray, under: np.ndarray) -> np.ndarray:
+    """p of counts, exact also where the product leaves 64 bits."""
+    if len(n) and int(n.max()) >= 9_000_000_000:
+        return np.array([1 + 1_000_000_000 * (int(a) + 1) // int(b) for a, b in zip(*np.broadcast_arrays(n, under))], np.int64)
+    return 1 + 1_000_000_000 * (n + 1) // under
+
+
+class _First:
+    """The first ``top`` (value descending, ordinal ascending) of each group."""
+
+    def __init__(self, top: int) -> None:
+        self.top, self.held, self.waiting = top, [], 0
+
+    def add(self, g: np.ndarray, ordinal: np.ndarray, value: np.ndarray) -> None:
+        self.held.append((g, ordinal, value))
+        self.waiting += len(g)
+        if self.waiting > 1_000_000:
+            self.rows()
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        g, ordinal, value = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*self.held) if self.held else [()] * 3))
+        order = np.lexsort((ordinal, -value, g))
+        g = g[order]
+        kept = order[np.arange(len(g)) - np.searchsorted(g, g) < self.top]
+        out = tuple(x[kept] for x in (np.concatenate([np.zeros(0, np.int64), *y]) for y in (zip(*self.held) if self.held else [()] * 3)))
+        self.held, self.waiting = [out], 0
+        return out
 
 
-def _matrices(terms: DataFrame, groups: list) -> DataFrame:
-    """g, o and value: f summed over the terms of a task, for all pairs of groups of a language.
+def _scored(terms: DataFrame, groups: list, top: int) -> DataFrame:
+    """Both parts from one pass: pair (g, o = another group, summed f) and term (g, o = ordinal, f, the first of the task).
 
-    ``terms`` has ``held``: (g, p) of the groups that have the term; ``groups`` (lang, g, p of a
-    missing term) lie in the order of g, those of a language together.
+    ``groups`` (lang, n: counts of all kept terms, v: kept terms of the language) lie in the order
+    of g, those of a language together.
     """
-    lang, p0 = np.unique([r.lang for r in groups], return_inverse=True)[1] if groups else [], np.array([r.p0 for r in groups], np.int64)
-    edge = np.flatnonzero(np.diff(lang, prepend=-1, append=-1)) if len(groups) else np.zeros(1, np.int64)
+    lang = np.unique([r["lang"] for r in groups], return_inverse=True)[1] if groups else np.zeros(0, np.int64)
+    edge = np.flatnonzero(np.diff(lang, prepend=-1, append=-1))
+    n, v = (np.array([r[c] for r in groups], np.int64) for c in ("n", "v"))
+    under = np.maximum(n + v, 1)
+    missing = shares(np.zeros(len(n), np.int64), under)
+    whole = np.array([n[a:b].sum() + v[a] for a, b in zip(edge[:-1], edge[1:])], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
+        first = _First(top)
         for batch in batches:
-            held = batch.column(0)
+            ordinal, held = batch.column(0).to_numpy(), batch.column(1)
             flat = held.flatten()
-            g, p = flat.field("g").to_numpy(), flat.field("p").to_numpy()
+            g, count = flat.field("g").to_numpy().astype(np.int64), flat.field("n").to_numpy()
             at = held.offsets.to_numpy() - held.offsets[0].as_py()
             of = np.searchsorted(edge, g[at[:-1]], "right") - 1  # the language of each term
             row = np.repeat(np.arange(len(held)), np.diff(at))
+            p = shares(count, under[g])
+            q = shares(np.add.reduceat(count, at[:-1]) if len(held) else count, whole[of])[row]
+            more = p > q
+            first.add(g[more], ordinal[row[more]], ((p - q) * (p - q) // q)[more])
             for k in np.unique(of).tolist():
                 low, high = edge[k], edge[k + 1]
                 own = np.flatnonzero(of == k)
                 total = sums.setdefault(k, np.zeros((high - low, high - low), np.int64))
                 for part in np.array_split(own, -(-len(own) * (high - low) // 1_000_000)):
-                    dense = np.tile(p0[low:high], (len(part), 1))
-                    here = np.isin(row, part)
+                    dense = np.tile(missing[low:high], (len(part), 1))
+                    here = np.flatnonzero(np.isin(row, part))
                     dense[np.searchsorted(part, row[here]), g[here] - low] = p[here]
                     for j in range(high - low):
                         apart = dense[:, j:j + 1] - dense
                         total[j] += (apart * apart // dense).sum(axis=0)
+        names = ["term", "g", "o", "value"]
         for k, total in sums.items():
-            n = len(total)
-            yield pa.RecordBatch.from_arrays([pa.array(edge[k] + np.repeat(np.arange(n), n)), pa.array(edge[k] + np.tile(np.arange(n), n)),
-                                              pa.array(total.ravel())], ["g", "o", "value"])
-    return terms.mapInArrow(run, "g long, o long, value long")
+            size = len(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(size * size, bool)), pa.array(edge[k] + np.repeat(np.arange(size), size)),
+                                              pa.array(edge[k] + np.tile(np.arange(size), size)), pa.array(total.ravel())], names)
+        g, o, value = first.rows()
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(g), bool)), pa.array(g), pa.array(o), pa.array(value)], names)
+    return stored(terms.select("ordinal", "held").mapInArrow(run, "term boolean, g long, o long, value long"), "scored")
 
 
 def audit(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     """lang, source, part (``pair`` or ``term``), item, value and rank."""
     named = _named(docs)
+    seen = stored(sorted_parts(named.select("lang", "source").distinct(), "lang", "source"), "sources")
+    groups = stored(seen.join(part_offsets(seen, F.count(F.lit(1))), "_part").select(
+        "lang", "source", (F.col("_before") + F.col("_at")).alias("g")), "groups")
+    listed = groups.orderBy("g").collect()  # the result has their square in rows
     vocab = vocabulary(kept_terms(named, least))
-    counts = recounted(named, transducers(vocab))
-    kept = vocab.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
-    totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    seen = sorted_parts(named.select("lang", "source").distinct(), "lang", "source")
-    seen = stored(seen, "sources")
-    numbered = seen.join(part_offsets(seen, F.count(F.lit(1))), "_part").select("lang", "source", (F.col("_before") + F.col("_at")).alias("g"))
-    groups = stored(numbered.join(kept, "lang", "left").join(totals, ["lang", "source"], "left").select(
-        "lang", "source", "g", (F.coalesce("total", F.lit(0)) + F.coalesce("v", F.lit(0))).alias("under")).withColumn(
-        "p0", F.expr(f"CASE WHEN under > 0 THEN {_share('0', 'under')} ELSE 1 END")), "groups")
-
-    shares = stored(counts.join(groups.select("lang", "source", "g", "under"), ["lang", "source"]).select(
-        "lang", "g", "ordinal", "n", F.expr(_share("n", "under")).alias("p")), "shares")
-    by_term = shares.groupBy("lang", "ordinal").agg(F.sum("n").alias("n"), F.collect_list(F.struct("g", "p")).alias("held"))
-    by_term = stored(by_term, "by-term")
-    sums = _matrices(by_term.select("held"), groups.select("lang", "g", "p0").orderBy("g").collect()).groupBy("g", "o").agg(F.sum("value").alias("value"))
+    by_term = recounted(named, transducers(vocab), listed)
+    kept = {r.lang: r.v for r in vocab.groupBy("lang").agg(F.count(F.lit(1)).alias("v")).collect()}
+    total = {r.g: r.n for r in by_term.select(F.inline("held")).groupBy("g").agg(F.sum("n").alias("n")).collect()}
+    scored = _scored(by_term, [{"lang": r.lang, "n": total.get(r.g, 0), "v": kept.get(r.lang, 0)} for r in listed], top)
+    sums = scored.where("NOT term").groupBy("g", "o").agg(F.sum("value").alias("value"))
     other = groups.select("lang", F.col("g").alias("o"), F.col("source").alias("item"))
     pairs = groups.join(other, "lang").where("g != o").join(sums, ["g", "o"], "left").select(
         "lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0).cast("long")).alias("value"))
     pairs = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")))
-
-    whole = by_term.groupBy("lang").agg(F.sum("n").alias("n")).join(kept, "lang").select("lang", (F.col("n") + F.col("v")).alias("lang_under"))
-    told = by_term.join(whole, "lang").select("ordinal", F.expr(_share("n", "lang_under")).alias("q"), F.explode("held").alias("h"))
-    told = told.select("ordinal", F.col("h.g").alias("g"), F.col("h.p").alias("p"), "q").where("p > q").select(
-        "g", "ordinal", F.expr("((p - q) * (p - q)) DIV q").alias("value"))
-    first = told.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("value"), "ordinal"))).where(F.col("rank") <= top)
-    terms = first.join(vocab.select("ordinal", F.col("term").alias("item")), "ordinal").join(groups.select("lang", "source", "g"), "g").select(
+    order = Window.partitionBy("g").orderBy(F.desc("value"), "o")
+    first = scored.where("term").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    terms = first.join(vocab.select(F.col("ordinal").alias("o"), F.col("term").alias("item")), "o").join(groups, "g").select(
         "lang", "source", F.lit("term").alias("part"), "item", "value", "rank")
     return pairs.unionByName(terms)
 

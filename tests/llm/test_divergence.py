@@ -99,3 +99,19 @@ def test_long_texts_in_pieces(monkeypatch):
     want = divergence.document_terms(text)
     monkeypatch.setattr(divergence.arrays.pieces, "__defaults__", (40,))
     assert divergence.document_terms(text) == want == {b"ab", "cdé".encode(), b"x" * 400, b"y"}
+
+
+def test_shares_are_exact():
+    n, under = np.array([0, 5, 10**12, 3 * 10**18]), np.array([7, 7, 3 * 10**12, 4 * 10**18])
+    assert divergence.shares(n, under).tolist() == [1 + 10**9 * (int(a) + 1) // int(b) for a, b in zip(n, under)]
+
+
+def test_the_first_of_a_task():
+    rng = np.random.default_rng(2)
+    first = divergence._First(3)
+    rows = [(int(g), int(o), int(v)) for g, o, v in zip(rng.integers(0, 4, 300), rng.permutation(300), rng.integers(0, 9, 300))]
+    for k in range(0, 300, 50):
+        first.add(*(np.array(c) for c in zip(*rows[k:k + 50])))
+        first.rows()
+    want = [r for g in range(4) for r in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1]))[:3]]
+    assert list(zip(*(x.tolist() for x in first.rows()))) == want
