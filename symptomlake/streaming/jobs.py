@@ -2,118 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import escalation, questionnaire
 from ..session import shared_dir
 from ..sources.tables import first_per_key
+from .stateful import stream_codes, stream_doctor_alerts, stream_sessions, stream_streaks  # noqa: F401
 
 #: Partitions of a keyed sink.
 BUCKETS = 256
 
 
-def _drop_repeats(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Repeated rows of one Arrow batch add nothing and are not shuffled."""
-    for frame in frames:
-        yield frame.drop_duplicates()
-
-
-def _streak_step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    days = set()
-    for frame in frames:
-        days.update(int(d) for d in frame["day"])
-    streak, longest, last = state.get if state.exists else (0, 0, None)
-    out = []
-    for day in sorted(days):
-        if last is not None and day <= last:
-            continue
-        streak = streak + 1 if last is not None and day == last + 1 else 1
-        longest, last = max(longest, streak), day
-        out.append((key[0], day, streak, longest))
-    if last is not None:
-        state.update((streak, longest, last))
-    yield pd.DataFrame(out, columns=["user_id", "day", "streak", "longest_streak"])
-
-
-def stream_streaks(checkins: DataFrame) -> DataFrame:
-    """Running and longest streak of a user on every new check-in day.
-
-    A day at or before the last one changes nothing. State is three numbers per
-    user and a micro-batch holds only the distinct days of a user, however
-    often the user checked in.
-    """
-    days = checkins.select("user_id", F.unix_date(F.to_date("ts")).alias("day")).where(F.col("day").isNotNull())
-    days = days.mapInPandas(_drop_repeats, days.schema)
-    user_type = days.schema["user_id"].dataType.simpleString()
-    return days.groupBy("user_id").applyInPandasWithState(
-        _streak_step, f"user_id {user_type}, day int, streak int, longest_streak int",
-        "streak int, longest int, last int", "append", GroupStateTimeout.NoTimeout)
-
-
-def _session_step(ttl_us: int):
-    def verdicts(session, start, frame):
-        mine = frame[~frame["copy"]]
-        age = mine["ts_us"] - (0 if start is None else start)
-        accepted = (age >= 0) & (age <= ttl_us) if start is not None else age < age
-        return pd.DataFrame({"session_id": session, "message_id": mine["message_id"],
-                             "ts_us": mine["ts_us"], "accepted": accepted})
-
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        start = state.get[0] if state.exists else None
-        waiting = []                      # id and time of messages seen before the start of a new session
-        for frame in frames:
-            opened = frame.loc[frame["is_start"], "ts_us"]
-            if start is None and len(opened):
-                start = int(opened.min())
-            if start is None:
-                waiting.append(frame.loc[~frame["copy"], ["message_id", "ts_us", "copy"]])
-            else:
-                yield verdicts(key[0], start, frame)
-        while waiting:                    # without a start: unknown or long expired
-            yield verdicts(key[0], start, waiting.pop())
-        if start is not None:
-            state.update((start,))
-            state.setTimeoutTimestamp(max((start + ttl_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-    return step
-
-
-def stream_sessions(messages: DataFrame, ttl_seconds: int = 1800, lateness: str = "10 minutes",
-                    salts: int | None = None) -> DataFrame:
-    """Every message with the verdict whether its session was still open.
-
-    ``messages`` has (session_id, message_id, ts, is_start). A session lives for
-    a fixed time from its start, regardless of activity; messages without a
-    known session are refused. State is one start time per open session (texts
-    never enter it) and an event-time timer removes it.
-
-    Messages of a session are dealt over ``salts`` groups (by default as many as
-    there are shuffle partitions), and its single start row is copied to each of
-    them, so a crowded session has no task of its own. A group holds at most
-    the ids and times of its messages of one micro-batch, whose size the source
-    bounds (``maxFilesPerTrigger`` or ``maxBytesPerTrigger``).
-    """
-    salts = salts or int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = F.pmod(F.xxhash64("message_id"), F.lit(salts)).cast("int")
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
-    rows = (messages.withWatermark("ts", lateness)
-            .select("session_id", "message_id", "ts", F.unix_micros("ts").alias("ts_us"), "is_start",
-                    own.alias("own"), F.explode(F.when(F.col("is_start"), every).otherwise(F.array(own))).alias("salt"))
-            .withColumn("copy", F.col("salt") != F.col("own")).drop("own"))
-    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.groupBy("session_id", "salt").applyInPandasWithState(
-        _session_step(ttl_seconds * 1_000_000),
-        f"session_id {types['session_id']}, message_id {types['message_id']}, ts_us long, accepted boolean",
-        "start long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def stream_enrich(submissions: DataFrame, catalogue=None) -> DataFrame:
     """Enrichment on arrival; the batch expression is stateless and row-local."""
     return questionnaire.enrich(submissions, catalogue)
@@ -174,6 +74,13 @@ def stream_insert_if_absent(stream: DataFrame, target: str, checkpoint: str, key
             .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
 
 
+def run_once(stream: DataFrame, out: str, progress: str) -> None:
+    """Drive a stream over all data present in one micro-batch; for state on processing time, which has no end of input."""
+    query = (stream.writeStream.format("parquet").outputMode("append").option("path", out)
+             .option("checkpointLocation", progress).trigger(once=True).start())
+    query.awaitTermination()
+
+
 def run_available(stream: DataFrame, name: str) -> DataFrame:
     """Drive a stream over all data present and return what it wrote.
 

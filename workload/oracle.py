@@ -701,6 +701,16 @@ SQL |= {
     "stream_streaks": with_("isl", f"""SELECT i.user_id, {D('i.last_day')} AS last_day, length AS streak, longest AS longest_streak
         FROM isl i JOIN (SELECT user_id, max(last_day) AS ld, max(length) AS longest FROM isl GROUP BY 1) m
         ON m.user_id = i.user_id AND m.ld = i.last_day"""),
+    "stream_streaks_resumed": with_("isl", f"""SELECT i.user_id, {D('i.last_day')} AS last_day, length AS streak, longest AS longest_streak
+        FROM isl i JOIN (SELECT user_id, max(last_day) AS ld, max(length) AS longest FROM isl GROUP BY 1) m
+        ON m.user_id = i.user_id AND m.ld = i.last_day WHERE i.last_day >= DATE '2024-01-16'"""),
+    "stream_codes": with_("ev", """SELECT e.user_id, e.event_id AS use_id, coalesce(e.k % 3 = i.code, FALSE) AS accepted FROM ev e
+        LEFT JOIN (SELECT user_id, arg_max(k % 3, struct_pack(a := created_at, c := CAST(k % 3 AS VARCHAR))) AS code FROM ev
+                   WHERE event_type = 'signup' GROUP BY 1) i ON i.user_id = e.user_id WHERE e.event_type = 'click'"""),
+    "stream_doctor_alerts": with_("assign a", f"""SELECT doctor_id, CAST(rank AS BIGINT) AS rank, session_id, user_id, alert_level, oncologist_notification_level, created_at
+        FROM (SELECT doctor_id, row_number() OVER (PARTITION BY doctor_id ORDER BY a.created_at DESC, a.assessment_id DESC) AS rank,
+          a.session_id, a.user_id, a.alert_level, a.level AS oncologist_notification_level, {TS('a.created_at')} AS created_at
+          FROM assign s JOIN a ON a.user_id = s.user_id WHERE a.flag OR a.level IN ('amber', 'red')) WHERE rank <= 50"""),
     "stream_sessions": """SELECT conv_id AS session_id, turn AS message_id,
         turn <= 3 AND conv_id IN (SELECT conv_id FROM conversations WHERE turn = 0) AS accepted FROM conversations""",
     "stream_alerts": with_("a assign", """SELECT doctor_id, assessment_id, user_id, level AS oncologist_notification_level

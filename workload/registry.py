@@ -16,7 +16,7 @@ from symptomlake.plans import reports
 from symptomlake.session import shared_dir
 from symptomlake.sources import tables
 from symptomlake.sources.tables import read_table
-from symptomlake.streaming import jobs
+from symptomlake.streaming import jobs, stateful
 
 from . import adapter as A
 from .portable import portable
@@ -750,6 +750,38 @@ def stream_sessions(spark, sf):
         .select("session_id", "message_id", "accepted")
 
 
+@query
+def stream_streaks_resumed(spark, sf):
+    """The first half of the month is stored history, the rest a stream; users whose streak went on or began anew."""
+    cut = "2024-01-16"
+    history = streaks.active_days(A.activity_days(spark, sf).where(F.col("ts") < cut))
+    checkins = A.stream_table(spark, sf, "events").select("user_id", "ts").where(F.col("ts") >= cut)
+    log = jobs.run_available(jobs.stream_streaks(checkins, history), "streaks-resumed")
+    return log.groupBy("user_id").agg(F.max(F.struct("day", "streak", "longest_streak")).alias("s")) \
+        .select("user_id", F.date_from_unix_date("s.day").alias("last_day"), "s.streak", "s.longest_streak")
+
+
+@query
+def stream_codes(spark, sf):
+    """Sign-ups issue a code, clicks enter one; an hour to live, so all of them live through one run."""
+    rows = A.events(spark, sf, A.stream_table(spark, sf, "events")).where(F.col("event_type").isin("signup", "click")).select(
+        F.col("user_id").alias("key"), F.col("event_id").alias("use_id"), F.col("created_at").alias("at"),
+        (F.col("k") % 3).alias("code"), (F.col("event_type") == "signup").alias("issued"))
+    root = shared_dir(spark, "codes")
+    out = jobs.stream_codes(rows, 3600)
+    jobs.run_once(out, f"{root}/out", f"{root}/progress")
+    return spark.read.schema(out.schema).parquet(f"{root}/out").select(F.col("key").alias("user_id"), "use_id", "accepted")
+
+
+@query
+def stream_doctor_alerts(spark, sf):
+    """The newest alerts of each doctor, kept by a stream over all assessments."""
+    rows = A.derive_assessments(spark, sf, A.stream_table(spark, sf, "events"))
+    log = jobs.run_available(jobs.stream_doctor_alerts(rows, A.assignments(spark, sf)), "newest-alerts")
+    return stateful.current_alerts(log, rows.schema).select(
+        "doctor_id", "rank", "session_id", "user_id", "alert_level", "oncologist_notification_level", "created_at")
+
+
 @query
 def stream_alerts(spark, sf):
     rows = A.derive_assessments(spark, sf, A.stream_table(spark, sf, "events")).select(
