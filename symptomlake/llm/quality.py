@@ -8,8 +8,8 @@ so a score is a sparse dot product that does not grow with the text. The weights
 Training reads at most ``max_train`` labelled rows, those with the smallest hash of their id, in that order. Scoring
 reads every whole text.
 
-Nulls and edges: a null text is empty, and an empty text has only the bias; rows without id or label do not train; an
-id with several labels trains once per label and row; without training rows of both kinds every score is the mean label,
+Nulls and edges: a null text is empty, and an empty text has only the bias; rows without id or label, and labels that are
+neither 0 nor 1, do not train; an id with several labels trains once per label, with one of its rows; without training rows of both kinds every score is the mean label,
 or 0.5; repeated rows get equal scores; other columns are not read.
 """
 
@@ -123,16 +123,19 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], m: Ftrl) -> np.ndarray:
     return weights(z, n)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """turn, doc_id, label and text of at most ``most`` label rows: those with the smallest hash of their id.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, highest: int = 1) -> DataFrame:
+    """turn, doc_id, label and text of at most ``most`` pairs of an id and a label (0 .. ``highest``): the least hashes of ids.
 
-    They are bounded, so they may be broadcast; documents are read once and not shuffled.
+    They are bounded, so they may be broadcast; documents are read once. Of the
+    documents of an id one stays for each of its labels, that with the least
+    text hash; it is chosen on the map side first, so an id with very many rows
+    sends one text per task.
     """
-    chosen = (labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
-              .select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("label"))
+    chosen = (labels.where(F.col("doc_id").isNotNull() & F.col(label).between(0, highest))
+              .select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("label")).distinct()
               .withColumn("turn", F.xxhash64("doc_id")).orderBy("turn", "doc_id", "label").limit(most))
-    return (docs.select(F.col("doc_id").cast("long"), "text")
-            .join(F.broadcast(chosen), "doc_id").select("turn", "doc_id", "label", "text"))
+    found = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("turn", "doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", model: Ftrl = Ftrl()) -> np.ndarray:

@@ -6,12 +6,13 @@ beginnings of 5 to 8 bytes (A-Z lower-cased), hashed to ``2**bits`` places, so i
 that occurs counts 1, or less if more than ``COMMON`` of the training rows have it. Weights are learnt by coordinate-wise follow-the-regularised-leader steps
 with an absolute penalty, thresholds by gradient steps that keep their order.
 
-Labels that say only toxic or not are graded by the training task: a place is marked if toxic rows of the sample hold
+A label table with a ``grade`` (0 .. 3) trains as it is. Labels that say only toxic or not are graded by the training
+task: a place is marked if toxic rows of the sample hold
 it ``MARKED`` times as often as others; toxic rows are cut into three grades at the terciles of their marked words.
 Training reads at most ``max_train`` labelled rows, those with the smallest hash of their id. Scoring reads whole texts.
 
 Nulls and edges: a null text is empty and has no features; rows without id or label do not train; several labels of an
-id all train; without rows of both kinds every severity is 0; repeated rows get equal answers; other columns are not read.
+id all train, each with one of its rows; labels outside the range do not; with one grade only every row gets it; repeated rows get equal answers; other columns are not read.
 """
 
 from __future__ import annotations
@@ -108,7 +109,9 @@ def graded(rows: list[tuple[np.ndarray, int]], bits: int) -> list[int]:
 
 
 def train(docs: DataFrame, labels: DataFrame, model: Ordinal = Ordinal()) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds from ``labels`` (doc_id, toxic)."""
+    """Weights and thresholds from ``labels`` (doc_id and grade 0 .. 3, or toxic 0 or 1)."""
+    real = "grade" in labels.columns
+
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, at, data in arrays.runs(batch):
@@ -122,16 +125,20 @@ def train(docs: DataFrame, labels: DataFrame, model: Ordinal = Ordinal()) -> tup
         rows = [(np.frombuffer(p.as_py(), "<i4").astype(np.int64), y.as_py())
                 for b in batches for p, y in zip(b.column("places"), b.column("label"))]
         w, cut = np.zeros(0), np.full(GRADES - 1, 35.0)
-        if len({y for _, y in rows}) == 2:
-            w, cut = fit([(p, g) for (p, _), g in zip(rows, graded(rows, model.bits))], model)
+        seen = {y for _, y in rows}
+        if len(seen) > 1:
+            grades = [y for _, y in rows] if real else graded(rows, model.bits)
+            w, cut = fit([(p, g) for (p, _), g in zip(rows, grades)], model)
+        elif real and seen:
+            cut = np.where(np.arange(GRADES - 1) < min(seen), -35.0, 35.0)
         used = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([used, -1 - np.arange(len(cut))]), pa.int64()),
                                           pa.array(np.concatenate([w[used], cut]), pa.float64())], ["place", "weight"])
-    learnt = (labelled(docs, labels, "toxic", model.max_train)
+    learnt = (labelled(docs, labels, *(("grade", model.max_train, GRADES - 1) if real else ("toxic", model.max_train)))
               .mapInArrow(featurise, "turn long, doc_id long, label int, places binary").repartition(1)
               .sortWithinPartitions("turn", "doc_id", "label", "places").mapInArrow(learn, "place long, weight double").toArrow())
     place, weight = learnt.column("place").to_numpy(), learnt.column("weight").to_numpy()
-    out, cut = np.zeros(1 << model.bits, np.float32), np.zeros(GRADES - 1)
+    out, cut = np.zeros(1 << model.bits, np.float32), np.full(GRADES - 1, 35.0)
     out[place[place >= 0]] = weight[place >= 0]
     cut[-1 - place[place < 0]] = weight[place < 0]
     return out, cut

@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -43,3 +44,35 @@ def test_edges(spark):
     assert quality.classify(docs.where("false"), labels).count() == 0
     kept = quality.keep(docs, labels, 0.5)
     assert kept.columns == docs.columns and {r.doc_id % 2 for r in kept.where("doc_id < 40").collect()} == {1}
+
+
+def test_fit_against_plain_loops():
+    """Follow-the-regularised-leader by dictionaries."""
+    rng = np.random.default_rng(5)
+    rows = [(np.unique(np.concatenate([[0], rng.integers(1, 40, 6), [40 + y]])), y) for y in rng.integers(0, 2, 80).tolist()]
+    rows = [(p, rng.random(len(p)), y) for p, y in rows]
+    m = quality.Ftrl(bits=6, epochs=3)
+    z, n = {}, {}
+
+    def weight(p):
+        if abs(z.get(p, 0.0)) <= m.l1:
+            return 0.0
+        return (math.copysign(m.l1, z[p]) - z[p]) / ((m.beta + math.sqrt(n[p])) / m.alpha + m.l2)
+    for _ in range(m.epochs):
+        for places, values, y in rows:
+            w = [weight(p) for p in places]
+            error = 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, values)))) - y
+            for p, v, own in zip(places, values, w):
+                g = error * v
+                z[p] = z.get(p, 0.0) + g - (math.sqrt(n.get(p, 0.0) + g * g) - math.sqrt(n.get(p, 0.0))) / m.alpha * own
+                n[p] = n.get(p, 0.0) + g * g
+    got = quality.fit(rows, m)
+    assert np.allclose([got[p] for p in range(64)], [weight(p) if p in z else 0.0 for p in range(64)], atol=1e-9)
+
+
+def test_one_row_for_each_label_of_an_id(spark):
+    docs = spark.createDataFrame([(1, f"copy {k}", "x", 3) for k in range(50)] + [(2, "other", "x", 3)], "doc_id long, text string, label string, features int")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (1, 1), (2, 1), (2, 7), (3, 1)], "doc_id long, quality int")
+    rows = quality.labelled(docs, labels, "quality", 100).collect()
+    assert sorted((r.doc_id, r.label) for r in rows) == [(1, 0), (1, 1), (2, 1)]
+    assert len({r.text for r in rows if r.doc_id == 1}) == 1
