@@ -4,8 +4,9 @@ Words are stretches of letters and digits, lower-cased; a shingle is five words
 shingle), held as a 64-bit hash. An item is found in a document when at least 80 % of its shingles are.
 
 Items are put into size classes (``(U/2, U]`` shingles). Of an item in class ``U`` the ``floor(0.2 U) + 1`` least
-hashes are its minima. A document that holds 80 % of the shingles misses at most ``0.2 U`` of them, so it holds a
-minimum: looking up minima, and documents large enough for the item, finds every answer and none is lost to chance.
+hashes are its minima; shingles that fewer items have come first, so a lead that many items share is no minimum while
+an item has others. A document that holds 80 % of the shingles misses at most ``0.2 U`` of them, so it holds a
+minimum: looking up minima, and documents with enough shingles of items, finds every answer and none is lost to chance.
 Candidates are then counted exactly, shingle by shingle.
 
 One pass over the documents keeps only shingles that some item has. The table of the items' shingles is sent to all
@@ -13,7 +14,7 @@ executors only while it has at most ``SENT_ROWS`` rows (16 MB); beyond, the same
 
 Nulls and edges: a null text, and a text without words, holds nothing and is in nothing; null ids never match and
 their rows stay in ``clean``, but are searched one by one in ``clean_rows``; repeated documents or items give one row per pair of ids; rows that share an id count
-together; an empty table gives no matches; the length of a text is not limited; other columns are not read.
+together, as one text that has the shingles of all; an empty table gives no matches; the length of a text is not limited; other columns are not read.
 """
 
 from __future__ import annotations
@@ -52,8 +53,9 @@ def item_shingles(items: DataFrame) -> DataFrame:
     """item_id, shingle, q (the item's number of shingles) and whether the shingle is one of the item's minima."""
     each = (_shingled(items, "item_id").select("item_id", F.explode("shingles").alias("shingle")).distinct())
     by_item = Window.partitionBy("item_id")
-    sized = each.withColumn("q", F.count(F.lit(1)).over(by_item)).withColumn(
-        "rank", F.row_number().over(by_item.orderBy(F.xxhash64("shingle", F.lit(1)), "shingle")))
+    common = each.join(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("items")), "shingle")
+    sized = common.withColumn("q", F.count(F.lit(1)).over(by_item)).withColumn(
+        "rank", F.row_number().over(by_item.orderBy("items", F.xxhash64("shingle", F.lit(1)), "shingle")))
     size_class = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("q").cast("double")))).cast("long")
     minima = F.floor(size_class * (UNDER - OVER) / UNDER) + 1
     return sized.select("item_id", "shingle", "q", (F.col("rank") <= minima).alias("minimum"))
@@ -66,13 +68,13 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     wanted = inside.select("shingle").distinct()
     found = stored(
         _shingled(docs, "doc_id")
-        .select("doc_id", F.size("shingles").alias("doc_shingles"), F.explode("shingles").alias("shingle"))
-        .join(_sent(wanted, n), "shingle")
-        .groupBy("doc_id", "shingle").agg(F.max("doc_shingles").alias("doc_shingles")), "shared-shingles")
+        .select("doc_id", F.explode("shingles").alias("shingle"))
+        .join(_sent(wanted, n), "shingle").distinct(), "shared-shingles")
     minima = inside.where("minimum").select("item_id", "shingle", "q")
-    candidates = (found.join(_sent(minima, n), "shingle")
-                  .where(F.col("doc_shingles") * UNDER >= F.col("q") * OVER)
-                  .select("doc_id", "item_id").distinct())
+    enough = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("held"))  # of all rows of an id together
+    candidates = (found.join(_sent(minima, n), "shingle").select("doc_id", "item_id", "q").distinct()
+                  .join(enough, "doc_id").where(F.col("held") * UNDER >= F.col("q") * OVER)
+                  .select("doc_id", "item_id"))
     asked = candidates.join(_sent(inside.select("item_id", "shingle", "q"), n), "item_id")
     held = asked.join(found.select("doc_id", "shingle"), ["doc_id", "shingle"])
     counted = held.groupBy("doc_id", "item_id", "q").agg(F.count(F.lit(1)).alias("shared"))

@@ -63,3 +63,24 @@ def test_rows_without_id_are_searched(spark):
     out = decontam.clean_rows(docs, spark.createDataFrame([(7, item)], "item_id long, text string"))
     assert out.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(rows[1:4] + rows[6:], key=str)
+
+
+def test_rows_of_one_id_count_together(spark):
+    """Two rows with 46 and 54 of an item's 100 shingles hold it together, however small each is; two others do not."""
+    words = [f"w{k}" for k in range(104)]
+    rows = [(1, " ".join(words[:50])), (1, " ".join(words[46:])), (2, " ".join(words[:50])), (2, " ".join(words[:60])), (3, "x " + " ".join(words))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(words)), (7, " ".join(words))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.shared, r.q) for r in decontam.matches(docs, items).collect()}
+    assert got == {(1, 7): (100, 100), (3, 7): (100, 100)}
+
+
+def test_a_lead_that_items_share(spark):
+    """A common lead is no minimum of items that have other shingles, and nothing is lost."""
+    lead = "read the passage below and answer"
+    items = [(k, f"{lead} " + " ".join(f"i{k}w{j}" for j in range(40))) for k in range(60)]
+    docs = [(k, f"{lead} " + " ".join(f"d{k}w{j}" for j in range(60))) for k in range(50)] + [(100 + k, f"say {t} now") for k, t in items[:9]]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id): (r.shared, r.q) for r in decontam.matches(*frames).collect()} == brute(docs, items)
+    held = decontam.item_shingles(frames[1]).where("minimum").groupBy("shingle").count()
+    assert held.agg({"count": "max"}).first()[0] == 1
