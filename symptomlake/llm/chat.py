@@ -5,22 +5,21 @@ conversation up to it: the exclusive-or, over all turns so far, of two 64-bit ha
 prefixes of equal length are equal exactly when these 128 bits agree. A conversation goes when its whole hash is the
 hash of a proper prefix of another one (anti-join); of equal conversations the least id stays. The rest is rendered.
 
-Turns are dealt by conversation and stretch of ``SPAN`` turn numbers, and running hashes are carried over stretches by
-their totals, so one long conversation does not meet in one task. A rendered conversation comes in parts of at most
+Turns are sorted over range partitions, and running hashes are carried over the stretches of a conversation in each
+partition by their totals, so one long conversation, or all turns without an id or a number, do not meet in one task. A rendered conversation comes in parts of at most
 ``PART`` turns for the same reason. Texts travel only to their rendering.
 
 Nulls and edges: a null role is ``unknown``, a null text is empty, null turns come first, null ids are one
 conversation; a turn logged twice in full counts once; different rows with one turn number follow in the order of
-their hashes; control marks inside a text are defused; an empty table gives an empty result; other columns are not read.
+their hashes; control marks inside a text or a role are defused; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .order import stored
+from .order import sorted_parts, stored
 
-SPAN = 1024
 PART = 4096
 _NO_ID = -(2**63)
 #: Fixed values of the rendered form.
@@ -37,9 +36,9 @@ def _turns(logs: DataFrame) -> DataFrame:
 
 def prefix_hashes(logs: DataFrame) -> DataFrame:
     """conv_id, turn, h, g, position (from 1) and the two prefix hashes of each different turn."""
-    each = _turns(logs).select("conv_id", "turn", "h", "g").distinct().withColumn(
-        "span", F.coalesce(F.floor(F.col("turn") / SPAN), F.lit(_NO_ID)))
-    inside = Window.partitionBy("conv_id", "span").orderBy(F.col("turn").asc_nulls_first(), "h", "g")
+    each = _turns(logs).select("conv_id", "turn", "h", "g").distinct()
+    each = stored(sorted_parts(each, "conv_id", "turn", "h", "g"), "sorted-turns").withColumnsRenamed({"_part": "span", "_at": "at"})
+    inside = Window.partitionBy("conv_id", "span").orderBy("at")
     earlier = Window.partitionBy("conv_id").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     ranked = each.withColumn("place", F.row_number().over(inside))
     before = ranked.groupBy("conv_id", "span").agg(F.count(F.lit(1)).alias("n")).select(
@@ -76,8 +75,8 @@ def render(logs: DataFrame) -> DataFrame:
     places = prefixes.select("conv_id", F.col("turn").alias("_turn"), "h", "g", "position").join(chosen, "conv_id")
     texts = _turns(logs).dropDuplicates(["conv_id", "turn", "h", "g"]).join(places, ["conv_id", "h", "g"]).where(
         F.col("turn").eqNullSafe(F.col("_turn")))
-    safe = F.regexp_replace("text", r"<\|(im_start|im_end)\|>", "<|$1 |>")
-    shown = F.concat(F.lit(OPEN), "role", F.lit("\n"), safe, F.lit(CLOSE + "\n"))
+    role, text = (F.regexp_replace(c, r"<\|(im_start|im_end)\|>", "<|$1 |>") for c in ("role", "text"))
+    shown = F.concat(F.lit(OPEN), F.translate(role, "\r\n", "  "), F.lit("\n"), text, F.lit(CLOSE + "\n"))
     parts = texts.groupBy("conv_id", F.floor((F.col("position") - 1) / PART).cast("int").alias("part"),
                           "n_turns", "n_copies").agg(
         F.sort_array(F.collect_list(F.struct("position", shown.alias("shown")))).alias("turns"))
@@ -92,7 +91,7 @@ WITH t AS (
   SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
 u AS (
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position,
-         '<|im_start|>' || role || chr(10) || regexp_replace(text, '<\|(im_start|im_end)\|>', '<|\1 |>', 'g') || '<|im_end|>' || chr(10) AS shown,
+         '<|im_start|>' || translate(regexp_replace(role, '<\|(im_start|im_end)\|>', '<|\1 |>', 'g'), chr(13) || chr(10), '  ') || chr(10) || regexp_replace(text, '<\|(im_start|im_end)\|>', '<|\1 |>', 'g') || '<|im_end|>' || chr(10) AS shown,
          role || chr(1) || text || chr(2) AS raw
   FROM t),
 prefix AS (
