@@ -9,7 +9,9 @@ stay aligned; a reference without a payload keeps its row with null payload colu
 The payload table stores bytes losslessly as the 8-bit grey samples of a PNG picture, 64 samples a row, padded with
 zero bytes to whole rows (one row at least); a text chunk keeps the unpadded length. Equal payloads are stored once.
 
-Nulls and edges: a null page has no items and a null text is empty; broken markup is read as far as it goes; the length
+Nulls and edges: a null page has no items and a null text is empty; broken markup loses no text: an open caption ends with its figure, with the next block that is none of those a caption
+holds, or with the page; a caption outside a figure, or of one without media, is text, and what an unclosed ``noscript`` or ``template``
+hides is text again at the end of the page; the length
 of a text is not limited; equal rows give equal rows; other columns are not read.
 """
 
@@ -37,6 +39,8 @@ BLOCKS = frozenset("address article aside blockquote body br caption dd div dl d
                    "h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table tbody td tfoot th thead "
                    "title tr ul".split())
 MEDIA = frozenset(("img", "video", "audio", "source", "embed"))
+#: Blocks that a caption may hold.
+INSIDE = frozenset("br p div ul ol li dl dt dd blockquote pre".split())
 HIDDEN = frozenset(("script", "style", "noscript", "template"))
 
 
@@ -48,6 +52,7 @@ class _Reader(HTMLParser):
         self.items: list[dict] = []
         self.text: list[str] = []
         self.hidden = 0
+        self.veiled: list[str] = []  # what an element that hides its text has held so far
         self.figures: list[list[dict]] = []
         self.caption: list[str] | None = None
 
@@ -57,6 +62,31 @@ class _Reader(HTMLParser):
         if text:
             self.items.append({"kind": "text", "text": text})
 
+    def end_caption(self) -> None:
+        """The open caption belongs to its figure."""
+        if self.caption is not None:
+            said, self.caption = " ".join("".join(self.caption).split()), None
+            if said:
+                self.figures[-1].append({"caption": said})
+
+    def end_figure(self) -> None:
+        """The first caption is that of the figure's media; what captions nothing is text."""
+        self.end_caption()
+        found = self.figures.pop()
+        media, said = [x for x in found if "kind" in x], [x["caption"] for x in found if "kind" not in x]
+        for item in media:
+            item["caption"] = said[0] if said else item["caption"]
+        self.items += [{"kind": "text", "text": x} for x in said[1 if media else 0:]]
+
+    def finish(self) -> None:
+        """The end of the page closes whatever is open."""
+        self.end_caption()
+        while self.figures:
+            self.end_figure()
+        if self.hidden:
+            self.text += self.veiled
+        self.flush()
+
     def handle_starttag(self, tag, attrs):
         if tag in HIDDEN:
             self.hidden += 1
@@ -70,11 +100,14 @@ class _Reader(HTMLParser):
             if self.figures:
                 self.figures[-1].append(item)
         elif tag in BLOCKS:
+            if tag not in INSIDE:
+                self.end_caption()
             self.flush()
             if tag == "figure":
                 self.figures.append([])
             elif tag == "figcaption":
-                self.caption = []
+                self.end_caption()
+                self.caption = [] if self.figures else None
 
     def handle_startendtag(self, tag, attrs):
         if tag not in HIDDEN:
@@ -83,24 +116,22 @@ class _Reader(HTMLParser):
     def handle_endtag(self, tag):
         if tag in HIDDEN:
             self.hidden = max(0, self.hidden - 1)
+            if not self.hidden:
+                self.veiled.clear()
         elif tag in BLOCKS:
-            if tag == "figcaption" and self.caption is not None:
-                said = " ".join("".join(self.caption).split())
-                if self.figures:
-                    self.figures[-1].append({"caption": said})
-                self.caption = None
+            if tag == "figcaption":
+                self.end_caption()
             elif tag == "figure" and self.figures:
-                found = self.figures.pop()
-                said = next((x["caption"] for x in found if "kind" not in x), None)
-                for item in found:
-                    if said and "kind" in item:
-                        item["caption"] = said
+                self.end_figure()
             self.flush()
 
     def handle_data(self, data):
-        if self.caption is not None:
+        if self.hidden:
+            if not self.cdata_elem:  # scripts and styles are no text
+                self.veiled.append(data)
+        elif self.caption is not None:
             self.caption.append(data)
-        elif not self.hidden:
+        else:
             self.text.append(data)
 
 
@@ -109,7 +140,7 @@ def parse_page(page: str | None) -> list[dict]:
     reader = _Reader()
     reader.feed(page or "")
     reader.close()
-    reader.flush()
+    reader.finish()
     return [{"position": k, "kind": None, "text": None, "src": None, "digest": None, "caption": None} | item
             for k, item in enumerate(reader.items)]
 

@@ -45,3 +45,26 @@ def test_references_without_payload_stay(spark):
     store = spark.createDataFrame([("aa", 7)], "digest string, n int")
     rows = media.resolve(media.references(media.sequences(pages)), store).orderBy("position").collect()
     assert [(r.page_id, r.position, r.digest, r.n) for r in rows] == [(1, 0, "aa", 7), (1, 2, None, None)]
+
+
+def shown(page):
+    return [i["text"] or f"{i['src']}={i['caption']}" for i in media.parse_page(page)]
+
+
+def test_broken_markup_loses_no_text():
+    assert shown("<figure><img src=a><figcaption>cap<p>more</figure><p>after</p>") == ["a=cap more", "after"] or \
+        shown("<figure><img src=a><figcaption>cap<p>more</figure><p>after</p>") == ["a=capmore", "after"]
+    assert shown("<figcaption>loose</figcaption><p>text") == ["loose", "text"]
+    assert shown("<figure><figcaption>no media</figcaption></figure>end") == ["no media", "end"]
+    assert shown("<figure><img src=a><figcaption>open<section>next</section>") == ["a=open", "next"]
+    assert shown("<figure><img src=a><figcaption>one</figcaption><figcaption>two</figcaption></figure>") == ["a=one", "two"]
+    assert shown("<noscript>shown after all <p>x") == ["shown after all x"] or shown("<noscript>shown after all <p>x") == ["shown after all", "x"]
+    assert shown("<noscript>gone</noscript>kept<template>gone</template>") == ["kept"]
+    assert shown("a<script>var x = '<p>no</p>'") == ["a"] and shown("</figure></figcaption></noscript>b<figure>") == ["b"]
+    assert shown("<p>" + "word " * 200_000 + "<figcaption>end") == [" ".join(["word"] * 200_000), "end"]
+
+
+def test_empty_table(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert media.document_media(empty).count() == 0
+    assert media.sequences(spark.createDataFrame([], "page_id long, html string")).count() == 0
