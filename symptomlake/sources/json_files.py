@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # file name pattern of a stored assessment
@@ -33,3 +35,22 @@ def list_patients(spark: SparkSession, path: str) -> DataFrame:
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "patient_*.json").load(path)
              .select(F.element_at(F.split("path", "/"), -1).alias("file")))
     return files.select(F.regexp_extract("file", PATIENT_OF_FILE, 1).alias("patient_id")).distinct()
+
+
+def write_documents(docs: DataFrame, path: str) -> None:
+    """One file for each row of ``docs`` (name, body); tasks write their own rows, and a repeated task the same files.
+
+    Spark's writers name files themselves, so the rows go through the file
+    system of the path, which all executors must reach.
+    """
+    def run(batches):
+        for batch in batches:
+            for name, body in zip(*(batch.column(c).to_pylist() for c in (0, 1))):
+                with target.open_output_stream(f"{folder}/{name}") as f:
+                    f.write(body.encode())
+        yield pa.RecordBatch.from_arrays([pa.array([], pa.int32())], ["n"])
+
+    where = path if "://" in path else "file://" + path.removeprefix("file:")
+    target, folder = fs.FileSystem.from_uri(where)
+    target.create_dir(folder)
+    docs.select("name", "body").mapInArrow(run, "n int").write.format("noop").mode("overwrite").save()

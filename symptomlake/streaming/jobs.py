@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import escalation, questionnaire
 from ..session import shared_dir
+from ..sources.stored import ROWS_PER_BUCKET, KeyedTable
 from ..sources.tables import first_per_key
 from .stateful import stream_codes, stream_doctor_alerts, stream_sessions, stream_streaks  # noqa: F401
 
-#: Partitions of a keyed sink.
-BUCKETS = 256
-
 
 def stream_enrich(submissions: DataFrame, catalogue=None) -> DataFrame:
     """Enrichment on arrival; the batch expression is stateless and row-local."""
@@ -43,27 +40,23 @@ def stream_alerts(stream: DataFrame, assignments: DataFrame, target: str, checkp
             .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
 
 
-def insert_batch(target: str, keys: list[str], order: str):
+def insert_batch(target: str, keys: list[str], order: str, rows_per_bucket: int = ROWS_PER_BUCKET, compact_every: int = 50, on_files=None):
     """T5: ``foreachBatch`` function appending rows whose key is not stored yet.
 
     The stored table itself is the memory, so nothing is forgotten and a
-    repeated micro-batch adds nothing. It is partitioned by a hash of the key
-    (column ``_bucket``); a micro-batch reads the key columns of its own
-    partitions only.
+    repeated micro-batch adds nothing. It is a keyed table, whose buckets follow
+    its size: a micro-batch reads the key columns of its own buckets, a share
+    that falls as the table grows. Every ``compact_every`` batches crowded
+    buckets are split and their small files merged. ``on_files`` is told the
+    batch, and the number of files it read and found.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = batch.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
-        first = first_per_key(new, keys, order)
-        mine = [r[0] for r in new.select("_bucket").distinct().collect()]  # BUCKETS at most
-        try:
-            known = spark.read.schema(new.schema).parquet(target).where(F.col("_bucket").isin(mine))
-        except AnalysisException as missing:  # nothing stored yet
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
-            known = new.limit(0)
-        fresh = first.join(known.select(*keys, "_bucket"), [*keys, "_bucket"], "left_anti").select(*new.columns)
-        fresh.hint("rebalance", "_bucket").write.mode("append").partitionBy("_bucket").parquet(target)
+        table = KeyedTable(batch.sparkSession, target, keys, rows_per_bucket)
+        if batch_id and batch_id % compact_every == 0:
+            table.compact(batch.withColumn("_bucket", F.lit(0)).schema)
+        share = table.insert_if_absent(batch, lambda rows: first_per_key(rows, keys, order))
+        if on_files:
+            on_files(batch_id, *share)
     return write
 
 

@@ -656,6 +656,24 @@ SQL["next_question"] = with_("prereq ans cat", """SELECT o.o_orderkey AS submiss
 # ---------------------------------------------------------------------------
 _DOOMED = "SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY'"
 SQL |= {
+    "footer_overview": " UNION ALL ".join(f"SELECT '{t}' AS collection, count(*) AS documents, CAST(min({k}) AS VARCHAR) AS first, CAST(max({k}) AS VARCHAR) AS last FROM {t}"
+        for t, k in (("customer", "c_custkey"), ("orders", "o_orderkey"), ("events", "event_id"), ("documents", "doc_id"))),
+    "delete_stored": """SELECT o_custkey AS user_id, o_orderkey AS checkin_id FROM orders WHERE o_custkey NOT IN
+        (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_custkey % 3 = 0)""",
+    "upsert_stored": """SELECT c_custkey AS user_id, c_name AS username,
+        CASE WHEN u.o_orderkey IS NULL THEN c_mktsegment WHEN u.o_orderstatus <> 'F' THEN u.o_orderpriority END AS checkups,
+        coalesce(u.o_orderkey % 50 + 150, 0) AS height FROM customer LEFT JOIN (SELECT *, row_number() OVER
+          (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders WHERE o_custkey % 5 = 0) u ON u.o_custkey = c_custkey AND u.rn = 1""",
+    "quarantine_signups": with_("pend", """SELECT CASE WHEN violations = '' THEN 'valid' ELSE 'quarantine' END AS part, pending_id, violations FROM (
+          SELECT pending_id, concat_ws('|', CASE WHEN length(username) < 4 THEN 'username' END,
+            CASE WHEN length(code) <> 4 THEN 'access_code' END, CASE WHEN pending_id % 4 = 0 THEN 'email' END) AS violations FROM pend)
+        UNION ALL SELECT 'broken', count(*) FILTER (length(username) < 4), 'username' FROM pend
+        UNION ALL SELECT 'broken', count(*) FILTER (length(code) <> 4), 'access_code' FROM pend
+        UNION ALL SELECT 'broken', 0, 'password' UNION ALL SELECT 'broken', count(*) FILTER (pending_id % 4 = 0), 'email' FROM pend"""),
+    "assessment_files": with_("raw_reports", """SELECT 'p' || user_id AS file_patient_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp, 'note ' || event_id AS conversation_notes,
+        coalesce(n, 0) AS n_symptoms FROM events LEFT JOIN (SELECT assessment_id, count(*) AS n FROM raw_reports GROUP BY 1) r ON r.assessment_id = event_id
+        WHERE event_id % 50 = 0 AND event_id % 350 <> 0"""),
+    "patient_ids": """SELECT DISTINCT 'p' || user_id AS patient_id FROM events WHERE event_id % 50 = 0""",
     "table_overview": " UNION ALL ".join(f"SELECT '{t}' AS collection, count(*) AS documents FROM {t}" for t in
                                          ["customer", "orders", "events", "supplier", "nation", "conversations"]),
     "latest_row": f"SELECT event_id AS assessment_id, user_id, {TS('ts')} AS created_at FROM events ORDER BY ts DESC, event_id DESC LIMIT 1",

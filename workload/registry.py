@@ -14,7 +14,7 @@ from symptomlake.operators import next_question as next_question_ops
 from symptomlake.operators import timeline as timeline_ops
 from symptomlake.plans import reports
 from symptomlake.session import shared_dir
-from symptomlake.sources import tables
+from symptomlake.sources import json_files, stored, tables
 from symptomlake.sources.tables import read_table
 from symptomlake.streaming import jobs, stateful
 
@@ -615,12 +615,79 @@ def next_question(spark, sf):
 
 # -- maintenance ------------------------------------------------------------
 
+def _assessment_files(spark, sf):
+    """Assessments written as one JSON file each, by a streaming-free Spark job in the shared folder."""
+    root = shared_dir(spark, "assessment-files")
+    docs = A.events(spark, sf).where(F.col("event_id") % 50 == 0).select(
+        F.concat(F.lit("patient_p"), "user_id", F.lit("_assessment_"), "event_id", F.lit(".json")).alias("name"),
+        F.concat(F.lit('{"timestamp": "'), F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit('", "conversation_notes": "note '), "event_id",
+                 F.lit('",\n"symptoms": '), A.symptom_json(), F.when(F.col("event_id") % 350 == 0, F.lit("")).otherwise(F.lit("}"))).alias("body"))
+    json_files.write_documents(docs, root)
+    return root
+
+
+@query
+def assessment_files(spark, sf):
+    """Every readable document of a directory of files; every seventh is cut off and skipped."""
+    docs = json_files.read_assessment_json(spark, _assessment_files(spark, sf))
+    return docs.select("file_patient_id", "timestamp", "conversation_notes", F.size(S.symptom_entries(F.col("symptoms"))).alias("n_symptoms"))
+
+
+@query
+def patient_ids(spark, sf):
+    return json_files.list_patients(spark, _assessment_files(spark, sf))
+
+
 @query
 def table_overview(spark, sf):
     names = ["customer", "orders", "events", "supplier", "nation", "conversations"]
     return tables.table_overview({n: read_table(spark, sf, n) for n in names})
 
 
+@query
+def footer_overview(spark, sf):
+    """Counts and key ranges from the footers of the files alone."""
+    keys = {"customer": "c_custkey", "orders": "o_orderkey", "events": "event_id", "documents": "doc_id"}
+    return stored.footer_overview(spark, {n: (f"{sf}/{n}.parquet", key) for n, key in keys.items()})
+
+
+@query
+def delete_stored(spark, sf):
+    """What is left of a stored table after users are deleted from the files that hold them."""
+    path = shared_dir(spark, "deletions")
+    A.checkins(spark, sf).select("user_id", "checkin_id").repartitionByRange(16, "user_id").write.parquet(path)
+    doomed = A.users(spark, sf).where((F.col("c_mktsegment") == "MACHINERY") & (F.col("user_id") % 3 == 0)).select("user_id")
+    stored.delete_rows(spark, path, doomed, ["user_id"])
+    return spark.read.parquet(path)
+
+
+@query
+def upsert_stored(spark, sf):
+    """Profiles in a keyed table after the latest updates of a fifth of the users."""
+    path = shared_dir(spark, "profiles")
+    patients = A.users(spark, sf).select("user_id", "username", F.col("c_mktsegment").alias("checkups"), F.lit(0).cast("long").alias("height"))
+    updates = A.profile_updates(spark, sf).where(F.col("user_id") % 5 == 0)
+    table = stored.KeyedTable(spark, path, ["user_id"])
+    table.upsert(patients)
+    known = table.read(spark.read.parquet(path).schema).drop("_bucket")
+    changed = tables.apply_profile_updates(known, updates, ["checkups", "height"], ["updated_at", "update_id"])
+    table.upsert(changed.join(updates.select("user_id").distinct(), "user_id", "left_semi"))
+    return spark.read.parquet(path).drop("_bucket")
+
+
+@query
+def quarantine_signups(spark, sf):
+    """Valid rows, quarantined rows and broken rules of sign-ups, from one pass."""
+    rows = A.pending_signups(spark, sf).withColumns({
+        "password": F.lit("secret"), "email": F.concat(F.lit("p"), "pending_id", F.when(
+            F.col("pending_id") % 4 == 0, F.lit("example.org")).otherwise(F.lit("@example.org")))})
+    ok, bad, counts = stored.quarantine(rows, quality.signup_rules(), shared_dir(spark, "quarantine"))
+    broken = spark.createDataFrame([(k, v) for k, v in counts.items() if k[0] != "_"], "violations string, pending_id long")
+    return ok.select(F.lit("valid").alias("part"), "pending_id", F.lit("").alias("violations")).unionByName(
+        bad.select(F.lit("quarantine").alias("part"), "pending_id", F.array_join("violations", "|").alias("violations"))).unionByName(
+        broken.select(F.lit("broken").alias("part"), "pending_id", "violations"))
+
+
 @query
 def latest_row(spark, sf):
     rows = A.assessments(spark, sf).select("assessment_id", "user_id", "created_at")
