@@ -17,27 +17,42 @@ from symptomlake.sources.tables import read_table
 AS_OF = "2024-01-28"       # a Sunday: the week of 22-28 January is complete
 AS_OF_DAY = "2024-01-30"   # last day with events
 
-_STORED: dict[tuple[str, str, str], str] = {}
+_STORED: dict[tuple, str] = {}
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """A clinical table derived from the given tables once per application.
+def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """Sizes and times of the given tables: a table that has changed is derived anew."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    found = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build, files: int | None = None) -> DataFrame:
+    """A table derived from the given tables once per application, in ``files`` files.
 
     Analytics run on stored documents; writing the derived table to the shared
     folder first gives the queries a real scan with pushed filters and pruned
-    columns instead of the formulas below.
+    columns instead of the formulas below. The given tables may be a single row
+    group each, which is one task however many cores there are; so what is made
+    from them is dealt over ``files`` parts first (by default as many as there
+    are cores), at every size.
     """
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, name, files, _stamp(spark, sf_dir))
     if key not in _STORED:
         path = f"{shared_dir(spark, name)}/data"
-        build().write.parquet(path)
+        build(files or spark.sparkContext.defaultParallelism).write.parquet(path)
         _STORED[key] = path
     return spark.read.parquet(_STORED[key])
 
 
+def prepared(spark: SparkSession, sf_dir: str, name: str, files: int | None = None) -> DataFrame:
+    """A given table, dealt over ``files`` files."""
+    return stored(spark, sf_dir, f"dealt-{name}", lambda n: read_table(spark, sf_dir, name).repartition(n), files)
+
+
 def events(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
     if source is None:
-        source = read_table(spark, sf_dir, "events")
+        source = prepared(spark, sf_dir, "events")
     return source.select(
         "event_id", "user_id", F.col("ts").alias("created_at"),
         "event_type", "value",
@@ -130,7 +145,7 @@ def sessions(spark: SparkSession, sf_dir: str, source: DataFrame | None = None)
 
 def assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored assessments."""
-    return stored(spark, sf_dir, "assessments", lambda: derive_assessments(spark, sf_dir))
+    return stored(spark, sf_dir, "assessments", lambda n: derive_assessments(spark, sf_dir, prepared(spark, sf_dir, "events", n)))
 
 
 def derive_assessments(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
@@ -289,7 +304,7 @@ def _answer(q: int, spec: dict) -> str:
 
 def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored questionnaire submissions."""
-    return stored(spark, sf_dir, "submissions", lambda: derive_submissions(spark, sf_dir))
+    return stored(spark, sf_dir, "submissions", lambda n: derive_submissions(spark, sf_dir, prepared(spark, sf_dir, "orders", n)))
 
 
 def derive_submissions(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
@@ -298,7 +313,7 @@ def derive_submissions(spark: SparkSession, sf_dir: str, source: DataFrame | Non
                       for q, spec in enumerate(dims.flat_questions()))
     answers = F.expr(f"map_filter(map({pairs}), (k, v) -> v IS NOT NULL)")
     if source is None:
-        source = read_table(spark, sf_dir, "orders")
+        source = prepared(spark, sf_dir, "orders")
     return source.select(
         F.col("o_orderkey").alias("submission_id"), F.col("o_custkey").alias("user_id"),
         F.col("o_orderdate").alias("submitted_at"), answers.alias("answers"))
@@ -363,8 +378,6 @@ def profile_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table read as a file stream."""
-    schema = read_table(spark, sf_dir, name).schema
-    if read_table(spark, sf_dir, name).inputFiles()[0].endswith(f"/{name}.parquet"):  # one file
-        return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet")
+    """A table read as a stream of the files it is dealt over."""
+    table = prepared(spark, sf_dir, name)
+    return spark.readStream.schema(table.schema).parquet(table.inputFiles()[0].rsplit("/", 1)[0])
