@@ -47,3 +47,29 @@ def test_pipeline_stages(spark):
     assert all(private[i] == unseen[i] for i in private if not plain(unseen[i]))
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()
     assert {p.doc_id for p in pieces} == set(private)
+
+
+def small_tables(spark, path, rows):
+    kinds = {"documents": "doc_id long, text string, lang string, source string, n_chars long, score double, component_id long, kept boolean",
+             "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string"}
+    labels = [(i, 1, 0) for i in range(40)] + [(None, 1, 1), (3, None, None), (5, 7, 7)]
+    benchmark = [(1, "what is the capital of the country by the sea"), (2, None), (None, "nothing")]
+    for name, data in (("documents", rows), ("labels", labels), ("benchmark", benchmark)):
+        spark.createDataFrame(data, kinds[name]).coalesce(1).write.parquet(f"{path}/{name}.parquet")
+    return str(path)
+
+
+def test_pipeline_with_edges(spark, tmp_path):
+    """Nulls in every column, empty and long texts, repeats, ties and columns with the names of intermediate ones."""
+    def row(i, text):
+        return (i, text, None, None, None if text is None else len(text), 0.5, 7, True)
+    good = [f"good words about thing {k} that only document {k} tells in its own way {k}" for k in range(40)]
+    rows = [row(k, t) for k, t in enumerate(good)] + [row(k, good[1]) for k in (1, 1, 90, 91)]
+    rows += [row(None, None), row(None, ""), row(60, None), row(61, ""), row(62, "long " * 60_000 + "end"),
+             row(63, "before it what is the capital of the country by the sea after it"), row(64, "write to jo@corp.example.com or +1 (212) 555-0199 today")]
+    out = corpus_pipeline.run(spark, small_tables(spark, tmp_path / "t", rows))
+    pieces = out.collect()
+    ids = {p.doc_id for p in pieces}
+    assert {62, 64, 0, 1} <= ids and 63 not in ids and not {90, 91} & ids  # one kind of label: nothing is rejected
+    assert sum(p.length for p in pieces if p.doc_id == 62) > 60_000
+    assert corpus_pipeline.run(spark, small_tables(spark, tmp_path / "e", [])).count() == 0
