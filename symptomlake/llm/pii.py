@@ -365,18 +365,30 @@ def _masked(text: str, base: str, terms: list[dict] | None) -> str:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with masked texts; ``n_chars``, if there is one, follows. All other columns stay."""
+    """The rows of ``docs`` with masked texts; ``n_chars``, if there is one, follows. All other columns stay.
+
+    Most texts hold nothing and are not moved: a bit table of fixed size over
+    the texts with spans leaves only theirs to an exact join.
+    """
     found = found_spans(docs).where((F.col("base") != "") | F.col("terms").isNotNull()).select(
         F.col("doc_id").alias("_id"), "text_key", "base", "terms").dropDuplicates(["_id", "text_key"])
     found = stored(found, "spans")
+    table = bit_table(found.select(F.col("text_key").alias("term")))
+
+    @F.pandas_udf("boolean")
+    def marked(keys):
+        return type(keys)(_hits(table, keys.to_numpy()))
 
     @F.pandas_udf("string")
     def masked(text, base, terms):
         return type(text)([_masked(t, b, s) if b is not None else t for t, b, s in zip(text, base, terms)], dtype=object)
     key = F.xxhash64(F.coalesce("text", F.lit("")))
-    joined = docs.join(found, (key == found["text_key"]) & docs["doc_id"].cast("long").eqNullSafe(found["_id"]), "left")
+    split = marked(key)
+    rows = docs.where(split)
+    joined = rows.join(found, (key == found["text_key"]) & rows["doc_id"].cast("long").eqNullSafe(found["_id"]), "left")
     new = F.when(F.col("base").isNull(), F.col("text")).otherwise(masked("text", "base", "terms"))
     columns = [F.col(c) if c not in ("text", "n_chars") else new.alias("text") if c == "text"
                else F.when(F.col("base").isNull(), F.col("n_chars")).otherwise(F.length(new).cast("long")).alias("n_chars")
                for c in docs.columns]
-    return joined.select(*columns)
+    return docs.where(~split).withColumns({"n_chars": F.col("n_chars").cast("long")} if "n_chars" in docs.columns else {}).unionByName(
+        joined.select(*columns))
