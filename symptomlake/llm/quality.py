@@ -201,9 +201,8 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, model: Ftrl
     """
     weights = train(docs, labels.where(~fold()), "quality", model)
 
-    @F.pandas_udf("double")
-    def scored(text):
-        batch = pa.RecordBatch.from_arrays([pa.array(text, pa.string())], ["text"])
-        return type(text)(np.concatenate([np.zeros(0)] + [probabilities(at, data, weights, model.bits)
-                                                          for _, at, data in arrays.runs(batch)]))
-    return docs.where(scored(F.col("text")) >= threshold)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # rows stay in Arrow: texts are not copied into objects
+            found = [probabilities(at, data, weights, model.bits) for _, at, data in arrays.runs(batch)]
+            yield batch.filter(pa.array(np.concatenate([np.zeros(0), *found]) >= threshold))
+    return docs.mapInArrow(run, docs.schema)
