@@ -3,16 +3,17 @@
 ``P(grade <= k) = sigmoid(threshold_k - w x)`` with one weight vector ``w`` for all ordered thresholds; the answer is
 the expected severity, the sum over ``k`` of ``P(grade > k)``. Features are the different words of a text and their
 beginnings of 5 to 8 bytes (A-Z lower-cased), hashed to ``2**bits`` places, so inflected forms share weight. A place
-that occurs counts 1, or less if more than ``COMMON`` of the training rows have it. Weights are learnt by coordinate-wise follow-the-regularised-leader steps
-with an absolute penalty, thresholds by gradient steps that keep their order.
+that occurs counts 1, or less if more than ``COMMON`` of the training rows have it. Weights are learnt by coordinate-wise
+follow-the-regularised-leader steps with an absolute penalty, thresholds by gradient steps that keep their order.
 
 A label table with a ``grade`` (0 .. 3) trains as it is. Labels that say only toxic or not are graded by the training
-task: a place is marked if toxic rows of the sample hold
-it ``MARKED`` times as often as others; toxic rows are cut into three grades at the terciles of their marked words.
-Training reads at most ``max_train`` labelled rows, those with the smallest hash of their id. Scoring reads whole texts.
+task: a place is marked if toxic rows of the sample hold it ``MARKED`` times as often as others; toxic rows are cut into
+three grades at the terciles of their marked words. Training reads at most ``max_train`` labelled rows, those with the
+smallest hash of their id. Scoring reads whole texts.
 
-Nulls and edges: a null text is empty and has no features; rows without id or label do not train; several labels of an
-id all train, each with one of its rows; labels outside the range do not; with one grade only every row gets it; repeated rows get equal answers; other columns are not read.
+Nulls and edges: a null text is empty and has no features; rows without id or label, and labels outside the range, do
+not train; several labels of an id all train, each with one of its rows; with one real grade only, every row gets it, and
+without binary labels of both kinds every severity is 0; repeated rows get equal answers; other columns are not read.
 """
 
 from __future__ import annotations
