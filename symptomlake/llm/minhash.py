@@ -149,15 +149,13 @@ def full_sets(wanted: DataFrame, docs: DataFrame, rule: Links) -> DataFrame:
     """class and shingles of the classes in ``wanted`` (class, doc_id: one of its documents).
 
     Texts of other documents are left behind in the scan by a bit table of
-    fixed size over the ids wanted (false positives only cost time; the join is exact).
+    bounded size over the ids wanted (false positives only cost time; the join is exact).
     """
     table = _bits(wanted)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = arrays.mix(batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False).view(np.uint64))
-            place = (ids >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-            batch = batch.filter(pa.array((table[place >> 3] >> (place & 7)) & 1 == 1))
+            batch = batch.filter(pa.array(table.has(batch.column(0))))
             for part, at, data in arrays.runs(batch):
                 found = list(sets(at, data, rule.words))
                 yield pa.RecordBatch.from_arrays(
@@ -180,24 +178,45 @@ def _confirmed(pairs: DataFrame, full: DataFrame, rule: Links) -> DataFrame:
     return stored(held, "links")
 
 
-TABLE_BITS = 23
+#: Least and largest size of a bit table, as powers of two: 1 MB to 32 MB.
+TABLE_BITS = (23, 28)
 
 
-def _bits(wanted: DataFrame) -> np.ndarray:
-    """A table of 2**TABLE_BITS bits with one set for each wanted id: 1 MB whatever the number of ids."""
+@dataclass(frozen=True)
+class Bits:
+    """A bit table over ids: sixteen bits for each id, in all at least 1 MB and at most 32 MB.
+
+    Ids that were put in are always found. Of others few are found, below some 10**8
+    ids; beyond, more are, which costs time but no result, as exact joins follow.
+    """
+    power: int
+    table: np.ndarray
+
+    @staticmethod
+    def place(ids: pa.Array, power: int) -> np.ndarray:
+        return (arrays.mix(ids.fill_null(-1).to_numpy(zero_copy_only=False).view(np.uint64)) >> np.uint64(64 - power)).astype(np.int64)
+
+    def has(self, ids: pa.Array) -> np.ndarray:
+        at = self.place(ids, self.power)
+        return (self.table[at >> 3] >> (at & 7)) & 1 == 1
+
+
+def _bits(wanted: DataFrame) -> Bits:
+    """The table of the ids in ``wanted``, a written table; filled in the tasks, 64 bits a row come to the driver."""
+    power = min(max((16 * wanted.count()).bit_length(), TABLE_BITS[0]), TABLE_BITS[1])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << TABLE_BITS >> 3, np.uint8)
         for batch in batches:
-            ids = arrays.mix(batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False).view(np.uint64))
-            place = (ids >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-            np.bitwise_or.at(table, place >> 3, np.left_shift(1, place & 7).astype(np.uint8))
-        used = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(table[used].astype(np.int16))], ["byte", "bits"])
-    found = (wanted.select(F.col("doc_id").cast("long")).mapInArrow(run, "byte int, bits short")
-             .groupBy("byte").agg(F.bit_or("bits").alias("bits")).toArrow())
-    table = np.zeros(1 << TABLE_BITS >> 3, np.uint8)
-    table[found.column("byte").to_numpy()] = found.column("bits").to_numpy()
-    return table
+            at = Bits.place(batch.column(0), power)
+            word, back = np.unique(at >> 6, return_inverse=True)
+            bits = np.zeros(len(word), np.uint64)
+            np.bitwise_or.at(bits, back, np.left_shift(np.uint64(1), (at & 63).astype(np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits.view(np.int64))], ["word", "bits"])
+    found = (wanted.select(F.col("doc_id").cast("long")).mapInArrow(run, "word long, bits long")
+             .groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow())
+    words = np.zeros(1 << power >> 6, "<i8")
+    words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return Bits(power, words.view(np.uint8))
 
 
 def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -342,7 +361,7 @@ def keep_one(docs: DataFrame, rule: Links = Links()) -> DataFrame:
     It is decided for an id and a text together: different documents that
     share an id, or have none, go only for a document that they are linked with.
 
-    Most documents stay, and their texts are not moved: a bit table of fixed
+    Most documents stay, and their texts are not moved: a bit table of bounded
     size over the ids that may go leaves only their rows to an exact join
     (false positives only cost time).
     """
@@ -356,8 +375,7 @@ def keep_one(docs: DataFrame, rule: Links = Links()) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def marked(ids):
-        place = (arrays.mix(ids.to_numpy().view(np.uint64)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-        return type(ids)((table[place >> 3] >> (place & 7)) & 1 == 1)
+        return type(ids)(table.has(pa.Array.from_pandas(ids)))
     split = marked(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")))
     kept = result.where("kept").where(split).select(
         F.col("doc_id").alias("_kept"), F.col("text_key").alias("_key"), F.col("class").alias("_class")).distinct()
