@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from symptomlake.llm import minhash
@@ -78,6 +79,39 @@ def test_components_of_a_path(spark):
     assert got == {k: 0 for k in range(41)} | {100: 100, 101: 100}
 
 
+def test_components_with_a_crowded_node(spark):
+    """A hub of many links, given in both directions and repeated, a path that ends in it, and links at random."""
+    rng = random.Random(11)
+    rows = [(5000, k) for k in range(1000, 3000)] + [(k, 5000) for k in range(1000, 1500)]
+    rows += [(k, k + 1) for k in range(980, 1000)] + [(rng.randrange(6000, 6400), rng.randrange(6000, 6400)) for _ in range(220)]
+    up = {k: k for pair in rows for k in pair}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+    for a, b in rows:
+        x, y = sorted((find(a), find(b)))
+        up[y] = x
+    got = {r.node: r.root for r in components(spark.createDataFrame(rows, "a long, b long")).collect()}
+    assert got == {k: find(k) for pair in rows if pair[0] != pair[1] for k in pair}
+    assert components(spark.createDataFrame([], "a binary, b binary")).count() == 0
+
+
+def test_bit_table(spark, monkeypatch):
+    """Every id put in is found, null too; the table grows with the ids up to its bound."""
+    monkeypatch.setattr(minhash, "TABLE_BITS", (10, 14))
+    rng = random.Random(12)
+    ids = [None, 0, -1, 2**63 - 1, -2**63] + [rng.randrange(-2**63, 2**63) for _ in range(600)]
+    tables = {n: minhash._bits(spark.createDataFrame([(i,) for i in ids[:n]], "doc_id long")) for n in (0, 5, 200, 605)}
+    assert {n: t.power for n, t in tables.items()} == {0: 10, 5: 10, 200: 12, 605: 14}
+    for n, t in tables.items():
+        assert len(t.table) == 1 << t.power >> 3
+        assert t.has(pa.array(ids[:n], pa.int64())).all()
+    others = pa.array([rng.randrange(-2**63, 2**63) for _ in range(2000)], pa.int64())
+    assert not tables[0].has(others).any() and tables[605].has(others).mean() < 0.07
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (None, "a b c d e f"), (None, None), (1, "a b c d e f"), (2, "q")],
                                  "doc_id long, text string")
