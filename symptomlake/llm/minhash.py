@@ -373,9 +373,9 @@ def keep_one(docs: DataFrame, rule: Links = Links()) -> DataFrame:
                       .where("n > 1 or not kept").select("doc_id"), "doubtful")
     table = _bits(doubtful)
 
-    @F.pandas_udf("boolean")
-    def marked(ids):
-        return type(ids)(table.has(pa.Array.from_pandas(ids)))
+    @F.arrow_udf("boolean")
+    def marked(ids: pa.Array) -> pa.Array:
+        return pa.array(table.has(ids))
     split = marked(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")))
     kept = result.where("kept").where(split).select(
         F.col("doc_id").alias("_kept"), F.col("text_key").alias("_key"), F.col("class").alias("_class")).distinct()

@@ -202,7 +202,7 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, model: Ftrl
     weights = train(docs, labels.where(~fold()), "quality", model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # rows stay in Arrow: texts are not copied into objects
-            found = [probabilities(at, data, weights, model.bits) for _, at, data in arrays.runs(batch)]
-            yield batch.filter(pa.array(np.concatenate([np.zeros(0), *found]) >= threshold))
+        for batch in batches:  # rows stay in Arrow: texts are not copied into objects, and kept ones slice by slice only
+            for part, at, data in arrays.runs(batch):
+                yield part.filter(pa.array(probabilities(at, data, weights, model.bits) >= threshold))
     return docs.mapInArrow(run, docs.schema)
