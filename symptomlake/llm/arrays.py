@@ -40,8 +40,10 @@ def runs(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20) -> I
     """Slices of a batch with about ``limit`` bytes of text each, so that the work arrays stay small.
 
     Yields the slice, its row offsets (from 0) and its bytes. A longer text is
-    a slice of its own and never cut.
+    a slice of its own and never cut. Memory of earlier batches is given back,
+    so that a worker that waits for its next task holds little.
     """
+    pa.default_memory_pool().release_unused()
     at, data = texts(batch.column(batch.schema.get_field_index(column)))
     first = 0
     while first < batch.num_rows:
@@ -49,6 +51,7 @@ def runs(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20) -> I
         last = min(last, batch.num_rows)
         yield batch.slice(first, last - first), at[first:last + 1] - at[first], data[at[first]:at[last]]
         first = last
+    pa.default_memory_pool().release_unused()
 
 
 def pieces(raw: bytes, gap: re.Pattern[bytes], size: int = 1 << 20) -> Iterator[bytes]:

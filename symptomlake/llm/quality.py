@@ -115,6 +115,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], m: Ftrl) -> np.ndarray:
     for _ in range(m.epochs):
         for place, value, label in rows:
             zi, ni = z[place], n[place]
+            value = value.astype(np.float64)
             w = weights(zi, ni)
             slope = (1.0 / (1.0 + np.exp(-np.clip(w @ value, -35, 35))) - label) * value
             grown = ni + slope * slope
@@ -155,7 +156,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", model: Ftr
                     ["turn", "doc_id", "label", "places", "vals"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(np.frombuffer(p.as_py(), "<i4"), np.frombuffer(v.as_py(), "<f4").astype(float), y.as_py())
+        # Views of the batches; numbers become doubles row by row in ``fit``.
+        rows = [(np.frombuffer(p.as_buffer(), "<i4"), np.frombuffer(v.as_buffer(), "<f4"), y.as_py())
                 for b in batches for p, v, y in zip(b.column("places"), b.column("vals"), b.column("label"))]
         seen = [y for *_, y in rows]
         w = fit(rows, model) if len(set(seen)) == 2 else np.zeros(1 << model.bits)
