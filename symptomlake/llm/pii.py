@@ -375,13 +375,14 @@ def sanitise(docs: DataFrame) -> DataFrame:
     found = stored(found, "spans")
     table = bit_table(found.select(F.col("text_key").alias("term")))
 
-    @F.pandas_udf("boolean")
-    def marked(keys):
-        return type(keys)(_hits(table, keys.to_numpy()))
-
-    @F.pandas_udf("string")
-    def masked(text, base, terms):
-        return type(text)([_masked(t, b, s) if b is not None else t for t, b, s in zip(text, base, terms)], dtype=object)
+    @F.arrow_udf("boolean")
+    def marked(keys: pa.Array) -> pa.Array:
+        return pa.array(_hits(table, keys.to_numpy(zero_copy_only=False)))
+
+    @F.arrow_udf("string")
+    def masked(text: pa.Array, base: pa.Array, terms: pa.Array) -> pa.Array:
+        return pa.array((_masked(t.as_py() or "", b.as_py(), s.as_py()) if b.is_valid else t.as_py()
+                         for t, b, s in zip(text, base, terms)), pa.string())
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     split = marked(key)
     rows = docs.where(split)
