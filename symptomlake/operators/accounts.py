@@ -43,10 +43,13 @@ def taken_usernames(pending: DataFrame, patients: DataFrame, doctors: DataFrame)
 
 
 def _existing(pending: DataFrame, patients: DataFrame, doctors: DataFrame) -> DataFrame:
-    """Each wanted username once: its first sign-up, and whether an account has it."""
+    """Each wanted username once: its first sign-up, and whether an account has it.
+
+    Both sides grow with the users, so neither is sent whole to the driver.
+    """
     accounts = patients.select("username").unionByName(doctors.select("username")).distinct().withColumn("known", F.lit(True))
     return (pending.groupBy("username").agg(F.min("pending_id").alias("pending_id"))
-            .join(accounts, "username", "left").withColumn("known", F.coalesce("known", F.lit(False))))
+            .join(accounts.hint("merge"), "username", "left").withColumn("known", F.coalesce("known", F.lit(False))))
 
 
 def resolve_access_codes(pending: DataFrame, doctors: DataFrame, hospitals: DataFrame,

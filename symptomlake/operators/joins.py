@@ -13,9 +13,9 @@ def salted_join(rows: DataFrame, lookup: DataFrame, on: list[str], how: str,
 
     ``rows`` of a key are dealt over ``salts`` reducers by the partition they
     come from (the same again when a task is retried); ``lookup``, the smaller
-    side, is repeated once per salt. If ``lookup`` turns out small the engine
-    still broadcasts it by its own size check.
+    side, is repeated once per salt. The copies are never broadcast: the size
+    check counts a lookup once, the driver would hold it ``salts`` times.
     """
     dealt = rows.withColumn("_salt", F.spark_partition_id() % salts)
     copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(copies, [*on, "_salt"], how).drop("_salt")
+    return dealt.join(copies.hint("merge"), [*on, "_salt"], how).drop("_salt")

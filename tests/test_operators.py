@@ -152,6 +152,18 @@ def test_access_code_precedence(spark):
     assert [r.username for r in accounts.taken_usernames(pending, patients, doctors).collect()] == ["taken"]
 
 
+def test_account_names_are_never_broadcast(spark):
+    pending = spark.range(50).selectExpr("id AS pending_id", "concat('u', id) AS username", "concat('D', id % 3) AS access_code")
+    doctors = spark.range(3).selectExpr("concat('u', id) AS username", "concat('D', id) AS code")
+    hospitals = spark.range(2).selectExpr("concat('h', id) AS name", "concat('H', id) AS code")
+    patients = spark.range(60, 70).selectExpr("concat('u', id) AS username")
+    rows = accounts.resolve_access_codes(pending, doctors, hospitals, patients)
+    assert rows.where("status = 'duplicate'").count() == 3 and len(rows.collect()) == 50
+    for df in (rows, accounts.taken_usernames(pending, patients, doctors)):
+        df.collect()
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_account_flags(spark):
     df = spark.createDataFrame([(1, "alice"), (2, " "), (3, "abc"), (4, "alice"), (5, None), (6, "alice")],
                                "account_id int, username string")
