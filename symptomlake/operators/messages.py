@@ -90,10 +90,14 @@ def derived_session_id(submission_id: Column) -> Column:
 
 
 def pending_questionnaires(submissions: DataFrame, assessments: DataFrame) -> DataFrame:
-    """Submissions without a derived assessment record yet."""
-    done = assessments.select(F.col("session_id"))
+    """Submissions without a derived assessment record yet.
+
+    An outer join, as the optimizer would carry an anti join down to the scan,
+    where whole answers are shuffled even if ``submissions`` was narrowed before.
+    """
+    done = assessments.select("session_id", F.lit(True).alias("_done"))
     return (submissions.withColumn("session_id", derived_session_id(F.col("submission_id")))
-            .join(done, "session_id", "left_anti"))
+            .join(done, "session_id", "left").where(F.col("_done").isNull()).drop("_done"))
 
 
 def triage_status(enriched: DataFrame, assessments: DataFrame) -> DataFrame:

@@ -20,14 +20,17 @@ def weekly_answer(users: DataFrame, assessments: DataFrame, as_of, offset: int =
     }
 
 
-def scored_submissions(submissions: DataFrame, assessments: DataFrame) -> DataFrame:
+def scored_submissions(submissions: DataFrame, assessments: DataFrame, *columns) -> DataFrame:
     """Submissions that still need scoring, enriched and rendered as messages.
 
-    Those with too few messages are left to ``messages.triage_status``.
+    Those with too few messages are left to ``messages.triage_status``. If
+    ``columns`` (with ``submission_id``) are asked for, all submissions are
+    enriched where they lie, and only these columns meet the records.
     """
-    todo = messages.pending_questionnaires(submissions, assessments)
-    rows = messages.with_messages(questionnaire.enrich(todo))
-    return rows.where(F.size("messages") >= messages.MIN_MESSAGES)
+    if not columns:
+        submissions = messages.pending_questionnaires(submissions, assessments)
+    rows = messages.with_messages(questionnaire.enrich(submissions)).where(F.size("messages") >= messages.MIN_MESSAGES)
+    return messages.pending_questionnaires(rows.select(*columns), assessments) if columns else rows
 
 
 def doctor_day(assignments: DataFrame, patients: DataFrame, assessments: DataFrame,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from symptomlake import dims
 from symptomlake.functions import questionnaire as Q
 from symptomlake.operators import messages, questionnaire as ops
+from symptomlake.plans import reports
 
 
 def frame(spark, *answers):
@@ -158,6 +159,21 @@ def test_messages_and_status(spark):
         ("skipped", None), ("completed", "RED")]
 
 
+def test_only_asked_columns_meet_the_records(spark):
+    """Whole answers are not shuffled to find the submissions that still need scoring."""
+    rows = frame(spark, {"appetite_rating": "2"}, {"appetite_rating": "4"}, {}, {"appetite_rating": "5"})
+    done = spark.createDataFrame([("questionnaire_0", "RED"), ("questionnaire_0", "RED"), (None, "RED")],
+                                 "session_id string, alert_level string")
+    wide = reports.scored_submissions(rows, done).select("submission_id", "session_id", F.size("messages").alias("n"))
+    narrow = reports.scored_submissions(rows, done, "submission_id", F.size("messages").alias("n"))
+    assert sorted((r.submission_id, r.session_id, r.n) for r in narrow.collect()) \
+        == sorted(tuple(r) for r in wide.collect()) == [(1, "questionnaire_1", 4), (3, "questionnaire_3", 4)]
+    lines = narrow._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(lines) if "Join LeftOuter" in line)
+    assert "Generate" not in "".join(lines[:at]) and "Generate" in "".join(lines[at:])
+    assert "answers" not in lines[at + 1] and "messages" not in lines[at + 1].replace("size(messages", "")
+
+
 def test_history_shaping(spark):
     turns = [("system", "old", "t0"), ("user", "Hi", "t1")]
     df = spark.createDataFrame([(turns,)], "h array<struct<role:string,content:string,timestamp:string>>")

@@ -901,6 +901,7 @@ def upcoming_events(spark, sf):
 
 @query
 def scored_submissions(spark, sf):
-    rows = reports.scored_submissions(A.submissions(spark, sf), A.derived_records(spark, sf))
-    return rows.select("submission_id", "session_id", F.size("messages").alias("n_messages"),
-                       F.col("summary.symptom_count").alias("symptom_count"))
+    return reports.scored_submissions(
+        A.submissions(spark, sf), A.derived_records(spark, sf), "submission_id", F.size("messages").alias("n_messages"),
+        F.col("summary.symptom_count").alias("symptom_count")).select(
+        "submission_id", "session_id", "n_messages", "symptom_count")
