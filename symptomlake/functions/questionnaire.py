@@ -25,8 +25,8 @@ def text(value: str | None) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def answer(qid: str) -> str:
-    return f"answers[{text(qid)}]"
+def answer(qid: str, answers: str = "answers") -> str:
+    return f"{answers}[{text(qid)}]"
 
 
 def as_list(raw: str) -> str:
@@ -196,6 +196,45 @@ def response(q: dict, raw: str, items: str | None, shown: str, shown_list: str |
         answered=answered(raw, items, shown), alert_flag=flag)
 
 
+def catalogue_rows(questions: list[dict]) -> str:
+    """The catalogue as an array of structs, for ``RESPONSE_ROW``."""
+    def number(q, value):
+        return f"{float(value)}D" if q["type"] in ("rating", "slider") else "CAST(NULL AS DOUBLE)"
+
+    return "array(" + ", ".join(_struct(
+        section_pos=str(q["section_pos"]), question_pos=str(q["question_pos"]),
+        section_id=text(q["section_id"]), question_id=text(q["question_id"]),
+        question_text=text(q["text"]), type=text(q["type"]), was_required=str(q["required"]).lower(),
+        unit=text(q["unit"] or ""), options=labels(q["options"]) if q["options"] else "CAST(map() AS MAP<STRING, STRING>)",
+        lo=number(q, q["min"]), hi=number(q, q["max"]),
+        span="CAST(NULL AS DOUBLE)" if q["type"] not in ("rating", "slider") else f"{float(q['max'] - q['min'])}D",
+        falling=str(bool(q["type"] == "rating" and q["descending"])).lower(),
+        diagram=str(q["type"] in dims.DIAGRAM_TYPES).lower()) for q in questions) + ")"
+
+
+def _seen(value: str) -> str:
+    return f"CASE WHEN _shown THEN {value} END"
+
+
+#: ``response`` for exploded rows, where ``_q`` is the question's row of the
+#: catalogue, ``_given`` the raw answer and ``_items``, ``_lists``, ``_shown`` its own.
+RESPONSE_ROW = {
+    **{name: f"_q.{name}" for name in ("section_pos", "question_pos", "section_id", "question_id",
+                                       "question_text", "type", "was_required")},
+    "was_shown": "_shown", "raw_value": _seen("_given"),
+    "display_value": _seen("CASE _q.type WHEN 'slider' THEN concat(_given, _q.unit) WHEN 'text' THEN _given "
+                           "ELSE coalesce(array_join(_lists, ', '), _q.options[_given], _given) END"),
+    "display_list": _seen("_lists"),
+    "severity_normalized": _seen(
+        "CASE WHEN _q.span = 0 THEN CASE WHEN _given IS NOT NULL THEN 0.0D END WHEN _q.span IS NOT NULL THEN "
+        f"bround(CASE WHEN _q.falling THEN _q.hi - {as_number('_given')} ELSE {as_number('_given')} - _q.lo END "
+        "/ nullif(_q.span, 0.0D), 2) END"),
+    "region_count": _seen("CASE WHEN _q.diagram THEN array_size(_items) END"),
+    "skip_reason": "CASE WHEN NOT _shown THEN 'conditional_not_met' END",
+    "answered": "(_shown AND _given IS NOT NULL AND coalesce(array_size(_items) > 0, true))",
+}
+
+
 def answered(raw: str, items: str | None, shown: str) -> str:
     """Shown, given, and not an empty list."""
     filled = f" AND coalesce(array_size({items}) > 0, true)" if items else ""

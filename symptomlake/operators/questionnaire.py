@@ -44,7 +44,8 @@ def _stage(submissions: DataFrame, catalogue) -> DataFrame:
     """Raw answers, decoded lists, visibility, labels and alert texts.
 
     Each is computed once per row, as an array in catalogue order that later
-    steps refer to by index.
+    steps refer to by index. The filter keeps every answer; it lifts the map out
+    of the columnar batch, where each lookup would decode all keys again.
     """
     flat = dims.flat_questions(catalogue)
     number = _number(catalogue)
@@ -57,8 +58,9 @@ def _stage(submissions: DataFrame, catalogue) -> DataFrame:
     shown = [Q.is_shown(q, raw(q["depends_on"]) if q["depends_on"] else None) for q in flat]
     lists = [Q.display_list(q, f"_items[{i}]") if q["type"] in Q.LIST_TYPES else no_list for i, q in enumerate(flat)]
     flags = [Q.alert_flag(q["title"], q, f"_raw[{i}]", _listed(q, "_items", i)) for i, q in enumerate(flat)]
-    return (submissions
-            .withColumn("_raw", _held([Q.answer(q["question_id"]) for q in flat]))
+    given = submissions.withColumn("_answers", F.expr("map_filter(answers, (k, v) -> k IS NOT NULL)"))
+    return (given
+            .withColumn("_raw", _held([Q.answer(q["question_id"], "_answers") for q in flat])).drop("_answers")
             .withColumns({"_items": _held(items), "_shown": _held(shown)})
             .withColumns({"_lists": _held(lists), "_flags": _held(flags)}))
 
@@ -86,12 +88,17 @@ def with_responses(submissions: DataFrame, catalogue=None) -> DataFrame:
 def question_responses(submissions: DataFrame, catalogue=None) -> DataFrame:
     """J3, long form: submission x question without a join.
 
-    The array is never empty; the outer form only keeps the optimizer from
-    evaluating it twice for a non-empty check.
+    The submissions are exploded first, and one rule reads its question from the
+    catalogue as a literal; a struct per question would be built and copied
+    42 times a row. The array is never empty; the outer form only keeps the
+    optimizer from evaluating it twice for a non-empty check.
     """
     keep = [c for c in submissions.columns if c != "answers"]
-    rows, names = _response_columns(_stage(submissions, catalogue), keep, catalogue)
-    return rows.select(*keep, F.expr(f"inline_outer(array({', '.join(names)}))")).drop("alert_flag")
+    rows = _stage(submissions, catalogue).select(
+        *keep, "_items", "_shown", "_lists", F.posexplode_outer("_raw").alias("_at", "_given"))
+    rows = rows.select(*keep, "_given", F.expr(f"get({Q.catalogue_rows(dims.flat_questions(catalogue))}, _at)").alias("_q"),
+                       *(F.expr(f"{name}[_at]").alias(name) for name in ("_items", "_shown", "_lists")))
+    return rows.select(*keep, *(F.expr(rule).alias(name) for name, rule in Q.RESPONSE_ROW.items()))
 
 
 def enrich(submissions: DataFrame, catalogue=None, responses: bool = True) -> DataFrame:

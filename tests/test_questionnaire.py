@@ -200,3 +200,21 @@ def test_fractional_rating_is_kept(spark):
     rows = spark.createDataFrame([(1, {"appetite_rating": "2.5"})], "submission_id int, answers map<string,string>")
     scores = ops.section_results(ops.enrich(rows, responses=False), "submission_id").collect()
     assert 2.5 in [r.severity_score for r in scores]
+
+
+ODD = [{}, None, {"appetite_rating": "2.5", "cough_frequency": "6+", "phlegm_color": '["red",null,"own"]', "sleep_hours": "x"},
+       {"sleep_quality": "4", "sleep_hours": "2.5", "sleep_symptoms": '["anxiety","own words"]', "muscle_pain_areas": "[]",
+        "joint_pain_areas": '["left_knee","right_knee","left_hip"]', "headache_location": "forehead", "appetite_causes": "[broken"}]
+
+
+def test_one_rule_for_exploded_answers(spark):
+    """The long form keeps one rule for all questions, and gives what the struct of each question holds."""
+    flat = dims.flat_questions()
+    full = {q["question_id"]: v for q in flat for v in [next(iter(q["options"]), "3")]}
+    rows = frame(spark, *ODD, full, {k: '["%s","?"]' % v for k, v in full.items()})
+    long = ops.question_responses(rows)
+    wide = ops.with_responses(rows).select("submission_id", F.inline("responses")).drop("alert_flag")
+    assert [(f.name, f.dataType) for f in long.schema] == [(f.name, f.dataType) for f in wide.schema]
+    order = ["submission_id", "section_pos", "question_pos"]
+    assert long.count() == 6 * 42 and long.orderBy(*order).collect() == wide.orderBy(*order).collect()
+    assert long._jdf.queryExecution().optimizedPlan().toString().count("conditional_not_met") == 1
