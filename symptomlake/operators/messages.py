@@ -81,8 +81,10 @@ def submission_messages(sections: Column, alert_flags: Column) -> Column:
 
 
 def with_messages(enriched: DataFrame) -> DataFrame:
-    return enriched.withColumn("messages", submission_messages(
-        F.col("sections"), F.col("summary.alert_flags")))
+    """Adds ``messages``, as output of a one-row generator: a later filter on
+    them would otherwise render them a second time."""
+    rendered = submission_messages(F.col("sections"), F.col("summary.alert_flags"))
+    return enriched.select(*enriched.columns, F.inline_outer(F.array(F.struct(rendered.alias("messages")))))
 
 
 def derived_session_id(submission_id: Column) -> Column:
