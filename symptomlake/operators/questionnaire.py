@@ -106,7 +106,8 @@ def enrich(submissions: DataFrame, catalogue=None, responses: bool = True) -> Da
 
     Works unchanged on a streaming DataFrame (stateless, no shuffle). Without
     ``responses`` the section results carry no response structs, which is all
-    the summaries need.
+    the summaries need; with them they are put in last, so that a query which
+    reads none of them does not build them.
     """
     rows, number = _stage(submissions, catalogue), _number(catalogue)
 
@@ -114,7 +115,7 @@ def enrich(submissions: DataFrame, catalogue=None, responses: bool = True) -> Da
         at = number[qid]
         return f"_raw[{at}]", f"_items[{at}]"
 
-    severities, results, at = [], [], 0
+    severities, results, groups, at = [], [], [], 0
     for pos, s in enumerate(catalogue or dims.SECTIONS):
         fallback = source(s["fallback_source"]) if s["fallback_source"] else None
         severities.append(Q.section_severity(s, source(s["severity_source"]), fallback))
@@ -122,17 +123,21 @@ def enrich(submissions: DataFrame, catalogue=None, responses: bool = True) -> Da
         at = mine.stop
         results.append(Q.section_result(
             pos, s, f"_severity[{pos}]", [f"_flags[{i}]" for i in mine],
-            [f"CASE WHEN _shown[{i}] THEN _lists[{i}] END" for i in mine],
-            [f"_r{i}" for i in mine] if responses else None))
-    rows = rows.withColumn("_severity", _held(severities))
+            [f"CASE WHEN _shown[{i}] THEN _lists[{i}] END" for i in mine]))
+        groups.append(f"array({', '.join(f'_r{i}' for i in mine)})")
+    rows, keep = rows.withColumn("_severity", _held(severities)), list(submissions.columns)
     if responses:
         rows, _ = _response_columns(rows, [*submissions.columns, *STAGED, "_severity"], catalogue)
+        rows, keep = rows.withColumn("_responses", F.expr(f"array({', '.join(groups)})")), [*keep, "_responses"]
     counts = ", ".join(f"'{name}', {expr}" for name, expr in _completion(catalogue).items())
     names = [f"_s{pos}" for pos in range(len(results))]
-    rows = rows.select(*submissions.columns, F.expr(f"named_struct({counts})").alias("_completion"),
+    rows = rows.select(*keep, F.expr(f"named_struct({counts})").alias("_completion"),
                        *(F.expr(result).alias(name) for result, name in zip(results, names)))
-    rows = _fenced(rows, submissions.columns, sections=f"array({', '.join(names)})", completion="_completion")
-    return rows.withColumn("summary", _summary(F.col("sections")))
+    rows = _fenced(rows, keep, _sections=f"array({', '.join(names)})", completion="_completion")
+    sections = F.col("_sections")
+    if responses:
+        sections = F.transform(sections, lambda s, i: s.withField("responses", F.col("_responses")[i]))
+    return rows.select(*submissions.columns, sections.alias("sections"), "completion", _summary(F.col("_sections")).alias("summary"))
 
 
 def _completion(catalogue) -> dict[str, str]:
@@ -158,7 +163,9 @@ def _summary(sections):
             s["severity_label"].alias("severity_label"), s["details"].alias("details"))).alias("areas_of_concern"),
         F.size(concerns).alias("symptom_count"),
         worst.alias("max_severity"),
-        F.get(F.filter(concerns, lambda s: s["severity_score"] == worst), F.lit(0))["title"].alias("max_severity_area"),
+        # ``worst`` passes as an argument: inside the filter it would be searched anew for every concern
+        F.transform(F.array(worst), lambda w: F.get(F.filter(
+            concerns, lambda s: s["severity_score"] == w), F.lit(0))["title"])[0].alias("max_severity_area"),
         F.array_sort(F.array_distinct(F.transform(concerns, lambda s: s["clinical_area"]))).alias("clinical_areas_affected"),
         F.flatten(F.transform(sections, lambda s: s["alert_flags"])).alias("alert_flags"))
 

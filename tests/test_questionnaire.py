@@ -218,3 +218,12 @@ def test_one_rule_for_exploded_answers(spark):
     order = ["submission_id", "section_pos", "question_pos"]
     assert long.count() == 6 * 42 and long.orderBy(*order).collect() == wide.orderBy(*order).collect()
     assert long._jdf.queryExecution().optimizedPlan().toString().count("conditional_not_met") == 1
+
+
+def test_unread_responses_are_not_built(spark):
+    rows = frame(spark, *ODD)
+    summary = ops.enrich(rows).select("submission_id", "completion", "summary")
+    assert "conditional_not_met" not in summary._jdf.queryExecution().optimizedPlan().toString()
+    flat = ops.with_responses(rows).select("submission_id", "responses")
+    nested = ops.enrich(rows).select("submission_id", F.flatten(F.transform("sections", lambda s: s["responses"])).alias("responses"))
+    assert nested.orderBy("submission_id").collect() == flat.orderBy("submission_id").collect()
