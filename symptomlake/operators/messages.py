@@ -72,19 +72,26 @@ def submission_messages(sections: Column, alert_flags: Column) -> Column:
             _message("user", F.concat(F.lit("Regarding "), b["title"], F.lit(":\n"),
                                       F.array_join(b["lines"], "\n"), note)))
 
+    return _greeted(F.flatten(F.transform(bound, pair)), alert_flags)
+
+
+def _greeted(talk: Column, alert_flags: Column) -> Column:
+    """The messages on the sections between the greeting and the alert flags."""
     flags = F.when(F.size(alert_flags) > 0, F.array(_message("user", F.concat(
-        F.lit("Additional concerns I want to flag:\n"),
-        F.array_join(F.transform(alert_flags, lambda f: F.concat(F.lit("- "), f)), "\n")))))
+        F.lit("Additional concerns I want to flag:\n- "), F.array_join(alert_flags, "\n- ")))))
     none = F.array().cast("array<struct<role:string,content:string>>")
-    return F.concat(F.array(_message("assistant", F.lit(GREETING))),
-                    F.flatten(F.transform(bound, pair)), F.coalesce(flags, none))
+    return F.concat(F.array(_message("assistant", F.lit(GREETING))), talk, F.coalesce(flags, none))
 
 
 def with_messages(enriched: DataFrame) -> DataFrame:
     """Adds ``messages``, as output of a one-row generator: a later filter on
-    them would otherwise render them a second time."""
-    rendered = submission_messages(F.col("sections"), F.col("summary.alert_flags"))
-    return enriched.select(*enriched.columns, F.inline_outer(F.array(F.struct(rendered.alias("messages")))))
+    them would otherwise render them a second time. Sections already put into
+    words (``enrich(talk=True)``) are taken as they are, else read from the responses."""
+    flags = F.col("_alerts")
+    rendered = _greeted(F.col("talk"), flags) if "talk" in enriched.columns else submission_messages(F.col("sections"), flags)
+    # taken out first: the generator would have the whole summary built for its flags
+    return enriched.withColumn("_alerts", F.col("summary.alert_flags")).select(
+        *(c for c in enriched.columns if c != "talk"), F.inline_outer(F.array(F.struct(rendered.alias("messages")))))
 
 
 def derived_session_id(submission_id: Column) -> Column:

@@ -29,7 +29,7 @@ def scored_submissions(submissions: DataFrame, assessments: DataFrame, *columns)
     """
     if not columns:
         submissions = messages.pending_questionnaires(submissions, assessments)
-    rows = messages.with_messages(questionnaire.enrich(submissions)).where(F.size("messages") >= messages.MIN_MESSAGES)
+    rows = messages.with_messages(questionnaire.enrich(submissions, talk=True)).where(F.size("messages") >= messages.MIN_MESSAGES)
     return messages.pending_questionnaires(rows.select(*columns), assessments) if columns else rows
 
 

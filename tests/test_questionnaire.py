@@ -227,3 +227,61 @@ def test_unread_responses_are_not_built(spark):
     flat = ops.with_responses(rows).select("submission_id", "responses")
     nested = ops.enrich(rows).select("submission_id", F.flatten(F.transform("sections", lambda s: s["responses"])).alias("responses"))
     assert nested.orderBy("submission_id").collect() == flat.orderBy("submission_id").collect()
+
+
+@pytest.mark.parametrize("raw", ["[]", '[""]', '["]', '["a"]', '["a","b, c","","d"]', '["a",","b"]', '["a", "b"]', '["a\\"b"]',
+                                 '["a\\\\"]', '["a\\u0041"]', '["a\tb"]', '["a",null]', '[1,"a"]', '["a"],["b"]', '["a","b"', "[broken",
+                                 '["é","日本"]', '["' + "x" * 12_000 + '","y"]', "a", "", None])
+def test_plain_lists_are_cut_as_the_parser_would(spark, raw):
+    row = spark.createDataFrame([(raw,)], "raw string").select(
+        F.expr(Q.as_list("raw")).alias("cut"),
+        F.expr("CASE WHEN startswith(raw, '[') THEN from_json(raw, 'array<string>') END").alias("parsed")).first()
+    assert row.cut == row.parsed
+
+
+def largest_method(df) -> int:
+    stages = df._jdf.queryExecution().debug().codegenToSeq()
+    return max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size()))
+
+
+def test_hot_methods_are_small_enough_to_be_compiled(spark):
+    """Beyond 8,000 bytes the JVM interprets a method for ever."""
+    from workload import adapter as A
+
+    rows = frame(spark, *ODD)
+    talk = messages.with_messages(ops.enrich(rows, talk=True))
+    for df in (ops.alert_flags(rows), talk.select("submission_id", "messages"),
+               ops.section_results(ops.enrich(rows, responses=False), "submission_id"),
+               ops.clinical_summary(ops.enrich(rows, responses=False), "submission_id")):
+        assert largest_method(df) <= 8000
+    orders = spark.createDataFrame([(1, 2, None)], "o_orderkey long, o_custkey long, o_orderdate timestamp")
+    derived = A.derive_submissions(spark, None, orders)
+    assert largest_method(derived) <= 8000
+    assert "map_filter(map(" not in derived._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_talk_says_what_the_responses_say(spark):
+    rows = frame(spark, *ODD)
+    talk = messages.with_messages(ops.enrich(rows, talk=True))
+    plain = messages.with_messages(ops.enrich(rows))
+    assert talk.columns == plain.columns
+    assert talk.orderBy("submission_id").collect() == plain.orderBy("submission_id").collect()
+    only = talk.select("messages")._jdf.queryExecution().optimizedPlan().toString()
+    assert "conditional_not_met" not in only and "transform(_sections" not in only
+
+
+def test_summary_follows_from_the_sections(spark):
+    rows = frame(spark, *ODD)
+    enriched = ops.enrich(rows, responses=False)
+    for r in enriched.collect():
+        concerns = [s for s in r.sections if s.is_concern]
+        scores = [s.severity_score for s in concerns if s.severity_score is not None]
+        worst = max(scores, default=None)
+        assert [a.section_id for a in r.summary.areas_of_concern] == [s.section_id for s in concerns]
+        assert (r.summary.symptom_count, r.summary.max_severity) == (len(concerns), worst)
+        assert r.summary.max_severity_area == next((s.title for s in concerns if worst is not None and s.severity_score == worst), None)
+        assert r.summary.clinical_areas_affected == sorted({s.clinical_area for s in concerns})
+        assert r.summary.alert_flags == [f for s in r.sections for f in s.alert_flags]
+    # written out for each section: nothing over the sections is left to interpreted functions
+    plan = ops.clinical_summary(enriched, "submission_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(_sections" not in plan and "is_concern, lambda" not in plan

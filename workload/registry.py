@@ -544,7 +544,7 @@ def rate_reissues(spark, sf):
 # -- questionnaire ----------------------------------------------------------
 
 def _enriched(spark, sf, responses=False):
-    return questionnaire.enrich(A.submissions(spark, sf), responses=responses)
+    return questionnaire.enrich(A.submissions(spark, sf), responses=responses, talk=responses)
 
 
 @query
@@ -589,7 +589,7 @@ def submission_messages(spark, sf):
 
 @query
 def triage_status(spark, sf):
-    return messages.triage_status(questionnaire.enrich(A.sparse_submissions(spark, sf)), A.derived_records(spark, sf))
+    return messages.triage_status(questionnaire.enrich(A.sparse_submissions(spark, sf), talk=True), A.derived_records(spark, sf))
 
 
 @query
