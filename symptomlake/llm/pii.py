@@ -273,7 +273,9 @@ def disclosures(docs: DataFrame, seen: DataFrame) -> DataFrame:
         F.sum("n").alias("n_entity"), F.count(F.lit(1)).alias("texts"), F.expr("bit_xor(xxhash64(text_key, 1))").alias("one"),
         F.expr("bit_xor(xxhash64(text_key, 2))").alias("two")).where(F.col("texts") >= SUPPORT)
     entities = stored(named.groupBy("n_entity", "texts", "one", "two").agg(F.min("entity").alias("entity")).select("entity", "n_entity"), "entities")
-    none = docs.sparkSession.createDataFrame([], "entity long, term long, disclosure double")
+    # Made without Python: rows of the session's own would start a second daemon with workers on every executor.
+    none = docs.sparkSession.range(0).select(*(F.lit(None).cast(kind).alias(name) for name, kind in (
+        ("entity", "long"), ("term", "long"), ("disclosure", "double"))))
     if entities.isEmpty():
         return none
     asked = stored(said.join(entities, "entity").groupBy("text_key", "n").agg(
@@ -368,7 +370,9 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with masked texts; ``n_chars``, if there is one, follows. All other columns stay.
 
     Most texts hold nothing and are not moved: a bit table of fixed size over
-    the texts with spans leaves only theirs to an exact join.
+    the texts with spans leaves only theirs to an exact join. That join is never
+    a broadcast: in one stage, marking and masking would take two Python workers
+    for each task, and all of them live on.
     """
     found = found_spans(docs).where((F.col("base") != "") | F.col("terms").isNotNull()).select(
         F.col("doc_id").alias("_id"), "text_key", "base", "terms").dropDuplicates(["_id", "text_key"])
@@ -386,7 +390,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     split = marked(key)
     rows = docs.where(split)
-    joined = rows.join(found, (key == found["text_key"]) & rows["doc_id"].cast("long").eqNullSafe(found["_id"]), "left")
+    joined = rows.join(found.hint("merge"), (key == found["text_key"]) & rows["doc_id"].cast("long").eqNullSafe(found["_id"]), "left")
     new = F.when(F.col("base").isNull(), F.col("text")).otherwise(masked("text", "base", "terms"))
     columns = [F.col(c) if c not in ("text", "n_chars") else new.alias("text") if c == "text"
                else F.when(F.col("base").isNull(), F.col("n_chars")).otherwise(F.length(new).cast("long")).alias("n_chars")

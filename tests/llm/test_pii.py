@@ -182,3 +182,23 @@ def test_long_lists_are_dealt_out(spark, monkeypatch):
 
 def test_empty(spark):
     assert pii.report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_one_python_worker_a_task(spark):
+    """Small tables too: a shuffle parts marking and masking, and the empty answer needs no Python."""
+    docs = spark.createDataFrame([(1, "write to ann@example.org"), (2, "nothing here"), (3, None)], "doc_id long, text string").localCheckpoint()
+    masked = pii.sanitise(docs)
+    lines = masked._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = [(line.index(line.lstrip(" :+-|*")), line) for line in lines if line.strip()]
+    python = [k for k, (_, line) in enumerate(depth) if "EvalPython" in line]
+    assert len(python) == 3
+    for k in python:
+        at = depth[k][0]
+        for deeper, line in depth[k + 1:]:  # down to the next shuffle
+            if deeper <= at or "Exchange" in line:
+                break
+            assert "EvalPython" not in line
+    assert sorted(masked.collect(), key=lambda r: r.doc_id) == [(1, "write to <EMAIL>"), (2, "nothing here"), (3, None)]
+    none = pii.disclosures(docs, pii.scan(docs))
+    assert none.schema.simpleString() == "struct<entity:bigint,term:bigint,disclosure:double>"
+    assert none.collect() == [] and "RDD" not in none._jdf.queryExecution().executedPlan().toString()
