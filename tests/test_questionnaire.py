@@ -285,3 +285,14 @@ def test_summary_follows_from_the_sections(spark):
     # written out for each section: nothing over the sections is left to interpreted functions
     plan = ops.clinical_summary(enriched, "submission_id")._jdf.queryExecution().optimizedPlan().toString()
     assert "filter(_sections" not in plan and "is_concern, lambda" not in plan
+
+
+def test_derived_tables_are_written_small(spark, tmp_path):
+    """So many answers outgrow the dictionary of a file; a submission of 42 questions still takes few bytes."""
+    import os
+    from workload import adapter
+    n = 200_000
+    orders = spark.range(n).selectExpr("id AS o_orderkey", "id % 10 AS o_custkey", "timestamp '2024-01-01 00:00:00' AS o_orderdate")
+    rows = adapter.stored(spark, str(tmp_path), "submissions", lambda _: adapter.derive_submissions(spark, "", orders.repartition(1)))
+    assert rows.count() == n
+    assert sum(os.path.getsize(f.removeprefix("file://")) for f in rows.inputFiles()) < 80 * n

@@ -40,7 +40,7 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build, files: int | None
     key = (spark.sparkContext.applicationId, sf_dir, name, files, _stamp(spark, sf_dir))
     if key not in _STORED:
         path = f"{shared_dir(spark, name)}/data"
-        build(files or spark.sparkContext.defaultParallelism).write.parquet(path)
+        build(files or spark.sparkContext.defaultParallelism).write.option("compression", "zstd").parquet(path)
         _STORED[key] = path
     return spark.read.parquet(_STORED[key])
 
